@@ -7,10 +7,14 @@ from collections.abc import Callable
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, media, packing
+from gridloom.llm import bpe, media, neardup, packing
 from gridloom.llm.common import read_table
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(read_table(spark, sf_dir, "documents"), shingle=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -24,7 +28,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op9_media, op10_packing)}
+    return {f.__name__: f for f in (op1_neardup, op3_bpe, op9_media, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
