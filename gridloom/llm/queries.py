@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, media, neardup, packing
-from gridloom.llm.common import read_table
+from gridloom.llm import bpe, media, neardup, packing, pii, quality
+from gridloom.llm.common import crc_remainder, read_table
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,22 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def quality_labels(labels: DataFrame) -> DataFrame:
+    """The rows that may be learned from: doc_id, label."""
+    return labels.where(crc_remainder(F.col("doc_id"), 4) != 2).select("doc_id", F.col("quality").alias("label"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.train(docs, quality_labels(read_table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(crc_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return quality.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", quality.predicted(F.col("score")).alias("predicted"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(read_table(spark, sf_dir, "documents"))
 
@@ -27,8 +44,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neardup, op3_bpe, op9_media, op10_packing)}
+    return {f.__name__: f for f in (op1_neardup, op3_bpe, op4_pii, op7_quality, op9_media, op10_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
