@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, media, neardup, packing, pii, quality
+from gridloom.llm import bpe, fingerprint, media, neardup, packing, pii, quality
 from gridloom.llm.common import crc_remainder, read_table
 
 
@@ -24,6 +24,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replaced(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compared(read_table(spark, sf_dir, "documents"))
+
+
 def quality_labels(labels: DataFrame) -> DataFrame:
     """The rows that may be learned from: doc_id, label."""
     return labels.where(crc_remainder(F.col("doc_id"), 4) != 2).select("doc_id", F.col("quality").alias("label"))
@@ -51,7 +55,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neardup, op3_bpe, op4_pii, op7_quality, op9_media, op10_packing, pipeline)}
+    return {f.__name__: f for f in (op1_neardup, op3_bpe, op4_pii, op5_fingerprint, op7_quality, op9_media, op10_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
