@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, fingerprint, media, neardup, packing, pii, quality
+from gridloom.llm import bpe, fingerprint, html, media, neardup, packing, pii, quality, urls
 from gridloom.llm.common import crc_remainder, read_table
 
 
@@ -16,6 +16,10 @@ def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(read_table(spark, sf_dir, "documents"), shingle=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(read_table(spark, sf_dir, "pages"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -28,6 +32,10 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compared(read_table(spark, sf_dir, "documents"))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(read_table(spark, sf_dir, "pages"))
+
+
 def quality_labels(labels: DataFrame) -> DataFrame:
     """The rows that may be learned from: doc_id, label."""
     return labels.where(crc_remainder(F.col("doc_id"), 4) != 2).select("doc_id", F.col("quality").alias("label"))
@@ -55,8 +63,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neardup, op3_bpe, op4_pii, op5_fingerprint, op7_quality, op9_media, op10_packing, pipeline)}
+    return {f.__name__: f for f in (op1_neardup, op2_html, op3_bpe, op4_pii, op5_fingerprint, op6_urls, op7_quality, op9_media, op10_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_urls": urls.oracle()}
