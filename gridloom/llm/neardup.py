@@ -198,7 +198,7 @@ def components(links: DataFrame) -> DataFrame:
         if found is None:
             found = hooks
         else:
-            step = hooks.withColumnsRenamed({"node": "root", "root": "next"})
+            step = hooks.select(F.col("node").alias("root"), F.col("root").alias("next"))
             moved = found.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
             fresh = hooks.join(found.select("node"), "node", "left_anti")
             found = materialise(moved.union(fresh), "roots")
