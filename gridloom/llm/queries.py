@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, fingerprint, html, media, neardup, packing, pii, quality, urls
+from gridloom.llm import bpe, fingerprint, html, lm, media, neardup, packing, pii, quality, urls
 from gridloom.llm.common import crc_remainder, read_table
 
 
@@ -48,6 +48,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", quality.predicted(F.col("score")).alias("predicted"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_remainder(F.col("doc_id"), 5) == 1, F.lit(False))
+    return lm.scores(docs, docs.where(~held_out), tokenizer_path("byte_bpe_50k.tiktoken")).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(read_table(spark, sf_dir, "documents"))
 
@@ -63,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neardup, op2_html, op3_bpe, op4_pii, op5_fingerprint, op6_urls, op7_quality, op9_media, op10_packing, pipeline)}
+    return {f.__name__: f for f in (op1_neardup, op2_html, op3_bpe, op4_pii, op5_fingerprint, op6_urls, op7_quality, op8_lm, op9_media, op10_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
