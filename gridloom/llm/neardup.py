@@ -246,7 +246,7 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
 
     label = reps.select("digest", "rank", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     label = materialise(label.select("digest", "rank", "component"), "labels")
-    best = label.groupBy("component").agg(F.min("rank").alias("best"))
+    best = materialise(label.groupBy("component").agg(F.min("rank").alias("best")), "best")  # as a table: then Spark can split a large component in the join
     by_set = materialise(label.join(best, "component").select("digest", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("first_row")), "by_set")
     rows = features.drop("keys")
     grouped = rows.where("digest is not null").join(by_set, "digest").select("row", "doc_id", "n_shingles", "component_id", F.expr("row = first_row").alias("first"))
@@ -266,7 +266,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. A bucket's smallest member stands in many pairs: its set is dealt to as many salts as they need."""
     per_salt = 64
-    need = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / per_salt).alias("salts"))
+    need = materialise(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / per_salt).alias("salts")), "salts")
     salted = pairs.join(need, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts")).drop("salts")
     left = sets.withColumnsRenamed({"rep": "a", "members": "members_a"}).join(need, "a").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
     both = salted.join(left, ["a", "salt"]).join(sets.withColumnsRenamed({"rep": "b", "members": "members_b"}), "b").select("a", "b", "members_a", "members_b")
