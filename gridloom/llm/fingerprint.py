@@ -52,36 +52,38 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     return materialise(bits, "lexicon")
 
 
-def fingerprint(text: Column, bits: Column) -> Column:
-    """The fingerprint of a text; bits: the lexicon as a scalar."""
-    words = terms(text)
+def known(words: Column, bits: Column) -> Column:
+    """The words whose slots are in the lexicon; bits: the lexicon as a column."""
 
-    def known(w: Column) -> Column:
+    def inside(w: Column) -> Column:
         at = slot(w)
-        word = F.get(bits, F.shiftright(at, 6).cast("int"))
-        return F.call_function("getbit", word, at.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+        return F.call_function("getbit", F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
 
-    hits = F.filter(words, known)
+    return F.filter(words, inside)
+
+
+def entries(text: Column, words: Column, hits: Column) -> Column:
+    """The entries of a text's fingerprint, with its terms and those of them in the lexicon."""
     used = F.when(F.size(hits) > 0, hits).when(F.size(words) > 0, words).otherwise(F.array(F.coalesce(text, F.lit(""))))
     # "ss" and the word, sorted: a subset's words follow each other.
     dealt = F.array_sort(F.transform(used, lambda w: F.concat(F.lpad(F.hex(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(LEXICONS))), 2, "0"), w)))
     start = F.struct(F.lit("").alias("subset"), F.lit(0).cast("long").alias("hash"), F.lit("").alias("done"))
-    closed = lambda acc: F.when(acc["subset"] == "", F.lit("")).otherwise(F.concat(acc["done"], acc["subset"], F.lower(F.substring(F.lpad(F.hex(acc["hash"]), 16, "0"), 1, ENTRY - 2))))
+    closed = lambda acc: F.when(acc["subset"] == "", F.lit("")).otherwise(F.concat(acc["done"], acc["subset"], F.lower(F.substring(F.lpad(F.hex(acc["hash"]), 16, "0"), 1, ENTRY - 2)), F.lit(" ")))
 
     def step(acc: Column, w: Column) -> Column:
         subset, same = F.substring(w, 1, 2), F.substring(w, 1, 2) == acc["subset"]
         return F.struct(subset.alias("subset"), F.xxhash64(F.when(same, acc["hash"]).otherwise(F.lit(0).cast("long")), w).alias("hash"), F.when(same, acc["done"]).otherwise(closed(acc)).alias("done"))
 
-    return F.aggregate(dealt, start, step, closed)
+    return F.split(F.rtrim(F.aggregate(dealt, start, step, closed)), " ")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """The share of equal entries among the subsets that either fingerprint has."""
+def subsets(found: Column) -> Column:
+    return F.transform(found, lambda e: F.substring(e, 1, 2))
 
-    def cut(c: Column, n: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.floor(F.length(c) / ENTRY).cast("int") - 1), lambda i: F.substring(c, i * ENTRY + 1, F.lit(n)))
 
-    return F.size(F.array_intersect(cut(a, ENTRY), cut(b, ENTRY))) / F.size(F.array_union(cut(a, 2), cut(b, 2)))
+def likeness(a: Column, b: Column, a_subsets: Column, b_subsets: Column) -> Column:
+    """The share of equal entries among the subsets that either fingerprint has."""
+    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a_subsets, b_subsets))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -127,13 +129,14 @@ def compared(docs: DataFrame) -> DataFrame:
     table gives none. Only doc_id and text are read.
     """
     bits = lexicon(docs).scalar()
-    # A scalar subquery may not stand in a lambda: it becomes a column first.
-    pairs = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text"))).withColumn("bits", bits)
-    prints = pairs.select(
-        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.md5("text").alias("own"), F.md5("next_text").alias("following"),
-        fingerprint(F.col("text"), F.col("bits")).alias("fingerprint"), fingerprint(F.col("edited"), F.col("bits")).alias("edited_fingerprint"),
-    )
-    prints = materialise(prints, "fingerprints")
-    by_text = prints.select(F.col("own").alias("following"), F.col("fingerprint").alias("next_fingerprint")).dropDuplicates(["following"])
-    a = F.col("fingerprint")
-    return prints.join(by_text, "following").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(a, F.col("edited_fingerprint")).alias("near_edited"), likeness(a, F.col("next_fingerprint")).alias("near_next"))
+    pairs = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    # One select after the other: what a later one uses twice is computed once. A scalar subquery may not stand in a
+    # lambda, so it becomes a column for one step.
+    split = pairs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.md5("text").alias("own"), F.md5("next_text").alias("following"), "text", "edited", terms(F.col("text")).alias("a"), terms(F.col("edited")).alias("b"))
+    met = split.withColumn("bits", bits).withColumns({f"{c}_hits": known(F.col(c), F.col("bits")) for c in "ab"}).drop("bits")
+    prints = met.select("doc_id", "n_chars", "edited_sha256", "own", "following", entries(F.col("text"), F.col("a"), F.col("a_hits")).alias("a"), entries(F.col("edited"), F.col("b"), F.col("b_hits")).alias("b"))
+    prints = materialise(prints.withColumns({"a_subsets": subsets(F.col("a")), "b_subsets": subsets(F.col("b"))}), "fingerprints")
+    by_text = prints.groupBy(F.col("own").alias("following")).agg(F.first("a").alias("c"), F.first("a_subsets").alias("c_subsets"))
+    both = prints.join(materialise(by_text, "by_text"), "following")
+    near = lambda other: likeness(F.col("a"), F.col(other), F.col("a_subsets"), F.col(f"{other}_subsets"))
+    return both.select("doc_id", "n_chars", "edited_sha256", F.array_join("a", "").alias("fingerprint"), F.array_join("b", "").alias("edited_fingerprint"), near("b").alias("near_edited"), near("c").alias("near_next"))

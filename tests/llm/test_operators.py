@@ -191,7 +191,7 @@ def test_fingerprint_by_hand(spark):
     texts = [(i, f"common rare{i} mid{i % 4} mid{i % 5}") for i in range(40)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     bits = fingerprint.lexicon(df, 0.1, 0.5).scalar()
-    out = {r.doc_id: r.f for r in df.withColumn("bits", bits).select("doc_id", fingerprint.fingerprint(F.col("text"), F.col("bits")).alias("f")).collect()}
+    out = {r.doc_id: r.f for r in df.withColumn("bits", bits).withColumn("words", fingerprint.terms(F.col("text"))).withColumn("hits", fingerprint.known(F.col("words"), F.col("bits"))).select("doc_id", F.array_join(fingerprint.entries(F.col("text"), F.col("words"), F.col("hits")), "").alias("f")).collect()}
     assert out[0] == out[20] and out[1] != out[0] and len(out[0]) in (8, 16)
 
 
