@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import materialise, threshold
+
 HOT = 131_072  # rows of the broadcast word table
 LONGEST = 64  # characters of a word in it: bounds its bytes
 CACHED = 200_000  # rarer words that a Python worker remembers
@@ -65,8 +67,8 @@ def word_table(words: DataFrame, path: str) -> DataFrame:
 
 def hot_words(docs: DataFrame, path: str, hot: int = HOT) -> dict[bytes, tuple[int, bytes, bytes]]:
     """The most frequent words with their number of ids, their ids and their decoded form; at most `hot` short words."""
-    top = distinct_words(docs).where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(hot)
-    rows = word_table(top, path).toArrow()
+    counts = materialise(distinct_words(docs).where(F.length("word") <= LONGEST), "words")
+    rows = word_table(counts.where(F.col("n") >= threshold(counts, hot)), path).toArrow()
     return {w.encode(): (len(i), " ".join(map(str, i)).encode(), d.encode()) for w, i, d in zip(*(rows.column(c).to_pylist() for c in ("word", "ids", "decoded")))}
 
 

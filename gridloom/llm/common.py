@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The word separators of every contract here: space and \t \n \v \f \r.
-SPACES = r"[\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from gridloom.sources.shared import materialise, read_table
 
+__all__ = ["BROADCAST_KEYS", "LOWER", "UPPER", "ascii_words", "crc_remainder", "materialise", "read_table", "semi_join", "threshold", "within"]
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ascii_words(text: str | None) -> list[bytes]:
@@ -23,33 +17,10 @@ def ascii_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def word_array(text: Column) -> Column:
-    """The same words as a Spark array, without empty strings; null counts as empty."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.filter(F.split(lowered, SPACES), lambda w: w != "")
-
-
 def crc_remainder(key: Column, by: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % by
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests on one machine) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df once into the shared folder and read it back: cuts the lineage, survives a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def within(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows
@@ -65,5 +36,14 @@ def semi_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(side, on, "left_semi")
 
 
-def hash64(data: bytes, seed: int = 0) -> int:
-    return xxhash.xxh3_64_intdigest(data, seed)
+def threshold(counts: DataFrame, most: int) -> int:
+    """The least t for which at most `most` rows have n >= t, among counts to three digits. A histogram of a few thousand rows tells it, so that no task and no driver has to put the most frequent rows of all partitions in order."""
+    unit = F.pow(F.lit(10.0), F.greatest(F.floor(F.log10(F.col("n").cast("double"))) - 2, F.lit(0)))
+    histogram = counts.where("n >= 1").groupBy((F.floor(F.col("n") / unit) * unit).cast("long").alias("edge")).count().collect()
+    total, found = 0, max((r["edge"] for r in histogram), default=0) + 1
+    for row in sorted(histogram, key=lambda r: -r["edge"]):
+        total += row["count"]
+        if total > most:
+            break
+        found = row["edge"]
+    return found
