@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise
+from gridloom.llm.common import materialise, semi_join
 
 LOW, HIGH = 0.0005, 0.05  # the band: shares of documents that have a word
 LEAST = 2  # documents that have it at least
@@ -89,20 +89,19 @@ def likeness(a: Column, b: Column, a_subsets: Column, b_subsets: Column) -> Colu
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, next_id, next_text: of each document the next one in descending doc_id; after the last comes the first.
 
-    Neighbours meet in buckets of BUCKET ids, in one shuffle; only each bucket's last document looks for its
-    neighbour in another bucket. Null ids come last. Among rows of one doc_id the smaller text comes first.
+    Neighbours meet in buckets of BUCKET ids, in one shuffle of the texts. The first document of each bucket also
+    goes, as a guest, to the end of the bucket before it: the neighbour of that one's last document. Null ids come
+    last. Among rows of one doc_id the smaller text comes first.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("bucket", F.coalesce(F.floor(F.col("doc_id") / BUCKET), F.lit(-(2**62))))
-    order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), "text")
-    near = rows.withColumns({"next_id": F.lead("doc_id").over(order), "next_text": F.lead("text").over(order), "place": F.row_number().over(order), "more": F.lead(F.lit(1)).over(order)})
-    heads = near.where("place = 1").select(F.col("bucket").alias("next_bucket"), F.col("doc_id").alias("head_id"), F.col("text").alias("head_text"))
-    # The next bucket below that has documents: of buckets only, hundreds of times fewer than documents, dealt by coarse ranges.
-    buckets = materialise(docs.select(F.coalesce(F.floor(F.col("doc_id") / BUCKET), F.lit(-(2**62))).alias("bucket")).distinct(), "buckets")
-    follow = _next_bucket(buckets)
-    inner = near.where("more = 1").select("doc_id", "text", "next_id", "next_text")
-    outer = near.where("more is null").join(follow, "bucket").join(heads, "next_bucket").select("doc_id", "text", F.col("head_id").alias("next_id"), F.col("head_text").alias("next_text"))
-    return inner.union(outer)
+    tops = materialise(rows.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")), "buckets")
+    first = semi_join(rows, tops.select("doc_id").where("doc_id is not null"), "doc_id").union(rows.where("doc_id is null"))
+    heads = first.groupBy(F.col("bucket").alias("next_bucket")).agg(F.max("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    guests = heads.join(_next_bucket(tops.select("bucket")), "next_bucket").select("doc_id", "text", "bucket", F.lit(1).alias("guest"))
+    order = Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("doc_id"), "text")
+    near = rows.withColumn("guest", F.lit(0)).union(guests).withColumns({"next_id": F.lead("doc_id").over(order), "next_text": F.lead("text").over(order)})
+    return near.where("guest = 0").select("doc_id", "text", "next_id", "next_text")
 
 
 def _next_bucket(buckets: DataFrame) -> DataFrame:
