@@ -131,11 +131,11 @@ def compared(docs: DataFrame) -> DataFrame:
     pairs = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     # One select after the other: what a later one uses twice is computed once. A scalar subquery may not stand in a
     # lambda, so it becomes a column for one step.
-    split = pairs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.md5("text").alias("own"), F.md5("next_text").alias("following"), "text", "edited", terms(F.col("text")).alias("a"), terms(F.col("edited")).alias("b"))
-    met = split.withColumn("bits", bits).withColumns({f"{c}_hits": known(F.col(c), F.col("bits")) for c in "ab"}).drop("bits")
-    prints = met.select("doc_id", "n_chars", "edited_sha256", "own", "following", entries(F.col("text"), F.col("a"), F.col("a_hits")).alias("a"), entries(F.col("edited"), F.col("b"), F.col("b_hits")).alias("b"))
-    prints = materialise(prints.withColumns({"a_subsets": subsets(F.col("a")), "b_subsets": subsets(F.col("b"))}), "fingerprints")
-    by_text = prints.groupBy(F.col("own").alias("following")).agg(F.first("a").alias("c"), F.first("a_subsets").alias("c_subsets"))
-    both = prints.join(materialise(by_text, "by_text"), "following")
+    texts = {"a": "text", "b": "edited", "c": "next_text"}
+    split = pairs.withColumns({k: terms(F.col(t)) for k, t in texts.items()})
+    met = split.withColumn("bits", bits).withColumns({f"{k}_hits": known(F.col(k), F.col("bits")) for k in texts}).drop("bits")
+    # The next document's fingerprint is made again from its text, which is here: cheaper than to move all fingerprints.
+    prints = met.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *(entries(F.col(t), F.col(k), F.col(f"{k}_hits")).alias(k) for k, t in texts.items()))
+    wide = prints.withColumns({f"{k}_subsets": subsets(F.col(k)) for k in texts})
     near = lambda other: likeness(F.col("a"), F.col(other), F.col("a_subsets"), F.col(f"{other}_subsets"))
-    return both.select("doc_id", "n_chars", "edited_sha256", F.array_join("a", "").alias("fingerprint"), F.array_join("b", "").alias("edited_fingerprint"), near("b").alias("near_edited"), near("c").alias("near_next"))
+    return wide.select("doc_id", "n_chars", "edited_sha256", F.array_join("a", "").alias("fingerprint"), F.array_join("b", "").alias("edited_fingerprint"), near("b").alias("near_edited"), near("c").alias("near_next"))
