@@ -8,7 +8,7 @@ The model predicts the next unit in two steps: its class, by one block of masked
 of the units before it (added to a bigram of classes), then the unit in its class, by the counts. After a piece of
 a spelled word it is mixed with the counts of pairs of pieces, which know how words are spelled. The most
 frequent units are classes of their own; the others are grouped by the company that they keep (k-means). Starting
-values come from a bounded sample on the driver; then every partition goes on training with windows from all of
+values come from a bounded sample on the driver; then every partition goes on training with windows that cover all of
 its training texts, and the partitions' parameters are averaged, weighted by what they saw.
 
 Scoring cuts a text into windows of WINDOW units that overlap by OVERLAP: each unit is scored once, by the window
@@ -28,7 +28,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +39,12 @@ OFTEN = 2  # occurrences of such a word, at least
 DISCOUNT = 0.75  # taken off each of their counts, for words that are not known yet: spelled, they show how those look
 CLASSES = 128
 SINGLE = 64  # classes of one unit
-WINDOW, OVERLAP = 32, 4
+WINDOW, OVERLAP = 32, 8
 WIDTH, HIDDEN = 16, 32
 SAMPLE = 2_000  # training texts that the classes and starting values come from, about
 SAMPLED = 100_000  # characters of a text in the sample, at most: bounds the driver's memory
 WARM = 12_000  # of their windows, those that the starting values are trained on, at most
-STRIDE = 1024  # words of a training text for which one window is trained on
+HELD = 8192  # windows that a task gathers before it trains on them
 CACHED = 200_000  # spelled words that a Python worker remembers
 COUNTED = 400_000  # distinct words that a task counts before it passes them on
 AT_ONCE = 512  # windows in a batch
@@ -164,8 +163,9 @@ class Model:
         dh0 = dh1 + times(dqkv, v["qkv"].T)
         g["place"] = np.zeros_like(v["place"])
         g["place"][:t] = dh0.sum(axis=0)
-        g["embed"] = np.zeros_like(v["embed"])
-        np.add.at(g["embed"], x.ravel(), two(dh0))
+        which = np.zeros((n * t, CLASSES), dh0.dtype)
+        which[np.arange(n * t), x.ravel()] = 1
+        g["embed"] = which.T @ two(dh0)
         return loss, g
 
     def train(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray, epochs: int, rate: float, seed: int = 3) -> Model:
@@ -369,17 +369,12 @@ def _spelled(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(key // size - 1, pa.int64()), pa.array(key % size, pa.int64()), pa.array(total, pa.float64())], ["before", "id", "n"])
 
 
-def _training_windows(texts: list[str | None], scorer: Scorer, memory: dict[bytes, tuple[int, ...]]) -> list[list[int]]:
-    """Of every STRIDE words one window of units, at a place that follows from the text."""
-    out = []
+def _training_windows(texts: list[str | None], scorer: Scorer, memory: dict[bytes, tuple[int, ...]]) -> Iterator[list[int]]:
+    """Windows of units, one after the other: each unit of a text, END included, is predicted in one of them."""
     for text in texts:
-        words = ascii_words(text)
-        for lo in range(0, max(len(words), 1), STRIDE):
-            part = words[lo : lo + STRIDE]
-            at = xxhash.xxh3_64_intdigest(b" ".join(part[:8])) % max(1, len(part) - WINDOW)
-            units = scorer.units(part[at : at + WINDOW], memory)[0]
-            out.append(([scorer.end] + units if not lo + at else units)[: WINDOW + 1])
-    return out
+        units = [scorer.end, *scorer.units(ascii_words(text), memory)[0]]
+        for lo in range(0, len(units) - 1, WINDOW):
+            yield units[lo : lo + WINDOW + 1]
 
 
 def _as_windows(units: list[list[int]], scorer: Scorer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -403,9 +398,10 @@ def _trained(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
         held.clear()
 
     for batch in batches:
-        held += [w for w in _training_windows(batch.column(0).to_pylist(), scorer, memory) if len(w) > 1]
-        if len(held) >= 8192:
-            learn()
+        for window in _training_windows(batch.column(0).to_pylist(), scorer, memory):
+            held.append(window)
+            if len(held) >= HELD:
+                learn()
     if held:
         learn()
     if seen:

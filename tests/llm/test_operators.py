@@ -284,6 +284,15 @@ def test_lm_is_causal_and_scores_each_unit_once():
     assert sorted(place[scored].tolist()) == list(range(lengths.sum())) and (scored <= here).all()
 
 
+def test_lm_trains_on_every_word():
+    words = [b"w%d" % i for i in range(5000)]
+    scorer = lm.Scorer({w: (11 + i,) for i, w in enumerate(words)}, "", 10, np.zeros(0), np.zeros(0), None, 0, 0, 0, np.zeros(0))
+    held = list(lm._training_windows([b" ".join(words).decode(), "w3 w3", None], scorer, {}))
+    predicted = [u for w in held for u in w[1:]]
+    assert predicted == [*range(11, 5011), 10, 14, 14, 10, 10] and max(map(len, held)) <= lm.WINDOW + 1
+    assert lm.OVERLAP >= 8  # units of context that the first unit scored by a later window has, at least
+
+
 def test_lm_scores(spark, docs):
     rows = queries.op8_lm(spark, SF).collect()
     held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in docs}
