@@ -2,13 +2,14 @@
 
 Units: each of the HOT most frequent words of the training texts is one id; other words are spelled with the
 pieces of a byte-level BPE (the first piece carries the space before the word); END closes a text. Unit counts
-come from the counts of all distinct training words, each spelled once.
+come from the counts of all distinct training words, each spelled once. The training texts are written once as units.
 
 The model predicts the next unit in two steps: its class, by one block of masked self-attention over the classes
 of the units before it (added to a bigram of classes), then the unit in its class, by the counts. After a piece of
 a spelled word it is mixed with the counts of pairs of pieces, which know how words are spelled. The most
-frequent units are classes of their own; the others are grouped by the company that they keep (k-means). Starting
-values come from a bounded sample on the driver; then every partition goes on training with windows that cover all of
+frequent units are classes of their own; the others are grouped by the company that they keep in all
+training texts (k-means), and the bigram counts all of them too. Starting values come from about WARM windows of all
+training texts; then every partition goes on training with windows that cover all of
 its training texts, and the partitions' parameters are averaged, weighted by what they saw.
 
 Scoring cuts a text into windows of WINDOW units that overlap by OVERLAP: each unit is scored once, by the window
@@ -23,11 +24,12 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,14 +43,14 @@ CLASSES = 128
 SINGLE = 64  # classes of one unit
 WINDOW, OVERLAP = 32, 8
 WIDTH, HIDDEN = 16, 32
-SAMPLE = 2_000  # training texts that the classes and starting values come from, about
-SAMPLED = 100_000  # characters of a text in the sample, at most: bounds the driver's memory
-WARM = 12_000  # of their windows, those that the starting values are trained on, at most
+NEAR = 4  # places before and after a unit that tell its class
+BLOCK = 1024  # units whose neighbours are sent to the driver as one row
+WARM = 12_000  # windows of all training texts that the starting values are trained on, about
 HELD = 8192  # windows that a task gathers before it trains on them
 CACHED = 200_000  # spelled words that a Python worker remembers
 COUNTED = 400_000  # distinct words that a task counts before it passes them on
 AT_ONCE = 512  # windows in a batch
-PAIRS = 400_000  # pairs of pieces inside words whose counts are kept, at most: the most frequent
+PAIRS = 400_000  # pairs of pieces inside words whose own counts are kept, at most: the most frequent; of the others the sums by either piece
 MIX = 0.7  # the weight of the pairs after a well-known piece
 TRUST = 20.0  # how often a piece must have been seen for its pairs for half of that weight
 
@@ -199,40 +201,46 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place, here, here & ((number == 0)[:, None] | (np.arange(WINDOW) >= OVERLAP))
 
 
-def cluster(before: np.ndarray, after: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A class for every unit. The SINGLE most frequent ones have their own; the others are grouped by which of those stand near them, units never seen there in the group of the rarest."""
+def singles(counts: np.ndarray) -> np.ndarray:
+    """The units that are classes of their own."""
+    return np.argsort(-counts, kind="stable")[:SINGLE]
+
+
+def cluster(near: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A class for every unit. The SINGLE most frequent ones have their own; the others are grouped by which of those stand near them (near: units x SINGLE counts), units never seen there in the group of the rarest."""
     units = len(counts)
-    order = np.argsort(-counts, kind="stable")
     out = np.full(units, CLASSES - 1, np.int64)
-    single = order[: min(SINGLE, units)]
+    single = singles(counts)
     out[single] = np.arange(len(single))
-    rank = np.full(units, -1)
-    rank[single] = np.arange(len(single))
-    seen, row = np.unique(after, return_inverse=True)
-    near = np.zeros((len(seen), SINGLE), np.float32)
-    met = rank[before] >= 0
-    np.add.at(near, (row[met], rank[before][met]), 1)
-    keep = (near.sum(axis=1) > 0) & (rank[seen] < 0)
+    total = near.sum(axis=1)
+    keep = total > 0
+    keep[single] = False
     if keep.sum() < 2:
         return out
-    share = near.sum(axis=0) / near.sum()
-    seen, v = seen[keep], near[keep]
-    v = np.log1p(v / (v.sum(axis=1, keepdims=True) * np.maximum(share, 1e-9)))
+    share = near.sum(axis=0, dtype=np.float64)
+    share = np.maximum(share / share.sum(), 1e-9).astype(np.float32)
+    seen = np.flatnonzero(keep)
+    v = near[seen]
+    v /= total[seen, None] * share
+    np.log1p(v, out=v)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     groups = CLASSES - SINGLE - 1
     rng = np.random.default_rng(5)
-    heavy = seen[np.argsort(-counts[seen], kind="stable")]
-    at = {u: i for i, u in enumerate(seen.tolist())}
-    center = v[[at[u] for u in heavy[:groups].tolist()]] + rng.standard_normal((min(groups, len(heavy)), SINGLE)).astype(np.float32) * 0.01
-    weight = np.sqrt(counts[seen] + 1)
+    heavy = np.argsort(-counts[seen], kind="stable")[:groups]
+    center = v[heavy] + rng.standard_normal((len(heavy), SINGLE)).astype(np.float32) * 0.01
+    weight = np.sqrt(counts[seen] + 1).astype(np.float32)
+    parts = range(0, len(seen), 1 << 15)
     for _ in range(8):
-        mine = (v @ center.T).argmax(axis=1)
-        for c in range(len(center)):
-            inside = mine == c
-            if inside.any():
-                center[c] = (v[inside] * weight[inside, None]).sum(axis=0)
-                center[c] /= max(float(np.linalg.norm(center[c])), 1e-9)
-    out[seen] = SINGLE + (v @ center.T).argmax(axis=1)
+        total = np.zeros_like(center)
+        for lo in parts:
+            some = v[lo : lo + (1 << 15)]
+            member = np.zeros((len(some), len(center)), np.float32)
+            member[np.arange(len(some)), (some @ center.T).argmax(axis=1)] = weight[lo : lo + (1 << 15)]
+            total += member.T @ some
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        center = np.where(size > 0, total / np.maximum(size, 1e-9), center)
+    for lo in parts:
+        out[seen[lo : lo + (1 << 15)]] = SINGLE + (v[lo : lo + (1 << 15)] @ center.T).argmax(axis=1)
     return out
 
 
@@ -253,14 +261,16 @@ class Scorer:
     terms: np.ndarray  # by unit: the baseline's log10 of END and of frequent words, 0 for pieces
     pairs: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0))  # piece * pieces + next piece of the word, and how often
     piece_totals: np.ndarray | None = None  # by piece: how often at all, and how often with a known next piece
+    rest: np.ndarray | None = None  # by piece: the count of its pairs without counts of their own, and its share of what comes second in all of those
     starts: np.ndarray | None = None  # by unit: its share of what begins a word or ends the text
 
-    def pair_up(self, before: np.ndarray, unit: np.ndarray, n: np.ndarray, units: np.ndarray, first: np.ndarray) -> None:
-        """Pairs (before, unit) of pieces with their counts n; units: all counts; first: the counts of the pieces that begin words."""
+    def pair_up(self, before: np.ndarray, unit: np.ndarray, n: np.ndarray, units: np.ndarray, first: np.ndarray, rest: np.ndarray, tail: np.ndarray) -> None:
+        """Pairs (before, unit) of pieces with their counts n; units: all counts; first: the counts of the pieces that begin words; rest and tail: the counts of all other pairs by the first and by the second piece."""
         key = before.astype(np.int64) * self.pieces + unit
         order = np.argsort(key)
         self.pairs = key[order], n[order].astype(np.float64)
-        self.piece_totals = np.stack([units[: self.pieces], np.bincount(before, n, self.pieces)[: self.pieces]])
+        self.piece_totals = np.stack([units[: self.pieces], np.bincount(before, n, self.pieces)[: self.pieces] + rest])
+        self.rest = np.stack([rest, tail / max(tail.sum(), 1e-9)])
         starts = units + 0.01
         starts[: self.pieces] = first + 0.01
         self.starts = starts / starts.sum()
@@ -271,6 +281,7 @@ class Scorer:
         at = at[self.piece_totals[0][before[at]] > 0]
         total, going = self.piece_totals[:, before[at]]
         own = np.where(flat[at] < self.pieces, _found(self.pairs, before[at] * self.pieces + flat[at]), 0.0) if len(self.pairs[0]) else np.zeros(len(at))
+        own += np.where(flat[at] < self.pieces, self.rest[0][before[at]] * self.rest[1][np.minimum(flat[at], self.pieces - 1)], 0.0)
         paired = (own + np.maximum(total - going, 0) * self.starts[flat[at]]) / np.maximum(total, going)
         trust = MIX * total / (total + TRUST)
         out = attention.copy()
@@ -369,49 +380,144 @@ def _spelled(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(key // size - 1, pa.int64()), pa.array(key % size, pa.int64()), pa.array(total, pa.float64())], ["before", "id", "n"])
 
 
-def _training_windows(texts: list[str | None], scorer: Scorer, memory: dict[bytes, tuple[int, ...]]) -> Iterator[list[int]]:
-    """Windows of units, one after the other: each unit of a text, END included, is predicted in one of them."""
-    for text in texts:
-        units = [scorer.end, *scorer.units(ascii_words(text), memory)[0]]
-        for lo in range(0, len(units) - 1, WINDOW):
-            yield units[lo : lo + WINDOW + 1]
+def _as_units(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Each text's units between two ENDs."""
+    scorer: Scorer = shared.value
+    memory: dict[bytes, tuple[int, ...]] = {}
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 128):
+            rows = [[scorer.end, *scorer.units(ascii_words(t), memory)[0]] for t in batch.column(0).slice(lo, 128).to_pylist()]
+            flat = np.fromiter(chain.from_iterable(rows), np.int32, sum(map(len, rows)))
+            ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["units"])
 
 
-def _as_windows(units: list[list[int]], scorer: Scorer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = np.full((len(units), WINDOW), scorer.classes[scorer.end])
-    y, use = x.copy(), np.zeros(x.shape, bool)
-    for i, u in enumerate(units):
-        c = scorer.classes[u]
-        x[i, : len(c) - 1], y[i, : len(c) - 1], use[i, : len(c) - 1] = c[:-1], c[1:], True
-    return x, y, use
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The units of some texts, one after the other, and how many each text has."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 128):
+            some = batch.column(0).slice(lo, 128)
+            yield some.flatten().to_numpy(), some.value_lengths().to_numpy().astype(np.int64)
+
+
+def _sparse(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    keys = np.flatnonzero(table)
+    for lo in range(0, len(keys), 1 << 16):
+        some = keys[lo : lo + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(table[some], pa.int64())], ["key", "n"])
+
+
+def _near(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """(unit * SINGLE + single, n): how often a single unit stands within NEAR places of a unit, in the same text."""
+    rank: np.ndarray = shared.value
+    table = np.zeros(len(rank) * SINGLE, np.int32)
+    for flat, lengths in _rows(batches):
+        row, at = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), np.flatnonzero(rank[flat] >= 0)
+        single = rank[flat[at]]
+        for k in (*range(-NEAR, 0), *range(1, NEAR + 1)):
+            other = at + k
+            here = (other >= 0) & (other < len(flat))
+            here[here] = row[other[here]] == row[at[here]]
+            np.add.at(table, flat[other[here]].astype(np.int64) * SINGLE + single[here], np.int32(1))
+    yield from _sparse(table)
+
+
+def _block(table: pa.Table) -> pa.Table:
+    keys = table.column("key").to_numpy()
+    near = np.zeros(BLOCK * SINGLE, np.float32)
+    near[keys % len(near)] = table.column("n").to_numpy()
+    return pa.table({"block": pa.array([int(keys[0]) // len(near)], pa.int64()), "near": pa.array([near.tobytes()], pa.binary())})
+
+
+def neighbours(texts: DataFrame, counts: np.ndarray) -> np.ndarray:
+    """units x SINGLE: how often each single unit stands near a unit, over all texts(units). Summed by Spark; the driver gets a row for BLOCK units."""
+    rank = np.full(len(counts), -1, np.int32)
+    single = singles(counts)
+    rank[single] = np.arange(len(single))
+    shared = texts.sparkSession.sparkContext.broadcast(rank)
+    summed = texts.mapInArrow(lambda b: _near(b, shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = summed.withColumn("block", F.floor(F.col("key") / (BLOCK * SINGLE))).groupBy("block").applyInArrow(_block, "block long, near binary").toArrow()
+    out = np.zeros((-(-len(counts) // BLOCK) * BLOCK, SINGLE), np.float32)
+    for batch in rows.to_batches():
+        for i, near in zip(batch.column(0).to_pylist(), batch.column(1)):
+            out[i * BLOCK : (i + 1) * BLOCK] = np.frombuffer(near.as_buffer(), np.float32).reshape(BLOCK, SINGLE)
+    return out[: len(counts)]
+
+
+def _followers(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    classes: np.ndarray = shared.value
+    table = np.zeros(CLASSES**2, np.int64)
+    for flat, lengths in _rows(batches):
+        c = classes[flat]
+        inside = np.ones(len(flat), bool)
+        inside[np.cumsum(lengths) - 1] = False
+        at = np.flatnonzero(inside)
+        table += np.bincount(c[at] * CLASSES + c[at + 1], minlength=CLASSES**2)
+    yield from _sparse(table)
+
+
+def followers(texts: DataFrame, classes: np.ndarray) -> np.ndarray:
+    """CLASSES x CLASSES: how often a class follows a class, over all texts(units)."""
+    shared = texts.sparkSession.sparkContext.broadcast(classes)
+    found = texts.mapInArrow(lambda b: _followers(b, shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CLASSES**2)
+    out[found.column("key").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(CLASSES, CLASSES)
+
+
+def _training_windows(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of WINDOW + 1 units, one after the other, and which of the units exist: each unit of a text behind the first is predicted in one of them."""
+    count = -(-(lengths - 1) // WINDOW)
+    ends = np.cumsum(lengths)
+    number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    place = (np.repeat(ends - lengths, count) + number * WINDOW)[:, None] + np.arange(WINDOW + 1)
+    here = place < np.repeat(ends, count)[:, None]
+    return flat[np.minimum(place, len(flat) - 1)], here
+
+
+def _as_windows(units: np.ndarray, here: np.ndarray, scorer: Scorer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    c = np.where(here, scorer.classes[units], scorer.classes[scorer.end])
+    return c[:, :-1], c[:, 1:], here[:, 1:]
+
+
+def _some_windows(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
+    """Each window with this probability, by a hash of its text."""
+    for flat, lengths in _rows(batches):
+        for text in np.split(flat, np.cumsum(lengths)[:-1]):
+            windows, here = _training_windows(text, np.array([len(text)]))
+            rng = np.random.default_rng(xxhash.xxh3_64_intdigest(text.tobytes()))
+            picked = np.flatnonzero(rng.random(len(windows)) < share)
+            if len(picked):
+                yield pa.RecordBatch.from_arrays([pa.array([windows[i][here[i]].tolist() for i in picked], pa.list_(pa.int32()))], ["units"])
 
 
 def _trained(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     scorer: Scorer = shared.value
-    memory: dict[bytes, tuple[int, ...]] = {}
-    model, seen, held = scorer.model, 0, []
+    model, seen, held, n = scorer.model, 0, [], 0
 
     def learn() -> None:
-        nonlocal model, seen
-        x, y, use = _as_windows(held, scorer)
-        model, seen = model.train(x, y, use, 1, 0.002), seen + int(use.sum())
+        nonlocal model, seen, n
+        x, y, use = map(np.concatenate, zip(*held))
+        for lo in range(0, len(x), HELD):
+            model, seen = model.train(x[lo : lo + HELD], y[lo : lo + HELD], use[lo : lo + HELD], 1, 0.002), seen + int(use[lo : lo + HELD].sum())
         held.clear()
-
-    for batch in batches:
-        for window in _training_windows(batch.column(0).to_pylist(), scorer, memory):
-            held.append(window)
-            if len(held) >= HELD:
-                learn()
-    if held:
+        n = 0
+
+    for flat, lengths in _rows(batches):
+        held.append(_as_windows(*_training_windows(flat, lengths), scorer))
+        n += len(held[-1][0])
+        if n >= HELD:
+            learn()
+    if n:
         learn()
     if seen:
         yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([model.flat().tolist()], pa.list_(pa.float32()))], ["seen", "flat"])
 
 
-def averaged(training: DataFrame, scorer: Scorer) -> Model:
-    """The mean of what the partitions of all training texts make of the model. Parameters are averaged by Spark, place by place; as many rows as the model has numbers come back."""
-    shared = training.sparkSession.sparkContext.broadcast(scorer)
-    parts = training.select("text").mapInArrow(lambda b: _trained(b, shared), "seen long, flat array<float>")
+def averaged(texts: DataFrame, scorer: Scorer) -> Model:
+    """The mean of what the partitions of all texts(units) make of the model. Parameters are averaged by Spark, place by place; as many rows as the model has numbers come back."""
+    shared = texts.sparkSession.sparkContext.broadcast(replace(scorer, words={}, pairs=None, piece_totals=None, starts=None))
+    parts = texts.mapInArrow(lambda b: _trained(b, shared), "seen long, flat array<float>")
     mean = parts.select("seen", F.posexplode("flat")).groupBy("pos").agg((F.sum(F.col("col").cast("double") * F.col("seen")) / F.sum("seen")).alias("v"))
     table = mean.toArrow()
     if not table.num_rows:
@@ -421,7 +527,13 @@ def averaged(training: DataFrame, scorer: Scorer) -> Model:
     return scorer.model.with_flat(flat)
 
 
-def learned(training: DataFrame, counts: DataFrame, path: str, hot: int = HOT, sample: int = SAMPLE) -> Scorer:
+def _by_piece(counts: DataFrame, column: str, pieces: int) -> np.ndarray:
+    out, table = np.zeros(pieces), counts.toArrow()
+    out[table.column(column).to_numpy()] = table.column("n").to_numpy()
+    return out
+
+
+def learned(training: DataFrame, counts: DataFrame, path: str, hot: int = HOT) -> Scorer:
     """Everything that scoring needs. counts: word_counts(training), materialised."""
     _, pieces = speller(path)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -436,7 +548,9 @@ def learned(training: DataFrame, counts: DataFrame, path: str, hot: int = HOT, s
     pairs = materialise(counts.select("word", weight.alias("n")).mapInArrow(lambda b: _spelled(b, path), "before long, id long, n double").groupBy("before", "id").agg(F.sum("n").alias("n")), "pairs")
     spelled = pairs.groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     inside_words = pairs.where("before >= 0")
-    often = inside_words.where(F.col("n") >= threshold(inside_words, PAIRS)).toArrow()
+    enough = threshold(inside_words, PAIRS)
+    often, others = inside_words.where(F.col("n") >= enough).toArrow(), inside_words.where(F.col("n") < enough)
+    rest, tail = (_by_piece(others.groupBy(c).agg(F.sum("n").alias("n")), c, pieces) for c in ("before", "id"))
     units = np.zeros(pieces + 1 + len(words))
     units[spelled.column("id").to_numpy()] = spelled.column("n").to_numpy()
     units[pieces] = ends
@@ -446,29 +560,27 @@ def learned(training: DataFrame, counts: DataFrame, path: str, hot: int = HOT, s
     terms = np.zeros(len(units))
     terms[pieces:] = np.log10(np.array([ends, *numbers]) + 0.5) - math.log10(tokens + 0.5 * (distinct + 1))
     blank = Scorer(words, path, pieces, np.zeros(len(units), np.int64), np.zeros(len(units)), None, tokens, ends, distinct, terms)
-    # About `sample` texts, by a hash that tells copies apart: a filter, so that no more than those move.
-    share = min(1.0, sample / max(ends, 1))
-    few = training.where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))) & (F.length("text") <= SAMPLED)).select("text").limit(2 * sample).toArrow().column(0).to_pylist()
-    texts = [[blank.end, *blank.units(ascii_words(t), {})[0]] for t in few]
-    flat = np.array([u for t in texts for u in t], np.int64)
-    blank.classes = cluster(np.concatenate([flat[:-k] for k in (1, 2, 3, 4)] + [flat[k:] for k in (1, 2, 3, 4)]), np.concatenate([flat[k:] for k in (1, 2, 3, 4)] + [flat[:-k] for k in (1, 2, 3, 4)]), units) if len(flat) > 8 else cluster(flat[:0], flat[:0], units)
+    shared = training.sparkSession.sparkContext.broadcast(blank)
+    texts = materialise(training.select("text").mapInArrow(lambda b: _as_units(b, shared), "units array<int>"), "units")
+    shared.destroy()
+    blank.classes = cluster(neighbours(texts, units), units)
     inside = np.bincount(blank.classes, units + 0.01, CLASSES)
     blank.within = (np.log(units + 0.01) - np.log(inside[blank.classes])).astype(np.float32)
-    first = np.zeros(pieces)
-    begins = pairs.where("before < 0").select("id", "n").toArrow()
-    first[begins.column("id").to_numpy()] = begins.column("n").to_numpy()
-    blank.pair_up(*(often.column(c).to_numpy() for c in ("before", "id", "n")), units, first)
-    seen = blank.classes[flat]
+    first = _by_piece(pairs.where("before < 0").select("id", "n"), "id", pieces)
+    blank.pair_up(*(often.column(c).to_numpy() for c in ("before", "id", "n")), units, first, rest, tail)
     prior = np.maximum(np.bincount(blank.classes, units + 0.5, CLASSES), 0.5)
     prior /= prior.sum()
-    met = np.bincount(seen[:-1] * CLASSES + seen[1:], minlength=CLASSES**2).reshape(CLASSES, CLASSES) if len(seen) > 1 else np.zeros((CLASSES, CLASSES))
+    met = followers(texts, blank.classes)
     bigram = (met + 20 * prior) / (met.sum(axis=1, keepdims=True) + 20)
     blank.model = Model.fresh(np.log(bigram))
-    if texts:
-        held = [t[i : i + WINDOW + 1] for t in texts for i in range(0, len(t) - 1, WINDOW)]
-        held = [held[i] for i in np.random.default_rng(1).permutation(len(held))[:WARM]]
-        blank.model = blank.model.train(*_as_windows(held, blank), epochs=2, rate=0.01)
-    blank.model = averaged(training, blank)
+    total = texts.agg(F.sum(F.ceil((F.size("units") - 1) / WINDOW))).first()[0] or 0
+    few = texts.mapInArrow(lambda b: _some_windows(b, WARM / max(total, 1)), "units array<int>").toArrow().column(0).to_pylist()
+    if few:
+        few = sorted(few)
+        lengths = np.array([len(w) for w in few])
+        some = _training_windows(np.array([u for w in few for u in w], np.int32), lengths)
+        blank.model = blank.model.train(*_as_windows(*some, blank), epochs=2, rate=0.01)
+    blank.model = averaged(texts, blank)
     return blank
 
 

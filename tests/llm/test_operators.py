@@ -285,14 +285,51 @@ def test_lm_is_causal_and_scores_each_unit_once():
 
 
 def test_lm_trains_on_every_word():
-    words = [b"w%d" % i for i in range(5000)]
-    scorer = lm.Scorer({w: (11 + i,) for i, w in enumerate(words)}, "", 10, np.zeros(0), np.zeros(0), None, 0, 0, 0, np.zeros(0))
-    held = list(lm._training_windows([b" ".join(words).decode(), "w3 w3", None], scorer, {}))
-    predicted = [u for w in held for u in w[1:]]
-    assert predicted == [*range(11, 5011), 10, 14, 14, 10, 10] and max(map(len, held)) <= lm.WINDOW + 1
+    lengths = np.array([2, 33, 34, 5001, 3])
+    flat = np.arange(lengths.sum(), dtype=np.int32)
+    units, here = lm._training_windows(flat, lengths)
+    first = set((np.cumsum(lengths) - lengths).tolist())
+    assert units[:, 1:][here[:, 1:]].tolist() == [u for u in flat.tolist() if u not in first]
     assert lm.OVERLAP >= 8  # units of context that the first unit scored by a later window has, at least
 
 
+def test_lm_counts_all_training_texts(spark):
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 90, n).tolist() for n in (2, 3, 40, 700)]
+    counts = np.arange(90, 0, -1.0)  # the single units are 0 to 63
+    table = spark.createDataFrame([(t,) for t in texts], "units array<int>")
+    near, met = np.zeros((90, lm.SINGLE)), np.zeros((lm.CLASSES, lm.CLASSES))
+    for t in texts:
+        for i, u in enumerate(t):
+            for other in t[max(0, i - lm.NEAR) : i] + t[i + 1 : i + 1 + lm.NEAR]:
+                if other < lm.SINGLE:
+                    near[u, other] += 1
+            if i:
+                met[t[i - 1], u] += 1
+    assert (lm.neighbours(table, counts) == near).all() and (lm.followers(table, np.arange(90)) == met).all()
+
+
+def test_lm_learns_classes_from_long_texts(spark):
+    """Words that only a text of over 100,000 characters has are grouped by their neighbours."""
+    long = " ".join(f"often{i % 80} rare{i % 300}" for i in range(12_000))
+    training = spark.createDataFrame([(0, long), (1, "often1 often2")], "doc_id long, text string")
+    counts = lm.materialise(lm.word_counts(training), "words")
+    scorer = lm.learned(training, counts, tokenizer_path("byte_bpe_50k.tiktoken"))
+    assert len(long) > 100_000 and all(scorer.classes[scorer.words[b"rare%d" % i][0]] != lm.CLASSES - 1 for i in range(300))
+
+
+def test_lm_pairs_lose_no_mass():
+    """Pairs without counts of their own still count, and what may follow a piece adds up to one."""
+    scorer = lm.Scorer({}, "", 4, np.zeros(6, np.int64), np.zeros(6), None, 0, 0, 0, np.zeros(6))
+    units = np.array([10.0, 5, 3, 2, 4, 6])
+    scorer.pair_up(np.array([0]), np.array([1]), np.array([4.0]), units.copy(), np.ones(4), np.array([3.0, 0, 0, 0]), np.array([0, 0, 1.0, 2]))
+    attention = np.log(np.full(6, 1 / 6))
+    p = np.exp(scorer.mixed(attention, np.arange(6), np.zeros(6, np.int64)))
+    trust = lm.MIX * 10 / (10 + lm.TRUST)
+    start = np.array([1.01, 1.01, 1.01, 1.01, 4.01, 6.01])
+    assert np.allclose(p, trust * (np.array([0, 4, 1, 2, 0, 0]) + 3 * start / start.sum()) / 10 + (1 - trust) / 6) and abs(p.sum() - 1) < 1e-9
+
+
 def test_lm_scores(spark, docs):
     rows = queries.op8_lm(spark, SF).collect()
     held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in docs}
