@@ -38,9 +38,9 @@ SYLLABLES_CYRILLIC = ["бар", "вол", "гор", "дем", "зав", "ков"
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
-CLOUD_KEY = r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?:sk|ghp|gho|ghs|xoxb|xoxp)[-_][A-Za-z0-9_\-]{16,200}"
+CLOUD_KEY = r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?:sk|ghp|gho|ghs|xoxb|xoxp)[-_][A-Za-z0-9_\-]{16,}+"
 SECRET_WORD = r"(?i:password|passwd|pwd|token|secret|api[_\-]?key|access[_\-]?key)"
-SECRET = rf"\b{SECRET_WORD}\s{{0,3}}[=:]\s{{0,3}}[\"']?(?=[A-Za-z+/_\-]{{0,100}}\d)[A-Za-z0-9+/_\-]{{8,200}}[\"']?"
+SECRET = rf"\b{SECRET_WORD}\s{{0,3}}[=:]\s{{0,3}}[\"']?(?=[A-Za-z+/_.=\-]*+\d)[A-Za-z0-9+/_.=\-]{{8,}}(?<!\.)[\"']?"
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
 PHONE = r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
@@ -99,13 +99,13 @@ def _pick(items: list[str], number: Column) -> Column:
 def _like(text: Column, stream: Column, only_hex: Column) -> Column:
     """Letters for letters and digits for digits."""
 
-    def one(i: Column) -> Column:
-        ch, v = F.substring(text, i, F.lit(1)), _draw(stream, i)
+    def one(ch: Column, i: Column) -> Column:
+        v = _draw(stream, i + 1)
         span = F.when(only_hex, 6).otherwise(26)
         letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), v % span + 1, F.lit(1))
         return F.when(ch.rlike("[0-9]"), (v % 10).cast("string")).when(ch.rlike("[a-z]"), letter).when(ch.rlike("[A-Z]"), F.upper(letter)).otherwise(ch)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), one), "")
+    return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
 def surrogate(k: Column, form: Column, stream: Column) -> Column:

@@ -151,6 +151,18 @@ def test_pii(spark):
     assert re.fullmatch(r"ssn 9\d\d-\d\d-\d{4}", rows[5].text)
 
 
+def test_pii_long_secrets(spark):
+    """Nothing of a secret stays, however long it is, wherever its digits are and whatever dots it has."""
+    late, jwt, key = "Qz" * 150 + "7" + "Wv" * 200, "eyJhbGciOi9.eyJzdWIiOiIx.SflKxwRJ" + "Mx" * 150 + "==", "Zk4" * 120
+    texts = [f"token={late} end", f'token: "{jwt}" end', f"see sk-{key} end", "password=49b0203a9cc466e6ee. password=49b0203a9cc466e6ee end", "token=" + "a1." * 20_000 + "b"]
+    rows = {r.doc_id: r for r in pii.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [rows[i].n_entities for i in range(5)] == [1, 1, 1, 2, 1]
+    for i, secret in enumerate([late, jwt, key]):
+        assert len(rows[i].text) == len(texts[i]) and rows[i].text.endswith(" end") and not any(secret[k : k + 12] in rows[i].text for k in range(len(secret) - 11))
+    first, second = rows[3].text.removesuffix(" end").split(". ")
+    assert first == second != "password=49b0203a9cc466e6ee"
+
+
 def test_pii_collisions(spark):
     """Many numbers of a small space: surrogates stay distinct, and none is a number of the corpus."""
     forms = spark.range(40_000).select(F.lit("phone").alias("kind"), F.lpad(F.col("id").cast("string"), 7, "5550000").alias("form"))
