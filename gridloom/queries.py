@@ -210,7 +210,7 @@ def mat_ones(spark, sf_dir):
 
 @query(_filled("CASE WHEN i = j THEN 1 ELSE 0 END").replace("MAX(l_suppkey) + 1", "LEAST(MAX(l_suppkey) + 1, 500)").replace("MAX(l_linenumber)", "LEAST(MAX(l_suppkey) + 1, 500)"))
 def mat_eye(spark, sf_dir):
-    return api.eye(spark, min(quantities(spark, sf_dir).shape[0], 500)).cells
+    return api.eye(spark, quantities(spark, sf_dir).shape[0]).cells
 
 
 def _sql_uniform(seed: int, *parts: str) -> str:

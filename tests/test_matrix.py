@@ -87,6 +87,15 @@ def test_constructors(spark):
     assert api.zeros(spark, (0, 3)).to_numpy().shape == (0, 3)
 
 
+def test_eye_query_has_the_size_of_the_table(spark):
+    from gridloom import queries
+
+    sf = "/root/testdata/sf0.1"
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").agg(F.max("l_suppkey") + 1).first()[0]
+    found = queries.mat_eye(spark, sf).agg(F.count(F.lit(1)), F.max("i"), F.max("j"), F.sum("v"), F.sum(F.when(F.col("i") == F.col("j"), F.col("v")).otherwise(0))).first()
+    assert n > 500 and tuple(found) == (n * n, n - 1, n - 1, n, n)
+
+
 def test_tiles_and_reductions(spark):
     x, a = made(spark, 20, 9)
     np.testing.assert_allclose(a.tile(15, 4, 10, 10).to_numpy(), x[15:, 4:])
