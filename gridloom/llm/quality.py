@@ -41,7 +41,7 @@ _CAPITAL[0x80:0x9F] = True  # after 0xC3: capital letters of Latin-1
 
 
 def features(text: str | None) -> np.ndarray:
-    """The distinct places of a text's indicators, sorted. The empty text has its own, place 0."""
+    """The distinct places of a text's indicators, sorted; never none. The empty text has its own, place 0; a text of one or two bytes has one for each byte and one for both."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     if not len(raw):
         return np.zeros(1, np.int64)
@@ -51,7 +51,10 @@ def features(text: str | None) -> np.ndarray:
         kinds[1:][(raw[:-1] == 0xC3) & _CAPITAL[raw[1:]]] = ord("A")
     one = raw.astype(np.uint32)
     two = one[:-1] << 8 | one[1:]
-    if len(raw) >= 3:
+    if len(raw) < 3:
+        seen[((one + 1 << 24) * _K32) >> _SHIFT] = True
+        seen[((two | 1 << 31) * _K32) >> _SHIFT] = True
+    else:
         seen[((two[:-1] << 8 | one[2:]) * _K32) >> _SHIFT] = True
     if len(raw) >= 5:
         kind = kinds.astype(np.uint32)
@@ -156,7 +159,12 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on the rows of labels(doc_id, label): at most `sample` of each class, those with the smallest hashes of doc_id."""
+    """Fit on the rows of labels(doc_id, label): at most `sample` of each class, those with the smallest hashes of doc_id.
+
+    Labels with a null or unknown doc_id, and labels that are neither 0 nor 1, are left out. Repeated labels or documents
+    count as often as they stand there; one doc_id with both labels counts for both. A null text is the empty text. Where
+    one class or both tables are empty, every text gets the class that there is, or 1.
+    """
     known = labels.where("doc_id is not null and label in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
     some = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     picked = F.broadcast(some[0].union(some[1]))  # two times the bound of the sample
@@ -185,7 +193,10 @@ def predicted(score: Column) -> Column:
 
 
 def kept(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without those that the model rejects; columns as they were."""
+    """docs without those that the model rejects; columns as they were, whatever their names.
+
+    A null or empty text is judged as the empty text is; repeated rows are judged alike; an empty table gives none.
+    """
     columns = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"gridloom_{i}" for i in range(len(columns))]
