@@ -1,22 +1,24 @@
 """Language-model scoring: a causal self-attention model in numpy on subword ids.
 
-Units: each of the HOT most frequent words of the training texts is one id; other words are spelled with the
-pieces of a byte-level BPE (the first piece carries the space before the word); END closes a text. Unit counts
-come from the counts of all distinct training words, each spelled once. The training texts are written once as units.
-
-The model predicts the next unit in two steps: its class, by one block of masked self-attention over the classes
-of the units before it (added to a bigram of classes), then the unit in its class, by the counts. After a piece of
-a spelled word it is mixed with the counts of pairs of pieces, which know how words are spelled. The most
-frequent units are classes of their own; the others are grouped by the company that they keep in all
-training texts (k-means), and the bigram counts all of them too. Starting values come from about WARM windows of all
-training texts; then every partition goes on training with windows that cover all of
-its training texts, and the partitions' parameters are averaged, weighted by what they saw.
-
-Scoring cuts a text into windows of WINDOW units that overlap by OVERLAP: each unit is scored once, by the window
+Texts are lower-cased, split into words and spelled with the pieces of a byte-level BPE (the first piece of a word
+carries the space before it); END closes a text. The model sees nothing but these ids. A unit is one of the UNITS
+most frequent pieces of the training texts; all other pieces share the unit TAIL and are told apart by their counts.
+
+An input place holds the embeddings of the unit there, of the one before it and of the place. One block of masked
+self-attention and a small feed-forward layer follow. The output is a softmax in two steps, both trained: the
+class of the next unit, then the unit among those of its class. The SINGLE most frequent units are classes of their
+own; the others are grouped by frequency and by the pieces before them inside words, so that groups of frequent units
+are small. The counts only lay out the classes and start the biases.
+
+Starting values come from about WARM windows drawn from all training texts by a hash (a bound for the driver); then
+every partition trains on windows that cover every unit of all its training texts, and the partitions' parameters
+are averaged, weighted by what they saw.
+
+Scoring cuts a text into windows of WINDOW places that overlap by OVERLAP: each unit is scored once, by the window
 that gives it the longer context, many windows at a time.
 
-The baseline adds up smoothed counts of words. Frequent words are looked up in the broadcast table (HOT rows at
-most); the others are joined with the table of all counts, one row for each text and occurrence.
+The baseline adds up smoothed counts of words. Frequent words are looked up in a broadcast table (HOT rows at most);
+the others are joined with the table of all counts, one row for each text and occurrence.
 """
 
 from __future__ import annotations
@@ -24,35 +26,32 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
-from itertools import chain
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import ascii_words, materialise, threshold
 
-HOT = 262_144  # frequent words with an id of their own, at most
+HOT = 131_072  # frequent words whose counts are broadcast, at most
 LONGEST = 64  # bytes of such a word, at most
-OFTEN = 2  # occurrences of such a word, at least
-DISCOUNT = 0.75  # taken off each of their counts, for words that are not known yet: spelled, they show how those look
-CLASSES = 128
+UNITS = 4096  # pieces with parameters of their own
 SINGLE = 64  # classes of one unit
+BANDS = ((256, 8), (1024, 12), (UNITS - SINGLE - 1280, 11))  # units by falling frequency, and how many classes they are dealt to
+CLASSES = SINGLE + sum(groups for _, groups in BANDS) + 1  # the last one is TAIL's
 WINDOW, OVERLAP = 32, 8
-WIDTH, HIDDEN = 16, 32
-NEAR = 4  # places before and after a unit that tell its class
-BLOCK = 1024  # units whose neighbours are sent to the driver as one row
-WARM = 12_000  # windows of all training texts that the starting values are trained on, about
+WIDTH, KEY, HIDDEN = 16, 8, 32
+WARM = 24_000  # windows that the starting values are trained on, about
+WARM_STEPS = 600  # batches for the starting values, at least: small samples are gone through again
+WARM_BATCH, BATCH = 128, 512  # windows of a training step, for the starting values and after
+AT_ONCE = 64  # windows whose hidden states are computed together: what fits a core's cache
+BLOCK = 4096  # windows whose outputs are computed together
 HELD = 8192  # windows that a task gathers before it trains on them
 CACHED = 200_000  # spelled words that a Python worker remembers
 COUNTED = 400_000  # distinct words that a task counts before it passes them on
-AT_ONCE = 512  # windows in a batch
-PAIRS = 400_000  # pairs of pieces inside words whose own counts are kept, at most: the most frequent; of the others the sums by either piece
-MIX = 0.7  # the weight of the pairs after a well-known piece
-TRUST = 20.0  # how often a piece must have been seen for its pairs for half of that weight
 
 #: The largest attention score: the mask of what comes later.
 _LIMIT = np.where(np.tri(WINDOW, dtype=bool), np.float32(60), np.float32(-1e9))
@@ -61,7 +60,7 @@ _encoders: dict[str, object] = {}
 
 
 def speller(path: str):
-    """word -> ids of its pieces, by a file of ranks."""
+    """word -> ids of its pieces, by a file of ranks; and how many pieces there are."""
     if path not in _encoders:
         import base64
 
@@ -75,24 +74,108 @@ def speller(path: str):
     return (lambda word: encoding.encode_ordinary(" " + word.decode("utf-8", "replace"))), size
 
 
+# ---- Units and classes
+
+
+@dataclass
+class Vocabulary:
+    """The units in the order of their classes, so that a class is a slice of them; the last unit is TAIL."""
+
+    unit: np.ndarray  # by piece, END last
+    edges: np.ndarray  # the classes' first units, and the number of units
+    start: np.ndarray  # by unit: the natural log of its smoothed share in its class
+    share: np.ndarray  # by class: the natural log of its smoothed share
+    tail: np.ndarray  # by piece: the natural log of its smoothed share of TAIL, 0 for units of their own
+
+    @property
+    def end(self) -> int:
+        return int(self.unit[-1])
+
+    @property
+    def classes(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges))
+
+
+def _halved(at: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Units in an order in which similar ones stand together: split at the median of the first principal axis, again and again."""
+    if len(at) <= 8:
+        return at
+    v = near[at] - near[at].mean(axis=0)
+    axis = np.linalg.eigh(v.T @ v)[1][:, -1]
+    order = at[np.argsort(v @ axis, kind="stable")]
+    half = len(order) // 2
+    return np.concatenate([_halved(order[:half], near), _halved(order[half:], near)])
+
+
+def ranked(counts: np.ndarray) -> np.ndarray:
+    """The UNITS - 1 most frequent pieces, the most frequent first; of equal counts the smaller id."""
+    return np.argsort(-counts, kind="stable")[: UNITS - 1]
+
+
+def vocabulary(counts: np.ndarray, near: np.ndarray) -> Vocabulary:
+    """counts: by piece, END last; near: for the pieces of ranked(counts), how often each stands behind certain others."""
+    order = ranked(counts)
+    v = np.log1p(near / np.maximum(near.sum(axis=1, keepdims=True), 1) / np.maximum(near.sum(axis=0) / max(near.sum(), 1), 1e-3))
+    groups, at = [np.array([i]) for i in range(SINGLE)], SINGLE
+    for size, n in BANDS:
+        band = np.arange(at, min(at + size, len(order)))
+        groups += np.array_split(_halved(band, v), n)
+        at += size
+    places = np.concatenate(groups)
+    unit = np.full(len(counts), UNITS - 1)
+    unit[order[places]] = np.arange(len(places))
+    edges = np.cumsum([0, *map(len, groups), 1])
+    smoothed = np.bincount(unit, counts, UNITS) + 0.5
+    inside = np.add.reduceat(smoothed, edges[:-1])
+    tail = np.where(unit == UNITS - 1, counts + 0.5, 1.0)
+    tail = np.where(unit == UNITS - 1, np.log(tail) - math.log(max(tail[unit == UNITS - 1].sum(), 0.5)), 0.0)
+    return Vocabulary(unit.astype(np.uint16), edges, np.log(smoothed / np.repeat(inside, np.diff(edges))), np.log(inside / inside.sum()), tail)
+
+
 # ---- The model
 
 
+def _softmax(h: np.ndarray, weight: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows of h: exp(logits), their sums, and the natural logs of the targets' shares. Shifted only where it would overflow."""
+    logits, rows = h @ weight, np.arange(len(h))
+    own, ones = logits[rows, target], np.ones(logits.shape[1], logits.dtype)
+    with np.errstate(over="ignore"):
+        p = np.exp(logits, out=logits)
+        total = p @ ones
+    if not (np.isfinite(total).all() and total.all()):
+        logits = h @ weight
+        logits -= logits.max(axis=1, keepdims=True)
+        own = logits[rows, target]
+        p = np.exp(logits, out=logits)
+        total = p @ ones
+    return p, total, own - np.log(total)
+
+
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    out = np.ones((len(h), WIDTH + 1), h.dtype)
+    out[:, :WIDTH] = h
+    return out
+
+
 @dataclass
 class Model:
-    """values: the trained arrays by name; bigram: log odds of classes by the class before."""
+    """values: the trained arrays by name; the last rows of "class" and "unit" are biases."""
 
     values: dict[str, np.ndarray]
-    bigram: np.ndarray
+    edges: np.ndarray
 
-    SHAPES = {"embed": (CLASSES, WIDTH), "place": (WINDOW, WIDTH), "qkv": (WIDTH, 3 * WIDTH), "mix": (WIDTH, WIDTH), "up": (WIDTH, HIDDEN), "up_bias": (HIDDEN,), "down": (HIDDEN, WIDTH), "out": (WIDTH, CLASSES), "out_bias": (CLASSES,)}
+    SHAPES = {
+        "now": (UNITS, WIDTH), "before": (UNITS, WIDTH), "place": (WINDOW, WIDTH), "query": (WIDTH, KEY), "key": (WIDTH, KEY), "value": (WIDTH, WIDTH), "up": (WIDTH, HIDDEN), "down": (HIDDEN, WIDTH),
+        "class": (WIDTH + 1, CLASSES), "unit": (WIDTH + 1, UNITS),
+    }
 
     @classmethod
-    def fresh(cls, bigram: np.ndarray, seed: int = 11) -> Model:
+    def fresh(cls, words: Vocabulary, seed: int = 11) -> Model:
         rng = np.random.default_rng(seed)
-        values = {k: (rng.standard_normal(s) * (0.02 if k == "out" else 0.3 / math.sqrt(s[0] if len(s) > 1 else 1))).astype(np.float32) if not k.endswith("bias") else np.zeros(s, np.float32) for k, s in cls.SHAPES.items()}
-        values["embed"] = (rng.standard_normal(cls.SHAPES["embed"]) * 0.5).astype(np.float32)
-        return cls(values, bigram.astype(np.float32))
+        scale = {"now": 0.3, "before": 0.1, "place": 0.0, "value": 0.1, "down": 0.1, "class": 0.02, "unit": 0.02}
+        values = {k: (rng.standard_normal(s) * scale.get(k, 1 / math.sqrt(s[0]))).astype(np.float32) for k, s in cls.SHAPES.items()}
+        values["class"][WIDTH], values["unit"][WIDTH] = words.share, words.start
+        return cls(values, words.edges)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.values[k].ravel() for k in self.SHAPES])
@@ -102,146 +185,189 @@ class Model:
         for k, s in self.SHAPES.items():
             n = math.prod(s)
             out[k], at = flat[at : at + n].reshape(s).astype(np.float32), at + n
-        return Model(out, self.bigram)
+        return Model(out, self.edges)
 
-    def hidden(self, x: np.ndarray) -> tuple:
-        """States after the block for inputs x (windows, WINDOW) of classes, and what the way back needs."""
+    def hidden(self, now: np.ndarray, before: np.ndarray) -> tuple:
+        """States after the block, (windows * WINDOW, WIDTH), for units and those before them (windows, WINDOW); and what the way back needs."""
         v = self.values
-        n, t = x.shape
-        flat = lambda z: z.reshape(n * t, -1)  # noqa: E731  one large product instead of one for each window
-        h0 = v["embed"][x] + v["place"][:t]
-        qkv = (flat(h0) @ v["qkv"]).reshape(n, t, 3 * WIDTH)
-        q, k, val = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
-        a = (q * (1 / math.sqrt(WIDTH))) @ k.transpose(0, 2, 1)
+        n, t = now.shape
+        h0 = np.take(v["now"], now.ravel(), axis=0)
+        h0 += np.take(v["before"], before.ravel(), axis=0)
+        h0.reshape(n, t, WIDTH)[:] += v["place"][:t]
+        q = (h0 @ (v["query"] * np.asarray(1 / math.sqrt(KEY), h0.dtype))).reshape(n, t, KEY)
+        k = (h0 @ v["key"]).reshape(n, t, KEY)
+        val = (h0 @ v["value"]).reshape(n, t, WIDTH)
+        a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
         np.minimum(a, _LIMIT[:t, :t].astype(a.dtype, copy=False), out=a)  # the mask, and no overflow
         np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
+        total = a @ np.ones((t, 1), a.dtype)
         o = a @ val
-        h1 = h0 + (flat(o) @ v["mix"]).reshape(h0.shape)
-        up = np.maximum(flat(h1) @ v["up"] + v["up_bias"], 0)
-        h = h1 + (up @ v["down"]).reshape(h0.shape)
-        return h, (x, h0, q, k, val, a, o, h1, up.reshape(n, t, HIDDEN))
-
-    def log_probability(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> np.ndarray:
-        """Natural logs of P(class y) at the places that are scored, in order."""
-        h = self.hidden(x)[0][scored]
-        logits = h @ self.values["out"]
-        logits += (self.bigram + self.values["out_bias"])[x[scored]]
-        np.minimum(logits, 60, out=logits)
-        own = logits[np.arange(len(logits)), y[scored]]
-        np.exp(logits, out=logits)
-        return own - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
-
-    def gradient(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        o /= total
+        h1 = h0 + o.reshape(n * t, WIDTH)
+        up = h1 @ v["up"]
+        np.maximum(up, 0, out=up)
+        h = up @ v["down"]
+        h += h1
+        return h, (h0, q, k, val, a, total, o, h1, up)
+
+    def _by_class(self, cls: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """First and last unit of each class of several units, and the places whose target lies in it."""
+        several = np.diff(self.edges) > 1
+        at = np.flatnonzero(several[cls])
+        at = at[np.argsort(cls[at].astype(np.uint8), kind="stable")]
+        cuts = np.searchsorted(cls[at], np.arange(len(self.edges)))
+        for c in np.flatnonzero(np.diff(cuts)):
+            yield int(self.edges[c]), int(self.edges[c + 1]), at[cuts[c] : cuts[c + 1]]
+
+    def log_probability(self, now: np.ndarray, before: np.ndarray, target: np.ndarray, scored: np.ndarray) -> np.ndarray:
+        """Natural logs of P(target unit) at the places that are scored, in order."""
+        v, y = self.values, target[scored]
+        cls = np.searchsorted(self.edges, y, side="right") - 1
+        states = np.ones((len(y), WIDTH + 1), v["now"].dtype)
+        out, done = np.empty(len(y), states.dtype), 0
+        for lo in range(0, len(now), AT_ONCE):
+            h = self.hidden(now[lo : lo + AT_ONCE], before[lo : lo + AT_ONCE])[0][scored[lo : lo + AT_ONCE].ravel()]
+            some = slice(done, done + len(h))
+            states[some, :WIDTH], done = h, done + len(h)
+            out[some] = _softmax(states[some], v["class"], cls[some])[2]
+        for first, last, at in self._by_class(cls):
+            out[at] += _softmax(states[at], v["unit"][:, first:last], y[at] - first)[2]
+        return out
+
+    def gradient(self, now: np.ndarray, before: np.ndarray, target: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over the scored places, and the gradient by hand."""
         v = self.values
-        h, (x, h0, q, k, val, a, o, h1, up) = self.hidden(x)
-        n, t = x.shape
-        hs, targets = h[scored], y[scored]
-        logits = hs @ v["out"] + v["out_bias"] + self.bigram[x[scored]]
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(axis=1, keepdims=True)
-        m = max(len(targets), 1)
-        loss = -float(np.log(np.maximum(p[np.arange(len(targets)), targets], 1e-30)).sum()) / m
-        p[np.arange(len(targets)), targets] -= 1
-        p /= m
-        g = {"out": hs.T @ p, "out_bias": p.sum(axis=0)}
-        dh = np.zeros_like(h)
-        dh[scored] = p @ v["out"].T
-        two = lambda z: np.ascontiguousarray(z).reshape(-1, z.shape[-1])
-        times = lambda z, m: (two(z) @ m).reshape(*z.shape[:2], m.shape[1])
-        g["down"] = two(up).T @ two(dh)
-        dup = times(dh, v["down"].T) * (up > 0)
-        g["up"], g["up_bias"] = two(h1).T @ two(dup), two(dup).sum(axis=0)
-        dh1 = dh + times(dup, v["up"].T)
-        g["mix"] = two(o).T @ two(dh1)
-        do = times(dh1, v["mix"].T)
-        da = do @ val.transpose(0, 2, 1)
-        dval = a.transpose(0, 2, 1) @ do
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) / math.sqrt(WIDTH)
-        dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, dval], axis=2)
-        g["qkv"] = two(h0).T @ two(dqkv)
-        dh0 = dh1 + times(dqkv, v["qkv"].T)
-        g["place"] = np.zeros_like(v["place"])
-        g["place"][:t] = dh0.sum(axis=0)
-        which = np.zeros((n * t, CLASSES), dh0.dtype)
-        which[np.arange(n * t), x.ravel()] = 1
-        g["embed"] = which.T @ two(dh0)
+        parts = [slice(lo, lo + AT_ONCE) for lo in range(0, len(now), AT_ONCE)]
+        kept = [self.hidden(now[s], before[s]) for s in parts]
+        hs, y = _with_ones(np.concatenate([h for h, _ in kept])), target.ravel()
+        use = scored.ravel()
+        share = np.asarray(1 / max(np.count_nonzero(use), 1), hs.dtype)
+        cls = np.searchsorted(self.edges, y, side="right") - 1
+        weights = use * share
+        g = {k: np.zeros_like(a) for k, a in v.items()}
+        dh, loss = np.empty((len(hs), WIDTH), hs.dtype), 0.0
+        for lo in range(0, len(hs), AT_ONCE * WINDOW):
+            s = slice(lo, lo + AT_ONCE * WINDOW)
+            p, total, own = _softmax(hs[s], v["class"], cls[s])
+            loss -= float(own @ weights[s])
+            p *= (weights[s] / total)[:, None]
+            p[np.arange(len(p)), cls[s]] -= weights[s]
+            g["class"] += hs[s].T @ p
+            dh[s] = p @ v["class"][:WIDTH].T
+        for first, last, at in self._by_class(np.where(use, cls, 0)):  # class 0 has one unit
+            some, weight = hs[at], v["unit"][:, first:last]
+            p, total, own = _softmax(some, weight, y[at] - first)
+            loss -= float(own.sum() * share)
+            p *= (share / total)[:, None]
+            p[np.arange(len(at)), y[at] - first] -= share
+            g["unit"][:, first:last] = some.T @ p
+            dh[at] += p @ weight[:WIDTH].T
+        t = now.shape[1]
+        for s, (_, saved) in zip(parts, kept):
+            self._back(saved, dh[s.start * t : s.stop * t], t, g)
+        g["now"], g["before"] = _summed(now.ravel(), dh), _summed(before.ravel(), dh)
         return loss, g
 
-    def train(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray, epochs: int, rate: float, seed: int = 3) -> Model:
-        """Adam over shuffled batches of windows."""
-        out = Model({k: a.copy() for k, a in self.values.items()}, self.bigram)
-        first, second, rng, step = {k: 0.0 for k in self.SHAPES}, {k: 0.0 for k in self.SHAPES}, np.random.default_rng(seed), 0
-        steps = max(1, epochs * -(-len(x) // 128))
-        for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for lo in range(0, len(x), 128):
-                some, step = order[lo : lo + 128], step + 1
-                _, g = out.gradient(x[some], y[some], scored[some])
-                now = rate * (1 - 0.9 * step / steps)
-                for k, d in g.items():
-                    first[k] = 0.9 * first[k] + 0.1 * d
-                    second[k] = 0.99 * second[k] + 0.01 * d * d
-                    out.values[k] -= (now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-        return out
+    def _back(self, saved: tuple, dh: np.ndarray, t: int, g: dict[str, np.ndarray]) -> None:
+        """Adds to g what the block's parameters get from dh, which becomes the gradient of the block's inputs."""
+        v, (h0, q, k, val, a, total, o, h1, up) = self.values, saved
+        n = len(dh) // t
+        g["down"] += up.T @ dh
+        dup = dh @ v["down"].T
+        dup *= up > 0
+        g["up"] += h1.T @ dup
+        dh += dup @ v["up"].T
+        do = dh.reshape(n, t, WIDTH)
+        a /= total
+        da = do @ np.ascontiguousarray(val.transpose(0, 2, 1))
+        da -= np.einsum("ntw,ntw->nt", do, o)[..., None]  # the sum of da * a over the keys
+        da *= a
+        dq = (da @ k).reshape(n * t, KEY) * np.asarray(1 / math.sqrt(KEY), dh.dtype)
+        dk = (np.ascontiguousarray(da.transpose(0, 2, 1)) @ q).reshape(n * t, KEY)
+        dval = (np.ascontiguousarray(a.transpose(0, 2, 1)) @ do).reshape(n * t, WIDTH)
+        g["query"] += h0.T @ dq
+        g["key"] += h0.T @ dk
+        g["value"] += h0.T @ dval
+        dh += dq @ v["query"].T
+        dh += dk @ v["key"].T
+        dh += dval @ v["value"].T
+        g["place"][:t] += dh.reshape(n, t, WIDTH).sum(axis=0)
+
+
+def _summed(units: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sum of the rows of each unit."""
+    order = np.argsort(units.astype(np.uint16), kind="stable")
+    ordered = units[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    out = np.zeros((UNITS, rows.shape[1]), rows.dtype)
+    out[ordered[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
+class Trainer:
+    """Adam; its moments go on from one call to the next."""
+
+    def __init__(self, model: Model, rate: float) -> None:
+        self.model, self.rate, self.step = Model({k: a.copy() for k, a in model.values.items()}, model.edges), rate, 0
+        self.first, self.second = ({k: np.zeros_like(a) for k, a in self.model.values.items()} for _ in range(2))
+
+    def learn(self, windows: tuple[np.ndarray, ...], rng: np.random.Generator, batch: int = BATCH, steps: int = 0) -> None:
+        """One pass over shuffled windows; with steps (all that there will be) the rate falls to a twentieth."""
+        order = rng.permutation(len(windows[0]))
+        for lo in range(0, len(order), batch):
+            some, self.step = order[lo : lo + batch], self.step + 1
+            _, g = self.model.gradient(*(w[some] for w in windows))
+            now = self.rate * (1 - 0.95 * self.step / steps if steps else 1) / (1 - 0.9**self.step)
+            for k, d in g.items():
+                first, second, value = self.first[k], self.second[k], self.model.values[k]
+                first *= 0.9
+                first += d * np.float32(0.1)
+                second *= 0.99
+                d *= d
+                second += d * np.float32(0.01)
+                np.sqrt(second * np.float32(1 / (1 - 0.99**self.step)), out=d)
+                d += np.float32(1e-8)
+                np.divide(first, d, out=d)
+                d *= np.float32(now)
+                value -= d
+
+
+# ---- Windows
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts of so many units, one after the other: each window's first place, the places that exist in it, and those that it scores."""
-    starts = np.cumsum(lengths) - lengths
-    step = WINDOW - OVERLAP
-    count = 1 + np.maximum(0, -(-(lengths - WINDOW) // step))
-    number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    first = np.repeat(starts, count) + number * step
-    end = np.repeat(starts + lengths, count)
+    first, last, follows = _cut(lengths, WINDOW - OVERLAP)
     place = first[:, None] + np.arange(WINDOW)
-    here = place < end[:, None]
-    return place, here, here & ((number == 0)[:, None] | (np.arange(WINDOW) >= OVERLAP))
+    here = place < last[:, None]
+    return place, here, here & (~follows[:, None] | (np.arange(WINDOW) >= OVERLAP))
 
 
-def singles(counts: np.ndarray) -> np.ndarray:
-    """The units that are classes of their own."""
-    return np.argsort(-counts, kind="stable")[:SINGLE]
+def _cut(lengths: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows that begin every `step` places of their text: the first place, the end of the text, whether another one comes before."""
+    count = np.where(lengths > 0, 1 + np.maximum(0, -(-(lengths - WINDOW) // step)), 0)
+    number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    ends = np.cumsum(lengths)
+    return np.repeat(ends - lengths, count) + number * step, np.repeat(ends, count), number > 0
 
 
-def cluster(near: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A class for every unit. The SINGLE most frequent ones have their own; the others are grouped by which of those stand near them (near: units x SINGLE counts), units never seen there in the group of the rarest."""
-    units = len(counts)
-    out = np.full(units, CLASSES - 1, np.int64)
-    single = singles(counts)
-    out[single] = np.arange(len(single))
-    total = near.sum(axis=1)
-    keep = total > 0
-    keep[single] = False
-    if keep.sum() < 2:
-        return out
-    share = near.sum(axis=0, dtype=np.float64)
-    share = np.maximum(share / share.sum(), 1e-9).astype(np.float32)
-    seen = np.flatnonzero(keep)
-    v = near[seen]
-    v /= total[seen, None] * share
-    np.log1p(v, out=v)
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    groups = CLASSES - SINGLE - 1
-    rng = np.random.default_rng(5)
-    heavy = np.argsort(-counts[seen], kind="stable")[:groups]
-    center = v[heavy] + rng.standard_normal((len(heavy), SINGLE)).astype(np.float32) * 0.01
-    weight = np.sqrt(counts[seen] + 1).astype(np.float32)
-    parts = range(0, len(seen), 1 << 15)
-    for _ in range(8):
-        total = np.zeros_like(center)
-        for lo in parts:
-            some = v[lo : lo + (1 << 15)]
-            member = np.zeros((len(some), len(center)), np.float32)
-            member[np.arange(len(some)), (some @ center.T).argmax(axis=1)] = weight[lo : lo + (1 << 15)]
-            total += member.T @ some
-        size = np.linalg.norm(total, axis=1, keepdims=True)
-        center = np.where(size > 0, total / np.maximum(size, 1e-9), center)
-    for lo in parts:
-        out[seen[lo : lo + (1 << 15)]] = SINGLE + (v[lo : lo + (1 << 15)] @ center.T).argmax(axis=1)
-    return out
+def inputs(target: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """For texts of units, one after the other: the unit before each, and the one before that. END stands before a text."""
+    now, before = np.concatenate([[end], target[:-1]]), np.concatenate([[end, end], target[:-2]])[: len(target)]
+    first = (np.cumsum(lengths) - lengths)[lengths > 0]
+    now[first] = before[first] = end
+    before[np.minimum(first + 1, len(target) - 1)[lengths[lengths > 0] > 1]] = end
+    return now, before
+
+
+def training_windows(target: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, ...]:
+    """now, before, target and which places count: each unit is the target of one window, one after the other."""
+    now, before = inputs(target, lengths, end)
+    first, last, _ = _cut(lengths, WINDOW)
+    place = first[:, None] + np.arange(WINDOW)
+    here = place < last[:, None]
+    place = np.minimum(place, len(target) - 1)
+    return tuple(x[place].astype(np.uint16) for x in (now, before, target)) + (here,)
 
 
 # ---- What is shared with the tasks
@@ -249,101 +375,24 @@ def cluster(near: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Scorer:
-    words: dict[bytes, tuple[int]]  # frequent word -> its id
-    path: str  # of the pieces
-    pieces: int
-    classes: np.ndarray  # by unit
-    within: np.ndarray  # natural log of a unit's share of its class, by unit
+    words: Vocabulary
     model: Model
-    tokens: int  # N
-    ends: int  # count of END
-    distinct: int  # V
-    terms: np.ndarray  # by unit: the baseline's log10 of END and of frequent words, 0 for pieces
-    pairs: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0))  # piece * pieces + next piece of the word, and how often
-    piece_totals: np.ndarray | None = None  # by piece: how often at all, and how often with a known next piece
-    rest: np.ndarray | None = None  # by piece: the count of its pairs without counts of their own, and its share of what comes second in all of those
-    starts: np.ndarray | None = None  # by unit: its share of what begins a word or ends the text
-
-    def pair_up(self, before: np.ndarray, unit: np.ndarray, n: np.ndarray, units: np.ndarray, first: np.ndarray, rest: np.ndarray, tail: np.ndarray) -> None:
-        """Pairs (before, unit) of pieces with their counts n; units: all counts; first: the counts of the pieces that begin words; rest and tail: the counts of all other pairs by the first and by the second piece."""
-        key = before.astype(np.int64) * self.pieces + unit
-        order = np.argsort(key)
-        self.pairs = key[order], n[order].astype(np.float64)
-        self.piece_totals = np.stack([units[: self.pieces], np.bincount(before, n, self.pieces)[: self.pieces] + rest])
-        self.rest = np.stack([rest, tail / max(tail.sum(), 1e-9)])
-        starts = units + 0.01
-        starts[: self.pieces] = first + 0.01
-        self.starts = starts / starts.sum()
-
-    def mixed(self, attention: np.ndarray, flat: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Natural logs: the attention's, mixed with the pairs' after each piece. Of a piece's occurrences some go on with a known piece; the others end the word, and any start may follow."""
-        at = np.flatnonzero((before >= 0) & (before < self.pieces))
-        at = at[self.piece_totals[0][before[at]] > 0]
-        total, going = self.piece_totals[:, before[at]]
-        own = np.where(flat[at] < self.pieces, _found(self.pairs, before[at] * self.pieces + flat[at]), 0.0) if len(self.pairs[0]) else np.zeros(len(at))
-        own += np.where(flat[at] < self.pieces, self.rest[0][before[at]] * self.rest[1][np.minimum(flat[at], self.pieces - 1)], 0.0)
-        paired = (own + np.maximum(total - going, 0) * self.starts[flat[at]]) / np.maximum(total, going)
-        trust = MIX * total / (total + TRUST)
-        out = attention.copy()
-        out[at] = np.log(trust * paired + (1 - trust) * np.exp(attention[at]))
-        return out
 
-    @property
-    def end(self) -> int:
-        return self.pieces
-
-    def units(self, words: list[bytes], memory: dict[bytes, tuple[int, ...]]) -> tuple[list[int], list[bytes]]:
-        """A text's units, END included, and those of its words that are spelled."""
-        found, rare = list(map(self.words.get, words)), []
-        if None in found:
-            spell = speller(self.path)[0]
-            if len(memory) > CACHED:
-                memory.clear()
-            for i, f in enumerate(found):
-                if f is None:
-                    word = words[i]
-                    ids = memory.get(word)
-                    if ids is None:
-                        ids = memory[word] = tuple(spell(word))
-                    found[i] = ids
-                    rare.append(word)
-        out = list(chain.from_iterable(found))
-        out.append(self.end)
-        return out, rare
-
-    def score(self, texts: list[list[int]]) -> np.ndarray:
-        """log10 of each text's probability under the model."""
-        lengths = np.array([len(t) for t in texts])
-        flat = np.concatenate([np.asarray(t, np.int64) for t in texts])
-        target = self.classes[flat]
-        before = np.concatenate([[self.classes[self.end]], target[:-1]])
-        before[np.cumsum(lengths) - lengths] = self.classes[self.end]
-        previous = np.concatenate([[-1], flat[:-1]])
-        previous[np.cumsum(lengths) - lengths] = -1
-        total = self.within[flat].astype(np.float64)
-        place, here, scored = windows(lengths)
-        place = np.minimum(place, len(flat) - 1)
-        for lo in range(0, len(place), AT_ONCE):
-            at, use = place[lo : lo + AT_ONCE], scored[lo : lo + AT_ONCE]
-            total[at[use]] += self.model.log_probability(before[at], target[at], use)
-        total = self.mixed(total, flat, previous)
-        return np.add.reduceat(total, np.cumsum(lengths) - lengths) / math.log(10)
-
-    def base(self, texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """For each text's units the baseline over END and the frequent words, and how many of those there are with a count."""
-        lengths = np.array([len(t) for t in texts])
-        flat = np.concatenate([np.asarray(t, np.int64) for t in texts])
-        starts = np.cumsum(lengths) - lengths
-        return np.add.reduceat(self.terms[flat], starts), np.add.reduceat((self.terms[flat] != 0) & ((flat != self.end) | (self.ends > 0)), starts)
-
-
-def _found(table: tuple[np.ndarray, np.ndarray], wanted: np.ndarray) -> np.ndarray:
-    keys, values = table
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], 0.0)
-
-
-_memory: dict[str, dict[bytes, tuple[int, ...]]] = {}
+    def score(self, pieces: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """log10 of each text's probability, for texts of pieces (END included), one after the other."""
+        target = self.words.unit[pieces]
+        now, before = inputs(target, lengths, self.words.end)
+        out = np.add.reduceat(self.words.tail[pieces], np.cumsum(lengths) - lengths)
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        first, last, follows = _cut(lengths, WINDOW - OVERLAP)
+        for lo in range(0, len(first), BLOCK):
+            place = first[lo : lo + BLOCK, None] + np.arange(WINDOW)
+            use = place < last[lo : lo + BLOCK, None]
+            use[:, :OVERLAP] &= ~follows[lo : lo + BLOCK, None]
+            np.minimum(place, len(target) - 1, out=place)
+            found = self.model.log_probability(now[place], before[place], target[place], use)
+            out += np.bincount(text[place[use]], found, len(lengths))
+        return out / math.log(10)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,143 +429,133 @@ def _spelled(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(key // size - 1, pa.int64()), pa.array(key % size, pa.int64()), pa.array(total, pa.float64())], ["before", "id", "n"])
 
 
-def _as_units(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Each text's units between two ENDs."""
-    scorer: Scorer = shared.value
-    memory: dict[bytes, tuple[int, ...]] = {}
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 128):
-            rows = [[scorer.end, *scorer.units(ascii_words(t), memory)[0]] for t in batch.column(0).slice(lo, 128).to_pylist()]
-            flat = np.fromiter(chain.from_iterable(rows), np.int32, sum(map(len, rows)))
-            ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["units"])
+def units_of(counts: DataFrame, ends: int, path: str) -> Vocabulary:
+    """The vocabulary, from the counts of all distinct training words, each spelled once."""
+    _, size = speller(path)
+    pairs = materialise(counts.mapInArrow(lambda b: _spelled(b, path), "before long, id long, n double").groupBy("before", "id").agg(F.sum("n").alias("n")), "pairs")
+    single = pairs.groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row for each piece at most
+    number = np.zeros(size + 1)
+    number[single.column("id").to_numpy()] = single.column("n").to_numpy()
+    number[size] = ends
+    order = ranked(number)
+    behind = [-1, *(int(p) for p in order[: SINGLE - 1])]
+    met = pairs.where(F.col("before").isin(behind)).toArrow()  # SINGLE rows for each piece at most
+    rank, column = np.full(size + 1, -1), np.full(size + 2, -1)
+    rank[order], column[np.array(behind) + 1] = np.arange(len(order)), np.arange(SINGLE)
+    row, col = rank[met.column("id").to_numpy()], column[met.column("before").to_numpy() + 1]
+    near = np.zeros((len(order), SINGLE))
+    np.add.at(near, (row[row >= 0], col[row >= 0]), met.column("n").to_numpy()[row >= 0])
+    return vocabulary(number, near)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The units of some texts, one after the other, and how many each text has."""
+@dataclass
+class Encoder:
+    """Spells texts and adds up the baseline over frequent words."""
+
+    path: str
+    terms: dict[bytes, float]  # frequent word -> log10 of its smoothed share
+    end: float  # the same for END
+    ends: int
+
+    def rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """doc_id, text, learn, where learn may be missing -> what ENCODED names."""
+        spell, size = speller(self.path)
+        memory = _memory.setdefault(self.path, {})
+        closing = np.array([size], np.uint16).tobytes()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                some, rows = batch.slice(lo, 256), []
+                for words in map(ascii_words, some.column(1).to_pylist()):
+                    spelled = list(map(memory.get, words))
+                    if None in spelled:
+                        if len(memory) > CACHED:
+                            memory.clear()
+                        for i, s in enumerate(spelled):
+                            if s is None:
+                                s = memory.get(words[i])
+                                spelled[i] = memory[words[i]] = s if s is not None else np.array(spell(words[i]), np.uint16).tobytes()
+                    spelled.append(closing)
+                    terms = list(map(self.terms.get, words))
+                    rare = [w for w, t in zip(words, terms) if t is None] if None in terms else []
+                    rows.append((len(words) + 1, b"".join(spelled), math.fsum(filter(None, terms)) + self.end, len(words) - len(rare) + (self.ends > 0), rare))
+                n, pieces, base, known, rare = zip(*rows) if rows else ((),) * 5
+                cols = [pa.array(n, pa.int64()), pa.array(pieces, pa.binary()), pa.array(base, pa.float64()), pa.array(known, pa.int64()), pa.array(rare, pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), *cols], ["doc_id", "learn", "n_tokens", "pieces", "base", "known", "rare"])
+
+
+ENCODED = "doc_id long, learn boolean, n_tokens long, pieces binary, base double, known long, rare array<binary>"
+_memory: dict[str, dict[bytes, bytes]] = {}
+
+
+def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First and last row of some rows, their texts' pieces one after the other, and how many each has."""
+    lo, size = 0, 0
+    for hi in range(1, len(column) + 1):
+        size += len(column[hi - 1].as_buffer())
+        if size > 400_000 or hi == len(column):
+            texts = [np.frombuffer(x.as_buffer(), np.uint16) for x in column.slice(lo, hi - lo)]
+            yield lo, hi, np.concatenate(texts), np.array([len(t) for t in texts])
+            lo, size = hi, 0
+
+
+def _some_windows(batches: Iterator[pa.RecordBatch], words: Vocabulary, share: float) -> Iterator[pa.RecordBatch]:
+    """Each training window with this probability, by a hash of its text."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 128):
-            some = batch.column(0).slice(lo, 128)
-            yield some.flatten().to_numpy(), some.value_lengths().to_numpy().astype(np.int64)
-
-
-def _sparse(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    keys = np.flatnonzero(table)
-    for lo in range(0, len(keys), 1 << 16):
-        some = keys[lo : lo + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(table[some], pa.int64())], ["key", "n"])
-
-
-def _near(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """(unit * SINGLE + single, n): how often a single unit stands within NEAR places of a unit, in the same text."""
-    rank: np.ndarray = shared.value
-    table = np.zeros(len(rank) * SINGLE, np.int32)
-    for flat, lengths in _rows(batches):
-        row, at = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), np.flatnonzero(rank[flat] >= 0)
-        single = rank[flat[at]]
-        for k in (*range(-NEAR, 0), *range(1, NEAR + 1)):
-            other = at + k
-            here = (other >= 0) & (other < len(flat))
-            here[here] = row[other[here]] == row[at[here]]
-            np.add.at(table, flat[other[here]].astype(np.int64) * SINGLE + single[here], np.int32(1))
-    yield from _sparse(table)
-
-
-def _block(table: pa.Table) -> pa.Table:
-    keys = table.column("key").to_numpy()
-    near = np.zeros(BLOCK * SINGLE, np.float32)
-    near[keys % len(near)] = table.column("n").to_numpy()
-    return pa.table({"block": pa.array([int(keys[0]) // len(near)], pa.int64()), "near": pa.array([near.tobytes()], pa.binary())})
-
-
-def neighbours(texts: DataFrame, counts: np.ndarray) -> np.ndarray:
-    """units x SINGLE: how often each single unit stands near a unit, over all texts(units). Summed by Spark; the driver gets a row for BLOCK units."""
-    rank = np.full(len(counts), -1, np.int32)
-    single = singles(counts)
-    rank[single] = np.arange(len(single))
-    shared = texts.sparkSession.sparkContext.broadcast(rank)
-    summed = texts.mapInArrow(lambda b: _near(b, shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    rows = summed.withColumn("block", F.floor(F.col("key") / (BLOCK * SINGLE))).groupBy("block").applyInArrow(_block, "block long, near binary").toArrow()
-    out = np.zeros((-(-len(counts) // BLOCK) * BLOCK, SINGLE), np.float32)
-    for batch in rows.to_batches():
-        for i, near in zip(batch.column(0).to_pylist(), batch.column(1)):
-            out[i * BLOCK : (i + 1) * BLOCK] = np.frombuffer(near.as_buffer(), np.float32).reshape(BLOCK, SINGLE)
-    return out[: len(counts)]
-
-
-def _followers(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    classes: np.ndarray = shared.value
-    table = np.zeros(CLASSES**2, np.int64)
-    for flat, lengths in _rows(batches):
-        c = classes[flat]
-        inside = np.ones(len(flat), bool)
-        inside[np.cumsum(lengths) - 1] = False
-        at = np.flatnonzero(inside)
-        table += np.bincount(c[at] * CLASSES + c[at + 1], minlength=CLASSES**2)
-    yield from _sparse(table)
-
-
-def followers(texts: DataFrame, classes: np.ndarray) -> np.ndarray:
-    """CLASSES x CLASSES: how often a class follows a class, over all texts(units)."""
-    shared = texts.sparkSession.sparkContext.broadcast(classes)
-    found = texts.mapInArrow(lambda b: _followers(b, shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CLASSES**2)
-    out[found.column("key").to_numpy()] = found.column("n").to_numpy()
-    return out.reshape(CLASSES, CLASSES)
-
-
-def _training_windows(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of WINDOW + 1 units, one after the other, and which of the units exist: each unit of a text behind the first is predicted in one of them."""
-    count = -(-(lengths - 1) // WINDOW)
-    ends = np.cumsum(lengths)
-    number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    place = (np.repeat(ends - lengths, count) + number * WINDOW)[:, None] + np.arange(WINDOW + 1)
-    here = place < np.repeat(ends, count)[:, None]
-    return flat[np.minimum(place, len(flat) - 1)], here
-
-
-def _as_windows(units: np.ndarray, here: np.ndarray, scorer: Scorer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    c = np.where(here, scorer.classes[units], scorer.classes[scorer.end])
-    return c[:, :-1], c[:, 1:], here[:, 1:]
-
-
-def _some_windows(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
-    """Each window with this probability, by a hash of its text."""
-    for flat, lengths in _rows(batches):
-        for text in np.split(flat, np.cumsum(lengths)[:-1]):
-            windows, here = _training_windows(text, np.array([len(text)]))
-            rng = np.random.default_rng(xxhash.xxh3_64_intdigest(text.tobytes()))
-            picked = np.flatnonzero(rng.random(len(windows)) < share)
-            if len(picked):
-                yield pa.RecordBatch.from_arrays([pa.array([windows[i][here[i]].tolist() for i in picked], pa.list_(pa.int32()))], ["units"])
+        for _, _, pieces, lengths in _texts(batch.column(0)):
+            parts = training_windows(words.unit[pieces], lengths, words.end)
+            rng = np.random.default_rng(xxhash.xxh3_64_intdigest(pieces.tobytes()))
+            picked = rng.random(len(parts[0])) < share
+            if picked.any():
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.stack(parts, axis=1)[picked].astype(np.uint16)], pa.binary())], ["window"])
+
+
+def started(texts: DataFrame, words: Vocabulary, seed: int = 3) -> Model:
+    """The model after training on about WARM windows of texts(pieces)."""
+    model = Model.fresh(words)
+    total = texts.agg(F.sum(F.ceil(F.length("pieces") / (2 * WINDOW)))).first()[0] or 0
+    if not total:
+        return model
+    few = sorted(texts.mapInArrow(lambda b: _some_windows(b, words, WARM / total), "window binary").toArrow().column(0).to_pylist())
+    if not few:
+        return model
+    table = np.frombuffer(b"".join(few), np.uint16).reshape(len(few), 4, WINDOW)
+    parts, rng = (table[:, 0], table[:, 1], table[:, 2], table[:, 3] > 0), np.random.default_rng(seed)
+    batches = -(-len(few) // WARM_BATCH)
+    rounds = max(1, min(20, -(-WARM_STEPS // batches)))
+    trainer = Trainer(model, 0.01)
+    for _ in range(rounds):
+        trainer.learn(parts, rng, WARM_BATCH, rounds * batches)
+    return trainer.model
 
 
 def _trained(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     scorer: Scorer = shared.value
-    model, seen, held, n = scorer.model, 0, [], 0
+    trainer, seen, held, n = Trainer(scorer.model, 0.003), 0, [], 0
+    rng = np.random.default_rng(5)
 
     def learn() -> None:
-        nonlocal model, seen, n
-        x, y, use = map(np.concatenate, zip(*held))
-        for lo in range(0, len(x), HELD):
-            model, seen = model.train(x[lo : lo + HELD], y[lo : lo + HELD], use[lo : lo + HELD], 1, 0.002), seen + int(use[lo : lo + HELD].sum())
+        nonlocal seen, n
+        parts = tuple(map(np.concatenate, zip(*held)))
+        trainer.learn(parts, rng)
+        seen += int(parts[3].sum())
         held.clear()
         n = 0
 
-    for flat, lengths in _rows(batches):
-        held.append(_as_windows(*_training_windows(flat, lengths), scorer))
-        n += len(held[-1][0])
-        if n >= HELD:
-            learn()
+    for batch in batches:
+        for _, _, pieces, lengths in _texts(batch.column(0)):
+            held.append(training_windows(scorer.words.unit[pieces], lengths, scorer.words.end))
+            n += len(held[-1][0])
+            if n >= HELD:
+                learn()
     if n:
         learn()
     if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([model.flat().tolist()], pa.list_(pa.float32()))], ["seen", "flat"])
+        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([trainer.model.flat().tolist()], pa.list_(pa.float32()))], ["seen", "flat"])
 
 
 def averaged(texts: DataFrame, scorer: Scorer) -> Model:
-    """The mean of what the partitions of all texts(units) make of the model. Parameters are averaged by Spark, place by place; as many rows as the model has numbers come back."""
-    shared = texts.sparkSession.sparkContext.broadcast(replace(scorer, words={}, pairs=None, piece_totals=None, starts=None))
+    """The mean of what the partitions of all texts(pieces) make of the model. Parameters are averaged by Spark, place by place; as many rows as the model has numbers come back."""
+    shared = texts.sparkSession.sparkContext.broadcast(scorer)
     parts = texts.mapInArrow(lambda b: _trained(b, shared), "seen long, flat array<float>")
     mean = parts.select("seen", F.posexplode("flat")).groupBy("pos").agg((F.sum(F.col("col").cast("double") * F.col("seen")) / F.sum("seen")).alias("v"))
     table = mean.toArrow()
@@ -527,89 +566,46 @@ def averaged(texts: DataFrame, scorer: Scorer) -> Model:
     return scorer.model.with_flat(flat)
 
 
-def _by_piece(counts: DataFrame, column: str, pieces: int) -> np.ndarray:
-    out, table = np.zeros(pieces), counts.toArrow()
-    out[table.column(column).to_numpy()] = table.column("n").to_numpy()
-    return out
-
-
-def learned(training: DataFrame, counts: DataFrame, path: str, hot: int = HOT) -> Scorer:
-    """Everything that scoring needs. counts: word_counts(training), materialised."""
-    _, pieces = speller(path)
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    ends = training.count()
-    least = max(OFTEN, threshold(counts, hot))
-    behind = (F.col("n") < least) | (F.length("word") > LONGEST)
-    top = counts.where(~behind).toArrow().sort_by("word")
-    names, numbers = top.column("word").to_pylist(), top.column("n").to_pylist()
-    words = {w: (pieces + 1 + i,) for i, w in enumerate(names)}
-    # All words, each spelled once: the frequent ones with the discount, the others with all their count.
-    weight = F.when(behind, F.col("n").cast("double")).otherwise(DISCOUNT)
-    pairs = materialise(counts.select("word", weight.alias("n")).mapInArrow(lambda b: _spelled(b, path), "before long, id long, n double").groupBy("before", "id").agg(F.sum("n").alias("n")), "pairs")
-    spelled = pairs.groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    inside_words = pairs.where("before >= 0")
-    enough = threshold(inside_words, PAIRS)
-    often, others = inside_words.where(F.col("n") >= enough).toArrow(), inside_words.where(F.col("n") < enough)
-    rest, tail = (_by_piece(others.groupBy(c).agg(F.sum("n").alias("n")), c, pieces) for c in ("before", "id"))
-    units = np.zeros(pieces + 1 + len(words))
-    units[spelled.column("id").to_numpy()] = spelled.column("n").to_numpy()
-    units[pieces] = ends
-    units[pieces + 1 :] = np.asarray(numbers) - DISCOUNT
-
-    tokens, distinct = int(total[0]) + ends, int(total[1]) + (ends > 0)
-    terms = np.zeros(len(units))
-    terms[pieces:] = np.log10(np.array([ends, *numbers]) + 0.5) - math.log10(tokens + 0.5 * (distinct + 1))
-    blank = Scorer(words, path, pieces, np.zeros(len(units), np.int64), np.zeros(len(units)), None, tokens, ends, distinct, terms)
-    shared = training.sparkSession.sparkContext.broadcast(blank)
-    texts = materialise(training.select("text").mapInArrow(lambda b: _as_units(b, shared), "units array<int>"), "units")
-    shared.destroy()
-    blank.classes = cluster(neighbours(texts, units), units)
-    inside = np.bincount(blank.classes, units + 0.01, CLASSES)
-    blank.within = (np.log(units + 0.01) - np.log(inside[blank.classes])).astype(np.float32)
-    first = _by_piece(pairs.where("before < 0").select("id", "n"), "id", pieces)
-    blank.pair_up(*(often.column(c).to_numpy() for c in ("before", "id", "n")), units, first, rest, tail)
-    prior = np.maximum(np.bincount(blank.classes, units + 0.5, CLASSES), 0.5)
-    prior /= prior.sum()
-    met = followers(texts, blank.classes)
-    bigram = (met + 20 * prior) / (met.sum(axis=1, keepdims=True) + 20)
-    blank.model = Model.fresh(np.log(bigram))
-    total = texts.agg(F.sum(F.ceil((F.size("units") - 1) / WINDOW))).first()[0] or 0
-    few = texts.mapInArrow(lambda b: _some_windows(b, WARM / max(total, 1)), "units array<int>").toArrow().column(0).to_pylist()
-    if few:
-        few = sorted(few)
-        lengths = np.array([len(w) for w in few])
-        some = _training_windows(np.array([u for w in few for u in w], np.int32), lengths)
-        blank.model = blank.model.train(*_as_windows(*some, blank), epochs=2, rate=0.01)
-    blank.model = averaged(texts, blank)
-    return blank
+def learned(texts: DataFrame, counts: DataFrame, ends: int, path: str) -> Scorer:
+    """The trained model. texts(pieces): the training texts as pieces; counts: their word_counts."""
+    words = units_of(counts, ends, path)
+    scorer = Scorer(words, started(texts, words))
+    return Scorer(words, averaged(texts, scorer))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    scorer: Scorer = shared.value
-    memory = _memory.setdefault(scorer.path, {})
     for batch in batches:
-        for lo in range(0, batch.num_rows, 128):
-            some = batch.slice(lo, 128)
-            words = [ascii_words(t) for t in some.column(1).to_pylist()]
-            units, rare = zip(*(scorer.units(w, memory) for w in words))
-            scores, (base, known) = scorer.score(units), scorer.base(units)
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(w) + 1 for w in words], pa.int64()), pa.array(scores, pa.float64()), pa.array(base, pa.float64()), pa.array(known, pa.int64()), pa.array(rare, pa.list_(pa.binary()))], ["doc_id", "n_tokens", "score", "base", "known", "rare"])
+        for lo, hi, pieces, lengths in _texts(batch.column(0)):
+            score = pa.array(shared.value.score(pieces, lengths), pa.float64())
+            yield pa.RecordBatch.from_arrays([score, *batch.slice(lo, hi - lo).columns[1:]], ["score", *batch.schema.names[1:]])
 
 
-def scores(docs: DataFrame, training: DataFrame, pieces: str, hot: int = HOT) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of docs; training: the rows to learn from.
+def scores(docs: DataFrame, learn: Column, pieces: str, hot: int = HOT) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of docs; learn: of which rows to learn (null: not).
 
-    A null text counts as empty and is END alone; repeated rows give repeated rows; without training rows every
-    count is 0; an empty table gives none. Only doc_id and text are read.
+    A null text counts as empty and is END alone; repeated rows give repeated rows and count as often; without
+    rows to learn from every count is 0 and the model is as it starts; an empty table gives none. Of docs only doc_id,
+    text and what `learn` needs are read. pieces: a file of ranks of a byte-level BPE with fewer than 65,535 pieces.
     """
-    counts = materialise(word_counts(training), "words")
-    scorer = learned(training, counts, pieces, hot)
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _scored(b, shared), "doc_id long, n_tokens long, score double, base double, known long, rare array<binary>")
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learn, F.lit(False)).alias("learn"))
+    counts = materialise(word_counts(rows.where("learn")), "words")
+    ends = rows.where("learn").count()
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    tokens, distinct = int(total) + ends, int(distinct) + (ends > 0)
+    under = math.log10(tokens + 0.5 * (distinct + 1))
+    top = counts.where((F.col("n") >= threshold(counts, hot)) & (F.length("word") <= LONGEST)).toArrow()
+    terms = dict(zip(top.column("word").to_pylist(), (np.log10(top.column("n").to_numpy() + 0.5) - under).tolist()))
+    encoder = spark.sparkContext.broadcast(Encoder(pieces, terms, math.log10(ends + 0.5) - under, ends))
+    del top, terms
+    encoded = materialise(rows.mapInArrow(lambda b: encoder.value.rows(b), ENCODED), "pieces")
+    encoder.destroy()
+    shared = spark.sparkContext.broadcast(learned(encoded.where("learn").select("pieces"), counts, ends, pieces))
+    columns = "score double, doc_id long, n_tokens long, base double, known long, rare array<binary>"
+    scored = encoded.select("pieces", "doc_id", "n_tokens", "base", "known", "rare").mapInArrow(lambda b: _scored(b, shared), columns)
     # One row for each rare word; the first carries what is known of the text.
-    spread = rows.withColumn("row", F.monotonically_increasing_id()).select("row", F.struct("doc_id", "n_tokens", "score", "base", "known").alias("head"), F.posexplode_outer("rare").alias("at", "word"))
+    spread = scored.withColumn("row", F.monotonically_increasing_id()).select("row", F.struct("doc_id", "n_tokens", "score", "base", "known").alias("head"), F.posexplode_outer("rare").alias("at", "word"))
     spread = spread.select("row", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("head")).alias("head"), "word")
-    under = math.log10(scorer.tokens + 0.5 * (scorer.distinct + 1))
     term = F.when(F.col("word").isNotNull(), F.log10(F.coalesce("n", F.lit(0)) + 0.5) - under).otherwise(0.0)
     found = spread.join(counts, "word", "left").groupBy("row").agg(F.max("head").alias("head"), F.sum(term).alias("rest"), F.count("n").alias("more"))
-    return found.select("head.doc_id", "head.n_tokens", (F.col("head.known") + F.col("more")).alias("n_known"), F.lit(scorer.tokens).cast("long").alias("train_tokens"), (F.col("head.base") + F.col("rest")).alias("base_score"), "head.score")
+    return found.select("head.doc_id", "head.n_tokens", (F.col("head.known") + F.col("more")).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("head.base") + F.col("rest")).alias("base_score"), "head.score")

@@ -51,7 +51,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_remainder(F.col("doc_id"), 5) == 1, F.lit(False))
-    return lm.scores(docs, docs.where(~held_out), tokenizer_path("byte_bpe_50k.tiktoken")).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return lm.scores(docs, ~held_out, tokenizer_path("byte_bpe_50k.tiktoken")).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:

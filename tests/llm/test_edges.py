@@ -32,7 +32,7 @@ OPERATORS = {
     "pii": pii.replaced,
     "fingerprint": fingerprint.compared,
     "quality": lambda d: quality.scored(d, quality.fit([quality.features("good text"), quality.features("BAD!! TEXT!!")] * 10, __import__("numpy").array([1, 0] * 10))),
-    "lm": lambda d: lm.scores(d, d.where("doc_id < 8"), tokenizer_path("byte_bpe_50k.tiktoken")),
+    "lm": lambda d: lm.scores(d, F.col("doc_id") < 8, tokenizer_path("byte_bpe_50k.tiktoken")),
     "media": media.media_features,
 }
 

@@ -241,6 +241,19 @@ def test_quality():
     assert (p == y[held]).mean() >= 0.95
 
 
+def test_quality_of_short_texts(spark):
+    """Texts of 0 to 8 bytes have features, score between 0 and 1 and may be labelled, also in the part that sets the cut."""
+    texts = ["", *("A.é5 z?"[:n] for n in range(1, 8)), "A", "b", "é", "12345678"]
+    assert all(len(quality.features(t)) for t in texts) and len({tuple(quality.features(t)) for t in texts if len(t.encode()) < 3}) == 5
+    rows = [quality.features(t) for t in texts * 5]
+    for seed in range(5):
+        model = quality.fit(rows, np.array([i % 2 for i in range(len(rows))]), seed=seed)
+        assert np.isfinite([model.slope, model.cut, model.bias, *model.weight]).all() and all(0 <= model.score(r) <= 1 for r in rows)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = quality.scored(docs, quality.train(docs, spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, label int"))).collect()
+    assert len(got) == len(texts) and all(0 <= r.score <= 1 for r in got)
+
+
 def test_quality_query(spark, docs):
     rows = queries.op7_quality(spark, SF).collect()
     assert {r.doc_id for r in rows} == set(docs)
@@ -265,81 +278,148 @@ def test_hinge_loss_optimum():
         assert objective(w + d, b + rng.standard_normal() * 1e-2) >= best - 1e-3
 
 
+def _vocabulary(rng, pieces=6000):
+    counts = np.zeros(pieces + 1)
+    counts[:3000] = 1e4 / np.arange(1, 3001)
+    counts[-1] = 50
+    return lm.vocabulary(counts, rng.random((lm.UNITS - 1, lm.SINGLE)))
+
+
+def _noisy(rng, words, kind=float):
+    m = lm.Model.fresh(words)
+    return lm.Model({k: (v + 0.2 * rng.standard_normal(v.shape)).astype(kind) for k, v in m.values.items()}, m.edges)
+
+
+def _drawn(rng, words, shape):
+    """Units, three in four of frequent pieces."""
+    return np.where(rng.random(shape) < 0.75, words.unit[rng.integers(0, 300, shape)], rng.integers(0, lm.UNITS, shape))
+
+
+def test_lm_vocabulary():
+    """Every piece has one place, a class is a slice of the units, and all shares of pieces add up to one."""
+    words = _vocabulary(np.random.default_rng(4))
+    assert len(words.edges) == lm.CLASSES + 1 and words.edges[-1] == lm.UNITS and (np.diff(words.edges) > 0).all()
+    own = words.unit < lm.UNITS - 1
+    assert sorted(words.unit[own].tolist()) == list(range(lm.UNITS - 1)) and own[-1]
+    share = np.exp(words.share[words.classes] + words.start)[words.unit] * np.exp(words.tail)
+    assert abs(share.sum() - 1) < 1e-9
+
+
 def test_lm_gradient():
     rng = np.random.default_rng(0)
-    m = lm.Model.fresh(rng.standard_normal((lm.CLASSES, lm.CLASSES)))
-    m = lm.Model({k: v.astype(float) + 0.2 * rng.standard_normal(v.shape) for k, v in m.values.items()}, m.bigram.astype(float))
-    x, y, use = rng.integers(0, lm.CLASSES, (3, lm.WINDOW)), rng.integers(0, lm.CLASSES, (3, lm.WINDOW)), rng.random((3, lm.WINDOW)) < 0.7
-    loss, g = m.gradient(x, y, use)
-    assert abs(loss + m.log_probability(x, y, use).mean()) < 1e-5
+    words = _vocabulary(rng)
+    m = _noisy(rng, words)
+    now, before, y = (_drawn(rng, words, (70, lm.WINDOW)) for _ in range(3))
+    use = rng.random((70, lm.WINDOW)) < 0.7
+    loss, g = m.gradient(now, before, y, use)
+    assert abs(loss + m.log_probability(now, before, y, use).mean()) < 1e-6
     for k in m.SHAPES:
         at = np.unravel_index(int(np.abs(g[k]).argmax()), m.SHAPES[k])
         old, ends = m.values[k][at], []
         for d in (1e-5, -1e-5):
             m.values[k][at] = old + d
-            ends.append(m.gradient(x, y, use)[0])
+            ends.append(m.gradient(now, before, y, use)[0])
         m.values[k][at] = old
-        assert abs((ends[0] - ends[1]) / 2e-5 - g[k][at]) < 1e-5 * max(1, abs(g[k][at]))
+        assert abs((ends[0] - ends[1]) / 2e-5 - g[k][at]) < 1e-5 * max(1, abs(g[k][at])), k
 
 
-def test_lm_is_causal_and_scores_each_unit_once():
+def test_lm_is_causal_and_adds_up():
     rng = np.random.default_rng(1)
-    m = lm.Model.fresh(rng.standard_normal((lm.CLASSES, lm.CLASSES)))
-    x = rng.integers(0, lm.CLASSES, (1, lm.WINDOW))
-    z = x.copy()
-    z[0, 20:] = 5
+    words = _vocabulary(rng)
+    m = _noisy(rng, words)
+    now, before = _drawn(rng, words, (1, lm.WINDOW)), _drawn(rng, words, (1, lm.WINDOW))
+    other = now.copy()
+    other[0, 20:] = 5
     all_of = np.ones((1, lm.WINDOW), bool)
-    a, b = m.log_probability(x, x, all_of), m.log_probability(z, x, all_of)
+    a, b = m.log_probability(now, before, now, all_of), m.log_probability(other, before, now, all_of)
     assert np.allclose(a[:20], b[:20]) and not np.allclose(a[20:], b[20:])
+    last = np.zeros((lm.UNITS, lm.WINDOW), bool)
+    last[:, 7] = True
+    y = np.tile(np.arange(lm.UNITS)[:, None], lm.WINDOW)
+    p = np.exp(m.log_probability(np.repeat(now, lm.UNITS, 0), np.repeat(before, lm.UNITS, 0), y, last))
+    assert abs(p.sum() - 1) < 1e-9
+
+
+def test_lm_large_logits():
+    """Where exp would overflow or vanish, the softmax shifts first."""
+    h = np.array([[1.0, 200.0], [-1.0, -300.0]], np.float32)
+    p, total, own = lm._softmax(h, np.array([[1.0, 2, 3], [1, 1, 1]], np.float32), np.array([0, 2]))
+    assert np.allclose(own, [-2.407606, -2.407606], atol=1e-4) and np.allclose((p / total[:, None]).sum(axis=1), 1)
+
+
+def test_lm_scores_each_unit_once():
     lengths = np.array([1, 31, 32, 33, 56, 57, 500])
     place, here, scored = lm.windows(lengths)
     assert sorted(place[scored].tolist()) == list(range(lengths.sum())) and (scored <= here).all()
 
 
-def test_lm_trains_on_every_word():
-    lengths = np.array([2, 33, 34, 5001, 3])
-    flat = np.arange(lengths.sum(), dtype=np.int32)
-    units, here = lm._training_windows(flat, lengths)
-    first = set((np.cumsum(lengths) - lengths).tolist())
-    assert units[:, 1:][here[:, 1:]].tolist() == [u for u in flat.tolist() if u not in first]
+def test_lm_trains_on_every_unit():
+    lengths = np.array([2, 33, 34, 5001, 1, 3])
+    target = np.arange(1, lengths.sum() + 1)
+    now, before, y, here = lm.training_windows(target, lengths, 0)
+    assert y[here].tolist() == target.tolist()
+    first = {1, *(np.cumsum(lengths)[:-1] + 1).tolist()}
+    for a, b, c in zip(now[here].tolist(), before[here].tolist(), y[here].tolist()):
+        assert a == (0 if c in first else c - 1) and b == (0 if c in first or c - 1 in first else c - 2)
     assert lm.OVERLAP >= 8  # units of context that the first unit scored by a later window has, at least
 
 
-def test_lm_counts_all_training_texts(spark):
-    rng = np.random.default_rng(2)
-    texts = [rng.integers(0, 90, n).tolist() for n in (2, 3, 40, 700)]
-    counts = np.arange(90, 0, -1.0)  # the single units are 0 to 63
-    table = spark.createDataFrame([(t,) for t in texts], "units array<int>")
-    near, met = np.zeros((90, lm.SINGLE)), np.zeros((lm.CLASSES, lm.CLASSES))
-    for t in texts:
-        for i, u in enumerate(t):
-            for other in t[max(0, i - lm.NEAR) : i] + t[i + 1 : i + 1 + lm.NEAR]:
-                if other < lm.SINGLE:
-                    near[u, other] += 1
-            if i:
-                met[t[i - 1], u] += 1
-    assert (lm.neighbours(table, counts) == near).all() and (lm.followers(table, np.arange(90)) == met).all()
-
-
-def test_lm_learns_classes_from_long_texts(spark):
-    """Words that only a text of over 100,000 characters has are grouped by their neighbours."""
-    long = " ".join(f"often{i % 80} rare{i % 300}" for i in range(12_000))
-    training = spark.createDataFrame([(0, long), (1, "often1 often2")], "doc_id long, text string")
-    counts = lm.materialise(lm.word_counts(training), "words")
-    scorer = lm.learned(training, counts, tokenizer_path("byte_bpe_50k.tiktoken"))
-    assert len(long) > 100_000 and all(scorer.classes[scorer.words[b"rare%d" % i][0]] != lm.CLASSES - 1 for i in range(300))
-
-
-def test_lm_pairs_lose_no_mass():
-    """Pairs without counts of their own still count, and what may follow a piece adds up to one."""
-    scorer = lm.Scorer({}, "", 4, np.zeros(6, np.int64), np.zeros(6), None, 0, 0, 0, np.zeros(6))
-    units = np.array([10.0, 5, 3, 2, 4, 6])
-    scorer.pair_up(np.array([0]), np.array([1]), np.array([4.0]), units.copy(), np.ones(4), np.array([3.0, 0, 0, 0]), np.array([0, 0, 1.0, 2]))
-    attention = np.log(np.full(6, 1 / 6))
-    p = np.exp(scorer.mixed(attention, np.arange(6), np.zeros(6, np.int64)))
-    trust = lm.MIX * 10 / (10 + lm.TRUST)
-    start = np.array([1.01, 1.01, 1.01, 1.01, 4.01, 6.01])
-    assert np.allclose(p, trust * (np.array([0, 4, 1, 2, 0, 0]) + 3 * start / start.sum()) / 10 + (1 - trust) / 6) and abs(p.sum() - 1) < 1e-9
+def _plainly(scorer, pieces):
+    """log10 of a text's probability, one unit after the other: loops, no batches, no masks, a softmax over all units."""
+    v, words = {k: a.astype(float) for k, a in scorer.model.values.items()}, scorer.words
+    units, total = words.unit[pieces].astype(int).tolist(), 0.0
+    for i, target in enumerate(units):
+        # The window that scores the unit: windows begin every WINDOW - OVERLAP places and score what no earlier one did.
+        number = 0 if i < lm.WINDOW else (i - lm.OVERLAP) // (lm.WINDOW - lm.OVERLAP)
+        first = number * (lm.WINDOW - lm.OVERLAP)
+        at = lambda j: units[j] if j >= 0 else words.end
+        h = [v["now"][at(j - 1)] + v["before"][at(j - 2)] + v["place"][j - first] for j in range(first, i + 1)]
+        weight = [math.exp(h[-1] @ v["query"] @ (x @ v["key"]) / math.sqrt(lm.KEY)) for x in h]
+        state = h[-1] + sum(w * (x @ v["value"]) for w, x in zip(weight, h)) / sum(weight)
+        state = np.append(state + np.maximum(state @ v["up"], 0) @ v["down"], 1)
+        classes, cls = np.exp(state @ v["class"]), int(np.searchsorted(words.edges, target, side="right")) - 1
+        inside = np.exp(state @ v["unit"][:, words.edges[cls] : words.edges[cls + 1]])
+        total += math.log(classes[cls] / classes.sum()) + math.log(inside[target - words.edges[cls]] / inside.sum()) + words.tail[pieces[i]]
+    return total / math.log(10)
+
+
+def test_lm_score_is_that_of_a_plain_loop():
+    rng = np.random.default_rng(6)
+    words = _vocabulary(rng)
+    scorer = lm.Scorer(words, _noisy(rng, words, np.float32))
+    lengths = np.array([1, 2, 31, 32, 33, 34, 56, 57, 58, 200])
+    pieces = np.where(rng.random(lengths.sum()) < 0.8, rng.integers(0, 300, lengths.sum()), rng.integers(0, 6001, lengths.sum()))
+    got = scorer.score(pieces, lengths)
+    for text, score in zip(np.split(pieces, np.cumsum(lengths)[:-1]), got):
+        assert abs(_plainly(scorer, text) - score) < 1e-4 * max(1, abs(score))
+
+
+def test_lm_context_matters(spark):
+    """A trained model scores texts worse when the places beyond the last two units are shuffled between texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    spell, size = lm.speller(path)
+    texts = [np.array([p for w in lm.ascii_words(r.text) for p in spell(w)] + [size]) for r in docs.collect()]
+    counts = lm.materialise(lm.word_counts(docs), "words")
+    words = lm.units_of(counts, len(texts), path)
+    trainer, parts = lm.Trainer(lm.Model.fresh(words), 0.01), lm.training_windows(words.unit[np.concatenate(texts)], np.array([len(t) for t in texts]), words.end)
+    for _ in range(2):
+        trainer.learn(parts, np.random.default_rng(0), lm.WARM_BATCH, 2 * -(-len(parts[0]) // lm.WARM_BATCH))
+    now, before, y, here = (x[here_full] for here_full in [parts[3].all(axis=1)] for x in parts)
+    late = np.zeros_like(here)
+    late[:, -1] = True
+    mixed = [x.copy() for x in (now, before)]
+    order = np.random.default_rng(1).permutation(len(now))
+    for x in mixed:
+        x[:, :-2] = x[order, :-2]
+    kept, lost = (float(trainer.model.log_probability(a, b, y, late).mean()) for a, b in ((now, before), mixed))
+    assert kept > lost + 0.02, (kept, lost)
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_lm_beats_its_baseline_on_held_out_texts(spark, scale):
+    held = queries.op8_lm(spark, f"/root/testdata/{scale}").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held[0] > held[1]
 
 
 def test_lm_scores(spark, docs):
