@@ -126,8 +126,11 @@ class Matrix:
         return ops.reduce(self.cells, how, axis)
 
     def correlation(self) -> Matrix:
-        """Pearson correlation between the columns."""
-        return Matrix(Leaf(ops.correlation(self.cells), self.shape[1], self.shape[1], "float64"))
+        """Pearson correlation between the columns: the product of the standardised matrix with itself, by cells or by blocks as any other product. Columns without variance correlate as null."""
+        z = Leaf(ops.standardised(self.cells), *self.shape, "float64")
+        total = lower(MatMul(Transpose(z), z))
+        share = total.select("i", "j", (F.nanvl("v", F.lit(None)) / self.shape[0]).alias("v"))
+        return Matrix(Leaf(share, self.shape[1], self.shape[1], "float64"))
 
     # Actions.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.sources.shared import ordered_index
 
 SAMPLED = 10_000  # events of a sampled timeline, about
-CHUNK = 4_096  # events whose predecessors are found together
+CHUNK, LEVELS = 4_096, 2  # events whose predecessors are found together; chunks, and chunks of chunks
 #: Tiles of a side and of the cache in the usual studies.
 SCENARIOS = {"fast_test": (4096, 32), "standard": (8192, 128), "large_analysis": (16384, 256), "eviction_stress": (8192, 32)}
 
@@ -33,15 +33,23 @@ def accesses(log: DataFrame) -> DataFrame:
 def previous(log: DataFrame, key: Column | None = None) -> DataFrame:
     """log with before: the seq of the event before it, of the same key if there is one.
 
-    Each chunk of CHUNK sequence numbers finds its own predecessors; only the ends of the chunks of one key are put in
-    one order, so that a very common key doesn't end up in one task.
+    Each chunk of CHUNK sequence numbers finds its own predecessors. Of each key and chunk the last number goes on to
+    chunks of chunks, and so on for LEVELS levels, so that a very common key doesn't end up in one task.
     """
-    keyed = log.withColumn("_key", key if key is not None else F.lit(0)).withColumn("_chunk", F.floor(F.col("seq") / CHUNK))
-    inside = Window.partitionBy("_key", "_chunk").orderBy("seq")
-    near = keyed.withColumn("_near", F.lag("seq").over(inside))
-    ends = keyed.groupBy("_key", "_chunk").agg(F.max("seq").alias("_last"))
-    ends = ends.withColumn("_far", F.lag("_last").over(Window.partitionBy("_key").orderBy("_chunk"))).select("_key", "_chunk", "_far")
-    return near.join(ends, ["_key", "_chunk"]).withColumn("before", F.coalesce("_near", "_far")).drop("_key", "_chunk", "_near", "_far")
+    keyed = log.withColumn("_key", key if key is not None else F.lit(0)).withColumn("_at", F.col("seq"))
+    return _before(keyed, LEVELS).drop("_key", "_at")
+
+
+def _before(rows: DataFrame, levels: int) -> DataFrame:
+    """rows with before: the largest seq of the same _key among rows of smaller _at."""
+    if not levels:
+        return rows.withColumn("before", F.lag("seq").over(Window.partitionBy("_key").orderBy("_at")))
+    chunk, far = f"_chunk{levels}", f"_far{levels}"
+    chunked = rows.withColumn(chunk, F.floor(F.col("_at") / CHUNK))
+    near = chunked.withColumn("_near", F.lag("seq").over(Window.partitionBy("_key", chunk).orderBy("_at")))
+    ends = chunked.groupBy("_key", chunk).agg(F.max("seq").alias("seq")).withColumn("_at", F.col(chunk))
+    ends = _before(ends, levels - 1).select("_key", chunk, F.col("before").alias(far))
+    return near.join(ends, ["_key", chunk]).withColumn("before", F.coalesce("_near", far)).drop(chunk, "_near", far)
 
 
 def event_counts(log: DataFrame) -> DataFrame:
@@ -100,6 +108,13 @@ def miss_curve(distances: DataFrame, step: int = 16, steps: int = 32) -> DataFra
     return curve.where(F.col("fits") <= steps).select((F.col("fits") * step).alias("cache_size"), F.when(F.col("all") > 0, F.col("more") / F.col("all")).alias("miss_rate"))
 
 
+def scenario_rates(distances: DataFrame) -> DataFrame:
+    """scenario, cache_size, miss_rate: the share of distances above each scenario's cache, in one pass."""
+    rates = distances.agg(*(F.avg(F.when(F.col("distance") > tiles, 1.0).otherwise(0.0)).alias(name) for name, (_, tiles) in SCENARIOS.items()))
+    rows = F.array(*(F.struct(F.lit(name).alias("scenario"), F.lit(tiles).cast("long").alias("cache_size"), F.col(name).alias("miss_rate")) for name, (_, tiles) in SCENARIOS.items()))
+    return rates.select(F.inline(rows))
+
+
 def eviction_gaps(log: DataFrame) -> DataFrame:
     """seq, gap: events between one eviction and the next."""
     return previous(log.where("event_type = 'EVICT'")).where("before is not null").select("seq", (F.col("seq") - F.col("before")).alias("gap"))

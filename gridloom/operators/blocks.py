@@ -1,8 +1,8 @@
 """Block layout: rows (bi, bj, n_rows, n_cols, data) with row-major arrays, for products that are too large for cells.
 
-A product multiplies whole blocks with NumPy inside Arrow batches. The inner dimension is dealt into slabs of SLAB
-blocks: a task gets at most 2 * SLAB blocks however large the matrix, and hands on one partial block of the result
-for each slab, which Spark adds up.
+A product multiplies whole blocks with NumPy inside Arrow batches. The result is dealt into super-blocks and the inner
+dimension into slabs of SLAB blocks: a task gets at most 2 * SUPER * SLAB blocks however large the matrix, and hands on
+the partial blocks of its super-block, which Spark adds up.
 """
 
 from __future__ import annotations
@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 
 BLOCK = 256
 SLAB = 8  # blocks of the inner dimension that meet in one task
+SUPER = 8  # blocks a side of the result that one task makes, at most
 SCHEMA = "bi long, bj long, n_rows int, n_cols int, data array<double>"
 _NAMES = ["bi", "bj", "n_rows", "n_cols", "data"]
 
 
-def to_blocks(cells: DataFrame, rows: int, cols: int, block: int = BLOCK) -> DataFrame:
-    """Dense cells as blocks; those at the edge are smaller. Values become double."""
+def to_blocks(cells: DataFrame, rows: int, cols: int, block: int = BLOCK, kind: str = "double") -> DataFrame:
+    """Dense cells as blocks of float or double; those at the edge are smaller."""
     bi, bj = F.floor(F.col("i") / block).alias("bi"), F.floor(F.col("j") / block).alias("bj")
-    entry = F.struct("i", "j", F.col("v").cast("double").alias("v"))
+    entry = F.struct("i", "j", F.col("v").cast(kind).alias("v"))
     grouped = cells.groupBy(bi, bj).agg(F.array_sort(F.collect_list(entry)).alias("all"))
     return grouped.select(
         "bi", "bj", F.least(F.lit(block), F.lit(rows) - F.col("bi") * block).cast("int").alias("n_rows"), F.least(F.lit(block), F.lit(cols) - F.col("bj") * block).cast("int").alias("n_cols"),
@@ -46,7 +47,7 @@ def add(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def scale(blocks: DataFrame, scalar: float) -> DataFrame:
-    return blocks.withColumn("data", F.transform("data", lambda x: x * F.lit(float(scalar))))
+    return blocks.withColumn("data", F.transform("data", lambda x: (x * F.lit(float(scalar))).cast(dict(blocks.dtypes)["data"][6:-1])))
 
 
 def _arrays(table: pa.Table, names: tuple[str, ...]) -> dict[tuple, np.ndarray]:
@@ -59,31 +60,66 @@ def _arrays(table: pa.Table, names: tuple[str, ...]) -> dict[tuple, np.ndarray]:
     return out
 
 
+def _joined(found: dict[tuple, np.ndarray], rows: list[int], cols: list[int]) -> tuple[np.ndarray, list[int], list[int]]:
+    """One array of all blocks, and where its block rows and columns begin and end. A block that is missing is 0."""
+    height = {r: b.shape[0] for (r, _), b in found.items()}
+    width = {c: b.shape[1] for (_, c), b in found.items()}
+    down, across = np.cumsum([0, *(height[r] for r in rows)]), np.cumsum([0, *(width[c] for c in cols)])
+    out = np.zeros((down[-1], across[-1]), next(iter(found.values())).dtype)
+    for (r, c), b in found.items():
+        if c in width and r in rows and c in cols:
+            i, j = rows.index(r), cols.index(c)
+            out[down[i] : down[i + 1], across[j] : across[j + 1]] = b
+    return out, down.tolist(), across.tolist()
+
+
 def _multiply(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-    bi, bj = key[0].as_py(), key[1].as_py()
-    a, b = _arrays(left, ("k",)), _arrays(right, ("k",))
-    total = sum((a[k] @ b[k] for k in sorted(a.keys() & b.keys())), start=0.0)
-    if isinstance(total, float):
-        return pa.table({n: pa.array([], t) for n, t in zip(_NAMES, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float64())))})
-    return pa.table({"bi": pa.array([bi], pa.int64()), "bj": pa.array([bj], pa.int64()), "n_rows": pa.array([total.shape[0]], pa.int32()), "n_cols": pa.array([total.shape[1]], pa.int32()), "data": pa.array([total.ravel()], pa.list_(pa.float64()))})
+    """All blocks of the result that lie in one super-block, over one slab: a single large product."""
+    a, b = _arrays(left, ("bi", "k")), _arrays(right, ("k", "bj"))
+    inner = sorted({k for _, k in a} & {k for k, _ in b})
+    rows, cols, out = sorted({r for r, k in a if k in inner}), sorted({c for k, c in b if k in inner}), []
+    if inner:
+        x, down, _ = _joined(a, rows, inner)
+        y, _, across = _joined(b, inner, cols)
+        total = x @ y
+        out = [(r, c, np.ascontiguousarray(total[down[i] : down[i + 1], across[j] : across[j + 1]])) for i, r in enumerate(rows) for j, c in enumerate(cols)]
+    return _table(out, left.schema.field("data").type)
+
+
+def _table(out: list[tuple[int, int, np.ndarray]], kind: pa.DataType) -> pa.Table:
+    data = pa.array([x.ravel() for _, _, x in out], kind)
+    cols = [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), *(pa.array([o[2].shape[d] for o in out], pa.int32()) for d in (0, 1)), data]
+    return pa.table(dict(zip(_NAMES, cols)))
 
 
 def _sum_group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     data = table.column("data").combine_chunks()
     total = np.sum([data[n].values.to_numpy(zero_copy_only=False) for n in range(len(data))], axis=0)
     first = table.slice(0, 1)
-    return pa.table({n: first.column(n) if n != "data" else pa.array([total], pa.list_(pa.float64())) for n in _NAMES})
+    return pa.table({n: first.column(n) if n != "data" else pa.array([total], table.schema.field("data").type) for n in _NAMES})
+
+
+def side(down: int, across: int, slabs: int, cores: int) -> int:
+    """Blocks a side of a super-block: as large as SUPER, but with at least two tasks a core where the result has so many blocks."""
+    return max(1, min(SUPER, int((down * across * slabs / (2 * cores)) ** 0.5)))
 
 
 def matmul(left: DataFrame, right: DataFrame, blocks_down: int, blocks_across: int, blocks_inner: int) -> DataFrame:
-    """left @ right: every block goes to the tasks of its row (or column) of the result, slab by slab; partial results are added in rounds of SLAB until one is left."""
-    slab = lambda c: F.floor(F.col(c) / SLAB)
-    a = left.select(F.col("bi").alias("row"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks_across - 1).cast("long"))).alias("col"), slab("bj").alias("slab"), F.col("bj").alias("k"), "n_rows", "n_cols", "data")
-    b = right.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks_down - 1).cast("long"))).alias("row"), F.col("bj").alias("col"), slab("bi").alias("slab"), F.col("bi").alias("k"), "n_rows", "n_cols", "data")
-    part = a.groupBy("row", "col", "slab").cogroup(b.groupBy("row", "col", "slab")).applyInArrow(_multiply, SCHEMA)
+    """left @ right of blocks of one element type.
+
+    A task makes a super-block of side x side blocks over one slab of the inner dimension, so a block is copied only once
+    for each super-block of its row (or column). Partial results are added in rounds of SLAB until one is left.
+    """
     slabs = -(-blocks_inner // SLAB)
+    g = side(blocks_down, blocks_across, slabs, left.sparkSession.sparkContext.defaultParallelism)
+    slab = lambda c: F.floor(F.col(c) / SLAB)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-n // g) - 1).cast("long")))
+    a = left.select(F.floor(F.col("bi") / g).alias("row"), every(blocks_across).alias("col"), slab("bj").alias("slab"), "bi", F.col("bj").alias("k"), "n_rows", "n_cols", "data")
+    b = right.select(every(blocks_down).alias("row"), F.floor(F.col("bj") / g).alias("col"), slab("bi").alias("slab"), F.col("bi").alias("k"), "bj", "n_rows", "n_cols", "data")
+    schema = SCHEMA.replace("double", dict(left.dtypes)["data"][6:-1])
+    part = a.groupBy("row", "col", "slab").cogroup(b.groupBy("row", "col", "slab")).applyInArrow(_multiply, schema)
     while slabs > 1:
         slabs = -(-slabs // SLAB)
         lot = F.pmod(F.xxhash64("data"), F.lit(slabs)) if slabs > 1 else F.lit(0)
-        part = part.withColumn("lot", lot).groupBy("bi", "bj", "lot").applyInArrow(_sum_group, SCHEMA)
+        part = part.withColumn("lot", lot).groupBy("bi", "bj", "lot").applyInArrow(_sum_group, schema)
     return part

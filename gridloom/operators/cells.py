@@ -10,10 +10,9 @@ BROADCAST_CELLS = 1_000_000
 
 
 def add(left: DataFrame, right: DataFrame, kind: str, sign: int = 1) -> DataFrame:
-    """Elementwise sum of two dense matrices: both sides' cells as one relation, summed by place with a partial sum before the only shuffle."""
-    if kind in ("float", "double"):
-        a, b = left.select("i", "j", F.col("v").cast(kind).alias("v")), right.select("i", "j", F.col("v").cast(kind).alias("w"))
-        return a.join(b, ["i", "j"]).select("i", "j", (F.col("v") + sign * F.col("w")).cast(kind).alias("v"))
+    """Elementwise sum: both sides' cells as one relation, summed by place with a partial sum before the only shuffle. A cell that a side lacks counts as 0, whatever the type; two logical matrices add as "or"."""
+    if kind == "boolean":
+        return left.unionByName(right).groupBy("i", "j").agg(F.bool_or("v").alias("v"))
     a, b = left.select("i", "j", F.col("v").cast(kind).alias("v")), right.select("i", "j", (sign * F.col("v").cast(kind)).alias("v"))
     return a.unionByName(b).groupBy("i", "j").agg(F.sum("v").cast(kind).alias("v"))
 
@@ -58,9 +57,7 @@ def reduce(cells: DataFrame, how: str, axis: int | None = None) -> DataFrame:
     return cells.agg(value) if axis is None else cells.groupBy("j" if axis == 0 else "i").agg(value)
 
 
-def correlation(cells: DataFrame) -> DataFrame:
-    """Pearson correlation between columns (i, j, v), from one pass of moments and one product of the centred matrix; columns without variance correlate as null."""
-    means = cells.groupBy("j").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    centred = cells.join(F.broadcast(means), "j").select("i", "j", F.when(F.col("s") > 0, (F.col("v") - F.col("m")) / F.col("s")).alias("v"))
-    left, right = centred.select("i", F.col("j").alias("a"), F.col("v").alias("x")), centred.select("i", F.col("j").alias("b"), F.col("v").alias("y"))
-    return left.join(right, "i").groupBy(F.col("a").alias("i"), F.col("b").alias("j")).agg(F.avg(F.col("x") * F.col("y")).alias("v"))
+def standardised(cells: DataFrame) -> DataFrame:
+    """Each column less its mean, over its deviation; null in columns without variance. The moments are a row a column; Spark picks the join by their size."""
+    moments = cells.groupBy("j").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    return cells.join(moments, "j").select("i", "j", F.when(F.col("s") > 0, (F.col("v") - F.col("m")) / F.col("s")).alias("v"))

@@ -43,7 +43,7 @@ def _lowered(n: Node, visit) -> DataFrame:
     if by_blocks(n):
         size = blocks.BLOCK
         counts = [-(-x // size) for x in (n.rows, n.cols, n.left.cols)]
-        product = blocks.matmul(blocks.to_blocks(left, *n.left.shape), blocks.to_blocks(right, *n.right.shape), *counts)
+        product = blocks.matmul(blocks.to_blocks(left, *n.left.shape, kind=kind), blocks.to_blocks(right, *n.right.shape, kind=kind), *counts)
         return blocks.to_cells(product, kind)
     return cells.matmul(left, right, kind, n.left.rows * n.left.cols, n.right.rows * n.right.cols)
 

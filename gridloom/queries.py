@@ -5,6 +5,8 @@ E is the embeddings as a matrix (vec_id x position), L the summed quantities of
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +19,7 @@ from gridloom.operators import blocks
 from gridloom.plans import cost
 from gridloom.plans.logical import Leaf
 from gridloom.sources import datagen, files
-from gridloom.sources.shared import read_table
+from gridloom.sources.shared import read_table, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -34,8 +36,8 @@ _ACCESS = "acc AS (SELECT * FROM log WHERE event_type IN ('HIT', 'MISS'))"
 _REUSE = "reuse AS (SELECT * FROM (SELECT seq, tile, seq - LAG(seq) OVER (PARTITION BY tile ORDER BY seq) AS distance FROM acc) WHERE distance IS NOT NULL)"
 
 
-def query(oracle: str | None = None, **named: str):
-    """Register a query under its function's name; its SQL follows the common table expressions that it names."""
+def query(oracle: str | None = None):
+    """Register a query under its function's name, with its SQL if there is one."""
 
     def add(f: Query) -> Query:
         _queries[f.__name__] = f
@@ -198,17 +200,19 @@ def _filled(value: str) -> str:
     return f"SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST({value} AS FLOAT) AS v FROM (SELECT unnest(range(0, (SELECT MAX(l_suppkey) + 1 FROM lineitem))) AS i) CROSS JOIN (SELECT unnest(range(0, (SELECT MAX(l_linenumber) FROM lineitem))) AS j)"
 
 
-@query(_filled("0"))
+@query(f"WITH {_E} SELECT i, j, ROUND(v, 6) + 0.0 AS v FROM E")
 def mat_zeros(spark, sf_dir):
-    return api.zeros(spark, quantities(spark, sf_dir).shape).cells
+    e = embeddings(spark, sf_dir)
+    return rounded((e + api.zeros(spark, e.shape, "float64")).cells, "v")
 
 
-@query(_filled("1"))
+@query(f"WITH {_E} SELECT i, j, ROUND(v + 1, 6) + 0.0 AS v FROM E")
 def mat_ones(spark, sf_dir):
-    return api.ones(spark, quantities(spark, sf_dir).shape).cells
+    e = embeddings(spark, sf_dir)
+    return rounded((e + api.ones(spark, e.shape, "float64")).cells, "v")
 
 
-@query(_filled("CASE WHEN i = j THEN 1 ELSE 0 END").replace("MAX(l_suppkey) + 1", "LEAST(MAX(l_suppkey) + 1, 500)").replace("MAX(l_linenumber)", "LEAST(MAX(l_suppkey) + 1, 500)"))
+@query(_filled("CASE WHEN i = j THEN 1 ELSE 0 END").replace("MAX(l_linenumber)", "MAX(l_suppkey) + 1"))
 def mat_eye(spark, sf_dir):
     return api.eye(spark, quantities(spark, sf_dir).shape[0]).cells
 
@@ -218,19 +222,65 @@ def _sql_uniform(seed: int, *parts: str) -> str:
     return f"(CAST(('0x' || substr(md5({text}), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE))"
 
 
-@query(_filled("FLOOR(" + _sql_uniform(7, "i", "j") + " * 16777216) / CAST(16777216 AS DOUBLE)"))
+@query(f"WITH {_E} SELECT i, j, ROUND(v * (FLOOR({_sql_uniform(7, 'i', 'j')} * 16777216) / CAST(16777216 AS DOUBLE)), 6) + 0.0 AS v FROM E")
 def mat_random(spark, sf_dir):
-    return api.random_rand(spark, quantities(spark, sf_dir).shape, seed=7).cells
+    e = embeddings(spark, sf_dir)
+    return rounded(e.hadamard(api.random_rand(spark, e.shape, seed=7)).cells, "v")
 
 
 def _sql_normal(seed: int, *parts: str) -> str:
     return f"(SQRT(-2 * LN(1 - {_sql_uniform(seed, *parts)})) * COS(CAST(6.283185307179586 AS DOUBLE) * {_sql_uniform(seed + 1, *parts)}))"
 
 
-@query(f"SELECT i, j, ROUND(GREATEST(EXP(2.0 + 1.5 * {_sql_normal(42, 'i', 'j')}) + 0.3 * {_sql_normal(44, 'i // 100', 'j')}, 0), 6) + 0.0 AS v FROM ({_filled('0')})")
+@query(f"WITH {_E} SELECT i, j, ROUND(v * GREATEST(EXP(2.0 + 1.5 * {_sql_normal(42, 'i', 'j')}) + 0.3 * {_sql_normal(44, 'i // 100', 'j')}, 0), 6) + 0.0 AS v FROM E")
 def mat_gene_expression(spark, sf_dir):
-    places = api.zeros(spark, quantities(spark, sf_dir).shape).cells
-    return rounded(places.select("i", "j", datagen.expression(F.col("i"), F.col("j"), 42).alias("v")), "v")
+    """Each element of E scaled by the expression value of its place."""
+    cells = embeddings(spark, sf_dir).cells
+    return rounded(cells.select("i", "j", (F.col("v") * datagen.expression(F.col("i"), F.col("j"), 42)).alias("v")), "v")
+
+
+@query("SELECT CAST(vec_id AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, CAST(label AS INTEGER) AS v FROM embeddings")
+def source_array(spark, sf_dir):
+    """A matrix from rows of a table: constructor, element type of the column, save and load in the native form."""
+    table = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.col("label").cast("int").alias("v"))
+    m = Matrix.from_cells(table, int(table.agg(F.coalesce(F.max("i") + 1, F.lit(0))).first()[0]), 1)
+    files.save(path := shared_path(spark, "native"), m)
+    return files.load(spark, path).cells
+
+
+def _mounted(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder as an ordinary path: tasks and driver open it by themselves."""
+    path = shared_path(spark, name)
+    if not path.startswith(("file:", "/")):
+        raise ValueError(f"{path} can't be opened as a file")
+    path = re.sub("^file:/+", "/", path)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    return path
+
+
+@query(f"WITH {_E} SELECT i, j, CAST(v AS FLOAT) AS v FROM E")
+def source_raw(spark, sf_dir):
+    """E to one raw row-major file of float32 and back."""
+    e = embeddings(spark, sf_dir)
+    single = Matrix(Leaf(e.cells.withColumn("v", F.col("v").cast("float")), *e.shape, "float32"))
+    files.save_file(path := _mounted(spark, "raw.dat"), single)
+    return files.load(spark, path, e.shape, "float32").cells
+
+
+@query(f"WITH {_E} SELECT i, j, v FROM E")
+def source_npy(spark, sf_dir):
+    """E to one .npy file, converted to the native form and read again."""
+    files.save_file(path := _mounted(spark, "e.npy"), embeddings(spark, sf_dir))
+    target, _ = files.convert(spark, path, shared_path(spark, "converted"), dtype="float64")
+    return files.load(spark, target).cells
+
+
+@query(f"WITH {_E} SELECT i, j, CAST(v AS FLOAT) AS v FROM E")
+def source_csv(spark, sf_dir):
+    """E as a folder of CSV files, in the order of their names, and back."""
+    table = read_table(spark, sf_dir, "embeddings").repartitionByRange("vec_id").sortWithinPartitions("vec_id")
+    table.select(F.concat_ws(",", F.transform("embedding", lambda v: v.cast("string")))).write.text(path := shared_path(spark, "csv"))
+    return files.load_delimited(spark, path, ",").cells
 
 
 @query(f"WITH {_E} SELECT i, j, ROUND(v, 6) + 0.0 AS v FROM E WHERE i BETWEEN 128 AND 383 AND j BETWEEN 16 AND 47")
@@ -353,6 +403,12 @@ def cache_miss_curve(spark, sf_dir):
     return rounded(stats.miss_curve(stats.reuse_distances(log_of(spark, sf_dir))), "miss_rate", digits=9)
 
 
+@query(f"""WITH {_LOG}, {_ACCESS}, {_REUSE} SELECT scenario, CAST(s AS BIGINT) AS cache_size, ROUND(AVG(CASE WHEN distance > s THEN 1.0 ELSE 0.0 END), 9) AS miss_rate
+    FROM reuse CROSS JOIN (VALUES {", ".join(f"('{name}', {tiles})" for name, (_, tiles) in stats.SCENARIOS.items())}) x(scenario, s) GROUP BY 1, 2""")
+def cache_scenarios(spark, sf_dir):
+    return rounded(stats.scenario_rates(stats.reuse_distances(log_of(spark, sf_dir))), "miss_rate", digits=9)
+
+
 @query(f"""WITH {_LOG}, g AS (SELECT seq - LAG(seq) OVER (ORDER BY seq) AS gap FROM log WHERE event_type = 'EVICT')
     SELECT COUNT(gap) AS n, ROUND(AVG(gap), 6) AS mean_gap, MIN(gap) AS min_gap, MAX(gap) AS max_gap FROM g""")
 def cache_evict_gap(spark, sf_dir):

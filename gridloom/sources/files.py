@@ -88,6 +88,33 @@ def save_raw(path: str, matrix: Matrix, rows_per_file: int = ROWS_AT_ONCE) -> No
     rows.withColumn("chunk", F.floor(F.col("i") / rows_per_file)).groupBy("chunk").applyInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
+def save_file(path: str, matrix: Matrix) -> None:
+    """One headerless row-major file (or .npy, by the ending) in a folder that all machines mount.
+
+    The driver lays the file out at its full length; each task writes ranges of rows at their places, so a task that runs
+    again writes the same bytes.
+    """
+    (n_rows, cols), name = matrix.shape, np.dtype(matrix.dtype)
+    with open(path, "wb") as f:
+        if path.lower().endswith(".npy"):
+            np.lib.format.write_array_header_1_0(f, {"descr": np.lib.format.dtype_to_descr(name), "fortran_order": False, "shape": (n_rows, cols)})
+        head = f.tell()
+        f.truncate(head + n_rows * cols * name.itemsize)
+    rows = matrix.cells.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("row"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(path, "r+b") as f:
+            for batch in batches:
+                for i, row in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    f.seek(head + i * cols * name.itemsize)
+                    f.write(row.values.to_numpy(zero_copy_only=False).astype(name).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    written = rows.repartitionByRange("i").sortWithinPartitions("i").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+    if written != n_rows:
+        raise ValueError(f"the matrix has cells in {written} of {n_rows} rows")
+
+
 def load_npy(spark: SparkSession, path: str, dtype=None) -> Matrix:
     """A two-dimensional .npy file that all machines can open: tasks map it and read ranges of rows."""
     found = np.load(path, mmap_mode="r")

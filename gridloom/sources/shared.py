@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,34 +15,46 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests on one machine) a temporary one."""
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one on a local session, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="gridloom-")
+        found = spark.sparkContext.getCheckpointDir()
+        if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        found = found or "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder that nothing has used."""
+    return f"{shared_folder(spark)}/gridloom/{uuid.uuid4().hex}-{name}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once into the shared folder and read it back: cuts the lineage, survives a lost executor."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _offsets(counted: DataFrame, part: str) -> DataFrame:
-    """part, offset: how many rows the parts before have. As many rows as there are partitions."""
-    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    return counted.select(part, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+def _offsets(counted: DataFrame, *part: str) -> DataFrame:
+    """counted with offset: how many rows the parts before have. As many rows as there are partitions (or splits of files)."""
+    before = Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
+    return counted.withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
 
 
 def file_index(df: DataFrame, name: str) -> DataFrame:
-    """df with a column of consecutive numbers in file order, for a scan that reads its files in the same order each time. Only the partitions' counts meet in one place."""
-    numbered = df.withColumn("_mark", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_mark", 33))
-    offsets = _offsets(numbered.groupBy("_part").count(), "_part")
-    place = F.col("_mark").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
-    return numbered.join(F.broadcast(offsets), "_part").withColumn(name, F.col("offset") + place).drop("_part", "_mark", "offset")
+    """df, rows of a scan of files (rows may be filtered), with a column of consecutive numbers from 0 in the order of the files' names and of the places in them.
+
+    Spark may read a folder's files in any order and cut them into splits; a split is read in order by one task. Only the
+    splits' counts meet in one place.
+    """
+    split = ["_file", "_start"]
+    marked = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")).withColumn("_mark", F.monotonically_increasing_id())
+    counted = marked.groupBy(*split).agg(F.count(F.lit(1)).alias("count"), F.min("_mark").alias("_first"))
+    return marked.join(_offsets(counted, *split), split).withColumn(name, F.col("offset") + F.col("_mark") - F.col("_first")).drop(*split, "_mark", "_first", "offset")
 
 
 def ordered_index(df: DataFrame, name: str, order: list[str], partitions: int | None = None) -> DataFrame:

@@ -76,3 +76,55 @@ def test_indexes(spark, folder):
     rows = spark.createDataFrame([(i * 7 % 50, i) for i in range(200)], "a long, b long")
     numbered = ordered_index(rows, "n", ["a", "b"]).collect()
     assert [r.n for r in sorted(numbered, key=lambda r: (r.a, r.b))] == list(range(1, 201))
+
+
+def test_folder_of_files_in_the_order_of_their_names(spark, folder):
+    """Spark reads the largest file first; rows are numbered by name, whatever the files' sizes and splits, and empty lines don't count."""
+    import os
+
+    os.makedirs(f"{folder}/t")
+    rows = [[float(i), i + 0.5] for i in range(600)]
+    for name, part in (("a.csv", rows[:1]), ("b.csv", rows[1:500]), ("c.csv", []), ("d.csv", rows[500:])):
+        with open(f"{folder}/t/{name}", "w") as f:
+            f.write("\n".join(f"{a},{b}\n" for a, b in part))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = files.load_delimited(spark, f"{folder}/t", ",").to_numpy()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got.tolist() == rows
+
+
+@pytest.mark.parametrize("name", ["m.dat", "m.npy"])
+def test_one_file(spark, folder, name):
+    m = api.array(spark, X)
+    files.save_file(f"{folder}/{name}", m)
+    back = files.load(spark, f"{folder}/{name}", X.shape) if name.endswith("dat") else files.load_npy(spark, f"{folder}/{name}")
+    assert (back.to_numpy() == X).all()
+    with pytest.raises(ValueError):
+        files.save_file(f"{folder}/{name}", api.Matrix(Leaf(m.cells.where("i < 5"), *X.shape, "float32")))
+
+
+def test_command_line(spark, folder, capsys):
+    from gridloom import cli
+
+    np.save(f"{folder}/a.npy", X)
+    assert cli.main(["convert", f"{folder}/a.npy", f"{folder}/out", "--validate"], spark) == 0
+    assert (files.load(spark, f"{folder}/out").to_numpy() == X).all()
+    assert cli.main(["generate", f"{folder}/g", "--shape", "30", "20"], spark) == 0 and files.load(spark, f"{folder}/g").shape == (30, 20)
+    files.save(f"{folder}/bad", api.array(spark, [[1.0, float("nan")]]))
+    assert cli.main(["validate", f"{folder}/bad"], spark) == 1 and "not valid" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main(["generate", f"{folder}/x", "--size", "tiny"], spark)
+
+
+def test_shared_folder_of_a_cluster():
+    """Where spark.checkpoint.dir is unset, only a local session may make up a folder."""
+    from types import SimpleNamespace
+
+    from gridloom.sources.shared import shared_folder
+
+    conf = SimpleNamespace(get=lambda key, default: None)
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None)))
