@@ -1,10 +1,10 @@
 """URL filters: a sorted array of 64-bit digests, memory-mapped, with the full strings behind it.
 
 A list of hosts or of "host/path" prefixes is written once into one file: the sorted xxhash keys, each key's
-offset into the strings, then the strings. The file travels to the executors (a list has a checked size bound;
-larger lists are joined by Spark instead), where each Python worker maps it into memory. Keys of a whole batch of
-URLs are probed with one vectorised binary search, and each hit is confirmed against the stored string, so that a
-collision of digests blocks nothing.
+offset into the strings, then the strings. The file travels to the executors (its size is checked: larger lists are
+joined by Spark instead), where each Python worker maps it into memory. Only hosts with as many labels and paths with as
+many characters as the list has are probed, so long URLs cost no more than short ones. Keys of many URLs are probed with
+one vectorised binary search, and each hit is confirmed against the stored string: a collision of digests blocks nothing.
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import LOWER, UPPER
 
-#: Registered sites that the filter blocks with all their subdomains: the demonstration list of the queries.
-BLOCKED = ["adult-x.example.com", "ads-track.example.com", "ads-track.example.org", "casino-win.example.net", "casino-win.example.org", "cheap-pills.example.com",
-           "cheap-pills.example.net", "free-bets.example.com", "free-bets.example.net", "spam-farm.example.org"]
+#: Kinds of sites that the filter blocks, under each of these domains and with all their subdomains: the demonstration list of the queries.
+SITES = ["ad-server", "adult-x", "ads-track", "casino-win", "cheap-pills", "fake-loans", "free-bets", "malware-kit", "phish-login", "porn-hub", "spam-farm", "warez-zone"]
+DOMAINS = ["example.com", "example.net", "example.org"]
+BLOCKED = [f"{site}.{domain}" for site in SITES for domain in DOMAINS]
 LIST_BYTES = 256 << 20  # the largest list that is sent to the executors
 
 
@@ -78,52 +79,75 @@ def mapped(name: str, data: bytes) -> DigestArray:
     return _mapped[name]
 
 
-def suffixes(host: str) -> list[str]:
-    """The host and its parent domains."""
-    parts = host.split(".")
-    return [".".join(parts[i:]) for i in range(len(parts))] if host else []
+def shape_of(entries: Iterable[str]) -> tuple[list[int], list[int]]:
+    """How many labels the listed hosts have, and how many characters the listed paths: what has to be probed."""
+    parts = [e.partition("/") for e in entries]
+    return sorted({h.count(".") + 1 for h, _, _ in parts}), sorted({len(slash + path) for _, slash, path in parts})
 
 
-def prefixes(host: str, path: str) -> list[str]:
-    """What a list may name: every parent domain, alone and with every leading part of the path."""
-    steps = [""] + [path[: i + 1] for i, c in enumerate(path) if c == "/" and i] + ([path] if path not in ("", "/") else [])
-    return [d + s for d in suffixes(host) for s in dict.fromkeys(steps)]
+def probes_of(host: str, path: str, labels: list[int], lengths: list[int]) -> list[str]:
+    """What a list of this shape may name: parent domains, alone or with a leading part of the path that ends in a slash or is all of it."""
+    parts = host.rsplit(".", labels[-1])[-labels[-1] :] if host and labels else []
+    steps = [path[:n] for n in lengths if n == len(path) or n < len(path) and (not n or path[n - 1] == "/")]
+    return [".".join(parts[-n:]) + s for n in labels if n <= len(parts) for s in steps]
 
 
 def _blocked(batches: Iterator[pa.RecordBatch], name: str, data) -> Iterator[pa.RecordBatch]:
-    array = mapped(name, data.value)
+    content, labels, lengths = data.value
+    array = mapped(name, content)
     for batch in batches:
-        hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        probes = [[p.encode() for p in prefixes(h, t)] for h, t in zip(hosts, paths)]
-        found = array.contains([p for ps in probes for p in ps])
-        ends = np.cumsum([0, *map(len, probes)])
-        hit = [bool(found[a:b].any()) for a, b in zip(ends, ends[1:])]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, "listed"])
+        for lo in range(0, batch.num_rows, 1024):
+            some = batch.slice(lo, 1024)
+            probes = [[p.encode() for p in probes_of(h, t, labels, lengths)] for h, t in zip(some.column(1).to_pylist(), some.column(2).to_pylist())]
+            found = array.contains([p for ps in probes for p in ps])
+            ends = np.cumsum([0, *map(len, probes)])
+            hit = [bool(found[a:b].any()) for a, b in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(hit, pa.bool_())], [*some.schema.names, "listed"])
 
 
-def listed(pages: DataFrame, entries: list[str] | None = None, most: int = LIST_BYTES) -> DataFrame:
-    """page_id, host, path, listed for pages(page_id, url). entries: hosts, or hosts with a path, in lower case."""
+def _parts(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+
+
+def listed(pages: DataFrame, entries: list[str] | DataFrame | None = None, most: int = LIST_BYTES) -> DataFrame:
+    """page_id, host, path, listed for pages(page_id, url). entries: hosts, or hosts with a path, in lower case, as a list or as a table entry.
+
+    A list of up to `most` bytes goes to the workers as a digest array; beyond that Spark joins. Null URLs and those
+    without :// are never listed; repeated rows give repeated rows; null entries list nothing; empty tables give none.
+    """
     entries = BLOCKED if entries is None else entries
-    parts = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    spark = pages.sparkSession
+    if isinstance(entries, DataFrame):
+        entries = entries.select("entry").where("entry <> ''").distinct()
+        size = entries.agg(F.coalesce(F.sum(F.octet_length("entry") + 16), F.lit(0))).first()[0]
+        if size > most:
+            return joined(pages, entries)
+        entries = [r.entry for r in entries.collect()]
     data = DigestArray.build(entries)
     if len(data) > most:
-        raise ValueError("the list is too large to send to every executor: use joined() with the list as a table")
-    shared = pages.sparkSession.sparkContext.broadcast(data)
+        return joined(pages, spark.createDataFrame([(e,) for e in entries], "entry string"))
+    shared = spark.sparkContext.broadcast((data, *shape_of(entries)))
     name = xxhash.xxh3_128_hexdigest(data)
-    return parts.mapInArrow(lambda b: _blocked(b, name, shared), "page_id long, host string, path string, listed boolean")
+    return _parts(pages).mapInArrow(lambda b: _blocked(b, name, shared), "page_id long, host string, path string, listed boolean")
 
 
 def joined(pages: DataFrame, entries: DataFrame) -> DataFrame:
     """As listed(), for lists of any size: entries(entry) is a table, joined by digest and string."""
-    parts = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    labels = F.split("host", r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    steps = F.split("path", "/")
-    whole = F.when(~F.col("path").isin("", "/"), F.col("path")).otherwise("")
-    heads = F.array_union(F.array(F.lit(""), whole), F.transform(F.filter(F.sequence(F.lit(2), F.size(steps)), lambda i: i < F.size(steps)), lambda i: F.concat(F.array_join(F.slice(steps, 1, i), "/"), F.lit("/"))))
-    probes = F.flatten(F.transform(domains, lambda d: F.transform(heads, lambda h: F.concat(d, h))))
+    table = entries.select("entry").where("entry <> ''").distinct()
+    # The list's shape, as shape_of(): as many rows as there are different lengths.
+    host = F.substring_index("entry", "/", 1)
+    shape = table.select(F.size(F.split(host, r"\.")).alias("labels"), (F.length("entry") - F.length(host)).alias("length"))
+    labels, lengths = ([r[0] for r in shape.select(c).distinct().collect()] for c in ("labels", "length"))
+    parts = _parts(pages).withColumn("row", F.monotonically_increasing_id())
+    if not labels:
+        return parts.select("page_id", "host", "path", F.lit(False).alias("listed"))
+    ints = lambda xs: F.array(*(F.lit(x) for x in xs))
+    n, path = F.size(F.split("host", r"\.")), F.col("path")
+    domains = F.transform(F.filter(ints(labels), lambda k: (k <= n) & (F.col("host") != "")), lambda k: F.call_function("substring_index", F.col("host"), F.lit("."), -k))
+    steps = F.transform(F.filter(ints(lengths), lambda k: (k == F.length(path)) | (k < F.length(path)) & ((k == 0) | (F.substring(path, k, F.lit(1)) == "/"))), lambda k: F.substring(path, F.lit(1), k))
+    probes = F.flatten(F.transform(domains, lambda d: F.transform(steps, lambda s: F.concat(d, s))))
     spread = parts.select("row", F.explode(probes).alias("entry"))
-    hits = spread.withColumn("key", F.xxhash64("entry")).join(entries.select("entry", F.xxhash64("entry").alias("key")).distinct(), ["key", "entry"], "left_semi").select("row").distinct()
+    hits = spread.withColumn("key", F.xxhash64("entry")).join(table.withColumn("key", F.xxhash64("entry")), ["key", "entry"], "left_semi").select("row").distinct()
     return parts.join(hits.withColumn("hit", F.lit(True)), "row", "left").select("page_id", "host", "path", F.coalesce("hit", F.lit(False)).alias("listed"))
 
 
@@ -131,7 +155,7 @@ def joined(pages: DataFrame, entries: DataFrame) -> DataFrame:
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str]] | None = None, entries: list[str] | None = None) -> DataFrame:
+def judged(pages: DataFrame, rules: list[tuple[str, str]] | None = None, entries: list[str] | DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict: the longest fitting rule's, else block for listed URLs and allow for others.
 
     A rule fits its host and all subdomains where the path starts with the rule's path. Null URLs and those without
