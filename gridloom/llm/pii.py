@@ -5,14 +5,14 @@ case, the bare digits of a number, a name without its title), so that mentions o
 everywhere. The table of distinct canonical forms gives each a surrogate from a keyed SHA-256: same kind, same
 shape (digits for digits, letters for letters, title and case kept, Luhn digits valid), fictional ranges where
 there are any. Collision checks run on that table: a surrogate must be new among the surrogates and must not be
-an entity of the corpus; who loses draws again.
+an entity of the corpus; who loses draws again. Surnames have a table of their own, from which names are put together.
 
 Equal texts share their replacements: entities are found and joined once per distinct text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import materialise
@@ -37,19 +37,21 @@ SYLLABLES = ["ba", "cor", "del", "fen", "gar", "hol", "kim", "lan", "mor", "nel"
 SYLLABLES_CYRILLIC = ["бар", "вол", "гор", "дем", "зав", "ков", "лан", "мир", "нов", "пет", "рож", "сав", "тим", "фед", "хар", "чер"]
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
+EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 CLOUD_KEY = r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?:sk|ghp|gho|ghs|xoxb|xoxp)[-_][A-Za-z0-9_\-]{16,}+"
 SECRET_WORD = r"(?i:password|passwd|pwd|token|secret|api[_\-]?key|access[_\-]?key)"
-SECRET = rf"\b{SECRET_WORD}\s{{0,3}}[=:]\s{{0,3}}[\"']?(?=[A-Za-z+/_.=\-]*+\d)[A-Za-z0-9+/_.=\-]{{8,}}(?<!\.)[\"']?"
+#: After "=" any value of 8 characters; after ":", where a word of prose may stand, one with a digit, a mark inside or capitals after small letters.
+VALUE = r"(?=[\"']?(?:[A-Za-z+/_.=\-]*+\d|[A-Za-z.\-]++[+/_=][A-Za-z]|[A-Z]*+[a-z\-]++[A-Z]))"
+SECRET = rf"\b{SECRET_WORD}\s{{0,3}}(?:=\s{{0,3}}|:\s{{0,3}}{VALUE})[\"']?[A-Za-z0-9+/_.=\-]{{8,}}(?<!\.)[\"']?"
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
 PHONE = r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 CARD = r"(?<![\d.\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?![\d\-])"
 TITLES = "|".join([*MALE, *FEMALE, *EITHER])
-NAME = rf"(?<!\p{{L}})(?:{TITLES})\.?[  ](?:\p{{Lu}}[\p{{L}}'\-]{{1,40}})(?:[  ]\p{{Lu}}[\p{{Ll}}'\-]{{1,40}}(?!\p{{L}}))?"
+NAME = rf"(?<!\p{{L}})(?:{TITLES})\.?[  ](?:\p{{Lu}}[\p{{L}}'\-]++)(?:[  ]\p{{Lu}}[\p{{Ll}}'\-]++(?!\p{{L}}))?"
 ENTITY = "|".join([EMAIL, CLOUD_KEY, SECRET, IP, PHONE, SSN, CARD, NAME])
 #: What every entity has one of: lets most texts go by after one quick scan.
-MAYBE = rf"[0-9@]|(?<!\p{{L}})(?:{TITLES})\.?[  ]"
+MAYBE = rf"[0-9@]|\b{SECRET_WORD}\s{{0,3}}[=:]|\b(?:sk|gh[pos]|xox[bp])[-_]|\bA[KS]IA[A-Z]|(?<!\p{{L}})(?:{TITLES})\.?[  ]"
 
 
 def luhn(digits: Column) -> Column:
@@ -108,7 +110,7 @@ def _like(text: Column, stream: Column, only_hex: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
-def surrogate(k: Column, form: Column, stream: Column) -> Column:
+def surrogate(k: Column, form: Column, stream: Column, attempt: int = 0) -> Column:
     """The surrogate of a canonical form, in canonical form."""
     digits = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: (_draw(stream, i) % 10).cast("string")), "")
     n = F.length(form)
@@ -125,49 +127,61 @@ def surrogate(k: Column, form: Column, stream: Column) -> Column:
     prefix = F.regexp_extract(form, rf"^({SECRET_WORD}\s*[=:]\s*[\"']?|AKIA|ASIA|(?:sk|ghp|gho|ghs|xoxb|xoxp)[-_])", 1)
     value = F.substring(form, F.length(prefix) + 1, n)
     hidden = F.concat(prefix, _like(value, stream, value.rlike("^[0-9a-f]+[\"']?$")))
-    return F.when(k == "email", email).when(k == "phone", phone).when(k == "ssn", ssn).when(k == "card", card).when(k == "ip", ip).when(k == "name", _name(form, stream)).otherwise(hidden)
+    return F.when(k == "email", email).when(k == "phone", phone).when(k == "ssn", ssn).when(k == "card", card).when(k == "ip", ip).when(k == "surname", _surname(form, stream, attempt)).otherwise(hidden)
 
 
-def _name(form: Column, stream: Column) -> Column:
-    """gender|given surname or gender|surname -> a name of the same gender, script and number of words. A word's surrogate follows from the word alone, so that a surname meets itself with and without a given name."""
-    words = F.split(F.substring(form, 3, 200), "[  ]")
-    cyrillic = form.rlike(r"\p{IsCyrillic}")
-    gender = F.substring(form, 1, 1)
-    salt = F.substring(stream, 121, 8)  # constant at the first try, see streams()
+def _surname(form: Column, stream: Column, attempt: int) -> Column:
+    """A word of syllables in the script of the form, of four syllables and two more at each further attempt."""
+    at = [_draw(stream, F.lit(i)) for i in range(1, 5 + 2 * attempt)]
+    return F.when(form.rlike(r"\p{IsCyrillic}"), F.concat(*(_pick(SYLLABLES_CYRILLIC, i) for i in at))).otherwise(F.concat(*(_pick(SYLLABLES, i) for i in at)))
 
-    def hashed(word: Column) -> Column:
-        return F.sha2(F.concat_ws("|", word, salt), 256)
 
-    def number(word: Column, i: int) -> Column:
-        return F.conv(F.substring(hashed(word), 2 * i + 1, 2), 16, 10).cast("int")
-
-    last = F.element_at(words, -1)
-    surname = F.concat(*(F.when(cyrillic, _pick(SYLLABLES_CYRILLIC, number(last, i))).otherwise(_pick(SYLLABLES, number(last, i))) for i in range(4)))
-    given = _pick([""], F.lit(0))
+def _given(gender: Column, form: Column, number: Column) -> Column:
+    """The number-th given name of a gender and script, from 0: the list's own, then two joined, then three."""
+    out = F.lit("")
     for g in "mfn":
-        given = F.when(gender == g, F.when(cyrillic, _pick(GIVEN_CYRILLIC[g], number(words[0], 9))).otherwise(_pick(GIVEN[g], number(words[0], 9)))).otherwise(given)
-    return F.concat(gender, F.lit("|"), F.when(F.size(words) > 1, F.concat(F.lower(given), F.lit(" "), surname)).otherwise(surname))
+        for script, names in ((False, GIVEN[g]), (True, GIVEN_CYRILLIC[g])):
+            n = len(names)
+            more = lambda left, names=names, n=n: _pick(names, F.pmod(left, F.lit(n)).cast("int"))
+            first, second, third = number, F.floor(number / n) - 1, F.floor((F.floor(number / n) - 1) / n) - 1
+            name = F.concat(more(first), F.when(second >= 0, F.concat(F.lit("-"), more(second))).otherwise(""), F.when(third >= 0, F.concat(F.lit("-"), more(third), F.when(third >= n, F.floor(third / n).cast("string")).otherwise(""))).otherwise(""))
+            out = F.when((gender == g) & (form.rlike(r"\p{IsCyrillic}") == F.lit(script)), name).otherwise(out)
+    return F.lower(out)
 
 
 def streams(k: Column, form: Column, key: str, attempt: int) -> Column:
-    """128 keyed hexadecimal letters. Of names, the last eight depend on key and attempt only."""
+    """128 keyed hexadecimal letters."""
     one = F.sha2(F.concat_ws("|", F.lit(key), k, form, F.lit(str(attempt))), 256)
     two = F.sha2(F.concat_ws("|", F.lit(key), form, k, F.lit(str(attempt))), 256)
-    fixed = F.sha2(F.lit(f"{key}|name|{attempt}"), 256)
-    return F.when(k == "name", F.concat(one, F.substring(two, 1, 56), F.substring(fixed, 1, 8))).otherwise(F.concat(one, two))
+    return F.concat(one, two)
 
 
 def surrogate_table(forms: DataFrame, key: str = KEY) -> DataFrame:
     """kind, form, surrogate of distinct (kind, form): no two forms of a kind share one, and none is itself a form.
 
-    Forms that collide draw again, TRIES times; whatever still collides then (a kind whose space is used up) gets
-    its kind and 128 bits of its keyed hash, which is unique.
+    Surnames are drawn first, as a table of words without gender or given name, so that a surname meets itself in every
+    mention. A name is put together from its surname's surrogate and, if it has a given name, one of the same gender and
+    script: the given names that stand with one surname and gender are numbered in the order of their keyed hashes, so no
+    two of them share a surrogate.
     """
-    spark = forms.sparkSession
-    forms = materialise(forms, "forms")
+    forms = materialise(forms.select("kind", "form"), "forms")
+    names = forms.where("kind = 'name'").select("form", F.substring("form", 1, 1).alias("gender"), F.split(F.expr("substring(form, 3)"), "[  ]").alias("words"))
+    names = names.withColumn("surname", F.element_at("words", -1))
+    table = _drawn(forms.where("kind <> 'name'").union(names.select(F.lit("surname"), "surname").distinct()), key)
+    beside = Window.partitionBy("gender", "surname", F.size("words")).orderBy(F.sha2(F.concat_ws("|", F.lit(key), F.element_at("words", 1)), 256), "form")
+    numbered = names.withColumn("number", F.row_number().over(beside) - 1)
+    drawn = table.where("kind = 'surname'").select(F.col("form").alias("surname"), F.col("surrogate").alias("new"))
+    given = F.when(F.size("words") > 1, F.concat(_given(F.col("gender"), F.col("form"), F.col("number")), F.lit(" "))).otherwise("")
+    composed = numbered.join(drawn, "surname").select(F.lit("name").alias("kind"), "form", F.concat("gender", F.lit("|"), given, "new").alias("surrogate"))
+    return table.where("kind <> 'surname'").union(composed)
+
+
+def _drawn(forms: DataFrame, key: str) -> DataFrame:
+    """kind, form, surrogate of distinct (kind, form). Forms that collide draw again, TRIES times; whatever still collides then (a kind whose space is used up) gets its kind and 128 bits of its keyed hash, which is unique."""
+    forms = materialise(forms, "drawn")
     taken, pending = None, forms
     for attempt in range(TRIES):
-        drawn = pending.withColumn("stream", streams(F.col("kind"), F.col("form"), key, attempt)).withColumn("surrogate", surrogate(F.col("kind"), F.col("form"), F.col("stream")))
+        drawn = pending.withColumn("stream", streams(F.col("kind"), F.col("form"), key, attempt)).withColumn("surrogate", surrogate(F.col("kind"), F.col("form"), F.col("stream"), attempt))
         won = drawn.groupBy("kind", "surrogate").agg(F.min("form").alias("form"))
         won = won.join(forms.withColumnRenamed("form", "surrogate"), ["kind", "surrogate"], "left_anti")
         if taken is not None:
@@ -187,7 +201,7 @@ def written(entity: Column, k: Column, new: Column) -> Column:
     filled = F.array_join(F.transform(F.sequence(F.lit(1), F.length(entity)), lambda i: F.when(F.substring(entity, i, F.lit(1)).rlike("[0-9]"), F.substring(new, F.length(_digits(F.substring(entity, F.lit(1), i))), F.lit(1))).otherwise(F.substring(entity, i, F.lit(1)))), "")
     title = F.regexp_extract(entity, rf"^((?:{TITLES})\.?[  ])", 1)
     rest = F.substring(entity, F.length(title) + 1, F.length(entity))
-    name = F.initcap(F.substring(new, 3, 200))
+    name = F.array_join(F.transform(F.split(F.expr("substring(surrogate, 3)"), "-"), F.initcap), "-")
     named = F.concat(title, F.when((rest == F.upper(rest)) & (F.length(rest) > 1), F.upper(name)).otherwise(name))
     mail = F.when(entity == F.upper(entity), F.upper(new)).otherwise(new)
     return F.when(new.startswith("["), new).when(k.isin("phone", "ssn", "card"), filled).when(k == "name", named).when(k == "email", mail).otherwise(new)

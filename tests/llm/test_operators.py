@@ -163,6 +163,33 @@ def test_pii_long_secrets(spark):
     assert first == second != "password=49b0203a9cc466e6ee"
 
 
+def test_pii_secrets_without_digits(spark):
+    """After "=" any value is a secret; after ":" one that doesn't look like a word of prose. Long addresses and names go whole."""
+    secrets = ["password=correcthorsebattery", "token: abcDefghIjk", "secret: abc/defghijk", "api_key = 'QWERTYUIOPAS'", "x" * 80 + ".y@post.site.info", "Mrs " + "Longname" * 12]
+    prose = ["password: required", "The secret: nobody knows", "token: something-else"]
+    texts = [f"see {s} end" for s in [*secrets, *prose]]
+    rows = {r.doc_id: r for r in pii.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, s in enumerate(secrets):
+        value = s.split()[-1].split("=")[-1].strip("'")
+        assert rows[i].n_entities == 1 and not any(value[k : k + 8] in rows[i].text for k in range(len(value) - 7)), rows[i].text
+    assert all(rows[len(secrets) + i].text == f"see {p} end" for i, p in enumerate(prose))
+
+
+def test_pii_surnames(spark):
+    """20,000 surnames, alone and with given names: each keeps one surrogate in all mentions, none shares one, none gets a tag."""
+    rng = random.Random(3)
+    surnames = list({"".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(20_400)})[:20_000]
+    forms = [("name", f"{g}|{given}{s}") for s in surnames for g, given in (("m", ""), ("f", "anna "), ("m", "john "))]
+    forms += [("name", f"m|given{i} {surnames[0]}") for i in range(1000)]
+    rows = pii.surrogate_table(spark.createDataFrame(forms, "kind string, form string")).collect()
+    assert len(rows) == len(forms) == len({r.surrogate for r in rows}) and not any("[" in r.surrogate for r in rows)
+    new = collections.defaultdict(set)
+    for r in rows:
+        assert r.surrogate[:2] == r.form[:2] and r.surrogate.count(" ") == r.form.count(" ")
+        new[r.form[2:].split(" ")[-1]].add(r.surrogate[2:].split(" ")[-1])
+    assert all(len(v) == 1 for v in new.values()) and not {w for v in new.values() for w in v} & set(surnames)
+
+
 def test_pii_collisions(spark):
     """Many numbers of a small space: surrogates stay distinct, and none is a number of the corpus."""
     forms = spark.range(40_000).select(F.lit("phone").alias("kind"), F.lpad(F.col("id").cast("string"), 7, "5550000").alias("form"))
@@ -226,8 +253,22 @@ def test_digest_array(spark):
     for entries in (["b.example.com"], ["b.example.com/p/"], ["a.b.example.com/p/q"]):
         table = spark.createDataFrame([(e,) for e in entries], "entry string")
         assert {r.page_id: r.listed for r in urls.listed(pages, entries).collect()} == {r.page_id: r.listed for r in urls.joined(pages, table).collect()} == {1: True, 2: False, 3: False}
-    with pytest.raises(ValueError):
-        urls.listed(pages, names, most=100)
+    big = [*names, "b.example.com"]
+    assert {r.page_id: r.listed for r in urls.listed(pages, big, most=100).collect()} == {1: True, 2: False, 3: False}  # beyond the bound: a join
+
+
+def test_url_lists_alike(spark):
+    """Digest array and join agree on odd URLs, long ones too, and with a list as a table."""
+    long = "/a" * 50_000
+    pages = [(1, "x://h.example.com/x/y"), (1, "x://h.example.com/x/y"), (2, "x://h.example.com" + long), (3, "x://" + "a." * 20_000 + "example.com/x/"), (4, None), (5, ""), (None, "x://h.example.com/x"), (6, "x://example.com"), (7, "x:///x/"), (8, "x://h.example.com/x/?q"), (9, "x://H.EXAMPLE.com/x/é/z")]
+    table = spark.createDataFrame(pages, "page_id long, url string")
+    for entries in (["h.example.com/x/"], ["h.example.com/a/a/"], ["example.com/x/", "h.example.com/x/é/"], ["com" + long], ["a.example.com"], []):
+        listed = spark.createDataFrame([(e,) for e in [*entries, None, *entries]], "entry string")
+        got = [sorted((r.page_id or -1, len(r.path), r.listed) for r in found.collect()) for found in (urls.listed(table, entries), urls.joined(table, listed), urls.listed(table, listed), urls.listed(table, listed, most=0))]
+        assert got[0] == got[1] == got[2] == got[3] and len(got[0]) == len(pages), entries
+        want = {p: any((("." + h).endswith("." + e.partition("/")[0]) and (q == e[len(e.partition("/")[0]) :] or q.startswith(e[len(e.partition("/")[0]) :]) and e.endswith("/") or "/" not in e)) for e in entries) for p, h, q in ((1, "h.example.com", "/x/y"), (2, "h.example.com", long), (6, "example.com", ""), (9, "h.example.com", "/x/é/z"))}
+        assert all(dict((x[0], x[2]) for x in got[0])[p] == v for p, v in want.items()), entries
+    assert urls.joined(table.limit(0), spark.createDataFrame([("a",)], "entry string")).count() == 0
 
 
 def test_quality():
