@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,16 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements that never have text of the page.
-SILENT = frozenset("script style noscript template head title iframe object svg math select option datalist textarea button canvas audio video".split())
+SILENT = frozenset("script style noscript template head title iframe object svg select option datalist textarea button canvas audio video".split())
 #: Elements that do not end a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder mfenced semantics mstyle mspace".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILER = frozenset("nav footer aside menu dialog".split())
 FORM = frozenset("form fieldset label input".split())
 MAIN = frozenset("article main".split())
 #: What class, id and role say of an element: whole words of them.
 ADVERT = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted".split())
-AROUND = frozenset("nav navbar navigation menu sidebar aside footer header masthead breadcrumb breadcrumbs toolbar pagination pager share sharing social related recommended widget newsletter subscribe signup login search copyright legal tags".split())
+AROUND = frozenset("nav navbar navigation menu sidebar aside footer header masthead breadcrumb breadcrumbs toolbar pagination pager share sharing social related recommended widget newsletter subscribe signup login search copyright tags".split())
 NOTICE = frozenset("cookie cookies consent gdpr notice alert popup modal overlay paywall disclaimer privacy".split())
 COMMENT = frozenset("comment comments reply replies respond disqus discussion reader reviews".split())
 OWN = frozenset("article post entry story".split())
@@ -42,6 +43,10 @@ SPACE = re.compile(r"\s+")
 COLUMNS = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "in_boiler", "in_form", "in_advert", "in_around", "in_notice", "in_comment", "in_header", "hidden", "heading", "has_main")
 
 
+#: Marks of inline elements whose text is none of the block's.
+SILENCING = frozenset(("in_advert", "in_comment", "hidden"))
+
+
 class Block:
     __slots__ = ("text", "words", "linked", "marks")
 
@@ -86,11 +91,14 @@ def _marks(name: str, attributes: str) -> frozenset[str]:
 def blocks(page: str | None) -> list[Block]:
     """The page's text blocks in order. White space counts as one space; character references are decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[tuple[str, frozenset[str], bool]] = []  # name, marks of the blocks in it, whether its text counts
+    open_names: Counter = Counter()  # of the stack: an end tag that matches nothing costs no walk
     marks: frozenset[str] = frozenset()
+    quiet = 0  # open inline adverts and other inline parts that are no text of their block
     text: list[str] = []
     linked: list[str] = []
     link = 0
+    missing: set[str] = set()  # silent elements that have no end tag further on
 
     def flush() -> None:
         if text:
@@ -101,12 +109,28 @@ def blocks(page: str | None) -> list[Block]:
             linked.clear()
 
     def add(raw: str) -> None:
-        if raw:
+        if raw and not quiet:
             plain = html.unescape(raw) if "&" in raw else raw
             text.append(plain)
             if link:
                 linked.append(plain)
 
+    def close(at: int) -> None:
+        """Ends the element at this place of the stack and all that are open in it."""
+        nonlocal link, marks, quiet
+        for n, _, counts in stack[at:]:
+            open_names[n] -= 1
+            link -= n == "a"
+            quiet -= not counts
+        del stack[at:]
+        marks = stack[-1][1] if stack else frozenset()
+
+    def last(name: str) -> int:
+        at = len(stack) - 1
+        while stack[at][0] != name:
+            at -= 1
+        return at
+
     page, at = page or "", 0
     while m := TAG.search(page, at):
         add(page[at : m.start()])
@@ -120,17 +144,15 @@ def blocks(page: str | None) -> list[Block]:
         if m[1]:
             if name not in INLINE:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    link -= sum(1 for n, _ in stack[i:] if n == "a")
-                    del stack[i:]
-                    marks = stack[-1][1] if stack else frozenset()
-                    break
+            if open_names[name]:
+                close(last(name))
             continue
         if name in SILENT and not m[3].endswith("/"):
             if name not in INLINE:
                 flush()
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            end = None if name in missing else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            if not end:
+                missing.add(name)
             if name == "head":
                 body = re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, at)
                 at = (body.end() if body and body[0][1] == "/" else body.start()) if body else at
@@ -143,18 +165,19 @@ def blocks(page: str | None) -> list[Block]:
             flush()
         if name in VOID or m[3].endswith("/"):
             continue
-        if name in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and stack and name in (n for n, _ in stack[-3:]):
-            # These end the one before them.
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    marks = stack[-1][1] if stack else frozenset()
-                    break
+        if name in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and name in (n for n, _, _ in stack[-3:]):
+            close(last(name))  # these end the one before them
         own = _marks(name, m[3])
-        marks = marks | own if own else marks
-        stack.append((name, marks))
-        if name == "a":
-            link += 1
+        counts = True
+        if name in INLINE:
+            # An inline element doesn't mark the block around it; its own text is left out where it is an advert, hidden or the like.
+            counts = not own & SILENCING
+        else:
+            marks = marks | own if own else marks
+        stack.append((name, marks, counts))
+        open_names[name] += 1
+        quiet += not counts
+        link += name == "a"
     add(page[at:])
     flush()
     return out
