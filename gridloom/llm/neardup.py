@@ -16,6 +16,7 @@ A pair of similarity 0.8 shares no bucket with a probability of (1 - 0.8**ROWS)*
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,8 @@ from gridloom.llm.common import ascii_words, materialise, semi_join
 ROWS = 6  # signature components in a band
 BANDS = 40
 SIGNATURE = ROWS * BANDS
-BLOCK = 64  # representatives in a block of the second comparison
+CELL_BYTES = 32 << 20  # bytes of sets on either side of a cell of the second comparison, about
+CELL_SETS = 64  # sets on a side of such a cell below which a cluster is not cut further
 AT_ONCE = 40_000  # shingles whose signatures are made together: bounds a task's memory
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -140,25 +142,31 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _between_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of (rep, part, members), one against the other: the links between different parts."""
-    for batch in batches:
-        for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            links = []
-            sets = [np.frombuffer(x["members"], np.uint64) for x in right]
-            sizes, reps, parts = np.array([len(s) for s in sets]), np.array([x["rep"] for x in right]), np.array([x["part"] for x in right])
-            for x in left:
-                own = np.frombuffer(x["members"], np.uint64)
-                fits = np.flatnonzero((parts != x["part"]) & (100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own))))
-                if not len(fits):
-                    continue
-                flat = np.concatenate([sets[i] for i in fits])
-                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-                ends = np.cumsum(sizes[fits])
-                shared = np.diff(np.concatenate([[0], np.cumsum(own[at] == flat)[ends - 1]]))
-                hit = 100 * shared >= percent * (sizes[fits] + len(own) - shared)
-                links += [(x["rep"], int(r)) for r in reps[fits[hit]]]
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+def _between(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
+    """(rep, part, members) of both sides of a cell: the links between different parts."""
+    links = []
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in right.column("members")]
+    reps, parts = right.column("rep").to_numpy(), right.column("part").to_numpy()
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sets, reps, parts = [sets[i] for i in order], reps[order], parts[order]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    for rep, part, members in zip(left.column("rep").to_pylist(), left.column("part").to_pylist(), left.column("members")):
+        own = np.frombuffer(members.as_buffer(), np.uint64)
+        # Only sets of a fitting size can be similar enough: a range, since they are sorted by size.
+        lo, hi = np.searchsorted(100 * sizes, percent * len(own)), np.searchsorted(percent * sizes, 100 * len(own), "right")
+        while lo < hi:
+            some = np.arange(lo, min(lo + 256, hi))
+            lo += 256
+            some = some[parts[some] != part]
+            if not len(some):
+                continue
+            flat = np.concatenate([sets[i] for i in some])
+            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            ends = np.cumsum(sizes[some])
+            shared = np.diff(np.concatenate([[0], np.cumsum(own[at] == flat)[ends - 1]]))
+            hit = 100 * shared >= percent * (sizes[some] + len(own) - shared)
+            links += [(rep, int(r)) for r in reps[some[hit]]]
+    return pa.table({c: pa.array([p[i] for p in links], pa.int64()) for i, c in enumerate("ab")})
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,19 +282,25 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _second_look(clusters: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of one cluster that are in different groups: members outside the cluster's largest group against all members, in blocks."""
+    """Links between members of one cluster that are in different groups: members outside the cluster's largest group against all members.
+
+    A cluster is a grid of g x g cells, each of which meets in one task: a g-th of the left members and a g-th of all. A
+    set is shuffled g times, where g is what the tasks' number asks for, and more only where a cell would hold too many bytes.
+    """
     inside = clusters.withColumnsRenamed({"node": "rep", "component": "cluster"}).join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).select("cluster", "rep", "part")
-    inside = materialise(inside, "clusters")
-    sizes = inside.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all")).select("cluster", F.col("top.part").alias("main"), F.ceil(F.col("all") / BLOCK).alias("blocks"))
-    named = inside.join(main, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-    entry = F.struct("rep", "part", "members")
-    with_sets = named.join(sets, "rep")
-    right = with_sets.groupBy("cluster", "block").agg(F.collect_list(entry).alias("right"))
-    left = with_sets.where("part <> main").groupBy("cluster", F.col("block").alias("other")).agg(F.collect_list(entry).alias("left"))
-    # Deal the blocks of one cluster over all tasks: they carry the work.
-    both = left.join(right, "cluster").repartition("cluster", "block", "other").select("left", "right")
-    return materialise(both.mapInArrow(lambda x: _between_blocks(x, percent), "a long, b long").distinct(), "more")
+    inside = materialise(inside.join(sets, "rep"), "clusters")
+    sizes = inside.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("members")).alias("bytes"))
+    tasks = sets.sparkSession.sparkContext.defaultParallelism
+    spread = F.least(F.ceil(F.sum("n") / CELL_SETS), F.lit(math.isqrt(2 * tasks) + 1))
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("top"), F.greatest(spread, F.ceil(F.sum("bytes") / CELL_BYTES)).alias("g")).select("cluster", F.col("top.part").alias("main"), "g")
+    named = inside.join(materialise(main, "grids"), "cluster")
+    own, every = F.pmod(F.xxhash64("rep"), F.col("g")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))
+    left = named.where("part <> main").select("cluster", own.alias("down"), every.alias("across"), "rep", "part", "members")
+    right = named.select("cluster", every.alias("down"), own.alias("across"), "rep", "part", "members")
+    cell = ["cluster", "down", "across"]
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # columns of their own
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(lambda k, x, y: _between(k, x, y, percent), "a long, b long")
+    return materialise(found.distinct(), "more")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
