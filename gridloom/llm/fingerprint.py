@@ -21,10 +21,10 @@ from gridloom.llm.common import materialise, semi_join
 
 LOW, HIGH = 0.0005, 0.05  # the band: shares of documents that have a word
 LEAST = 2  # documents that have it at least
-SLOTS = 1 << 20
+SLOTS = 1 << 22
 LEXICONS = 256
 ENTRY = 8  # letters of a fingerprint's entry: two for the subset, six for the hash
-BUCKET = 512  # ids in a bucket of neighbours
+BUCKET = 512  # documents in a bucket of neighbours, about
 
 
 def terms(text: Column) -> Column:
@@ -89,12 +89,18 @@ def likeness(a: Column, b: Column, a_subsets: Column, b_subsets: Column) -> Colu
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, next_id, next_text: of each document the next one in descending doc_id; after the last comes the first.
 
-    Neighbours meet in buckets of BUCKET ids, in one shuffle of the texts. The first document of each bucket also
-    goes, as a guest, to the end of the bucket before it: the neighbour of that one's last document. Null ids come
-    last. Among rows of one doc_id the smaller text comes first.
+    Neighbours meet in buckets of ids, in one shuffle of the texts; the buckets' width follows from how densely the ids
+    lie, so that hashed ids share buckets as consecutive ones do. The first document of each bucket also goes, as a
+    guest, to the end of the bucket before it: the neighbour of that one's last document. Null ids come last, dealt to
+    buckets of their own by a hash of their texts. Among rows of one doc_id, or of one bucket of null ids, the smaller
+    text comes first.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("bucket", F.coalesce(F.floor(F.col("doc_id") / BUCKET), F.lit(-(2**62))))
+    size = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nameless")).first()
+    width, lots = width_of(size.low, size.high, size.n), -(-size.nameless // BUCKET) or 1
+    least = _div(size.low, width) if size.n else 0
+    nameless = F.lit(least - 1) - F.pmod(F.xxhash64("text"), F.lit(lots))
+    rows = rows.withColumn("bucket", F.coalesce(F.call_function("div", F.col("doc_id"), F.lit(width)), nameless))
     tops = materialise(rows.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")), "buckets")
     first = semi_join(rows, tops.select("doc_id").where("doc_id is not null"), "doc_id").union(rows.where("doc_id is null"))
     heads = first.groupBy(F.col("bucket").alias("next_bucket")).agg(F.max("doc_id").alias("doc_id"), F.min("text").alias("text"))
@@ -104,6 +110,16 @@ def with_next(docs: DataFrame) -> DataFrame:
     return near.where("guest = 0").select("doc_id", "text", "next_id", "next_text")
 
 
+def width_of(low: int | None, high: int | None, n: int) -> int:
+    """How many ids a bucket spans, so that n ids between low and high fill buckets of BUCKET documents on average."""
+    return min(max(1, (high - low + 1) * BUCKET // n), 2**62) if n else 1
+
+
+def _div(a: int, b: int) -> int:
+    """Whole division towards 0, as Spark's div."""
+    return a // b if a >= 0 else -(-a // b)
+
+
 def _next_bucket(buckets: DataFrame) -> DataFrame:
     """bucket, next_bucket: the next smaller one, after the smallest the largest. Coarse ranges of buckets are ordered on their own; only their ends are ordered together."""
     wide = buckets.withColumn("range", F.floor(F.col("bucket") / 65_536))

@@ -243,6 +243,58 @@ def test_fingerprints(spark, docs):
     assert np.mean([r.near_edited for r in rows.values()]) > 5 * np.mean([r.near_next for r in rows.values()])
 
 
+@pytest.mark.parametrize("ids", ["hashed", "dense", "negative", "nulls"])
+def test_next_documents(spark, ids):
+    """Neighbours in descending order of the ids, however they lie; null ids are spread over buckets and stand behind the others."""
+    rng = random.Random(5)
+    made = {"hashed": lambda: rng.randrange(-(2**63), 2**63), "dense": lambda: rng.randrange(10**9, 10**9 + 10**5), "negative": lambda: -rng.randrange(1, 5000), "nulls": lambda: rng.choice([None, rng.randrange(10**12)])}[ids]
+    keys = [made() for _ in range(3000)]
+    keys = list(dict.fromkeys(k for k in keys if k is not None)) + [k for k in keys if k is None]
+    docs = spark.createDataFrame([(k, f"text {n}") for n, k in enumerate(keys)], "doc_id long, text string")
+    rows = fingerprint.with_next(docs).collect()
+    known = sorted((k for k in keys if k is not None), reverse=True)
+    text = {k: f"text {n}" for n, k in enumerate(keys)}
+    found = {r.doc_id: (r.next_id, r.next_text) for r in rows if r.doc_id is not None}
+    assert len(rows) == len(keys) and all(found[a] == (b, text[b]) for a, b in zip(known, known[1:]))
+    nameless = {r.text: (r.next_id, r.next_text) for r in rows if r.doc_id is None}
+    at, seen = found[known[-1]], 0
+    while at[0] is None:  # a walk through all null ids, back to the first document
+        at, seen = nameless[at[1]], seen + 1
+    assert seen == len(nameless) == sum(k is None for k in keys) and at == (known[0], text[known[0]])
+
+
+def test_fingerprints_by_brute_force(spark, docs):
+    """Fingerprints and likenesses recomputed in Python from the documents' frequencies: same groups of equal fingerprints, same likenesses."""
+    import re
+
+    words = {d: set(re.findall(r"[^\W_]+", t.lower())) for d, t in docs.items()}
+    df = collections.Counter(w for ws in words.values() for w in ws)
+    n, spark_words = len(docs), spark.createDataFrame([(w,) for w in df], "word string")
+    info = {r.word: (r.slot, r.subset) for r in spark_words.select("word", fingerprint.slot(F.col("word")).alias("slot"), F.pmod(F.xxhash64("word", F.lit(1)), F.lit(fingerprint.LEXICONS)).alias("subset")).collect()}
+    slots = collections.Counter(s for ws in words.values() for s in {info[w][0] for w in ws})
+    low, high = max(fingerprint.LEAST, fingerprint.LOW * n), max(fingerprint.LEAST, fingerprint.HIGH * n)
+
+    def entries(text):
+        ws = set(re.findall(r"[^\W_]+", text.lower()))
+        used = {w for w in ws if low <= slots[info[w][0] if w in info else None] <= high} or ws or {text}
+        out = collections.defaultdict(set)
+        for w in used:
+            out[info[w][1] if w in info else ("other", w)].add(w)
+        return {(k, frozenset(v)) for k, v in out.items()}
+
+    ids = sorted(docs, reverse=True)
+    rows = {r.doc_id: r for r in queries.op5_fingerprint(spark, SF).collect()}
+    by_print, by_entries, close = collections.defaultdict(set), collections.defaultdict(set), 0
+    for d, after in zip(ids, ids[1:] + ids[:1]):
+        a, c = entries(docs[d]), entries(docs[after])
+        by_print[rows[d].fingerprint].add(d)
+        by_entries[frozenset(a)].add(d)
+        want = len(a & c) / len({k for k, _ in a | c})
+        close += abs(want - rows[d].near_next) < 1e-9
+    assert sorted(map(sorted, by_print.values())) == sorted(map(sorted, by_entries.values()))
+    assert close >= 0.97 * len(docs)  # what is left: texts of other scripts, whose words Python and Java cut apart differently
+
+
 def test_fingerprint_by_hand(spark):
     """One entry for each subset, of the hash of its sorted words; words outside the band don't count."""
     texts = [(i, f"common rare{i} mid{i % 4} mid{i % 5}") for i in range(40)]
