@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,7 +48,7 @@ def _encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
     tokenizer = tokenizer_of(path)
     for batch in batches:
         words = batch.column(0).to_pylist()
-        ids = [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+        ids = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
 
@@ -80,9 +81,10 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str, hot, schema: pa.Schem
             some = batch.slice(lo, 256)
             split = [(t or "").encode("utf-8", "surrogatepass").split() for t in some.column(1).to_pylist()]
             if len(rare) > CACHED:
-                rare.clear()
+                for w in list(islice(rare, CACHED // 2)):  # the older half
+                    del rare[w]
             new = [w for w in set().union(*split) if w not in table and w not in rare]
-            for w, e in zip(new, tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)):
+            for w, e in zip(new, tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)):
                 rare[w] = (len(e.ids), " ".join(map(str, e.ids)).encode(), " ".join(map(tokenizer.id_to_token, e.ids)).encode())
             rows = []
             for words in split:
