@@ -291,7 +291,7 @@ def _second_look(clusters: DataFrame, found: DataFrame, sets: DataFrame, percent
     inside = materialise(inside.join(sets, "rep"), "clusters")
     sizes = inside.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("members")).alias("bytes"))
     tasks = sets.sparkSession.sparkContext.defaultParallelism
-    spread = F.least(F.ceil(F.sum("n") / CELL_SETS), F.lit(math.isqrt(2 * tasks) + 1))
+    spread = F.least(F.ceil(F.sum("n") / CELL_SETS), F.lit(math.isqrt(8 * tasks) + 1))
     main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("top"), F.greatest(spread, F.ceil(F.sum("bytes") / CELL_BYTES)).alias("g")).select("cluster", F.col("top.part").alias("main"), "g")
     named = inside.join(materialise(main, "grids"), "cluster")
     own, every = F.pmod(F.xxhash64("rep"), F.col("g")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))
