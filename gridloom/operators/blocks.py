@@ -117,6 +117,7 @@ def matmul(left: DataFrame, right: DataFrame, blocks_down: int, blocks_across: i
     a = left.select(F.floor(F.col("bi") / g).alias("row"), every(blocks_across).alias("col"), slab("bj").alias("slab"), "bi", F.col("bj").alias("k"), "n_rows", "n_cols", "data")
     b = right.select(every(blocks_down).alias("row"), F.floor(F.col("bj") / g).alias("col"), slab("bi").alias("slab"), F.col("bi").alias("k"), "bj", "n_rows", "n_cols", "data")
     schema = SCHEMA.replace("double", dict(left.dtypes)["data"][6:-1])
+    a, b = a.toDF(*a.columns), b.toDF(*b.columns)  # columns of their own, also where both sides are one table
     part = a.groupBy("row", "col", "slab").cogroup(b.groupBy("row", "col", "slab")).applyInArrow(_multiply, schema)
     while slabs > 1:
         slabs = -(-slabs // SLAB)

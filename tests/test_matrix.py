@@ -160,3 +160,22 @@ def test_compute_and_limits(spark, folder):
     with pytest.raises(ValueError):
         api.zeros(spark, (10**5, 10**5)).to_numpy()
     assert F is not None
+
+
+def test_square_of_one_table_over_several_slabs(spark, monkeypatch):
+    """A = B in blocks of float32, with super-blocks and more than one slab."""
+    monkeypatch.setattr(blocks, "side", lambda *args: 3)
+    x = np.random.default_rng(5).random((78, 78)).astype("float32")
+    cells = blocks.to_blocks(api.array(spark, x).cells, 78, 78, 4, "float")
+    product = blocks.matmul(cells, cells, 20, 20, 20)
+    assert dict(product.dtypes)["data"] == "array<float>"
+    got = api.Matrix(Leaf(blocks.to_cells(product, "float", 4), 78, 78, "float32")).to_numpy()
+    np.testing.assert_allclose(got, x @ x, rtol=1e-4)
+
+
+def test_missing_cells_count_as_zero(spark):
+    """Whatever the element type; logical matrices add as "or"."""
+    for kind, values in (("double", (1.5, 2.0)), ("long", (1, 2)), ("boolean", (True, True))):
+        a = api.Matrix.from_cells(spark.createDataFrame([(0, 0, values[0])], f"i long, j long, v {kind}"), 1, 2)
+        b = api.Matrix.from_cells(spark.createDataFrame([(0, 1, values[1])], f"i long, j long, v {kind}"), 1, 2)
+        assert (a + b).to_numpy().tolist() == [list(values)]
