@@ -44,7 +44,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packed),
 ]
 
-#: SQL can express neither the fitted model nor the tokenizer; tests hold each stage against a brute-force version.
+#: SQL can express neither the fitted model nor the tokenizer. Tests hold near-duplicates and packing against brute force, the classifier against held-out labels, and surrogates against what must not stay in a text.
 ORACLE_SQL = None
 
 
