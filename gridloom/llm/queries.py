@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, fingerprint, html, lm, media, neardup, packing, pii, quality, urls
+from gridloom.llm import audit, bestfit, bpe, fingerprint, html, lm, manifest, media, neardup, packing, pii, quality, urls
 from gridloom.llm.common import crc_remainder, read_table
 
 
@@ -62,6 +62,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack_best_fit(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.proved(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,8 +81,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neardup, op2_html, op3_bpe, op4_pii, op5_fingerprint, op6_urls, op7_quality, op8_lm, op9_media, op10_packing, pipeline)}
+    return {f.__name__: f for f in (op1_neardup, op2_html, op3_bpe, op4_pii, op5_fingerprint, op6_urls, op7_quality, op8_lm, op9_media, op10_packing, op11_bestfit, op12_audit, op13_manifest, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_urls": urls.oracle()}
+    return {"op6_urls": urls.oracle(), "op12_audit": audit.oracle(), "op13_manifest": manifest.oracle()}
