@@ -18,14 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import materialise
 
 FILTERS = "ABCDE"
 WORDS, SHARE, CAPITALS, MARKS = 50, 65, 5, b"#$%&*|"  # fewest words, least percent of distinct ones, most percent of capitals, characters that a text may not have
-SHARD_BYTES = 32 << 20  # of text in a shard, about
+SHARD_BYTES = 8 << 20  # of text in a shard, about
+BUCKETS = 1 << 16  # of the dictionary, so many tasks at most can number words
 HOT = 1000  # a key with more than a HOT-th of all rows is hot: fewer than HOT keys are
 _CAPITALS, _INNER = bytes(range(65, 91)), bytes(range(128, 192))  # A-Z; bytes that don't begin a code point
 SHARDS = "doc_id array<long>, part array<string>, fails array<int>, digest array<binary>, indptr binary, indices binary, counts binary, words array<binary>"
@@ -82,13 +83,14 @@ def shards(docs: DataFrame) -> DataFrame:
 
 
 def dictionary(built: DataFrame) -> DataFrame:
-    """word, term, places: the distinct words of all shards, a number for each, and (shard, column) where it occurs.
+    """word, term, shard, column: where each shard's words occur, and their number among the words of all shards.
 
-    Words are numbered in their order inside a partition, so a task that runs again gives the same numbers.
+    Words are dealt into buckets and numbered in their order inside the bucket, without holding its rows, so a task that
+    runs again gives the same numbers. A word has a row a shard, not an occurrence.
     """
-    places = built.select("shard", F.posexplode("words").alias("column", "word"))
-    found = places.groupBy("word").agg(F.collect_list(F.struct("shard", "column")).alias("places"))
-    return materialise(found.sortWithinPartitions("word").withColumn("term", F.monotonically_increasing_id()), "dictionary")
+    places = built.select("shard", F.posexplode("words").alias("column", "word")).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)))
+    inside = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word"))
+    return places.select("word", (F.shiftleft("bucket", 44) + inside).alias("term"), "shard", "column")
 
 
 def _renumber(key: tuple[pa.Scalar, ...], shard: pa.Table, terms: pa.Table) -> pa.Table:
@@ -103,7 +105,7 @@ def _renumber(key: tuple[pa.Scalar, ...], shard: pa.Table, terms: pa.Table) -> p
 def document_term(docs: DataFrame) -> DataFrame:
     """The document-term matrix of (doc_id, source, text) as CSR shards over all documents' words: little-endian 64-bit indptr and indices, 32-bit counts."""
     built = shards(docs)
-    terms = dictionary(built).select("term", F.inline("places"))
+    terms = dictionary(built).select("shard", "column", "term")
     own = built.select(*(f.split()[0] for f in CSR.split(", ")))
     return own.groupBy("shard").cogroup(terms.groupBy("shard")).applyInArrow(_renumber, CSR)
 

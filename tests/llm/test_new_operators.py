@@ -1,0 +1,307 @@
+"""Best-fit packing, the filter audit and the Merkle manifest against brute force, on the smallest tables and on edges."""
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+import tempfile
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from public_tokenizers import path as tokenizer_path
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from gridloom.llm import audit, bestfit, manifest, queries
+from gridloom.llm.wordids import WordIds
+
+SF = "/root/testdata/sf0.001"
+WORD_BPE = tokenizer_path("word_bpe_49k.json")
+LONG = "lorem ipsum dolor " * 3000 + "X" * 9000
+TEXTS = [None, "", " \n\t ", "one", "one two", "One TWO #", "héllo wörld ñ " * 60, "a" * 5000, LONG, "the same text " * 30, "the same text " * 30, "İstanbul ΣΑΣ 12³ don't I'LL <|endoftext|>x 日本"]
+ROWS = [(i, t) for i, t in enumerate(TEXTS)] + [(3, "one"), (3, "one"), (3, "two"), (None, "no id"), (None, "one"), (None, None), (14, "one")]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard long, part string, fails int, digest string, n long, tree string, block long, length long, chunk long, other string, words string, first long, good int"
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    rows = [(i, t, [None, "en", "é", "z"][k % 4], [None, "", "a"][k % 3], None if k % 5 == 0 else k, 1, "p", 2, "d", 3, "t", 4, 5, 6, "o", "w", 7, 8) for k, (i, t) in enumerate(ROWS)]
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(3, 1, 0), (3, 0, 1), (None, 1, 1), (4, None, None), (8, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def rows_of(folder):
+    return [tuple(r) for r in duckdb.connect().execute(f"SELECT doc_id, text, lang, source, n_chars FROM '{folder}/documents.parquet{'' if folder == SF else '/*.parquet'}'").fetchall()]
+
+
+def duck(folder, sql, columns):
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet{'' if folder == SF else '/*.parquet'}'")
+    found = con.execute(sql)
+    names = [d[0] for d in found.description]
+    return collections.Counter(tuple(r[names.index(c)] for c in columns) for r in found.fetchall())
+
+
+# ---- Best-fit packing
+
+
+def check_packing(got, documents, size):
+    """Every token of every document once, cut as the contract says, in gapless sequences; returns how many."""
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    want = collections.Counter()
+    for doc, text, *_ in documents:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
+        for piece, start in enumerate(range(0, len(ids), size)):
+            own = ids[start : start + size]
+            want[doc, piece, start, len(own), zlib.crc32(np.array(own, "<u4").tobytes())] += 1
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    sequences = collections.defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= size
+    return len(sequences), sum(r.length for r in got)
+
+
+def test_bestfit_query(spark):
+    got = queries.op11_bestfit(spark, SF).collect()
+    sequences, tokens = check_packing(got, rows_of(SF), 2048)
+    assert -(-tokens // 2048) <= sequences <= -(-tokens // 2048) + 2  # 200 documents; a few thousand reach the bound
+
+
+@pytest.mark.parametrize("size", [7, 64, 2048])
+def test_bestfit_edges(spark, edges, size):
+    docs = spark.read.parquet(f"{edges}/documents.parquet")
+    check_packing(bestfit.pack_best_fit(docs, WORD_BPE, size).collect(), rows_of(edges), size)
+    assert bestfit.pack_best_fit(docs.limit(0), WORD_BPE, size).count() == 0
+
+
+def test_bestfit_ranks_over_chunks(spark, monkeypatch):
+    """Many equal documents over several chunks of a task: every rank once."""
+    monkeypatch.setattr(bestfit, "CHUNK", 50)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a b c").when(F.col("id") % 3 == 1, "").otherwise("x y").alias("text"))
+    n, tokens = check_packing(bestfit.pack_best_fit(docs, WORD_BPE, 16).collect(), [(r.doc_id, r.text) for r in docs.collect()], 16)
+    assert n == -(-tokens // 16)
+
+
+def fewest(lengths, size):
+    """Bins of an optimal packing, by trying everything."""
+    best = len(lengths)
+
+    def go(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(lengths):
+            best = len(bins)
+            return
+        for b in range(len(bins)):
+            if bins[b] + lengths[k] <= size:
+                bins[b] += lengths[k]
+                go(k + 1, bins)
+                bins[b] -= lengths[k]
+        bins.append(lengths[k])
+        go(k + 1, bins)
+        bins.pop()
+
+    lengths = sorted(lengths, reverse=True)
+    go(0, [])
+    return best
+
+
+def test_combinations():
+    """Each combination is the fullest that starts with the longest left; all pieces are used; close to the optimum on small cases."""
+    rng, over = random.Random(3), 0
+    for _ in range(60):
+        size = rng.choice([10, 17, 40])
+        lengths = [rng.randint(1, size) for _ in range(rng.randint(0, 9))]
+        left, bins = collections.Counter(lengths), 0
+        for times, use in bestfit.combinations(dict(left), size):
+            for _ in range(times):
+                longest = max(k for k, c in left.items() if c)
+                rest = list((left - collections.Counter([longest])).elements())
+                fullest = max(sum(c) for k in range(len(rest) + 1) for c in itertools.combinations(rest, k) if sum(c) + longest <= size)
+                assert use[0][0] == longest and sum(n * c for n, c in use) == longest + fullest
+                left -= collections.Counter({n: c for n, c in use})
+                bins += 1
+        assert not +left
+        over += bins - fewest(lengths, size)
+    assert over <= 1
+    with pytest.raises(ValueError):
+        bestfit.combinations({11: 1}, 10)
+
+
+def test_plan_does_not_grow_with_the_counts():
+    rng = random.Random(5)
+    counts = {n: rng.randint(1, 40) for n in range(1, 300, 2)}
+    small, large = bestfit.combinations(counts, 300), bestfit.combinations({n: 10**9 * c for n, c in counts.items()}, 300)
+    assert len(large) < 2 * len(small) + 300
+    assert sum(t for t, _ in large) <= 1.001 * 10**9 * sum(t for t, _ in small)
+
+
+def test_word_ids_like_the_library():
+    words, tokenizer = WordIds(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    odd = ["'S''s don't I'LL 're x'dd ''''ll", "a\x1cc\x1fd É́ ſtraße Ǆ ǅ ȺȾ \xad soft \x85 a\x85b \xa0", "日本語 текст, mixed!?…", "x\0y \0", "naïve ¼   z"]
+    texts = [t or "" for t in TEXTS] + [t or "" for _, t, *_ in rows_of(SF)] + odd
+    for text, ids in zip(texts, words.encode(texts)):
+        assert np.frombuffer(ids, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text[:60]
+
+
+# ---- Filter audit
+
+AUDIT = ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+
+
+def brute_audit(documents, labels):
+    """Applies every order to every row, one filter after the other."""
+    first, good, toxic = {}, collections.Counter(), collections.Counter()
+    for doc, quality, bad in labels:
+        good[doc] |= quality == 1
+        toxic[doc] |= bad == 1
+    for doc, text, *_ in documents:
+        if doc is not None:
+            first[text or ""] = min(doc, first.get(text or "", doc))
+    rows = []
+    for doc, text, _, source, _ in documents:
+        t = text or ""
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+        fails = {"A": len(w) < 50, "B": 100 * len(set(w)) < 65 * len(w), "C": 100 * sum("A" <= c <= "Z" for c in t) > 5 * len(t), "D": any(c in "#$%&*|" for c in t), "E": doc is not None and doc > first[t]}
+        rows.append((source or "", {f for f, x in fails.items() if x}, doc is not None and good[doc], doc is not None and toxic[doc]))
+    out, shapley = {}, collections.Counter()
+    parts = {r[0] for r in rows}
+    for order in map("".join, itertools.permutations("ABCDE")):
+        for part in parts:
+            live = [r for r in rows if r[0] == part]
+            for step, f in enumerate(order, 1):
+                gone = [r for r in live if f in r[1]]
+                live = [r for r in live if f not in r[1]]
+                failing = [r for r in rows if r[0] == part and f in r[1]]
+                out[part, order, step] = [len(live), len(gone), len(failing) - len(gone), sum(r[1] == {f} for r in failing), sum(r[2] for r in gone), sum(r[3] for r in gone)]
+                shapley[part, f] += len(gone)
+    return collections.Counter((*k, *v, shapley[k[0], k[1][k[2] - 1]]) for k, v in out.items())
+
+
+@pytest.mark.parametrize("small_shards", [False, True])
+def test_audit(spark, edges, small_shards, monkeypatch):
+    if small_shards:
+        monkeypatch.setattr(audit, "SHARD_BYTES", 2000)
+    for folder in (SF, edges):
+        got = collections.Counter(tuple(r[c] for c in AUDIT) for r in queries.op12_audit(spark, folder).collect())
+        labels = spark.read.parquet(f"{folder}/labels.parquet").collect()
+        assert got == brute_audit(rows_of(folder), [tuple(r) for r in labels]) == duck(folder, audit.oracle(), AUDIT)
+    docs = spark.read.parquet(f"{edges}/documents.parquet")
+    assert audit.audit(docs.limit(0), spark.read.parquet(f"{edges}/labels.parquet")).count() == 0
+
+
+def test_document_term_matrix(spark, edges, monkeypatch):
+    """The shards' rows, read by the dictionary, are the documents' word counts; a word has one number everywhere."""
+    monkeypatch.setattr(audit, "SHARD_BYTES", 500)
+    docs = spark.read.parquet(f"{edges}/documents.parquet")
+    built = audit.shards(docs)
+    words = {r.term: bytes(r.word) for r in audit.dictionary(built).collect()}
+    assert len(set(words.values())) == len(words)
+    monkeypatch.setattr(audit, "shards", lambda d: built)
+    got = collections.Counter()
+    for r in audit.document_term(docs).collect():
+        indptr, indices, counts = (np.frombuffer(bytes(x), k).tolist() for x, k in ((r.indptr, "<i8"), (r.indices, "<i8"), (r.counts, "<i4")))
+        for k, doc in enumerate(r.doc_id):
+            got[doc, frozenset((words[i], n) for i, n in zip(indices[indptr[k] : indptr[k + 1]], counts[indptr[k] : indptr[k + 1]]))] += 1
+    assert got == collections.Counter((i, frozenset(collections.Counter((t or "").encode().split()).items())) for i, t in ROWS)
+
+
+def test_attached_with_a_hot_key(spark):
+    """A key with a third of the rows, null keys and keys that the table lacks."""
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).cast("long").alias("k"), F.col("id").alias("row"))
+    table = spark.createDataFrame([(7, "hot"), (1, "one"), (4, "four"), (5, "none")], "k long, v string")
+    got = {r.row: r.v for r in audit.attached(rows, table, "k").collect()}
+    assert got == {i: "hot" if i % 3 == 0 else {1: "one", 4: "four", 7: "hot"}.get(i) if i % 3 == 1 else None for i in range(6000)}
+
+
+# ---- Manifest
+
+MANIFEST = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+
+
+def H(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def field(v):
+    return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+
+def levels(row):
+    out = [row]
+    while len(row) > 1:
+        row = [H(*row[k : k + 2]) for k in range(0, len(row), 2)]
+        out.append(row)
+    return out
+
+
+def way(tree, k):
+    """(siblings before, siblings after) of each level."""
+    return [(row[k >> h & ~1 : k >> h], row[(k >> h) + 1 : (k >> h | 1) + 1]) for h, row in enumerate(tree[:-1])]
+
+
+def brute_manifest(documents):
+    langs = collections.defaultdict(list)
+    for doc, text, lang, source, n in documents:
+        leaf = H(field(doc), field(source), field(lang), field(n), field(text))
+        tampered = doc is not None and n is not None and zlib.crc32(str(doc).encode()) % 7 == 0
+        langs[lang].append((doc is not None, doc or 0, leaf, H(field(doc), field(source), field(lang), field(n + 1), field(text)) if tampered else leaf))
+    order = sorted(langs, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {x: levels([r[2] for r in sorted(langs[x])]) for x in order}
+    top, out = levels([trees[x][-1][0] for x in order]), collections.Counter()
+    for at, x in enumerate(order):
+        for k, (known, doc, leaf, node) in enumerate(sorted(langs[x])):
+            steps = way(trees[x], k) + way(top, at)
+            for before, after in steps:
+                node = H(*before, node, *after)
+            out[doc if known else None, leaf, trees[x][-1][0], top[-1][0], H(*(s for b, a in steps for s in b + a)), node, node == top[-1][0]] += 1
+    return out
+
+
+@pytest.mark.parametrize("height", [1, 2, 12])
+def test_manifest(spark, edges, height):
+    for folder in (SF, edges):
+        got = manifest.proved(spark.read.parquet(f"{folder}/documents.parquet"), height).collect()
+        want = brute_manifest(rows_of(folder))
+        assert collections.Counter(tuple(r[c] for c in MANIFEST) for r in got) == want
+        assert folder != SF or want == duck(folder, manifest.oracle(), MANIFEST)
+    assert manifest.proved(spark.read.parquet(f"{edges}/documents.parquet").limit(0), height).count() == 0
+
+
+def test_manifest_of_equal_rows_and_many_languages(spark):
+    """A run of equal rows over many blocks, and more languages than a block of the top tree has places."""
+    rows = [(5, "x", "en", "s", 1)] * 150 + [(i, f"t{i}", f"l{i % 23}", "s", i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = manifest.proved(docs, 3).collect()
+    assert collections.Counter(tuple(r[c] for c in MANIFEST) for r in got) == brute_manifest(rows)
+
+
+@pytest.mark.parametrize("levels_", range(1, 11))
+def test_van_emde_boas_order(levels_):
+    """Each place once; every aligned subtree of half height lies together, its own upper half first."""
+    at = manifest.places(levels_)[::-1]
+    assert sorted(p for row in at for p in row) == list(range((1 << levels_) - 1)) and at[0] == [0]
+
+    def laid(depth, index, levels):
+        if levels == 1:
+            return [at[depth][index]]
+        upper = levels // 2
+        out = laid(depth, index, upper)
+        for k in range(1 << upper):
+            out += laid(depth + upper, (index << upper) + k, levels - upper)
+        return out
+
+    assert laid(0, 0, levels_) == list(range((1 << levels_) - 1))
