@@ -25,7 +25,7 @@ from gridloom.llm.common import materialise
 
 FILTERS = "ABCDE"
 WORDS, SHARE, CAPITALS, MARKS = 50, 65, 5, b"#$%&*|"  # fewest words, least percent of distinct ones, most percent of capitals, characters that a text may not have
-SHARD_BYTES = 8 << 20  # of text in a shard, about
+SHARD_BYTES = 16 << 20  # of text in a shard, about
 BUCKETS = 1 << 16  # of the dictionary, so many tasks at most can number words
 HOT = 1000  # a key with more than a HOT-th of all rows is hot: fewer than HOT keys are
 _CAPITALS, _INNER = bytes(range(65, 91)), bytes(range(128, 192))  # A-Z; bytes that don't begin a code point
@@ -48,6 +48,14 @@ def _numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray,
     return list(known), np.array(indptr, np.int64), joined(indices), joined(counts)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, decompressed_size=4 * n, codec="zstd", asbytes=True), np.int32) if n else np.zeros(0, np.int32)
+
+
 def _other_failures(text: bytes) -> int:
     """Bits of C and D."""
     capitals, characters = len(text) - len(text.translate(None, _CAPITALS)), len(text.translate(None, _INNER))
@@ -71,13 +79,13 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for ids, parts, texts in _slices(batch):
             words, indptr, indices, counts = _numbered(texts)
-            row = [ids, parts, [_other_failures(t) for t in texts], [hashlib.sha256(t).digest() for t in texts], indptr.tobytes(), indices.tobytes(), counts.tobytes(), words]
+            row = [ids, parts, [_other_failures(t) for t in texts], [hashlib.sha256(t).digest() for t in texts], indptr.tobytes(), _packed(np.diff(indices, prepend=np.int32(0))), _packed(counts), words]
             kinds = [pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [f.split()[0] for f in SHARDS.split(", ")])
 
 
 def shards(docs: DataFrame) -> DataFrame:
-    """Shards of (doc_id, part, text), written once: `shard` and SHARDS, columns of the matrix by the shard's own numbers."""
+    """Shards of (doc_id, part, text), written once: `shard` and SHARDS, columns of the matrix by the shard's own numbers. Indices (as differences) and counts are compressed."""
     built = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("part"), "text").mapInArrow(_shards, SHARDS)
     return materialise(built.withColumn("shard", F.monotonically_increasing_id()), "shards")
 
@@ -97,9 +105,12 @@ def _renumber(key: tuple[pa.Scalar, ...], shard: pa.Table, terms: pa.Table) -> p
     """The shard with the dictionary's numbers as columns."""
     term = np.zeros(len(terms), np.int64)
     term[terms.column("column").to_numpy()] = terms.column("term").to_numpy()
-    indices = term[np.frombuffer(shard.column("indices")[0].as_py(), np.int32)]
-    at = shard.schema.get_field_index("indices")
-    return shard.set_column(at, "indices", pa.array([indices.tobytes()], pa.binary()))
+    get = lambda name: shard.column(name)[0].as_py()
+    cells = int(np.frombuffer(get("indptr"), np.int64)[-1])
+    indices, counts = term[np.cumsum(_unpacked(get("indices"), cells))], _unpacked(get("counts"), cells)
+    for name, values in (("indices", indices), ("counts", counts)):
+        shard = shard.set_column(shard.schema.get_field_index(name), name, pa.array([values.tobytes()], pa.binary()))
+    return shard
 
 
 def document_term(docs: DataFrame) -> DataFrame:
