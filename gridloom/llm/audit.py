@@ -25,7 +25,7 @@ from gridloom.llm.common import materialise
 
 FILTERS = "ABCDE"
 WORDS, SHARE, CAPITALS, MARKS = 50, 65, 5, b"#$%&*|"  # fewest words, least percent of distinct ones, most percent of capitals, characters that a text may not have
-SHARD_BYTES = 16 << 20  # of text in a shard, about
+SHARD_BYTES = 8 << 20  # of text in a shard, about
 BUCKETS = 1 << 16  # of the dictionary, so many tasks at most can number words
 HOT = 1000  # a key with more than a HOT-th of all rows is hot: fewer than HOT keys are
 _CAPITALS, _INNER = bytes(range(65, 91)), bytes(range(128, 192))  # A-Z; bytes that don't begin a code point
@@ -63,16 +63,19 @@ def _other_failures(text: bytes) -> int:
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list, list[bytes]]]:
-    ids, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
-    at = 0
-    while at < len(texts):
-        end, size = at + 1, len(texts[at])
-        while end < len(texts) and size + len(texts[end]) <= SHARD_BYTES:
-            size += len(texts[end])
-            end += 1
-        yield ids[at:end], parts[at:end], texts[at:end]
-        at = end
+    ids, parts, texts, size = [], [], [], 0
+    for lo in range(0, batch.num_rows, 256):
+        some = batch.slice(lo, 256)
+        for i, part, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2).cast(pa.binary()).to_pylist()):
+            if texts and size + len(text or b"") > SHARD_BYTES:
+                yield ids, parts, texts
+                ids, parts, texts, size = [], [], [], 0
+            ids.append(i)
+            parts.append(part)
+            texts.append(text or b"")
+            size += len(texts[-1])
+    if texts:
+        yield ids, parts, texts
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,28 +116,32 @@ def _renumber(key: tuple[pa.Scalar, ...], shard: pa.Table, terms: pa.Table) -> p
     return shard
 
 
-def document_term(docs: DataFrame) -> DataFrame:
-    """The document-term matrix of (doc_id, source, text) as CSR shards over all documents' words: little-endian 64-bit indptr and indices, 32-bit counts."""
+def _over_shards(docs: DataFrame, last, schema: str) -> DataFrame:
+    """last() of each shard, renumbered by the dictionary."""
     built = shards(docs)
     terms = dictionary(built).select("shard", "column", "term")
     own = built.select(*(f.split()[0] for f in CSR.split(", ")))
-    return own.groupBy("shard").cogroup(terms.groupBy("shard")).applyInArrow(_renumber, CSR)
+    return own.groupBy("shard").cogroup(terms.groupBy("shard")).applyInArrow(lambda key, shard, term: last(_renumber(key, shard, term)), schema)
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            get = lambda name: batch.column(name)[k]  # noqa: B023, E731
-            indptr, counts = np.frombuffer(get("indptr").as_py(), np.int64), np.frombuffer(get("counts").as_py(), np.int32)
-            total = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-            n_words, n_distinct = total[indptr[1:]] - total[indptr[:-1]], np.diff(indptr)
-            fails = np.array(get("fails").as_py(), np.int32) | (n_words < WORDS) | (100 * n_distinct < SHARE * n_words).astype(np.int32) << 1
-            yield pa.RecordBatch.from_arrays([get("doc_id").values, get("part").values, pa.array(n_words), pa.array(n_distinct), pa.array(fails.astype(np.int32)), get("digest").values], [f.split()[0] for f in ROWS.split(", ")])
+def document_term(docs: DataFrame) -> DataFrame:
+    """The document-term matrix of (doc_id, source, text) as CSR shards over all documents' words: little-endian 64-bit indptr and indices, 32-bit counts."""
+    return _over_shards(docs, lambda shard: shard, CSR)
+
+
+def _sums(shard: pa.Table) -> pa.Table:
+    get = lambda name: shard.column(name)[0]
+    indptr, counts = np.frombuffer(get("indptr").as_py(), np.int64), np.frombuffer(get("counts").as_py(), np.int32)
+    total = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    n_words, n_distinct = total[indptr[1:]] - total[indptr[:-1]], np.diff(indptr)
+    fails = np.array(get("fails").as_py(), np.int32) | (n_words < WORDS) | (100 * n_distinct < SHARE * n_words).astype(np.int32) << 1
+    columns = [get("doc_id").values, get("part").values, pa.array(n_words), pa.array(n_distinct), pa.array(fails.astype(np.int32)), get("digest").values]
+    return pa.table(dict(zip((f.split()[0] for f in ROWS.split(", ")), columns)))
 
 
-def row_sums(matrix: DataFrame) -> DataFrame:
-    """One row per document: its words (row sum), distinct words (nonzero cells), failed filters as bits (A is 1, B 2, C 4, D 8) and the digest of its text."""
-    return matrix.mapInArrow(_sums, ROWS)
+def row_sums(docs: DataFrame) -> DataFrame:
+    """One row per document, from the document-term matrix: its words (row sum), distinct words (nonzero cells), failed filters as bits (A is 1, B 2, C 4, D 8) and the digest of its text."""
+    return _over_shards(docs, _sums, ROWS)
 
 
 def attached(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
@@ -156,7 +163,7 @@ def attached(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """part, fails (bits of A to E), good, toxic of each row of docs."""
-    rows = materialise(row_sums(document_term(docs)).select("doc_id", "part", "fails", "digest"), "rows")
+    rows = materialise(row_sums(docs).select("doc_id", "part", "fails", "digest"), "rows")
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     both = attached(attached(rows, first, "digest"), marks, "doc_id")

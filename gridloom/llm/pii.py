@@ -37,21 +37,28 @@ SYLLABLES = ["ba", "cor", "del", "fen", "gar", "hol", "kim", "lan", "mor", "nel"
 SYLLABLES_CYRILLIC = ["бар", "вол", "гор", "дем", "зав", "ков", "лан", "мир", "нов", "пет", "рож", "сав", "тим", "фед", "хар", "чер"]
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
+LABEL = r"[A-Za-z0-9]++(?:-++[A-Za-z0-9]++)*+"
+EMAIL = rf"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?=[A-Za-z0-9.\-]*[A-Za-z]{{2}}){LABEL}(?:\.{LABEL})++"
 CLOUD_KEY = r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?:sk|ghp|gho|ghs|xoxb|xoxp)[-_][A-Za-z0-9_\-]{16,}+"
 SECRET_WORD = r"(?i:password|passwd|pwd|token|secret|api[_\-]?key|access[_\-]?key)"
 #: After "=" any value of 8 characters; after ":", where a word of prose may stand, one with a digit, a mark inside or capitals after small letters.
 VALUE = r"(?=[\"']?(?:[A-Za-z+/_.=\-]*+\d|[A-Za-z.\-]++[+/_=][A-Za-z]|[A-Z]*+[a-z\-]++[A-Z]))"
-SECRET = rf"\b{SECRET_WORD}\s{{0,3}}(?:=\s{{0,3}}|:\s{{0,3}}{VALUE})[\"']?[A-Za-z0-9+/_.=\-]{{8,}}(?<!\.)[\"']?"
+SECRET = rf"\b{SECRET_WORD}\s*+(?:=\s*+|:\s*+{VALUE})[\"']?[A-Za-z0-9+/_.=\-]{{8,}}(?<!\.)[\"']?"
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
-PHONE = r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])"
+PHONE = r"(?<![\w+])\+\d(?:[ .\-/()]{0,2}+\d){7,14}+(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 CARD = r"(?<![\d.\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?![\d\-])"
-TITLES = "|".join([*MALE, *FEMALE, *EITHER])
-NAME = rf"(?<!\p{{L}})(?:{TITLES})\.?[  ](?:\p{{Lu}}[\p{{L}}'\-]++)(?:[  ]\p{{Lu}}[\p{{Ll}}'\-]++(?!\p{{L}}))?"
+ABBREVIATED = ["Mr", "Mrs", "Ms", *EITHER]
+#: As they are written, in capitals, and in small letters but for "miss", which is a verb too.
+TITLES = "|".join(dict.fromkeys(f(t) for f in (str, str.upper, str.lower) for t in [*MALE, *FEMALE, *EITHER] if f is not str.lower or t != "Miss"))
+GAP = "[ \u00a0]"
+#: Words that stand before a surname and are no part of it.
+PARTICLES = "von|vom|zu|zur|zum|van|der|den|ter|ten|de|del|della|di|da|dos|das|du|la|le|las|los"
+PART = rf"(?:(?:{PARTICLES}){GAP})*+(?:\p{{Lu}}\.?(?={GAP}\p{{Lu}})|\p{{Lu}}\p{{L}}*+(?:(?!['’][sS](?!\p{{L}}))['’\-]\p{{L}}++)*+(?<=\p{{L}}[\p{{L}}'’\-]))"
+NAME = rf"(?<!\p{{L}})(?:{TITLES})\.?{GAP}{PART}(?:{GAP}{PART})*+"
 ENTITY = "|".join([EMAIL, CLOUD_KEY, SECRET, IP, PHONE, SSN, CARD, NAME])
 #: What every entity has one of: lets most texts go by after one quick scan.
-MAYBE = rf"[0-9@]|\b{SECRET_WORD}\s{{0,3}}[=:]|\b(?:sk|gh[pos]|xox[bp])[-_]|\bA[KS]IA[A-Z]|(?<!\p{{L}})(?:{TITLES})\.?[  ]"
+MAYBE = rf"[0-9@]|\b{SECRET_WORD}\s*+[=:]|\b(?:sk|gh[pos]|xox[bp])[-_]|\bA[KS]IA[A-Z]|(?<!\p{{L}})(?:{TITLES})\.?[  ]"
 
 
 def luhn(digits: Column) -> Column:
@@ -78,10 +85,13 @@ def kind(entity: Column) -> Column:
 
 
 def canonical(entity: Column, k: Column) -> Column:
-    title = F.regexp_extract(entity, rf"^({TITLES})", 1)
-    gender = F.when(title.isin(MALE), "m").when(title.isin(FEMALE), "f").otherwise("n")
-    name = F.lower(F.regexp_replace(entity, rf"^(?:{TITLES})\.?[  ]", ""))
-    return F.when(k == "email", F.lower(entity)).when(k.isin("phone", "ssn", "card"), _digits(entity)).when(k == "name", F.concat_ws("|", gender, name)).otherwise(entity)
+    """The same for all mentions of an entity. A name is its title's gender, a bar and its words, without particles, in small letters."""
+    title = F.lower(F.regexp_extract(entity, rf"^({TITLES})", 1))
+    gender = F.when(title.isin([t.lower() for t in MALE]), "m").when(title.isin([t.lower() for t in FEMALE]), "f").otherwise("n")
+    name = F.regexp_replace(F.regexp_replace(entity, rf"^(?:{TITLES})\.?{GAP}", ""), rf"(?<!\p{{L}})(?:{PARTICLES}){GAP}", "")
+    words = F.regexp_replace(F.lower(name), f"{GAP}", " ")
+    phone = F.concat(F.when(entity.startswith("+"), "+").otherwise(""), _digits(entity))
+    return F.when(k == "email", F.lower(entity)).when(k == "phone", phone).when(k.isin("ssn", "card"), _digits(entity)).when(k == "name", F.concat_ws("|", gender, words)).otherwise(entity)
 
 
 def entities(text: Column) -> Column:
@@ -110,6 +120,10 @@ def _like(text: Column, stream: Column, only_hex: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
+#: Country codes of one and two digits; all others have three.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
+
 def surrogate(k: Column, form: Column, stream: Column, attempt: int = 0) -> Column:
     """The surrogate of a canonical form, in canonical form."""
     digits = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: (_draw(stream, i) % 10).cast("string")), "")
@@ -118,7 +132,9 @@ def surrogate(k: Column, form: Column, stream: Column, attempt: int = 0) -> Colu
     no = F.lit(False)
     email = F.concat(_like(local, stream, no), F.lit("@mail-"), F.substring(stream, 97, 8), F.lit(".example."), F.when(domain.endswith("net"), "net").when(domain.endswith("org"), "org").otherwise("com"))
     area = F.concat((_draw(stream, F.lit(40)) % 8 + 2).cast("string"), F.substring(digits, 1, 2))
-    phone = F.when(n >= 10, F.concat(F.substring(form, F.lit(1), n - 10), area, F.lit("555"), F.substring(digits, 3, 4))).otherwise(F.concat(F.substring(form, 1, 1), F.substring(digits, F.lit(1), n - 1)))
+    code = F.regexp_extract(form, COUNTRY, 0)
+    own = n - F.length(code)
+    phone = F.concat(code, F.when(own >= 10, F.concat(F.substring(digits, F.lit(10), own - 10), area, F.lit("555"), F.substring(digits, 3, 4))).otherwise(F.substring(digits, F.lit(1), own)))
     ssn = F.concat(F.lit("9"), F.substring(digits, 1, 8))
     body = F.concat(F.substring(form, 1, 1), F.substring(digits, F.lit(1), n - 2))
     odd = F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0), lambda acc, i: acc + _luhn_term(F.substring(body, i, F.lit(1)).cast("int"), (n - i) % 2 == 1))
@@ -168,7 +184,7 @@ def surrogate_table(forms: DataFrame, key: str = KEY) -> DataFrame:
     names = forms.where("kind = 'name'").select("form", F.substring("form", 1, 1).alias("gender"), F.split(F.expr("substring(form, 3)"), "[  ]").alias("words"))
     names = names.withColumn("surname", F.element_at("words", -1))
     table = _drawn(forms.where("kind <> 'name'").union(names.select(F.lit("surname"), "surname").distinct()), key)
-    beside = Window.partitionBy("gender", "surname", F.size("words")).orderBy(F.sha2(F.concat_ws("|", F.lit(key), F.element_at("words", 1)), 256), "form")
+    beside = Window.partitionBy("gender", "surname", F.size("words") > 1).orderBy(F.sha2(F.concat_ws("|", F.lit(key), F.array_join(F.slice("words", 1, F.size("words") - 1), " ")), 256), "form")
     numbered = names.withColumn("number", F.row_number().over(beside) - 1)
     drawn = table.where("kind = 'surname'").select(F.col("form").alias("surname"), F.col("surrogate").alias("new"))
     given = F.when(F.size("words") > 1, F.concat(_given(F.col("gender"), F.col("form"), F.col("number")), F.lit(" "))).otherwise("")
@@ -198,7 +214,7 @@ def _drawn(forms: DataFrame, key: str) -> DataFrame:
 
 def written(entity: Column, k: Column, new: Column) -> Column:
     """The surrogate in the format of the mention."""
-    filled = F.array_join(F.transform(F.sequence(F.lit(1), F.length(entity)), lambda i: F.when(F.substring(entity, i, F.lit(1)).rlike("[0-9]"), F.substring(new, F.length(_digits(F.substring(entity, F.lit(1), i))), F.lit(1))).otherwise(F.substring(entity, i, F.lit(1)))), "")
+    filled = F.array_join(F.transform(F.sequence(F.lit(1), F.length(entity)), lambda i: F.when(F.substring(entity, i, F.lit(1)).rlike("[0-9]"), F.substring(_digits(new), F.length(_digits(F.substring(entity, F.lit(1), i))), F.lit(1))).otherwise(F.substring(entity, i, F.lit(1)))), "")
     title = F.regexp_extract(entity, rf"^((?:{TITLES})\.?[  ])", 1)
     rest = F.substring(entity, F.length(title) + 1, F.length(entity))
     name = F.array_join(F.transform(F.split(F.expr("substring(surrogate, 3)"), "-"), F.initcap), "-")
@@ -207,31 +223,48 @@ def written(entity: Column, k: Column, new: Column) -> Column:
     return F.when(new.startswith("["), new).when(k.isin("phone", "ssn", "card"), filled).when(k == "name", named).when(k == "email", mail).otherwise(new)
 
 
-def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with surrogates in text, and n_entities (how many were replaced); other columns as they were.
+def one_gender(forms: DataFrame) -> DataFrame:
+    """kind, form, own of distinct (kind, form): own is the form, but for a full name without a gender that other mentions give one: then it is theirs."""
+    name = F.substring("form", 3, 1 << 20)
+    full = forms.where("kind = 'name'").select("kind", "form", F.substring("form", 1, 1).alias("gender"), name.alias("name")).where(F.col("name").contains(" "))
+    known = full.where("gender <> 'n'").groupBy("name").agg(F.min("gender").alias("own_gender"), F.max("gender").alias("other")).where("own_gender = other").select("name", "own_gender")
+    told = full.where("gender = 'n'").join(known, "name").select("kind", "form", F.concat("own_gender", F.lit("|"), "name").alias("own"))
+    return forms.select("kind", "form").join(told, ["kind", "form"], "left").select("kind", "form", F.coalesce("own", "form").alias("own"))
+
+
+def replaced(docs: DataFrame, key: str = KEY, count: str | None = "n_entities") -> DataFrame:
+    """docs with surrogates in text, and how many were replaced in a column named by count (none if it is None; it takes the
+    place of a column of that name); other columns as they were.
 
     Null and empty texts stay as they are; repeated rows are replaced alike; an empty table gives none. Numbers of
-    card length whose Luhn digit is wrong stay. The surrogates depend on the key and on the set of entities only.
+    card length whose Luhn digit is wrong stay. The surrogates depend on the key and on the set of entities only. The last
+    word of a name is its surname. A full name with a title of either gender has the gender of its other mentions, if they
+    agree. The pattern runs twice over a text, once to find and once to cut; the pieces are written, so that nothing is
+    searched again when surrogates are known.
     """
-    columns = docs.columns
+    columns = [c for c in docs.columns if c != count]
     names = [f"gridloom_{i}" for i in range(len(columns))]
     text = names[columns.index("text")]
-    docs = docs.toDF(*names)
-    found = docs.select(F.md5(text).alias("digest"), entities(F.col(text)).alias("found")).where("size(found) > 0").groupBy("digest").agg(F.first("found").alias("found"))
-    mentions = found.select("digest", F.posexplode("found").alias("pos", "entity")).withColumn("kind", kind(F.col("entity"))).withColumn("form", canonical(F.col("entity"), F.col("kind")))
+    docs = docs.select(*columns).toDF(*names)
+    found = docs.withColumn("digest", F.md5(text)).withColumn("found", entities(F.col(text)))
+    cut = F.when(F.size("found") > 0, F.split(F.col(text), ENTITY, -1))
+    kept = materialise(found.withColumn("gaps", cut).withColumn(text, F.when(F.col("gaps").isNull(), F.col(text))), "cut")
+    some = kept.where("gaps is not null")
+    distinct = some.groupBy("digest").agg(F.first("found").alias("found"))
+    mentions = distinct.select("digest", F.posexplode("found").alias("pos", "entity")).withColumn("kind", kind(F.col("entity"))).withColumn("form", canonical(F.col("entity"), F.col("kind")))
     mentions = materialise(mentions, "mentions")
     real = (F.col("kind") != "card") | luhn(F.col("form"))
-    table = surrogate_table(mentions.where(real).select("kind", "form").distinct(), key)
+    forms = one_gender(materialise(mentions.where(real).select("kind", "form").distinct(), "mentioned"))
+    table = surrogate_table(forms.select("kind", F.col("own").alias("form")).distinct(), key).withColumnRenamed("form", "own")
+    table = forms.join(table, ["kind", "own"]).select("kind", "form", "surrogate")
     new = F.when(F.col("surrogate").isNull(), F.col("entity")).otherwise(written(F.col("entity"), F.col("kind"), F.col("surrogate")))
     by_text = (
         mentions.join(table, ["kind", "form"], "left").select("digest", F.struct("pos", new.alias("new"), F.col("surrogate").isNotNull().alias("hit")).alias("x"))
         .groupBy("digest").agg(F.array_sort(F.collect_list("x")).alias("news"))
     )
-    has = F.coalesce(F.size(entities(F.col(text))) > 0, F.lit(False))
-    plain = docs.where(~has).withColumn("n_entities", F.lit(0).cast("long"))
-    gaps = F.split(F.col(text), ENTITY, -1)
-    rebuilt = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), F.col("news").alias("new")), lambda z: F.concat(z["gap"], F.coalesce(z["new"]["new"], F.lit("")))), "")
+    rebuilt = F.array_join(F.transform(F.arrays_zip("gaps", F.col("news").alias("new")), lambda z: F.concat(z["gaps"], F.coalesce(z["new"]["new"], F.lit("")))), "")
     hits = F.size(F.filter("news", lambda x: x["hit"])).cast("long")
-    changed = docs.where(has).withColumn("digest", F.md5(text)).join(by_text, "digest").withColumn(text, rebuilt).withColumn("n_entities", hits)
-    both = plain.select(*names, "n_entities").union(changed.select(*names, "n_entities"))
-    return both.toDF(*columns, "n_entities")
+    changed = some.join(by_text, "digest").withColumn(text, rebuilt).withColumn("n_hits", hits)
+    plain = kept.where("gaps is null").withColumn("n_hits", F.lit(0).cast("long"))
+    both = plain.select(*names, "n_hits").union(changed.select(*names, "n_hits"))
+    return both.toDF(*columns, count) if count else both.select(*names).toDF(*columns)
