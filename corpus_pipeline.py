@@ -28,7 +28,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Surrogates for personal data and secrets; n_chars follows the text."""
-    return pii.replaced(docs).drop("n_entities").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return pii.replaced(docs, count=None).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
