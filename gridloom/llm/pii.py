@@ -86,7 +86,7 @@ def kind(entity: Column) -> Column:
 
 def canonical(entity: Column, k: Column) -> Column:
     """The same for all mentions of an entity. A name is its title's gender, a bar and its words, without particles, in small letters."""
-    title = F.lower(F.regexp_extract(entity, rf"^({TITLES})", 1))
+    title = F.lower(F.regexp_extract(entity, rf"^({TITLES})\.?{GAP}", 1))
     gender = F.when(title.isin([t.lower() for t in MALE]), "m").when(title.isin([t.lower() for t in FEMALE]), "f").otherwise("n")
     name = F.regexp_replace(F.regexp_replace(entity, rf"^(?:{TITLES})\.?{GAP}", ""), rf"(?<!\p{{L}})(?:{PARTICLES}){GAP}", "")
     words = F.regexp_replace(F.lower(name), f"{GAP}", " ")

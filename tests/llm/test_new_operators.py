@@ -400,4 +400,4 @@ def test_pii_by_brute_force(spark):
                 old = (told.pop() if gender_of(entity) == "n" and len(told) == 1 else gender_of(entity)) + "|" + old
             assert old != now and kind_of(parts[spans.index((a, b)) + 1]) == kind, entity
             assert new.setdefault((kind, old), now) == now and back.setdefault((kind, now), old) == old
-    assert found > 50 and new["name", "f|ada maria lopez"].count(" ") == 1
+    assert found > 20 and new["name", "f|ada maria lopez"].count(" ") == 1
