@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import cells as ops
+from gridloom.operators.vectors import THIN
 from gridloom.plans import dtypes
 from gridloom.plans.cost import estimate
 from gridloom.plans.logical import Add, Leaf, MatMul, Node, Scale, Transpose
-from gridloom.plans.lower import lower
-from gridloom.plans.rules import pattern, rewrite
+from gridloom.plans.lower import lower, method, natural
+from gridloom.plans.rules import matched, multiplications, nesting, pattern, rewrite
 from gridloom.sources.shared import materialise
 
 #: Elements that to_numpy() brings to the driver, at most.
@@ -33,6 +34,12 @@ class Matrix:
             raise ValueError("a shape has no negative numbers")
         self.node = node
 
+    @classmethod
+    def from_vectors(cls, table: DataFrame, rows: int, cols: int, dtype: str) -> Matrix:
+        """From rows (k, data): the k-th row as an array of cols values. Thin products read them without an exchange."""
+        cells = table.select(F.col("k").alias("i"), F.posexplode("data").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), F.col("v").cast(dtypes.spark_type(dtype)).alias("v"))
+        return cls(Leaf(cells, rows, cols, dtypes.dtype_name(dtype), table.select("k", "data")))
+
     @classmethod
     def from_cells(cls, cells: DataFrame, rows: int, cols: int, dtype: str | None = None) -> Matrix:
         """From rows (i, j, v), unique and complete; dtype is that of v unless given."""
@@ -127,7 +134,8 @@ class Matrix:
 
     def correlation(self) -> Matrix:
         """Pearson correlation between the columns: the product of the standardised matrix with itself, by cells or by blocks as any other product. Columns without variance correlate as null."""
-        z = Leaf(ops.standardised(self.cells), *self.shape, "float64")
+        rows = natural(rewrite(self.node)) if self.shape[1] <= THIN else None
+        z = Leaf(ops.standardised(self.cells), *self.shape, "float64", None if rows is None else ops.standardised_vectors(rows, self.cells))
         total = lower(MatMul(Transpose(z), z))
         share = total.select("i", "j", (F.nanvl("v", F.lit(None)) / self.shape[0]).alias("v"))
         return Matrix(Leaf(share, self.shape[1], self.shape[1], "float64"))
@@ -153,9 +161,10 @@ class Matrix:
         return out
 
     def report(self) -> dict:
-        """What would run, without running it: the rewritten tree's root, its one-pass pattern, its estimated cost."""
+        """What would run, without running it: the rewritten tree's root, its one-pass pattern (match: with what it is made from), its estimated cost; of a product also the order of its chain, how it is computed and how many cells are multiplied."""
         node = rewrite(self.node)
-        return {"shape": self.shape, "dtype": self.node.dtype, "root": type(node).__name__, "pattern": pattern(node), "cost": estimate(node)}
+        out = {"shape": self.shape, "dtype": self.node.dtype, "root": type(node).__name__, "pattern": pattern(node), "match": matched(node), "cost": estimate(node)}
+        return out | ({"order": nesting(node), "method": method(node), "multiplications": multiplications(node)} if isinstance(node, MatMul) else {})
 
 
 def _grid(spark: SparkSession, shape: tuple[int, int], value: Column, dtype) -> Matrix:

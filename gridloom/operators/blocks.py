@@ -65,15 +65,16 @@ def _joined(found: dict[tuple, np.ndarray], rows: list[int], cols: list[int]) ->
     height = {r: b.shape[0] for (r, _), b in found.items()}
     width = {c: b.shape[1] for (_, c), b in found.items()}
     down, across = np.cumsum([0, *(height[r] for r in rows)]), np.cumsum([0, *(width[c] for c in cols)])
-    out = np.zeros((down[-1], across[-1]), next(iter(found.values())).dtype)
+    out = np.zeros((down[-1], across[-1]))  # products are summed in double, whatever the blocks' type
+    row_at, col_at = {r: i for i, r in enumerate(rows)}, {c: j for j, c in enumerate(cols)}
     for (r, c), b in found.items():
-        if c in width and r in rows and c in cols:
-            i, j = rows.index(r), cols.index(c)
+        if r in row_at and c in col_at:
+            i, j = row_at[r], col_at[c]
             out[down[i] : down[i + 1], across[j] : across[j + 1]] = b
     return out, down.tolist(), across.tolist()
 
 
-def _multiply(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+def _multiply(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table, kind: pa.DataType) -> pa.Table:
     """All blocks of the result that lie in one super-block, over one slab: a single large product."""
     a, b = _arrays(left, ("bi", "k")), _arrays(right, ("k", "bj"))
     inner = sorted({k for _, k in a} & {k for k, _ in b})
@@ -83,7 +84,7 @@ def _multiply(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa
         y, _, across = _joined(b, inner, cols)
         total = x @ y
         out = [(r, c, np.ascontiguousarray(total[down[i] : down[i + 1], across[j] : across[j + 1]])) for i, r in enumerate(rows) for j, c in enumerate(cols)]
-    return _table(out, left.schema.field("data").type)
+    return _table(out, kind).append_column("slab", pa.array([key[2].as_py()] * len(out), pa.int64()))
 
 
 def _table(out: list[tuple[int, int, np.ndarray]], kind: pa.DataType) -> pa.Table:
@@ -92,11 +93,17 @@ def _table(out: list[tuple[int, int, np.ndarray]], kind: pa.DataType) -> pa.Tabl
     return pa.table(dict(zip(_NAMES, cols)))
 
 
-def _sum_group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def _sum_group(key: tuple[pa.Scalar, ...], table: pa.Table, kind: pa.DataType) -> pa.Table:
+    """The sum of the partial blocks of one lot, in the order of their slabs: equal in every run."""
+    table = table.sort_by("slab")
     data = table.column("data").combine_chunks()
-    total = np.sum([data[n].values.to_numpy(zero_copy_only=False) for n in range(len(data))], axis=0)
+    total = np.sum([data[n].values.to_numpy(zero_copy_only=False) for n in range(len(data))], axis=0, dtype=np.float64)
     first = table.slice(0, 1)
-    return pa.table({n: first.column(n) if n != "data" else pa.array([total], table.schema.field("data").type) for n in _NAMES})
+    return pa.table({n: first.column(n) if n != "data" else pa.array([total], pa.list_(kind)) for n in _NAMES} | {"slab": pa.array([key[2].as_py()], pa.int64())})
+
+
+def _summing(kind: pa.DataType):
+    return lambda key, table: _sum_group(key, table, kind)
 
 
 def side(down: int, across: int, slabs: int, cores: int) -> int:
@@ -116,11 +123,14 @@ def matmul(left: DataFrame, right: DataFrame, blocks_down: int, blocks_across: i
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-n // g) - 1).cast("long")))
     a = left.select(F.floor(F.col("bi") / g).alias("row"), every(blocks_across).alias("col"), slab("bj").alias("slab"), "bi", F.col("bj").alias("k"), "n_rows", "n_cols", "data")
     b = right.select(every(blocks_down).alias("row"), F.floor(F.col("bj") / g).alias("col"), slab("bi").alias("slab"), F.col("bi").alias("k"), "bj", "n_rows", "n_cols", "data")
-    schema = SCHEMA.replace("double", dict(left.dtypes)["data"][6:-1])
+    kind = dict(left.dtypes)["data"][6:-1]
+    final = pa.float32() if kind == "float" else pa.float64()
+    schema = lambda last: f"{SCHEMA.replace('double', kind) if last else SCHEMA}, slab long"
     a, b = a.toDF(*a.columns), b.toDF(*b.columns)  # columns of their own, also where both sides are one table
-    part = a.groupBy("row", "col", "slab").cogroup(b.groupBy("row", "col", "slab")).applyInArrow(_multiply, schema)
+    own = final if slabs == 1 else pa.float64()
+    part = a.groupBy("row", "col", "slab").cogroup(b.groupBy("row", "col", "slab")).applyInArrow(lambda k, x, y: _multiply(k, x, y, pa.list_(own)), schema(slabs == 1))
     while slabs > 1:
         slabs = -(-slabs // SLAB)
-        lot = F.pmod(F.xxhash64("data"), F.lit(slabs)) if slabs > 1 else F.lit(0)
-        part = part.withColumn("lot", lot).groupBy("bi", "bj", "lot").applyInArrow(_sum_group, schema)
-    return part
+        own = final if slabs == 1 else pa.float64()
+        part = part.withColumn("lot", F.floor(F.col("slab") / SLAB)).groupBy("bi", "bj", "lot").applyInArrow(_summing(own), schema(slabs == 1))
+    return part.drop("slab")

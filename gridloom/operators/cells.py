@@ -57,6 +57,13 @@ def reduce(cells: DataFrame, how: str, axis: int | None = None) -> DataFrame:
     return cells.agg(value) if axis is None else cells.groupBy("j" if axis == 0 else "i").agg(value)
 
 
+def standardised_vectors(vectors: DataFrame, cells: DataFrame) -> DataFrame:
+    """standardised() of a thin matrix whose rows are vectors (k, data): its columns' moments are one row, which goes to every task."""
+    moments = cells.groupBy("j").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).agg(F.array_sort(F.collect_list(F.struct("j", "m", "s"))).alias("all"))
+    value = F.zip_with("data", "all", lambda x, c: F.when(c["s"] > 0, (x - c["m"]) / c["s"]))
+    return vectors.crossJoin(F.broadcast(moments)).select("k", value.alias("data"))
+
+
 def standardised(cells: DataFrame) -> DataFrame:
     """Each column less its mean, over its deviation; null in columns without variance. The moments are a row a column; Spark picks the join by their size."""
     moments = cells.groupBy("j").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))

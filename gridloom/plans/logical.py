@@ -27,12 +27,13 @@ class Node:
 
 @dataclass(frozen=True, eq=False)
 class Leaf(Node):
-    """Cells (i, j, v) of a matrix, one row each."""
+    """Cells (i, j, v) of a matrix, one row each; and, where its rows are at hand as arrays, the same as vectors (k, data)."""
 
     cells: DataFrame
     rows: int
     cols: int
     dtype: str
+    vectors: DataFrame | None = None
 
 
 @dataclass(frozen=True, eq=False)

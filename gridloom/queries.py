@@ -58,9 +58,8 @@ def oracle_sql() -> dict[str, str]:
 
 def embeddings(spark: SparkSession, sf_dir: str) -> Matrix:
     table = read_table(spark, sf_dir, "embeddings")
-    cells = table.select(F.col("vec_id").cast("long").alias("i"), F.posexplode("embedding").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
     size = table.agg(F.coalesce(F.max("vec_id") + 1, F.lit(0)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
-    return Matrix(Leaf(cells, int(size[0]), int(size[1]), "float64"))
+    return Matrix.from_vectors(table.select(F.col("vec_id").cast("long").alias("k"), F.col("embedding").cast("array<double>").alias("data")), int(size[0]), int(size[1]), "float64")
 
 
 def quantities(spark: SparkSession, sf_dir: str) -> Matrix:
@@ -142,6 +141,21 @@ def mat_matmul_chain(spark, sf_dir):
     return rounded((e @ (e.T @ e)).cells, "v", digits=5)
 
 
+@query(f"WITH {_E}, {_G} SELECT E.i, G.j, ROUND(SUM(E.v * G.v), 5) + 0.0 AS v FROM E JOIN G ON E.j = G.i GROUP BY 1, 2")
+def mat_chain_order(spark, sf_dir):
+    """(E @ E.T) @ E without the square of the number of rows on the way."""
+    e = embeddings(spark, sf_dir)
+    return rounded(((e @ e.T) @ e).cells, "v", digits=5)
+
+
+@query(f"WITH {_E}, {_G}, P AS (SELECT i, j, v / (SELECT MAX(i) + 1 FROM E) AS v FROM G), Q AS (SELECT a.i, b.j, SUM(a.v * b.v) AS v FROM P a JOIN P b ON a.j = b.i GROUP BY 1, 2) SELECT P.i, P.j, ROUND(P.v + Q.v, 5) + 0.0 AS v FROM P JOIN Q ON P.i = Q.i AND P.j = Q.j")
+def mat_shared_product(spark, sf_dir):
+    """P + P @ P of the mean product P of the columns: written twice in the expression, computed once."""
+    e = embeddings(spark, sf_dir)
+    share = 1.0 / e.shape[0]
+    return rounded(((e.T @ e) * share + ((e.T @ e) * share) @ ((e.T @ e) * share)).cells, "v", digits=5)
+
+
 @query(f"WITH {_E}, {_G} SELECT i, j, ROUND(v * CAST(0.5 AS DOUBLE), 6) + 0.0 AS v FROM G")
 def mat_matmul_scale(spark, sf_dir):
     e = embeddings(spark, sf_dir)

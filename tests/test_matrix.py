@@ -10,7 +10,7 @@ from gridloom.operators.cells import matmul
 from gridloom.plans import dtypes
 from gridloom.plans.logical import Add, Leaf, MatMul, Scale, Transpose
 from gridloom.plans.lower import by_blocks
-from gridloom.plans.rules import pattern, rewrite
+from gridloom.plans.rules import multiplications, nesting, pattern, rewrite
 
 RNG = np.random.default_rng(42)
 
@@ -179,3 +179,117 @@ def test_missing_cells_count_as_zero(spark):
         a = api.Matrix.from_cells(spark.createDataFrame([(0, 0, values[0])], f"i long, j long, v {kind}"), 1, 2)
         b = api.Matrix.from_cells(spark.createDataFrame([(0, 1, values[1])], f"i long, j long, v {kind}"), 1, 2)
         assert (a + b).to_numpy().tolist() == [list(values)]
+
+
+# ---- Thin products, order of chains, shared subtrees, block sums
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_thin_products(spark):
+    """Like NumPy on rows at hand and on cells, with missing cells, short rows and all element types; no join of cells."""
+    rng = np.random.default_rng(8)
+    x, y = rng.random((900, 7)), rng.random((900, 5))
+    rows = lambda z: spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(z)], "k long, data array<double>")
+    a, b = api.Matrix.from_vectors(rows(x), 900, 7, "float64"), api.array(spark, y, "float64")
+    for product, want in ((a.T @ a, x.T @ x), (a.T @ b, x.T @ y), ((a + a).T @ b * 0.5, x.T @ y), (((a * 2.0).T @ a), 2 * x.T @ x), (a @ (a.T @ b), x @ (x.T @ y)), ((a.T @ b).T @ a.T, (x.T @ y).T @ x.T)):
+        np.testing.assert_allclose(product.to_numpy(), want, rtol=1e-9)
+        assert "ArrowEvalPython" not in plan_of(product.cells)
+    assert not {"SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin"} & set(plan_of((a.T @ a).cells).replace("(", " ").split())
+    short = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0]), (2, []), (3, [None, 4.0])], "k long, data array<double>")
+    s = api.Matrix.from_vectors(short.where("k < 3"), 3, 2, "float64")
+    assert (s.T @ s).to_numpy().tolist() == [[10, 2], [2, 4]]
+    holes = api.Matrix.from_cells(spark.createDataFrame([(0, 1, 2), (4, 0, 3), (4, 1, 1)], "i long, j long, v int"), 6, 2)
+    assert (holes.T @ holes).to_numpy().tolist() == [[9, 3], [3, 5]] and (holes.T @ holes).dtype == np.int64
+    assert (holes @ holes.T).to_numpy()[4].tolist() == [2, 0, 0, 0, 10, 0]
+    assert (a.T @ a).node.dtype == "float64" and (api.ones(spark, (700, 2)).T @ api.ones(spark, (700, 2))).dtype == np.float32
+
+
+def test_thin_products_of_integers_are_exact_or_raise(spark):
+    x = np.array([[2**31 - 1, 3], [2**31 - 5, -7]] * 2, "int64")
+    a = api.array(spark, x, "int64")
+    with pytest.raises(Exception, match="64 bits"):
+        (a.T @ a).to_numpy()
+    b = api.array(spark, x[:1], "int64")
+    assert (b.T @ b).to_numpy().tolist() == [[(2**31 - 1) ** 2, 3 * (2**31 - 1)], [3 * (2**31 - 1), 9]]
+
+
+def test_gram_of_a_million_rows_exchanges_small_matrices(spark):
+    """10^6 x 64: what is exchanged is one 64 x 64 matrix a task."""
+    data = spark.range(1_000_000, numPartitions=8).select(F.col("id").alias("k"), F.array_repeat((F.col("id") % 3).cast("double"), 64).alias("data"))
+    m = api.Matrix.from_vectors(data, 1_000_000, 64, "float64")
+    product = (m.T @ m).cells
+    got = product.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    want = sum((k % 3) ** 2 for k in range(3)) * 333_333 + 0
+    assert tuple(got) == (4096, float(want), float(want))
+    plan = plan_of(product)
+    assert plan.count("Exchange hashpartitioning(i") == 1 and "Join" not in plan and "Generate" not in plan
+
+
+def test_order_of_chains(spark):
+    leaf = lambda n, m, kind="float32": Leaf(spark.range(0), n, m, kind)
+    tall = leaf(1000, 8)
+    wrong = rewrite(MatMul(MatMul(tall, Transpose(tall)), tall))
+    right = rewrite(MatMul(tall, MatMul(Transpose(tall), tall)))
+    assert isinstance(wrong.right, MatMul) and wrong.left is tall and isinstance(right.right, MatMul)
+    assert nesting(wrong) == nesting(right) == "(1000x8 @ (8x1000 @ 1000x8))"
+    assert multiplications(wrong) == 2 * 8 * 1000 * 8
+    ints = leaf(1000, 8, "int64")
+    assert isinstance(rewrite(MatMul(MatMul(ints, Transpose(ints)), ints)).left, MatMul)
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        sizes = rng.integers(1, 30, rng.integers(3, 7)).tolist()
+        chain = [leaf(a, b) for a, b in zip(sizes, sizes[1:])]
+
+        def least(lo, hi):
+            return 0 if lo == hi else min(least(lo, k) + least(k + 1, hi) + sizes[lo] * sizes[k + 1] * sizes[hi + 1] for k in range(lo, hi))
+
+        nested = chain[0]
+        for m in chain[1:]:
+            nested = MatMul(nested, m)
+        assert multiplications(rewrite(nested)) == least(0, len(chain) - 1)
+    x = rng.random((40, 3)).astype("float32")
+    a = api.array(spark, x)
+    np.testing.assert_allclose(((a @ a.T) @ a).to_numpy(), x @ x.T @ x, rtol=1e-4)
+    report = ((a @ a.T) @ a).report()
+    assert report["order"] == "(40x3 @ (3x40 @ 40x3))" and report["multiplications"] == 720 and report["method"] in ("inner", "tall")
+
+
+def test_equal_subtrees_are_one(spark, monkeypatch):
+    from gridloom.plans import lower as lowering
+
+    x = np.random.default_rng(3).random((30, 30)).astype("float32")
+    a, b = api.array(spark, x), api.array(spark, x.T.copy())
+    twice = rewrite(Add(MatMul(a.node, b.node), MatMul(a.node, b.node)))
+    assert twice.left is twice.right
+    written = []
+    monkeypatch.setattr(lowering, "materialise", lambda df, name: written.append(name) or df)
+    assert plan_of(((a @ b) + (a @ b)).cells).count("MapInArrow") == 1 and not written
+    p = a @ b
+    three = (p + p.T * 2) @ (a @ b)
+    np.testing.assert_allclose(three.to_numpy(), (x @ x.T + 2 * (x @ x.T).T) @ (x @ x.T), rtol=1e-4)
+    assert written == ["shared-product"]
+
+
+def test_match_has_its_parameters(spark):
+    a, b = api.ones(spark, (4, 3)), api.zeros(spark, (4, 3))
+    assert ((a + b) * 2.5).report()["match"] == {"name": "add-scale", "inputs": [(4, 3), (4, 3)], "scalars": [2.5]}
+    assert ((a + b) @ api.ones(spark, (3, 2))).report()["match"] == {"name": "add-matmul", "inputs": [(4, 3), (4, 3), (3, 2)], "scalars": []}
+    assert a.report()["match"] is None
+
+
+def test_block_sums_follow_the_slabs(spark, monkeypatch):
+    """Partial blocks are dealt and added by slab, in double: float32 results are those of double, rounded once, in any partitioning."""
+    x = np.random.default_rng(5).random((8, 4 * 8 * 9)).astype("float32")
+    left = blocks.to_blocks(api.array(spark, x).cells, *x.shape, 4, "float")
+    right = blocks.transpose(left)
+    want = (x.astype("float64") @ x.T.astype("float64")).astype("float32")
+    for parts in (1, 7):
+        product = blocks.matmul(left.repartition(parts), right.repartition(parts + 2), 2, 2, 72)
+        got = api.Matrix(Leaf(blocks.to_cells(product, "float", 4), 8, 8, "float32")).to_numpy()
+        np.testing.assert_allclose(got, want, rtol=2e-7)
+    same = blocks.to_blocks(api.ones(spark, (4, 4 * 8 * 9)).cells, 4, 288, 4, "float")
+    product = blocks.matmul(same, blocks.transpose(same), 1, 1, 72)
+    assert set(api.Matrix(Leaf(blocks.to_cells(product, "float", 4), 4, 4, "float32")).to_numpy().ravel()) == {288.0}
