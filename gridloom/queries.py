@@ -289,6 +289,24 @@ def source_npy(spark, sf_dir):
     return files.load(spark, target).cells
 
 
+@query(f"WITH {_L} SELECT i, j, v FROM L")
+def source_parts(spark, sf_dir):
+    """L, filled up with zeros, to a folder of raw parts of int64 and back; what was missing is left out again."""
+    m = quantities(spark, sf_dir)
+    files.save_raw(path := shared_path(spark, "parts"), m + api.zeros(spark, m.shape, "int64"))
+    known = m.cells.select("i", "j")
+    return files.load(spark, path, m.shape, "int64").cells.join(known, ["i", "j"], "left_semi")
+
+
+@query(f"WITH {_E} SELECT i, j, CAST(v AS FLOAT) AS v FROM E WHERE i BETWEEN 128 AND 383 AND j < 16")
+def source_binary(spark, sf_dir):
+    """E to a raw file, converted to the native form, and a rectangle of that."""
+    e = embeddings(spark, sf_dir)
+    files.save_file(path := _mounted(spark, "e.bin"), Matrix(Leaf(e.cells.withColumn("v", F.col("v").cast("float")), *e.shape, "float32")))
+    target, _ = files.convert(spark, path, shared_path(spark, "from-binary"), shape=e.shape)
+    return files.load(spark, target).cells.where("i BETWEEN 128 AND 383 AND j < 16")
+
+
 @query(f"WITH {_E} SELECT i, j, CAST(v AS FLOAT) AS v FROM E")
 def source_csv(spark, sf_dir):
     """E as a folder of CSV files, in the order of their names, and back."""

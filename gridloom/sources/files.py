@@ -1,27 +1,31 @@
 """Reading, writing, converting and checking matrix files.
 
-The native form is Parquet cells with a JSON description beside it. Raw row-major files, .npy, CSV and TSV are read in
-parallel; HDF5 needs h5py.
+The native form is Parquet cells in Morton order with a JSON description beside it. Raw row-major files and .npy go
+through the data source of rawfile.py; CSV and TSV are read in parallel; HDF5 needs h5py.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.api import Matrix
 from gridloom.plans import dtypes
-from gridloom.plans.logical import Leaf
+from gridloom.plans.logical import Leaf, Transpose
+from gridloom.sources import rawfile
 from gridloom.sources.shared import file_index
 
 FORMATS = {".npy": "npy", ".h5": "hdf5", ".hdf5": "hdf5", ".csv": "csv", ".tsv": "tsv", ".txt": "tsv", ".dat": "binary", ".bin": "binary"}
 ROWS_AT_ONCE = 1000
+SIDE = 256  # of the tiles of the native form
+FILE_CELLS = 1 << 24  # of a file of it: 256 tiles
 CELLS = "i long, j long, v {}"
 
 
@@ -30,11 +34,26 @@ def detect_format(path: str) -> str:
     return FORMATS.get(os.path.splitext(path)[1].lower(), "binary")
 
 
-def save(path: str, matrix: Matrix) -> None:
-    """Parquet cells ordered by row ranges, so that ranges of i and j skip files, and their description."""
+def _spaced(n: Column) -> Column:
+    """The lowest 31 bits of n with a gap before each."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        n = n.bitwiseOR(F.shiftleft(n, shift)).bitwiseAND(F.lit(mask))
+    return n
+
+
+def morton(i: Column, j: Column, side: int = SIDE) -> Column:
+    """The tile of a cell on the Morton curve: tiles that are near in both directions are near in this order."""
+    at = lambda x: F.floor(x / side).cast("long")
+    return F.shiftleft(_spaced(at(i)), 1).bitwiseOR(_spaced(at(j)))
+
+
+def save(path: str, matrix: Matrix, side: int = SIDE, cells_per_file: int = FILE_CELLS) -> None:
+    """Parquet cells and their description. Files hold tiles in Morton order, so that ranges of i, of j or of both skip files (and pages in them) by their statistics."""
     spark = matrix.cells.sparkSession
-    matrix.cells.repartitionByRange("i", "j").sortWithinPartitions("i", "j").write.mode("overwrite").parquet(f"{path}/cells")
-    meta = json.dumps({"rows": matrix.shape[0], "cols": matrix.shape[1], "dtype": matrix.node.dtype, "layout": "cells", "dense": True})
+    placed = matrix.cells.withColumn("_tile", morton(F.col("i"), F.col("j"), side))
+    ordered = placed.repartitionByRange("_tile").sortWithinPartitions("_tile", "i", "j").drop("_tile")
+    ordered.write.mode("overwrite").option("maxRecordsPerFile", cells_per_file).parquet(f"{path}/cells")
+    meta = json.dumps({"rows": matrix.shape[0], "cols": matrix.shape[1], "dtype": matrix.node.dtype, "layout": "cells", "order": "morton", "side": side, "dense": True})
     spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
@@ -49,98 +68,57 @@ def load(spark: SparkSession, path: str, shape: tuple[int, int] | None = None, d
     return Matrix(Leaf(spark.read.parquet(f"{path}/cells"), meta["rows"], meta["cols"], meta["dtype"]))
 
 
-def _spread(batches: Iterator[pa.RecordBatch], dtype: str, cols: int) -> Iterator[pa.RecordBatch]:
-    """(i, raw row) -> cells."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
-            some = batch.slice(lo, ROWS_AT_ONCE)
-            values = np.frombuffer(b"".join(some.column(1).to_pylist()), dtype)
-            i = np.repeat(some.column(0).to_numpy(), cols)
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.tile(np.arange(cols), some.num_rows)), pa.array(values)], ["i", "j", "v"])
-
-
 def load_raw(spark: SparkSession, path: str, shape: tuple[int, int], dtype="float32") -> Matrix:
-    """A headerless row-major file: fixed-length records that any number of tasks read, each knowing its row."""
+    """A headerless row-major file, or a folder of such files in name order. It must hold exactly rows x cols elements. Filters on i choose what is read."""
     rows, cols = shape
     name = dtypes.dtype_name(dtype)
-    width = cols * np.dtype(name).itemsize
-    records = spark.sparkContext.newAPIHadoopFile(path, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf={"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(width)})
-    raw = spark.createDataFrame(records.map(lambda kv: (kv[0], bytearray(kv[1]))), "i long, data binary").where(F.col("i") < rows)
-    cells = raw.mapInArrow(lambda b: _spread(b, name, cols), CELLS.format(dtypes.spark_type(name)))
-    return Matrix(Leaf(cells, rows, cols, name))
+    return Matrix(Leaf(rawfile.read(spark, path, shape, name, name), rows, cols, name))
 
 
-def save_raw(path: str, matrix: Matrix, rows_per_file: int = ROWS_AT_ONCE) -> None:
-    """Raw row-major chunks named by their first row, in a folder that all machines mount; joined in name order they are the matrix."""
-    name = np.dtype(matrix.dtype).name
-    os.makedirs(path, exist_ok=True)
-    rows = matrix.cells.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("row"))
+def _rows(matrix: Matrix) -> DataFrame:
+    """(i, row): the cells of each row in order."""
+    row = F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"])
+    return matrix.cells.groupBy("i").agg(row.alias("row"))
 
-    def write(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("i").to_numpy())
-        data = np.array(table.column("row").to_pylist(), name)[order]
-        target = os.path.join(path, f"part-{key[0].as_py() * rows_per_file:012d}.dat")
-        with open(f"{target}.{os.getpid()}", "wb") as f:
-            f.write(data.tobytes())
-        os.replace(f"{target}.{os.getpid()}", target)  # a task that runs again writes the same file
-        return pa.table({"n": pa.array([len(data)], pa.int64())})
 
-    rows.withColumn("chunk", F.floor(F.col("i") / rows_per_file)).groupBy("chunk").applyInArrow(write, "n long").agg(F.sum("n")).collect()
+def save_raw(path: str, matrix: Matrix) -> None:
+    """A folder of raw row-major parts named by their first row, on any file system that Arrow knows; in name order they are the matrix. All or nothing."""
+    rawfile.write(_rows(matrix), path, matrix.shape, np.dtype(matrix.dtype).name, "parts")
 
 
 def save_file(path: str, matrix: Matrix) -> None:
-    """One headerless row-major file (or .npy, by the ending) in a folder that all machines mount.
-
-    The driver lays the file out at its full length; each task writes ranges of rows at their places, so a task that runs
-    again writes the same bytes.
-    """
-    (n_rows, cols), name = matrix.shape, np.dtype(matrix.dtype)
-    with open(path, "wb") as f:
-        if path.lower().endswith(".npy"):
-            np.lib.format.write_array_header_1_0(f, {"descr": np.lib.format.dtype_to_descr(name), "fortran_order": False, "shape": (n_rows, cols)})
-        head = f.tell()
-        f.truncate(head + n_rows * cols * name.itemsize)
-    rows = matrix.cells.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("row"))
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with open(path, "r+b") as f:
-            for batch in batches:
-                for i, row in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    f.seek(head + i * cols * name.itemsize)
-                    f.write(row.values.to_numpy(zero_copy_only=False).astype(name).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
-
-    written = rows.repartitionByRange("i").sortWithinPartitions("i").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
-    if written != n_rows:
-        raise ValueError(f"the matrix has cells in {written} of {n_rows} rows")
+    """One headerless row-major file (or .npy, by the ending) in a folder that all machines mount. All or nothing."""
+    header, name = b"", np.dtype(matrix.dtype)
+    if path.lower().endswith(".npy"):
+        np.lib.format.write_array_header_1_0(own := io.BytesIO(), {"descr": np.lib.format.dtype_to_descr(name), "fortran_order": False, "shape": matrix.shape})
+        header = own.getvalue()
+    rawfile.write(_rows(matrix), path, matrix.shape, name.name, "file", header)
 
 
 def load_npy(spark: SparkSession, path: str, dtype=None) -> Matrix:
-    """A two-dimensional .npy file that all machines can open: tasks map it and read ranges of rows."""
-    found = np.load(path, mmap_mode="r")
-    if found.ndim != 2:
-        raise ValueError(f"a matrix has two dimensions, not {found.ndim}")
-    (rows, cols), name = found.shape, dtypes.dtype_name(dtype or found.dtype)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source = np.load(path, mmap_mode="r")
-        for batch in batches:
-            for chunk in batch.column(0).to_pylist():
-                part = np.ascontiguousarray(source[chunk * ROWS_AT_ONCE : (chunk + 1) * ROWS_AT_ONCE]).astype(name)
-                i, j = np.indices(part.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(i.ravel() + chunk * ROWS_AT_ONCE), pa.array(j.ravel()), pa.array(part.ravel())], ["i", "j", "v"])
-
-    chunks = spark.range(-(-rows // ROWS_AT_ONCE))
-    return Matrix(Leaf(chunks.mapInArrow(read, CELLS.format(dtypes.spark_type(name))), rows, cols, name))
+    """A two-dimensional .npy file in either order of its elements; tasks read ranges of rows (of columns, if it is stored by columns)."""
+    fs, place = rawfile.filesystem(path)
+    with fs.open_input_file(place) as f:
+        version = np.lib.format.read_magic(f)
+        shape, by_columns, found = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+        head = f.tell()
+    if len(shape) != 2:
+        raise ValueError(f"a matrix has two dimensions, not {len(shape)}")
+    name = dtypes.dtype_name(dtype or found)
+    stored = shape[::-1] if by_columns else shape
+    leaf = Leaf(rawfile.read(spark, path, stored, found.str, name, head), *stored, name)
+    return Matrix(Transpose(leaf) if by_columns else leaf)
 
 
 def load_delimited(spark: SparkSession, path: str, sep: str, dtype="float32") -> Matrix:
-    """All-numeric text without a header, one matrix row a line; empty lines don't count."""
+    """All-numeric text without a header, one matrix row a line; empty lines don't count. Lines of different lengths are refused."""
     name = dtypes.dtype_name(dtype)
-    lines = file_index(spark.read.text(path).where(F.trim("value") != ""), "i")
-    cells = lines.select("i", F.posexplode(F.split("value", sep)).alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), F.trim("v").cast(dtypes.spark_type(name)).alias("v"))
-    shape = cells.agg(F.max("i"), F.max("j")).first()
-    return Matrix(Leaf(cells, *((x + 1) if x is not None else 0 for x in shape), name))
+    lines = file_index(spark.read.text(path).where(F.trim("value") != ""), "i").select("i", F.split("value", sep).alias("all"))
+    rows, least, most = lines.agg(F.max("i"), F.min(F.size("all")), F.max(F.size("all"))).first()
+    if least != most:
+        raise ValueError(f"{path} has lines of {least} and of {most} values")
+    cells = lines.select("i", F.posexplode("all").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), F.trim("v").cast(dtypes.spark_type(name)).alias("v"))
+    return Matrix(Leaf(cells, 0 if rows is None else rows + 1, most or 0, name))
 
 
 def load_hdf5(spark: SparkSession, path: str, dataset: str | None = None, dtype="float32") -> Matrix:

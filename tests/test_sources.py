@@ -24,7 +24,7 @@ def test_raw(spark, folder, dtype):
     x = (X * 100).astype(dtype)
     x.tofile(f"{folder}/a.dat")
     assert (files.load(spark, f"{folder}/a.dat", x.shape, dtype).to_numpy() == x).all()
-    files.save_raw(f"{folder}/out", api.array(spark, x, dtype), rows_per_file=5)
+    files.save_raw(f"{folder}/out", api.array(spark, x, dtype))
     import os
 
     data = b"".join(open(f"{folder}/out/{n}", "rb").read() for n in sorted(os.listdir(f"{folder}/out")) if n.endswith(".dat"))
@@ -128,3 +128,138 @@ def test_shared_folder_of_a_cluster():
     for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]"):
         with pytest.raises(ValueError):
             shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None)))
+
+
+def test_raw_files_of_another_size_are_refused(spark, folder):
+    X[:4].tofile(f"{folder}/a.dat")
+    for shape in ((8, 7), (2, 7), (4, 6), (4, 8), (0, 7)):
+        with pytest.raises(ValueError):
+            files.load(spark, f"{folder}/a.dat", shape)
+        with pytest.raises(ValueError):
+            files.convert(spark, f"{folder}/a.dat", f"{folder}/x", shape=shape)
+    with pytest.raises(FileNotFoundError):
+        files.load(spark, f"{folder}/none.dat", (4, 7))
+    assert files.load(spark, f"{folder}/a.dat", (7, 4)).shape == (7, 4)
+
+
+def test_raw_reader_reads_only_the_rows_asked_for(spark, folder, monkeypatch):
+    """Filters on i choose byte ranges: counted in the partitions of the reader, and in the rows that Spark gets from it."""
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
+
+    from gridloom.sources import rawfile
+
+    x = np.arange(1000 * 8, dtype="float32").reshape(1000, 8)
+    x.tofile(f"{folder}/a.dat")
+    options = {"path": f"{folder}/a.dat", "rows": "1000", "cols": "8", "dtype": "float32", "out": "float32"}
+    monkeypatch.setattr(rawfile, "RANGE_BYTES", 32 * 100)
+
+    def ranges(*filters):
+        reader = rawfile.RawReader(options)
+        left = list(reader.pushFilters(list(filters)))
+        parts = reader.partitions()
+        return len(left), len(parts), sum(p.end - p.first for p in parts), [b for p in parts for b in reader.read(p)]
+
+    assert ranges()[:3] == (0, 10, 1000)
+    left, n, rows, batches = ranges(GreaterThanOrEqual(("i",), 250), LessThan(("i",), 270))
+    assert (left, n, rows) == (0, 1, 20) and batches[0].column(2).to_numpy()[0] == 2000
+    assert ranges(EqualTo(("i",), 7))[:3] == (0, 1, 1) and ranges(In(("i",), (3, 9)))[:3] == (1, 1, 7) and ranges(EqualTo(("i",), 5000))[:3] == (0, 0, 0)
+    assert ranges(EqualTo(("j",), 5))[:3] == (1, 10, 1000)
+    m = files.load(spark, f"{folder}/a.dat", (1000, 8))
+    got = m.cells.where("i >= 250 AND i < 270 AND j = 3")
+    assert sorted((r.i, r.v) for r in got.collect()) == [(i, i * 8 + 3.0) for i in range(250, 270)]
+    assert "GreaterThanOrEqual" in got._jdf.queryExecution().executedPlan().toString() or "i#" in got._jdf.queryExecution().executedPlan().toString()
+    assert m.cells.where("i = 5000").count() == 0 and (m.tile(990, 2, 50, 3).to_numpy() == x[990:, 2:5]).all()
+
+
+def test_writing_is_all_or_nothing(spark, folder):
+    """A task that fails, a row that is missing or repeated: nothing new is seen, and what was there stays."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    m = api.array(spark, X)
+    for save, name in ((files.save_file, "m.dat"), (files.save_raw, "parts")):
+        save(f"{folder}/{name}", m)
+        before = {n: open(f"{folder}/{name}/{n}", "rb").read() for n in os.listdir(f"{folder}/{name}")} if name == "parts" else open(f"{folder}/{name}", "rb").read()
+        bad = F.when(F.col("i") == 20, F.raise_error(F.lit("broken"))).otherwise(F.col("v")).cast("float").alias("v")
+        for cells in (m.cells.select("i", "j", bad), m.cells.where("i <> 11"), m.cells.where("i <> 11 OR j < 3"), m.cells.union(m.cells.where("i = 3").withColumn("i", F.lit(30).cast("long")))):
+            with pytest.raises(Exception):
+                save(f"{folder}/{name}", api.Matrix(Leaf(cells, *X.shape, "float32")))
+        after = {n: open(f"{folder}/{name}/{n}", "rb").read() for n in os.listdir(f"{folder}/{name}")} if name == "parts" else open(f"{folder}/{name}", "rb").read()
+        assert before == after
+        save(f"{folder}/{name}", m)
+        assert (files.load(spark, f"{folder}/{name}", X.shape).to_numpy() == X).all()
+    assert sorted(os.listdir(folder)) == ["m.dat", "parts"]
+
+
+def test_attempts_write_equal_bytes(spark, folder):
+    """Two attempts of one task, one after the other or cut short: the committed file has each row once."""
+    import pyarrow as pa
+
+    from gridloom.sources.rawfile import RawWriter
+
+    for layout in ("file", "parts"):
+        options = {"path": f"{folder}/{layout}", "rows": "4", "cols": "2", "dtype": "float32", "layout": layout, "token": "t"}
+        writer = RawWriter(options)
+        writer.prepare()
+        batch = lambda *rows: pa.RecordBatch.from_arrays([pa.array(list(rows)), pa.array([[float(r), r + 0.5] for r in rows])], ["i", "row"])
+
+        def broken():
+            yield batch(0, 1)
+            raise RuntimeError
+
+        with pytest.raises(RuntimeError):
+            writer.write(broken())
+        first, again, second = writer.write(iter([batch(0, 1)])), writer.write(iter([batch(0), batch(1)])), writer.write(iter([batch(2, 3)]))
+        assert [r[:3] for r in first.ranges][0][0] == 0
+        writer.commit([again, second, None])
+        got = files.load(spark, f"{folder}/{layout}", (4, 2)).to_numpy()
+        assert got.tolist() == [[float(r), r + 0.5] for r in range(4)]
+
+
+def test_npy_orders_and_types(spark, folder):
+    for k, x in enumerate((np.asfortranarray(X), X.astype(">f8"), (X * 100).astype("uint8"), np.zeros((0, 3)), X[:1])):
+        np.save(f"{folder}/{k}.npy", x)
+        back = files.load_npy(spark, f"{folder}/{k}.npy", "float32")
+        assert back.shape == x.shape and np.allclose(back.to_numpy(), x)
+    np.save(f"{folder}/one.npy", np.zeros(3))
+    with pytest.raises(ValueError):
+        files.load_npy(spark, f"{folder}/one.npy")
+
+
+def test_ragged_lines_are_refused(spark, folder):
+    for name, text in (("short.csv", "1,2,3\n4,5\n"), ("long.csv", "1,2\n3,4,5\n"), ("word.csv", "1,x\n")):
+        open(f"{folder}/{name}", "w").write(text)
+        with pytest.raises(Exception):
+            files.load_delimited(spark, f"{folder}/{name}", ",").to_numpy()
+    open(f"{folder}/none.csv", "w").write("\n")
+    assert files.load_delimited(spark, f"{folder}/none.csv", ",").shape == (0, 0)
+
+
+def test_morton_order_skips_files(spark, folder):
+    """Of 64 files, a slab of rows, one of columns and a tile touch about their share, by the files' statistics."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    n, side = 256, 32
+    m = api.random_rand(spark, (n, n), seed=4)
+    files.save(f"{folder}/m", m, side=side, cells_per_file=side * side)
+    assert (files.load(spark, f"{folder}/m").to_numpy() == m.to_numpy()).all()
+    stats = []
+    for path in glob.glob(f"{folder}/m/cells/*.parquet"):
+        meta = pq.read_metadata(path)
+        groups = [meta.row_group(g) for g in range(meta.num_row_groups)]
+        stats.append([(min(g.column(c).statistics.min for g in groups), max(g.column(c).statistics.max for g in groups)) for c in (0, 1)])
+    touched = lambda i, j: sum(a[0] < i[1] and a[1] >= i[0] and b[0] < j[1] and b[1] >= j[0] for a, b in stats)
+    assert len(stats) >= 64
+    everything, extra = (0, n), len(stats) / 64 + 1
+    assert touched((32, 64), everything) <= 8 * extra and touched(everything, (96, 128)) <= 8 * extra and touched((64, 96), (128, 160)) <= 2 * extra
+
+
+@pytest.mark.parametrize("places", [[(0, 0), (1, 1)], [(5, 3), (2**20, 2**15)]])
+def test_morton(spark, places):
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame(places, "i long, j long").select(files.morton(F.col("i"), F.col("j"), 1).alias("m")).collect()
+    assert [r.m for r in got] == [sum((i >> k & 1) << (2 * k + 1) | (j >> k & 1) << (2 * k) for k in range(31)) for i, j in places]
