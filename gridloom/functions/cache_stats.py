@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.sources.shared import ordered_index
 
 SAMPLED = 10_000  # events of a sampled timeline, about
+BINS = 2_048  # buckets of a round of selection
 CHUNK, LEVELS = 4_096, 2  # events whose predecessors are found together; chunks, and chunks of chunks
 #: Tiles of a side and of the cache in the usual studies.
 SCENARIOS = {"fast_test": (4096, 32), "standard": (8192, 128), "large_analysis": (16384, 256), "eviction_stress": (8192, 32)}
@@ -75,6 +76,17 @@ def heat_map(log: DataFrame) -> DataFrame:
     return accesses(log).groupBy("r", "c").agg(a.alias("a_count"), b.alias("b_count"), (a - b).alias("difference"))
 
 
+def heat_pyramid(log: DataFrame, levels: int = 4) -> DataFrame:
+    """level, r, c, a_count, b_count: heat maps of all resolutions, level k over squares of 2^k x 2^k tiles, by one aggregate with one exchange."""
+    places = [(F.shiftright("r", k).alias(f"r{k}"), F.shiftright("c", k).alias(f"c{k}")) for k in range(levels)]
+    flat = accesses(log).select("matrix", *(x for pair in places for x in pair))
+    sets = [[F.col(f"r{k}"), F.col(f"c{k}")] for k in range(levels)]
+    level = F.coalesce(*(F.when(F.grouping(f"r{k}") == 0, k) for k in range(levels)))
+    counted = flat.groupingSets(sets, *(x for pair in sets for x in pair)).agg(level.alias("level"), F.count_if(F.col("matrix") == "A").alias("a_count"), F.count_if(F.col("matrix") == "B").alias("b_count"))
+    at = lambda x: F.coalesce(*(F.when(F.col("level") == k, F.col(f"{x}{k}")) for k in range(levels)))
+    return counted.select("level", at("r").alias("r"), at("c").alias("c"), "a_count", "b_count")
+
+
 def window_size(n: int) -> int:
     return max(100, n // 50)
 
@@ -124,19 +136,48 @@ def gap_summary(log: DataFrame) -> DataFrame:
     return eviction_gaps(log).agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mean_gap"), F.min("gap").alias("min_gap"), F.max("gap").alias("max_gap"))
 
 
-def quantile(df: DataFrame, value: str, share: float, tie: str) -> DataFrame:
-    """One row, quantile: exact, between the two values around it. tie makes the order unique."""
-    ranked = ordered_index(df.select(value, tie), "rank", [value, tie])
-    place = ranked.agg(((F.count(F.lit(1)) - 1) * share).alias("place"))
-    near = ranked.join(F.broadcast(place)).where((F.col("rank") - 1 == F.floor("place")) | (F.col("rank") - 1 == F.ceil("place")))
-    return near.agg((F.min(value) + (F.max(value) - F.min(value)) * (F.max("place") - F.floor(F.max("place")))).alias("quantile"))
+def order_statistics(df: DataFrame, value: str, place) -> tuple | None:
+    """The values at floor(p) and ceil(p) of df in the order of a numeric column, and p = place(number of values); None without values. Nulls and NaN don't count.
+
+    Selection without a sort: each round counts the values of the range that is left in BINS buckets of equal width and
+    goes on with the bucket that holds the place, between its least and largest value, until these are one. The driver
+    gets BINS rows a round. Whole numbers take log(range) / log(BINS) rounds.
+    """
+    v = F.col(value)
+    some = df.where(v.isNotNull() & ~F.isnan(v.cast("double"))).select(v)
+    n, low, high = some.agg(F.count(F.lit(1)), F.min(value), F.max(value)).first()
+    if not n:
+        return None
+    p = place(n)
+    k, below, above, count = int(p // 1), 0, None, n
+    while low < high:
+        width = float(high) / BINS - float(low) / BINS
+        bucket = F.least(F.floor((v.cast("double") - float(low)) / width), F.lit(BINS - 1)).cast("int").alias("bucket") if width > 0 else F.when(v == low, 0).otherwise(1).alias("bucket")
+        found = some.where(v.between(low, high)).groupBy(bucket).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).collect()
+        found.sort(key=lambda r: r["low"])
+        at = 0
+        while below + found[at]["n"] <= k:
+            below += found[at]["n"]
+            at += 1
+        if at + 1 < len(found):
+            above = found[at + 1]["low"]
+        low, high, count = found[at]["low"], found[at]["high"], found[at]["n"]
+    after = low if k + 1 < below + count or p == k else above
+    return low, after, p
+
+
+def quantile(df: DataFrame, value: str, share: float) -> DataFrame:
+    """One row, quantile: exact, between the two values around it; null without values."""
+    found = order_statistics(df, value, lambda n: (n - 1) * share)
+    exact = None if found is None else float(found[0]) + (float(found[1]) - float(found[0])) * (found[2] - found[2] // 1)
+    return df.sparkSession.range(1).select(F.lit(exact).cast("double").alias("quantile"))
 
 
 def recommended_size(distances: DataFrame, capacity: int) -> DataFrame:
     """p80 of the reuse distances, and whether the cache should grow (p80 above 1.5 times it), shrink (below 0.7) or stay."""
     p = F.col("quantile")
     advice = F.when(p > 1.5 * capacity, "grow").when(p < 0.7 * capacity, "shrink").otherwise("keep")
-    return quantile(distances, "distance", 0.8, "seq").select(p.alias("p80"), F.lit(capacity).cast("long").alias("capacity"), advice.alias("advice"))
+    return quantile(distances, "distance", 0.8).select(p.alias("p80"), F.lit(capacity).cast("long").alias("capacity"), advice.alias("advice"))
 
 
 def working_set(log: DataFrame, capacity: int) -> DataFrame:

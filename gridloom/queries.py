@@ -5,6 +5,7 @@ E is the embeddings as a matrix (vec_id x position), L the summed quantities of
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from collections.abc import Callable
@@ -413,6 +414,21 @@ def cache_heatmap(spark, sf_dir):
     return stats.heat_map(log_of(spark, sf_dir))
 
 
+@query(f"""WITH {_LOG}, {_ACCESS} SELECT CAST(k AS INTEGER) AS level, r // CAST(pow(2, k) AS BIGINT) AS r, c // CAST(pow(2, k) AS BIGINT) AS c, COUNT(*) FILTER (WHERE matrix = 'A') AS a_count, COUNT(*) FILTER (WHERE matrix = 'B') AS b_count
+    FROM acc CROSS JOIN (SELECT unnest(range(0, 4)) AS k) GROUP BY 1, 2, 3""")
+def cache_heat_pyramid(spark, sf_dir):
+    return stats.heat_pyramid(log_of(spark, sf_dir))
+
+
+@query("SELECT l_returnflag, ROUND(QUANTILE_CONT(l_extendedprice, 0.37), 4) AS q37 FROM lineitem GROUP BY 1")
+def selected_quantiles(spark, sf_dir):
+    """A quantile of each kind of line by selection, without a sort."""
+    lines = read_table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
+    kinds = [r[0] for r in lines.select("l_returnflag").distinct().collect()]
+    found = [stats.quantile(lines.where(F.col("l_returnflag").eqNullSafe(k)), "l_extendedprice", 0.37).select(F.lit(k).alias("l_returnflag"), F.col("quantile").alias("q37")) for k in kinds]
+    return rounded(functools.reduce(DataFrame.union, found), "q37", digits=4)
+
+
 @query(f"""WITH {_LOG}, w AS (SELECT GREATEST(100, COUNT(*) // 50) AS size FROM log) SELECT seq // size AS "window", COUNT(*) AS n, ROUND(AVG(CASE WHEN event_type = 'HIT' THEN 1.0 ELSE 0.0 END), 9) AS hit_rate,
     ROUND(AVG(CASE WHEN event_type = 'EVICT' THEN 1.0 ELSE 0.0 END), 9) AS evict_rate, ROUND(AVG(cache_len) / {CAPACITY}, 9) AS fill FROM log CROSS JOIN w GROUP BY 1""")
 def cache_windowed_rates(spark, sf_dir):

@@ -105,3 +105,40 @@ def test_stream(spark, folder):
     q.stop()
     got = spark.table("rates").collect()
     assert len(got) == 4 and all(r.n == 4 and r.hit_rate == 0.5 and r.evict_rate == 0.25 for r in got)
+
+
+def test_selection(spark, monkeypatch):
+    """Exact like a sort: ties, negative, huge, equal, few and no values; a bounded number of rows a round."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    cases = [[5], [1, 1, 1, 1], [3, 1, 2], [rng.randint(-1000, 1000) for _ in range(500)], [7] * 300 + [rng.randint(0, 9) for _ in range(200)], [-(2**62), 0, 2**62]]
+    floats = [[0.5, float("nan"), 1.5, None, 2.5], [1e-300, 1e300, 1.0, -1e300, 5e-324, 0.0], [rng.gauss(0, 1) * 10 ** rng.randint(-9, 9) for _ in range(400)]]
+    for bins in (2048, 3):
+        monkeypatch.setattr(stats, "BINS", bins)
+        for values, kind in [*((c, "long") for c in cases), *((c, "double") for c in floats)]:
+            if bins == 3 and len(values) > 5:
+                continue
+            df = spark.createDataFrame([(v,) for v in values], f"x {kind}")
+            real = [v for v in values if v is not None and v == v]
+            for share in (0.0, 0.37, 1.0):
+                got = stats.quantile(df, "x", share).first()[0]
+                low, high, p = stats.order_statistics(df, "x", lambda n, share=share: (n - 1) * share)
+                assert low == sorted(real)[int(p)] and high == sorted(real)[-int(-p // 1)]
+                np.testing.assert_allclose(got, low + (high - low) * (p % 1))
+    assert stats.quantile(spark.createDataFrame([], "x double"), "x", 0.5).first()[0] is None
+
+
+def test_heat_pyramid_has_one_exchange(spark):
+    log = spark.createDataFrame([(k, "HIT" if k % 5 else "EVICT", "AB"[k % 2], k % 8, k * 3 % 8) for k in range(400)], "seq long, event_type string, matrix string, r long, c long")
+    got = stats.heat_pyramid(log)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = {}
+    for k in range(400):
+        for level in range(4):
+            if k % 5:
+                key = level, k % 8 >> level, k * 3 % 8 >> level
+                want[key] = want.get(key, (0, 0))[0] + (k % 2 == 0), want.get(key, (0, 0))[1] + k % 2
+    assert {(r.level, r.r, r.c): (r.a_count, r.b_count) for r in got.collect()} == want
