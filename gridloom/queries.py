@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gridloom import api
 from gridloom.api import Matrix
 from gridloom.functions import cache_stats as stats
+from gridloom.functions import stack_distance
 from gridloom.operators import blocks
 from gridloom.plans import cost
 from gridloom.plans.logical import Leaf
@@ -451,6 +452,20 @@ def cache_miss_curve(spark, sf_dir):
     return rounded(stats.miss_curve(stats.reuse_distances(log_of(spark, sf_dir))), "miss_rate", digits=9)
 
 
+_DEPTHS = """ranked AS (SELECT seq, tile, ROW_NUMBER() OVER (ORDER BY seq) - 1 AS t FROM acc), told AS (SELECT *, COALESCE(LAG(t) OVER (PARTITION BY tile ORDER BY t), -1) AS before FROM ranked),
+    depths AS (SELECT a.seq, a.tile, COUNT(s.t) AS depth FROM told a LEFT JOIN told s ON s.t > a.before AND s.t < a.t AND s.before < a.before WHERE a.before >= 0 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_LOG}, {_ACCESS}, {_DEPTHS} SELECT seq, tile, depth FROM depths")
+def cache_stack_distance(spark, sf_dir):
+    return stack_distance.stack_distances(log_of(spark, sf_dir))
+
+
+@query(f"WITH {_LOG}, {_ACCESS}, {_DEPTHS} SELECT s AS cache_size, ROUND(AVG(CASE WHEN depth >= s THEN 1.0 ELSE 0.0 END), 9) AS miss_rate FROM depths CROSS JOIN (SELECT unnest(range(16, 513, 16)) AS s) GROUP BY s")
+def cache_exact_miss_curve(spark, sf_dir):
+    return rounded(stack_distance.exact_miss_curve(stack_distance.stack_distances(log_of(spark, sf_dir))), "miss_rate", digits=9)
+
+
 @query(f"""WITH {_LOG}, {_ACCESS}, {_REUSE} SELECT scenario, CAST(s AS BIGINT) AS cache_size, ROUND(AVG(CASE WHEN distance > s THEN 1.0 ELSE 0.0 END), 9) AS miss_rate
     FROM reuse CROSS JOIN (VALUES {", ".join(f"('{name}', {tiles})" for name, (_, tiles) in stats.SCENARIOS.items())}) x(scenario, s) GROUP BY 1, 2""")
 def cache_scenarios(spark, sf_dir):

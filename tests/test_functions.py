@@ -142,3 +142,34 @@ def test_heat_pyramid_has_one_exchange(spark):
                 key = level, k % 8 >> level, k * 3 % 8 >> level
                 want[key] = want.get(key, (0, 0))[0] + (k % 2 == 0), want.get(key, (0, 0))[1] + k % 2
     assert {(r.level, r.r, r.c): (r.a_count, r.b_count) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("block,fan", [(2048, 64), (8, 4)])
+def test_stack_distances(spark, monkeypatch, block, fan):
+    """Against counting by hand, over several levels of blocks, with a tile that has a third of the accesses; and the curve against a cache that drops the least recently used."""
+    import random
+
+    from gridloom.functions import stack_distance
+
+    monkeypatch.setattr(stack_distance, "BLOCK", block)
+    monkeypatch.setattr(stack_distance, "FAN", fan)
+    monkeypatch.setattr(stack_distance, "AT_ONCE", 50)
+    rng = random.Random(9)
+    tiles = [7 if rng.random() < 0.34 else rng.randint(0, 60) for _ in range(900)]
+    kinds = [rng.choice(["HIT", "MISS", "EVICT"]) for _ in tiles]
+    log = spark.createDataFrame([(3 * k, e, t) for k, (e, t) in enumerate(zip(kinds, tiles))], "seq long, event_type string, tile long")
+    want, last, order = {}, {}, [(3 * k, t) for k, (e, t) in enumerate(zip(kinds, tiles)) if e != "EVICT"]
+    for n, (seq, tile) in enumerate(order):
+        if tile in last:
+            want[seq] = len({t for _, t in order[last[tile] + 1 : n]})
+        last[tile] = n
+    got = stack_distance.stack_distances(log)
+    assert {r.seq: r.depth for r in got.collect()} == want
+    curve = {r.cache_size: r.miss_rate for r in stack_distance.exact_miss_curve(got, 8, 4).collect()}
+    for size in (8, 16, 24, 32):
+        cache, missed = [], 0
+        for seq, tile in order:
+            missed += seq in want and tile not in cache
+            cache = [tile, *(t for t in cache if t != tile)][:size]
+        assert abs(curve[size] - missed / len(want)) < 1e-12
+    assert stack_distance.stack_distances(log.limit(0)).count() == 0
