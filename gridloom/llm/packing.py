@@ -1,6 +1,6 @@
 """Packing of tokenised documents into sequences: first-fit decreasing over a tournament tree.
 
-Documents are dealt at random (a hash of id and text) into groups of about GROUP documents, so the number of
+Documents are dealt at random (a hash of id, text, task and number among equal rows) into groups of about GROUP documents, so the number of
 groups grows with the input and a group stays small; each is packed on its own. In a group, a document first
 gives full sequences; what is left of it (under one sequence) goes to the first bin that still has room, the
 longest remainder first. A tournament tree over the bins' free space finds that bin in log2(bins) steps.
@@ -16,12 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEQUENCE = 1024  # tokens in a sequence
 GROUP = 1024  # documents in a randomised group, on average
 CACHED = 400_000  # words whose ids a Python worker remembers
+REMEMBERED = 1_000_000  # different rows that a task remembers to tell copies apart
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -187,13 +189,20 @@ def _binary(pieces: list[tuple[int, int, int]], total: int) -> list[list[tuple[i
     return out
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    tokens = tokens_of(path)
+def _encode(batches: Iterator[pa.RecordBatch], path: str, groups: int) -> Iterator[pa.RecordBatch]:
+    """(row's hash, doc_id, text) -> team, doc_id, ids. The copies of a row go to different teams: each by its number among the copies in the task. A task that runs again deals out as many to each."""
+    tokens, part, copies = tokens_of(path), TaskContext.get().partitionId(), {}
     for batch in batches:
         for lo in range(0, batch.num_rows, 1024):
             some = batch.slice(lo, 1024)
             ids = [tokens.encode(t or "") + b"\0\0" for t in some.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1).cast(pa.int64()), pa.array(ids, pa.binary())], ["team", "doc_id", "ids"])
+            if len(copies) > REMEMBERED:
+                copies.clear()
+            teams = []
+            for row in some.column(0).to_pylist():
+                nth = copies[row] = copies.get(row, -1) + 1
+                teams.append(hash((row, part, nth)) % groups)
+            yield pa.RecordBatch.from_arrays([pa.array(teams, pa.int64()), some.column(1).cast(pa.int64()), pa.array(ids, pa.binary())], ["team", "doc_id", "ids"])
 
 
 def _pack_group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -218,6 +227,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, group: int = GROUP) -> DataF
     A null or empty text is the one token 0; repeated rows are packed as rows of their own; ties between equal remainders go to the smaller id; an empty table gives no rows; only doc_id and text are read. Encoding happens once, before the only shuffle, which moves ids of two bytes.
     """
     groups = max(1, -(-docs.count() // group))
-    team = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))
-    dealt = docs.select(team.alias("team"), "doc_id", "text").mapInArrow(lambda batches: _encode(batches, tokenizer), "team long, doc_id long, ids binary")
+    row = F.xxhash64("doc_id", "text")
+    dealt = docs.select(row.alias("row"), "doc_id", "text").mapInArrow(lambda batches: _encode(batches, tokenizer, groups), "team long, doc_id long, ids binary")
     return dealt.groupBy("team").applyInArrow(_pack_group, PIECES)

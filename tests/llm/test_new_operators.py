@@ -401,3 +401,14 @@ def test_pii_by_brute_force(spark):
             assert old != now and kind_of(parts[spans.index((a, b)) + 1]) == kind, entity
             assert new.setdefault((kind, old), now) == now and back.setdefault((kind, now), old) == old
     assert found > 20 and new["name", "f|ada maria lopez"].count(" ") == 1
+
+
+def test_packing_parts_equal_rows(spark):
+    """20,000 equal rows: no group is far larger than the others."""
+    from gridloom.llm import packing
+
+    docs = spark.range(20_000, numPartitions=3).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one two three").alias("text"))
+    got = packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+    teams = [r["count"] for r in got.where("start = 0").groupBy(F.shiftright("sequence_id", 32).alias("team")).count().collect()]
+    assert len(teams) == 20 and sum(teams) == 20_000 and max(teams) < 1300
+    assert got.agg(F.sum("length")).first()[0] == 20_000 * 4
