@@ -143,29 +143,37 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 
 
 def _between(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
-    """(rep, part, members) of both sides of a cell: the links between different parts."""
+    """(rep, part, members) of both sides of a cell: links that join its different parts, fewer than it has parts.
+
+    A left set is compared only with sets whose parts no link of this cell has joined to its own, so links span what
+    similar sets connect and no group is written out in pairs.
+    """
     links = []
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in right.column("members")]
     reps, parts = right.column("rep").to_numpy(), right.column("part").to_numpy()
     order = np.argsort([len(s) for s in sets], kind="stable")
-    sets, reps, parts = [sets[i] for i in order], reps[order], parts[order]
+    sets, reps = [sets[i] for i in order], reps[order]
     sizes = np.array([len(s) for s in sets], np.int64)
-    for rep, part, members in zip(left.column("rep").to_pylist(), left.column("part").to_pylist(), left.column("members")):
+    # The part of each set, renamed as parts are joined; left sets come after the right ones.
+    part = np.concatenate([parts[order], left.column("part").to_numpy()])
+    for at_left, (rep, members) in enumerate(zip(left.column("rep").to_pylist(), left.column("members")), len(sets)):
         own = np.frombuffer(members.as_buffer(), np.uint64)
         # Only sets of a fitting size can be similar enough: a range, since they are sorted by size.
         lo, hi = np.searchsorted(100 * sizes, percent * len(own)), np.searchsorted(percent * sizes, 100 * len(own), "right")
         while lo < hi:
             some = np.arange(lo, min(lo + 256, hi))
             lo += 256
-            some = some[parts[some] != part]
+            some = some[part[some] != part[at_left]]
             if not len(some):
                 continue
             flat = np.concatenate([sets[i] for i in some])
             at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
             ends = np.cumsum(sizes[some])
             shared = np.diff(np.concatenate([[0], np.cumsum(own[at] == flat)[ends - 1]]))
-            hit = 100 * shared >= percent * (sizes[some] + len(own) - shared)
-            links += [(rep, int(r)) for r in reps[some[hit]]]
+            for i in some[100 * shared >= percent * (sizes[some] + len(own) - shared)]:
+                if part[i] != part[at_left]:
+                    links.append((rep, int(reps[i])))
+                    part[part == part[i]] = part[at_left]
     return pa.table({c: pa.array([p[i] for p in links], pa.int64()) for i, c in enumerate("ab")})
 
 
@@ -282,7 +290,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _second_look(clusters: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of one cluster that are in different groups: members outside the cluster's largest group against all members.
+    """Links between members of one cluster that are in different groups: members outside the cluster's largest group against all members. A cell hands on the links that span its groups.
 
     A cluster is a grid of g x g cells, each of which meets in one task: a g-th of the left members and a g-th of all. A
     set is shuffled g times, where g is what the tasks' number asks for, and more only where a cell would hold too many bytes.

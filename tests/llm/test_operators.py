@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from public_tokenizers import path as tokenizer_path
@@ -647,3 +648,23 @@ def test_second_look_at_a_loose_cluster(spark, monkeypatch):
         monkeypatch.setattr(neardup, "CELL_BYTES", size)
         got = {(min(r.a, r.b), max(r.a, r.b)) for r in neardup._second_look(clusters, found, table, 80).collect()}
         assert got == want and len(want) >= 20
+
+
+def test_cells_hand_on_spanning_links(spark):
+    """800 sets that are all similar, each a part of its own: a cell hands on fewer links than it has parts, and they join what pairs join."""
+    rng = np.random.default_rng(5)
+    base = np.sort(rng.integers(0, 2**63, 400, np.uint64))
+    alike = [np.sort(np.concatenate([np.delete(base, rng.integers(0, 400, 8)), rng.integers(0, 2**63, 8, np.uint64)])) for _ in range(800)]
+    apart = [np.sort(rng.integers(0, 2**63, 400, np.uint64)) for _ in range(20)]
+    sets = alike + apart
+    side = lambda rows: pa.table({"rep": pa.array(rows, pa.int64()), "part": pa.array(rows, pa.int64()), "members": pa.array([sets[r].tobytes() for r in rows], pa.binary())})
+    links = neardup._between((), side(range(1, 820)), side(range(820)), 80).to_pylist()
+    assert len(links) == 799 and all(max(x["a"], x["b"]) < 800 for x in links)
+    schema = "rep long, members binary"
+    table = spark.createDataFrame([(r, bytearray(s.tobytes())) for r, s in enumerate(sets)], schema)
+    clusters = spark.createDataFrame([(r, 0) for r in range(820)], "node long, component long")
+    found = spark.createDataFrame([], "node long, component long")
+    more = neardup._second_look(clusters, found, table, 80)
+    g = min(math.ceil(820 / neardup.CELL_SETS), math.isqrt(8 * spark.sparkContext.defaultParallelism) + 1)
+    assert more.count() < 2 * 820 * g and more.where("a = b").isEmpty()  # each of g x g cells has a g-th of the sets on either side
+    assert {r.node: r.component for r in neardup.components(more).collect()} == {n: 0 for n in range(800)}
