@@ -28,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     generate.add_argument("--seed", type=int, default=42)
     validate = kinds.add_parser("validate", help="check a matrix in the native form")
     validate.add_argument("source")
+    validate.add_argument("--tiles", type=int, help="check so many tiles instead of all cells")
     return out
 
 
@@ -37,9 +38,14 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
     spark = spark or SparkSession.builder.appName("gridloom").getOrCreate()
     checked = None
     if args.command == "convert":
-        target, shape = files.convert(spark, args.source, args.target, args.format, tuple(args.shape) if args.shape else None, args.dtype, args.dataset)
+        try:
+            target, shape = files.convert(spark, args.source, args.target, args.format, tuple(args.shape) if args.shape else None, args.dtype, args.dataset, args.validate)
+        except files.InvalidMatrix as e:
+            print(e)
+            return 1
         print(f"{target}: {shape[0]} x {shape[1]}")
-        checked = target if args.validate else None
+        if args.validate:
+            print("valid")
     elif args.command == "generate":
         rows, cols = args.shape or datagen.preset(args.size)
         files.save(args.target, datagen.gene_expression(spark, rows, cols, args.seed))
@@ -48,7 +54,8 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
         checked = args.source
     if checked is None:
         return 0
-    good = files.valid(files.load(spark, checked))
+    matrix = files.load(spark, checked)
+    good = files.valid(matrix) if args.tiles is None else files.sampled_valid(matrix, args.tiles)
     print("valid" if good else "not valid")
     return 0 if good else 1
 

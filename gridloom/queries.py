@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gridloom import api
 from gridloom.api import Matrix
 from gridloom.functions import cache_stats as stats
-from gridloom.functions import stack_distance
+from gridloom.functions import stack_distance, working_set
 from gridloom.operators import blocks
 from gridloom.plans import cost
 from gridloom.plans.logical import Leaf
@@ -330,6 +330,25 @@ def mat_validate(spark, sf_dir):
     return files.problems(e.cells, *e.shape)
 
 
+@query(f"WITH {_E} SELECT COUNT(*) AS n_cells, (SELECT (MAX(i) + 1) * (MAX(j) + 1) FROM E) AS n_expected, COUNT(*) - COUNT(DISTINCT (i, j)) AS n_repeated, CAST(0 AS BIGINT) AS n_outside, COUNT(*) - COUNT(v) AS n_nulls, COUNT(*) FILTER (WHERE isnan(v)) AS n_nans, COUNT(*) FILTER (WHERE isinf(v)) AS n_infinite FROM E")
+def source_checked(spark, sf_dir):
+    """E to .npy and to the native form; the counts that the writing tasks found."""
+    files.save_file(path := _mounted(spark, "checked.npy"), embeddings(spark, sf_dir))
+    target, _ = files.convert(spark, path, shared_path(spark, "checked"), dtype="float64", check=True)
+    found = files.described(spark, target)["found"]
+    return spark.range(1).select(*(F.lit(n).cast("long").alias(name) for name, n in found.items()))
+
+
+@query(f"""WITH {_E}, s AS (SELECT MAX(i) + 1 AS n, MAX(j) + 1 AS m FROM E), t AS (SELECT k, CAST(k * (n - LEAST(n, 16)) // 8 AS BIGINT) AS row, CAST((8 - k) * (m - LEAST(m, 16)) // 8 AS BIGINT) AS col, CAST(LEAST(n, 16) AS BIGINT) AS h, CAST(LEAST(m, 16) AS BIGINT) AS w FROM s CROSS JOIN (SELECT unnest(range(0, 9)) AS k))
+    SELECT row, col, COUNT(*) AS n_cells, MAX(h * w) AS n_expected, COUNT(*) FILTER (WHERE v IS NULL OR isnan(v) OR isinf(v)) AS n_bad FROM t JOIN E ON i >= row AND i < row + h AND j >= col AND j < col + w GROUP BY row, col""")
+def source_tile_check(spark, sf_dir):
+    """E in the native form, and the counts of nine unaligned tiles on its other diagonal."""
+    e = embeddings(spark, sf_dir)
+    files.save(path := shared_path(spark, "tiles"), e)
+    (n, m), h, w = e.shape, min(e.shape[0], 16), min(e.shape[1], 16)
+    return files.tile_problems(files.load(spark, path), [(k * (n - h) // 8, (8 - k) * (m - w) // 8, h, w) for k in range(9)])
+
+
 @query(f"WITH {_E} SELECT i, j, ROUND(v, 6) + 0.0 AS v FROM E")
 def mat_block_roundtrip(spark, sf_dir):
     e = embeddings(spark, sf_dir)
@@ -478,6 +497,15 @@ def cache_evict_gap(spark, sf_dir):
     return rounded(stats.gap_summary(log_of(spark, sf_dir)), "mean_gap")
 
 
+@query(f"""WITH {_LOG}, {_ACCESS}, s AS (SELECT COUNT(*) AS n FROM log), told AS (SELECT seq - LAG(seq, 1, -1) OVER (PARTITION BY tile ORDER BY seq) - 1 AS gap FROM acc),
+    g AS (SELECT gap FROM told UNION ALL SELECT n - 1 - MAX(seq) FROM acc CROSS JOIN s GROUP BY tile, n), w AS (SELECT CAST(1 AS BIGINT) << k AS length FROM (SELECT unnest(range(0, 41)) AS k)),
+    f AS (SELECT length, SUM(GREATEST(gap - length + 1, 0)) AS absent FROM g CROSS JOIN w GROUP BY length)
+    SELECT length, CAST(n - length + 1 AS BIGINT) AS windows, ROUND((SELECT COUNT(DISTINCT tile) FROM acc) - absent / CAST(n - length + 1 AS DOUBLE), 6) AS mean_tiles FROM f CROSS JOIN s WHERE length <= n""")
+def cache_working_set_curve(spark, sf_dir):
+    """The mean number of distinct tiles in windows of 1, 2, 4, ... events."""
+    return rounded(working_set.mean_tiles(log_of(spark, sf_dir)), "mean_tiles")
+
+
 @query(f"""WITH {_LOG}, {_ACCESS}, {_REUSE}, q AS (SELECT QUANTILE_CONT(distance, 0.8) AS p FROM reuse)
     SELECT ROUND(p, 6) AS p80, CAST({CAPACITY} AS BIGINT) AS capacity, CASE WHEN p > 1.5 * {CAPACITY} THEN 'grow' WHEN p < 0.7 * {CAPACITY} THEN 'shrink' ELSE 'keep' END AS advice FROM q""")
 def cache_percentile(spark, sf_dir):

@@ -6,6 +6,7 @@ through the data source of rawfile.py; CSV and TSV are read in parallel; HDF5 ne
 
 from __future__ import annotations
 
+import functools
 import io
 import json
 import os
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.api import Matrix
@@ -47,14 +48,43 @@ def morton(i: Column, j: Column, side: int = SIDE) -> Column:
     return F.shiftleft(_spaced(at(i)), 1).bitwiseOR(_spaced(at(j)))
 
 
-def save(path: str, matrix: Matrix, side: int = SIDE, cells_per_file: int = FILE_CELLS) -> None:
-    """Parquet cells and their description. Files hold tiles in Morton order, so that ranges of i, of j or of both skip files (and pages in them) by their statistics."""
+class InvalidMatrix(ValueError):
+    """A matrix whose cells are not complete, unique and finite; counts says what was found."""
+
+    def __init__(self, path: str, counts: dict[str, int]):
+        super().__init__(f"{path} is not valid: " + ", ".join(f"{k} {v}" for k, v in counts.items()))
+        self.counts = counts
+
+
+def save(path: str, matrix: Matrix, side: int = SIDE, cells_per_file: int = FILE_CELLS) -> dict[str, int]:
+    """Parquet cells and their description; returns the counts of problems(), gathered by the tasks that write.
+
+    Files hold runs of tiles in Morton order, so that ranges of i, of j or of both skip files (and pages in them) by their
+    statistics. A run's length follows from the shape, so no sample of the cells is drawn and they are computed once. The
+    counts are in the description, too.
+    """
     spark = matrix.cells.sparkSession
-    placed = matrix.cells.withColumn("_tile", morton(F.col("i"), F.col("j"), side))
-    ordered = placed.repartitionByRange("_tile").sortWithinPartitions("_tile", "i", "j").drop("_tile")
-    ordered.write.mode("overwrite").option("maxRecordsPerFile", cells_per_file).parquet(f"{path}/cells")
-    meta = json.dumps({"rows": matrix.shape[0], "cols": matrix.shape[1], "dtype": matrix.node.dtype, "layout": "cells", "order": "morton", "side": side, "dense": True})
+    rows, cols = matrix.shape
+    share = -(-rows * cols // (4 * spark.sparkContext.defaultParallelism))
+    run = max(1, min(cells_per_file, share) // side**2)
+    tiles = matrix.cells.withColumn("_tile", morton(F.col("i"), F.col("j"), side)).withColumn("_run", F.floor(F.col("_tile") / run))
+    # Dealt by runs and ordered inside tiles: the window needs no exchange of its own, and equal places follow each other.
+    line = Window.partitionBy("_run", "_tile").orderBy("i", "j")
+    ordered = tiles.repartition("_run").withColumn("_again", (F.lag("i").over(line) == F.col("i")) & (F.lag("j").over(line) == F.col("j")))
+    v, seen = F.col("v").cast("double"), Observation()
+    inside = F.col("i").between(0, rows - 1) & F.col("j").between(0, cols - 1)
+    tests = {"repeated": F.col("_again"), "outside": ~inside, "nulls": v.isNull(), "nans": F.isnan(v), "infinite": F.abs(v) == float("inf")}
+    watched = ordered.observe(seen, F.count(F.lit(1)).alias("n_cells"), *(F.count_if(test).alias(f"n_{name}") for name, test in tests.items()))
+    watched.drop("_tile", "_run", "_again").write.mode("overwrite").option("maxRecordsPerFile", run * side**2).parquet(f"{path}/cells")
+    counts = {"n_cells": seen.get["n_cells"], "n_expected": rows * cols} | {f"n_{name}": seen.get[f"n_{name}"] for name in tests}
+    meta = json.dumps({"rows": rows, "cols": cols, "dtype": matrix.node.dtype, "layout": "cells", "order": "morton", "side": side, "dense": True, "found": counts})
     spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    return counts
+
+
+def described(spark: SparkSession, path: str) -> dict:
+    """The description of a matrix in the native form; found has the counts of its problems when it was written."""
+    return json.loads(spark.read.text(f"{path}/meta").first()[0])
 
 
 def load(spark: SparkSession, path: str, shape: tuple[int, int] | None = None, dtype="float32") -> Matrix:
@@ -62,7 +92,7 @@ def load(spark: SparkSession, path: str, shape: tuple[int, int] | None = None, d
     if shape is not None:
         return load_raw(spark, path, shape, dtype)
     try:
-        meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+        meta = described(spark, path)
     except Exception as e:
         raise ValueError(f"{path} has no description; a raw file needs a shape") from e
     return Matrix(Leaf(spark.read.parquet(f"{path}/cells"), meta["rows"], meta["cols"], meta["dtype"]))
@@ -143,8 +173,8 @@ def load_hdf5(spark: SparkSession, path: str, dataset: str | None = None, dtype=
     return Matrix(Leaf(spark.range(-(-rows // ROWS_AT_ONCE)).mapInArrow(read, CELLS.format(dtypes.spark_type(name))), rows, cols, name))
 
 
-def convert(spark: SparkSession, source: str, target: str, format: str | None = None, shape: tuple[int, int] | None = None, dtype="float32", dataset: str | None = None) -> tuple[str, tuple[int, int]]:
-    """Any readable file to the native form; returns the path and the shape."""
+def convert(spark: SparkSession, source: str, target: str, format: str | None = None, shape: tuple[int, int] | None = None, dtype="float32", dataset: str | None = None, check: bool = False) -> tuple[str, tuple[int, int]]:
+    """Any readable file to the native form; returns the path and the shape. With check, InvalidMatrix is raised if what was written is not complete, unique and finite; the counts come from the job that writes, and the target stays for inspection."""
     kind = format or detect_format(source)
     if kind == "npy":
         matrix = load_npy(spark, source, dtype)
@@ -158,7 +188,9 @@ def convert(spark: SparkSession, source: str, target: str, format: str | None =
         matrix = load_raw(spark, source, shape, dtype)
     else:
         raise ValueError(f"unknown format {kind}")
-    save(target, matrix)
+    counts = save(target, matrix)
+    if check and not clean(counts):
+        raise InvalidMatrix(target, counts)
     return target, matrix.shape
 
 
@@ -173,7 +205,33 @@ def problems(cells: DataFrame, rows: int, cols: int) -> DataFrame:
     return by_place.agg(total("n").alias("n_cells"), F.lit(rows * cols).cast("long").alias("n_expected"), total(F.col("n") - 1).alias("n_repeated"), *(total(c).alias(f"n_{c}") for c in ("outside", "nulls", "nans", "infinite")))
 
 
+def clean(counts: dict[str, int]) -> bool:
+    """Whether counts of problems() name none."""
+    return counts["n_cells"] == counts["n_expected"] and not any(counts[c] for c in ("n_repeated", "n_outside", "n_nulls", "n_nans", "n_infinite"))
+
+
 def valid(matrix: Matrix) -> bool:
     """Complete, unique and finite."""
-    row = problems(matrix.cells, *matrix.shape).first()
-    return row["n_cells"] == row["n_expected"] and not any(row[c] for c in ("n_repeated", "n_outside", "n_nulls", "n_nans", "n_infinite"))
+    return clean(problems(matrix.cells, *matrix.shape).first().asDict())
+
+
+def sample_tiles(rows: int, cols: int, tiles: int = 10, side: int = SIDE, seed: int = 0) -> list[tuple[int, int, int, int]]:
+    """(first row, first column, height, width) of tiles that need not be aligned, the same for a seed and a shape."""
+    rng, height, width = np.random.default_rng([seed, rows, cols]), min(side, rows), min(side, cols)
+    return [(int(rng.integers(rows - height + 1)), int(rng.integers(cols - width + 1)), height, width) for _ in range(tiles)] if rows and cols else []
+
+
+def tile_problems(matrix: Matrix, tiles: list[tuple[int, int, int, int]]) -> DataFrame:
+    """row, col, n_cells, n_expected, n_bad (null, NaN or infinite) of each tile: a quick check that reads little of a native or raw file, since the tiles' ranges reach its scan. It doesn't tell a repeated cell from a missing one."""
+    places = [F.col("i").between(i, i + h - 1) & F.col("j").between(j, j + w - 1) for i, j, h, w in tiles]
+    v = F.col("v").cast("double")
+    bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    rows = functools.reduce(lambda x, y: x | y, places, F.lit(False))
+    found = matrix.cells.where(rows).agg(*(F.count_if(p).alias(f"n{k}") for k, p in enumerate(places)), *(F.count_if(p & bad).alias(f"bad{k}") for k, p in enumerate(places)), F.count(F.lit(1)).alias("all"))
+    each = [F.struct(*(F.lit(x).cast("long").alias(n) for n, x in (("row", i), ("col", j))), F.col(f"n{k}").alias("n_cells"), F.lit(h * w).cast("long").alias("n_expected"), F.col(f"bad{k}").alias("n_bad")) for k, (i, j, h, w) in enumerate(tiles)]
+    return found.select(F.inline(F.array(*each)) if each else F.inline(F.array().cast("array<struct<row:bigint,col:bigint,n_cells:bigint,n_expected:bigint,n_bad:bigint>>")))
+
+
+def sampled_valid(matrix: Matrix, tiles: int = 10, side: int = SIDE, seed: int = 0) -> bool:
+    """Whether a few tiles are complete and finite, for matrices that are too large for valid()."""
+    return tile_problems(matrix, sample_tiles(*matrix.shape, tiles, side, seed)).where("n_cells <> n_expected OR n_bad > 0").isEmpty()

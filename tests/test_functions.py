@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import cache_stats as stats
+from gridloom.functions import working_set
 from gridloom.functions.observability import Profiler, ResourceMonitor, Tracer, profiler, setup_logging
 from gridloom.plans import cost
 from gridloom.streaming.rates import streaming_rates
@@ -173,3 +174,29 @@ def test_stack_distances(spark, monkeypatch, block, fan):
             cache = [tile, *(t for t in cache if t != tile)][:size]
         assert abs(curve[size] - missed / len(want)) < 1e-12
     assert stack_distance.stack_distances(log.limit(0)).count() == 0
+
+
+def test_mean_tiles_of_windows(log, spark, monkeypatch):
+    rows, df = log
+    monkeypatch.setattr(stats, "CHUNK", 16)
+    seen = [r[5] if r[1] != "EVICT" else None for r in rows]
+    lengths = [1, 2, 3, 7, 64, 500, 699, 700, 701, 5000]
+    got = {r.length: (r.windows, r.mean_tiles) for r in working_set.mean_tiles(df, lengths).collect()}
+    assert sorted(got) == [x for x in lengths if x <= 700]
+    for w, (windows, mean) in got.items():
+        want = [len({t for t in seen[s : s + w] if t is not None}) for s in range(700 - w + 1)]
+        assert windows == len(want) and abs(mean - np.mean(want)) < 1e-9
+    assert working_set.mean_tiles(df.limit(0), lengths).isEmpty()
+    with pytest.raises(ValueError):
+        working_set.mean_tiles(df, [0, 3])
+
+
+def test_sketches_of_intervals_unite(spark):
+    rng = np.random.default_rng(2)
+    tiles = (rng.integers(0, 4000, 40_000) + np.arange(40_000) // 10).tolist()
+    df = spark.createDataFrame([(i, "HIT" if i % 3 else "EVICT", t) for i, t in enumerate(tiles)], "seq long, event_type string, tile long")
+    sketches = working_set.interval_sketches(df, 2_000).cache()
+    for together in (1, 4, 20):
+        want = {k: len({tiles[i] for i in range(k * 2_000 * together, min((k + 1) * 2_000 * together, 40_000)) if i % 3}) for k in range(20 // together)}
+        got = {r.interval: r.n_tiles for r in working_set.sketched_tiles(sketches, together).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.08 * want[k] for k in want)

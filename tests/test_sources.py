@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from gridloom.cli import main
 from gridloom import api
 from gridloom.plans.logical import Leaf
 from gridloom.sources import datagen, files
@@ -263,3 +264,62 @@ def test_morton(spark, places):
 
     got = spark.createDataFrame(places, "i long, j long").select(files.morton(F.col("i"), F.col("j"), 1).alias("m")).collect()
     assert [r.m for r in got] == [sum((i >> k & 1) << (2 * k + 1) | (j >> k & 1) << (2 * k) for k in range(31)) for i, j in places]
+
+
+def _counted(spark, m):
+    """m with an accumulator of the cells that its source hands out."""
+    handed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            handed.add(batch.num_rows)
+            yield batch
+
+    return api.Matrix(Leaf(m.cells.mapInArrow(count, m.cells.schema), *m.shape, m.node.dtype)), handed
+
+
+def test_saving_finds_what_is_wrong_and_reads_once(spark, folder):
+    m, handed = _counted(spark, api.random_rand(spark, (300, 70), seed=2))
+    counts = files.save(f"{folder}/m", m, side=32)
+    assert handed.value == 21_000 and files.clean(counts) and counts["n_cells"] == 21_000
+    assert files.described(spark, f"{folder}/m")["found"] == counts
+    assert (files.load(spark, f"{folder}/m").to_numpy() == m.to_numpy()).all()
+    nan, inf = float("nan"), float("inf")
+    bad = [(0, 0, 1.0), (0, 0, 1.0), (0, 0, 2.0), (0, 1, nan), (1, 0, inf), (1, 1, None), (2, 0, -inf), (-1, 0, 1.0)]
+    cells = spark.createDataFrame(bad, "i long, j long, v double")
+    for side in (1, 256):
+        counts = files.save(f"{folder}/bad{side}", api.Matrix(Leaf(cells, 2, 2, "float64")), side=side)
+        assert counts == files.problems(cells, 2, 2).first().asDict() and not files.clean(counts)
+    empty = files.save(f"{folder}/none", api.Matrix(Leaf(cells.limit(0), 0, 0, "float64")))
+    assert files.clean(empty) and set(empty.values()) == {0}
+
+
+def test_conversion_checks_while_it_writes(spark, folder, capsys):
+    x = X.copy()
+    np.save(f"{folder}/good.npy", x)
+    x[1, 1] = np.nan
+    np.save(f"{folder}/bad.npy", x)
+    assert files.convert(spark, f"{folder}/good.npy", f"{folder}/good", check=True)[1] == X.shape
+    with pytest.raises(files.InvalidMatrix) as e:
+        files.convert(spark, f"{folder}/bad.npy", f"{folder}/bad", check=True)
+    assert e.value.counts["n_nans"] == 1 and files.described(spark, f"{folder}/bad")["found"]["n_nans"] == 1
+    assert main(["convert", f"{folder}/bad.npy", f"{folder}/out", "--validate"], spark) == 1
+    assert main(["convert", f"{folder}/good.npy", f"{folder}/out", "--validate"], spark) == 0 and main(["validate", f"{folder}/out", "--tiles", "3"], spark) == 0
+    assert "n_nans 1" in capsys.readouterr().out
+
+
+def test_sampled_check(spark, folder):
+    n, side = 200, 16
+    good = api.random_rand(spark, (n, n), seed=9)
+    files.save(f"{folder}/m", good, side=side)
+    loaded = files.load(spark, f"{folder}/m")
+    tiles = files.sample_tiles(n, n, 6, side, seed=3)
+    assert tiles == files.sample_tiles(n, n, 6, side, seed=3) != files.sample_tiles(n, n, 6, side, seed=4)
+    assert all(0 <= i <= n - side and 0 <= j <= n - side for i, j, *_ in tiles)
+    assert files.sampled_valid(loaded, 6, side, 3)
+    plan = files.tile_problems(loaded, tiles)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(" in plan
+    i, j, *_ = tiles[0]
+    for wrong in (loaded.cells.where(f"NOT (i = {i} AND j = {j})"), loaded.cells.selectExpr("i", "j", f"IF(i = {i} AND j = {j}, float('NaN'), v) AS v")):
+        assert not files.sampled_valid(api.Matrix(Leaf(wrong, n, n, "float64")), 6, side, 3)
+    assert files.sampled_valid(api.zeros(spark, (3, 2)), 4) and files.sampled_valid(api.Matrix(Leaf(loaded.cells.limit(0), 0, 0, "float64")), 4)
