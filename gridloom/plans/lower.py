@@ -103,7 +103,7 @@ def rows_of(n: Node, visit, wide: str) -> DataFrame:
 
 
 def method(n: MatMul) -> str:
-    """inner: both sides of the result are thin; tall or wide: one is, and the other factor is small; blocks: floats with many products and no thin side; else cells."""
+    """inner: both sides of the result are thin; tall or wide: one is, and the other factor is small; blocks: many products and no thin side; else cells."""
     thin, inside = vectors.THIN, n.left.cols
     if max(n.rows, n.cols) <= thin:
         return "inner"
@@ -115,5 +115,5 @@ def method(n: MatMul) -> str:
 
 
 def by_blocks(n: MatMul) -> bool:
-    """Whether a product multiplies blocks: floats only (integers stay exact on cells), and only where cells would be many and no side is thin."""
-    return n.dtype.startswith("float") and n.rows * n.cols * n.left.cols > CELL_PRODUCTS and min(n.rows, n.cols) >= blocks.BLOCK
+    """Whether a product multiplies blocks: only where cells would be many and no side is thin. Integers stay exact there, too."""
+    return (n.dtype.startswith("float") or n.dtype == "int64") and n.rows * n.cols * n.left.cols > CELL_PRODUCTS and min(n.rows, n.cols) >= blocks.BLOCK

@@ -363,6 +363,19 @@ def mat_block_matmul(spark, sf_dir):
     return rounded(blocks.to_cells(blocks.matmul(blocks.transpose(b), b, down, down, inner)), "v")
 
 
+@query("""WITH W AS (SELECT CAST(vec_id AS BIGINT) AS i, CAST(p - 1 AS BIGINT) AS j, CAST(FLOOR(CAST(v AS DOUBLE) * 1048576) AS BIGINT) AS v FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS p FROM embeddings))
+    SELECT a.j AS i, b.j AS j, CAST(SUM(a.v * b.v) AS BIGINT) AS v FROM W a JOIN W b ON a.i = b.i GROUP BY 1, 2""")
+def mat_block_integers(spark, sf_dir):
+    """E in units of 2 ** -20, as integers: their exact products by blocks."""
+    e = embeddings(spark, sf_dir)
+    cells = e.cells.withColumn("v", F.floor(F.col("v").cast("double") * 1048576).cast("long"))
+    rows, cols = e.shape
+    up = lambda n: -(-n // 32)
+    right = blocks.to_blocks(cells, rows, cols, 32, "bigint")
+    left = blocks.to_blocks(cells.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), cols, rows, 32, "bigint")
+    return blocks.to_cells(blocks.matmul(left, right, up(cols), up(cols), up(rows)), "bigint", 32)
+
+
 @query(f"WITH {_E} SELECT j AS i, i AS j, ROUND((v + v) * 2, 6) + 0.0 AS v FROM E")
 def mat_block_algebra(spark, sf_dir):
     e = embeddings(spark, sf_dir)

@@ -293,3 +293,53 @@ def test_block_sums_follow_the_slabs(spark, monkeypatch):
     same = blocks.to_blocks(api.ones(spark, (4, 4 * 8 * 9)).cells, 4, 288, 4, "float")
     product = blocks.matmul(same, blocks.transpose(same), 1, 1, 72)
     assert set(api.Matrix(Leaf(blocks.to_cells(product, "float", 4), 4, 4, "float32")).to_numpy().ravel()) == {288.0}
+
+
+def test_exact_products_of_integers():
+    top, low = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+    for bound in (9, 2**21, 2**26):
+        x, y = RNG.integers(-bound, bound, (7, 2048)), RNG.integers(-bound, bound, (2048, 5))
+        assert (blocks.exact_product(x, y) == x @ y).all()
+    one = np.ones((1, 1), np.int64)
+    for v in (top, low, top - 2**42, -1, 0, 1 << 62, -(1 << 62)):
+        assert blocks.exact_product(one * v, one)[0, 0] == v
+    # What does not fit on the way, but does in the end.
+    assert blocks.exact_product(np.array([[top, top, low, low, 2]]), np.ones((5, 1), np.int64))[0, 0] == 0
+    for x, y in (([[top, 1]], [[1], [1]]), ([[low, -1]], [[1], [1]]), ([[low]], [[-1]]), ([[2**40]], [[2**40]]), ([[top]], [[top]])):
+        with pytest.raises(OverflowError):
+            blocks.exact_product(np.array(x), np.array(y))
+    assert blocks.exact_sum([np.array([top]), np.array([low]), np.array([5])]).tolist() == [4]
+    with pytest.raises(OverflowError):
+        blocks.exact_sum([np.array([top]), np.array([1])])
+
+
+def test_integer_blocks(spark):
+    """Several slabs of blocks of integers, with cells that are missing, against NumPy; overflow raises."""
+    x, y = RNG.integers(-(2**28), 2**28, (9, 75)), RNG.integers(-(2**27), 2**27, (75, 10))
+    x[RNG.random(x.shape) < 0.2] = 0
+    left = blocks.to_blocks(api.array(spark, x, "int64").cells.where("v <> 0"), *x.shape, 4, "bigint")
+    right = blocks.to_blocks(api.array(spark, y, "int64").cells, *y.shape, 4, "bigint")
+    product = blocks.matmul(left, right, 3, 3, 19)
+    got = api.Matrix(Leaf(blocks.to_cells(product, "bigint", 4), 9, 10, "int64")).to_numpy()
+    assert got.dtype == np.int64 and (got == x @ y).all()
+    big = api.array(spark, np.full((4, 75), 2**31), "int64")
+    side = lambda m, kind: blocks.to_blocks(m.cells, *m.shape, 4, kind)
+    with pytest.raises(Exception, match="does not fit"):
+        blocks.matmul(side(big, "bigint"), side(big.T, "bigint"), 1, 1, 19).collect()
+    a, b = (api.Matrix(Leaf(spark.range(0).selectExpr("id AS i", "id AS j", f"CAST(0 AS {k}) AS v"), 2000, 2000, d)) for k, d in (("int", "int32"), ("bigint", "int64")))
+    assert by_blocks((a @ b).node) and by_blocks((a @ a).node)
+
+
+def test_large_integer_product_by_blocks(spark):
+    """600 x 600 x 600 of int32 goes by blocks and widens to int64."""
+    x, y = (RNG.integers(-(2**31), 2**31, (600, 600)).astype("int32") // 64 for _ in "xy")
+    a, b = (api.Matrix(Leaf(spark.createDataFrame(spark_cells(m)), 600, 600, "int32")) for m in (x, y))
+    assert by_blocks((a @ b).node)
+    assert ((a @ b).to_numpy() == x.astype(np.int64) @ y.astype(np.int64)).all()
+
+
+def spark_cells(m):
+    import pandas as pd
+
+    i, j = np.indices(m.shape)
+    return pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": m.ravel()})
