@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise, semi_join
+from gridloom.llm.common import BROADCAST_KEYS, materialise, semi_join, within
 
 LOW, HIGH = 0.0005, 0.05  # the band: shares of documents that have a word
 LEAST = 2  # documents that have it at least
@@ -25,6 +25,8 @@ SLOTS = 1 << 22
 LEXICONS = 256
 ENTRY = 8  # letters of a fingerprint's entry: two for the subset, six for the hash
 BUCKET = 512  # documents in a bucket of neighbours, about
+RUN = 65_536  # copies of a row in one array
+FULL = 8  # times as many, and a bucket is dealt again
 
 
 def terms(text: Column) -> Column:
@@ -87,27 +89,55 @@ def likeness(a: Column, b: Column, a_subsets: Column, b_subsets: Column) -> Colu
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_id, next_text: of each document the next one in descending doc_id; after the last comes the first.
+    """doc_id, text, next_id, next_text, copies: of each document the next one in descending doc_id; after the last comes the first.
 
-    Neighbours meet in buckets of ids, in one shuffle of the texts; the buckets' width follows from how densely the ids
-    lie, so that hashed ids share buckets as consecutive ones do. The first document of each bucket also goes, as a
-    guest, to the end of the bucket before it: the neighbour of that one's last document. Null ids come last, dealt to
-    buckets of their own by a hash of their texts. Among rows of one doc_id, or of one bucket of null ids, the smaller
-    text comes first.
+    Neighbours meet in buckets of ids, in one shuffle of the texts. The first document of each bucket also goes, as a
+    guest, to the end of the bucket before it: the neighbour of that one's last document. Null ids come last. Rows of
+    one doc_id that fill more than FULL buckets, and null ids, are dealt to lots by a hash of their texts, and equal
+    ones among them travel as one row with their number: all but the last have themselves as next. Within a lot, and
+    among rows of any other doc_id, the smaller text comes first. A row stands for `copies` equal ones.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nameless")).first()
-    width, lots = width_of(size.low, size.high, size.n), -(-size.nameless // BUCKET) or 1
-    least = _div(size.low, width) if size.n else 0
-    nameless = F.lit(least - 1) - F.pmod(F.xxhash64("text"), F.lit(lots))
-    rows = rows.withColumn("bucket", F.coalesce(F.call_function("div", F.col("doc_id"), F.lit(width)), nameless))
-    tops = materialise(rows.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")), "buckets")
-    first = semi_join(rows, tops.select("doc_id").where("doc_id is not null"), "doc_id").union(rows.where("doc_id is null"))
+    rows, buckets = dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    tops = buckets.select(F.col("top").alias("doc_id")).where("top is not null").distinct()
+    first = semi_join(rows, tops, "doc_id").union(rows.where("doc_id is null"))
+    # The largest id and its smallest text; a lot has one id only.
     heads = first.groupBy(F.col("bucket").alias("next_bucket")).agg(F.max("doc_id").alias("doc_id"), F.min("text").alias("text"))
-    guests = heads.join(_next_bucket(tops.select("bucket")), "next_bucket").select("doc_id", "text", "bucket", F.lit(1).alias("guest"))
+    guests = heads.join(_next_bucket(buckets), "next_bucket").select("doc_id", "text", "bucket", F.lit(0).cast("long").alias("copies"), F.lit(1).alias("guest"))
+    own = rows.where("not lot").select("doc_id", "text", "bucket", F.lit(1).cast("long").alias("copies"))
+    lots = not buckets.where("lot").isEmpty()
+    if lots:
+        own = own.union(rows.where("lot").groupBy("doc_id", "text", "bucket").agg(F.count(F.lit(1)).alias("copies")))
     order = Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("doc_id"), "text")
-    near = rows.withColumn("guest", F.lit(0)).union(guests).withColumns({"next_id": F.lead("doc_id").over(order), "next_text": F.lead("text").over(order)})
-    return near.where("guest = 0").select("doc_id", "text", "next_id", "next_text")
+    near = own.withColumn("guest", F.lit(0)).union(guests).withColumns({"next_id": F.lead("doc_id").over(order), "next_text": F.lead("text").over(order)}).where("guest = 0")
+    if not lots:
+        return near.select("doc_id", "text", "next_id", "next_text", "copies")
+    last = F.struct("next_id", "next_text", F.lit(1).cast("long").alias("copies"))
+    others = F.struct(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"), (F.col("copies") - 1).alias("copies"))
+    return near.select("doc_id", "text", F.inline(F.when(F.col("copies") > 1, F.array(last, others)).otherwise(F.array(last))))
+
+
+def dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text, bucket, lot for every row; and the buckets: bucket, lot, top (largest id).
+
+    A bucket is a path of numbers. Ids are dealt by a width that follows from their range and number; a bucket that
+    holds more than FULL times its share is dealt again by its own range, so that dense ids beside a few outlying ones
+    are parted, too. Each round cuts a bucket's range to a quarter at most; a bucket of one id is dealt to lots.
+    Only ids are read for this, and the rows' own buckets follow from the tables of widths.
+    """
+    size = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nameless")).first()
+    width, lots = width_of(size.low, size.high, size.n), -(-size.nameless // BUCKET) or 1
+    step = F.call_function("div", F.col("doc_id"), F.lit(width).cast("long"))
+    nameless = F.pmod(F.xxhash64("text"), F.lit(lots))
+    rows = rows.withColumns({"bucket": F.when(F.col("doc_id").isNull(), F.array(F.lit(None).cast("long"), nameless)).otherwise(F.array(step)), "lot": F.col("doc_id").isNull()})
+    while True:
+        buckets = materialise(rows.groupBy("bucket", "lot").agg(F.max("doc_id").alias("top"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "buckets")
+        span = F.expr("cast(top as decimal(20, 0)) - cast(least as decimal(20, 0)) + 1")
+        full = buckets.where((F.col("n") > FULL * BUCKET) & ~F.col("lot")).select("bucket", (F.col("top") == F.col("least")).alias("single"), F.floor(F.greatest(F.lit(1), F.least(span * BUCKET / F.col("n"), F.lit(2**62)))).cast("long").alias("width"), F.ceil(F.col("n") / BUCKET).cast("long").alias("lots"))
+        if full.isEmpty():
+            return rows, buckets.select("bucket", "lot", "top")
+        part = F.when(F.col("single"), F.pmod(F.xxhash64("text"), F.col("lots"))).otherwise(F.expr("doc_id div width"))
+        side = F.broadcast(full) if within(full, BROADCAST_KEYS // 8) else full
+        rows = rows.join(side, "bucket", "left").select("doc_id", "text", F.when(F.col("width").isNull(), F.col("bucket")).otherwise(F.concat("bucket", F.array(part))).alias("bucket"), F.coalesce("single", "lot").alias("lot"))
 
 
 def width_of(low: int | None, high: int | None, n: int) -> int:
@@ -115,19 +145,15 @@ def width_of(low: int | None, high: int | None, n: int) -> int:
     return min(max(1, (high - low + 1) * BUCKET // n), 2**62) if n else 1
 
 
-def _div(a: int, b: int) -> int:
-    """Whole division towards 0, as Spark's div."""
-    return a // b if a >= 0 else -(-a // b)
-
-
 def _next_bucket(buckets: DataFrame) -> DataFrame:
-    """bucket, next_bucket: the next smaller one, after the smallest the largest. Coarse ranges of buckets are ordered on their own; only their ends are ordered together."""
-    wide = buckets.withColumn("range", F.floor(F.col("bucket") / 65_536))
-    inside = Window.partitionBy("range").orderBy(F.desc("bucket"))
-    stepped = wide.withColumn("next_bucket", F.lead("bucket").over(inside))
-    ends = wide.groupBy("range").agg(F.max("bucket").alias("top"))
-    line = Window.orderBy(F.desc("range"))
-    ends = ends.select("range", F.coalesce(F.lead("top").over(line), F.max("top").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
+    """bucket, next_bucket: the next one in descending order of ids, lots of one id by their numbers; after the last comes the first. Ranges of buckets are ordered on their own; only their ends are ordered together."""
+    order = [F.desc_nulls_last("top"), F.asc("bucket")]
+    ranges = max(1, buckets.count() // 65_536)
+    wide = materialise(buckets.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "bucket-ranges")
+    stepped = wide.withColumn("next_bucket", F.lead("bucket").over(Window.partitionBy("range").orderBy(*order)))
+    ends = wide.groupBy("range").agg(F.min_by("bucket", F.struct(F.col("top").isNull(), -F.col("top").cast("decimal(20, 0)"), "bucket")).alias("start"))
+    line = Window.orderBy("range")
+    ends = ends.select("range", F.coalesce(F.lead("start").over(line), F.first("start").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
     return stepped.join(ends, "range").select("bucket", F.coalesce("next_bucket", "after").alias("next_bucket"))
 
 
@@ -140,8 +166,8 @@ def edited(text: Column, following: Column) -> Column:
 def compared(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every document.
 
-    Null text counts as empty. Repeated rows give repeated rows; a lone document is its own next one. An empty
-    table gives none. Only doc_id and text are read.
+    Null text counts as empty. Repeated rows give repeated rows, computed once where they are many; a lone document is
+    its own next one. An empty table gives none. Only doc_id and text are read.
     """
     bits = lexicon(docs).scalar()
     pairs = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
@@ -151,7 +177,10 @@ def compared(docs: DataFrame) -> DataFrame:
     split = pairs.withColumns({k: terms(F.col(t)) for k, t in texts.items()})
     met = split.withColumn("bits", bits).withColumns({f"{k}_hits": known(F.col(k), F.col("bits")) for k in texts}).drop("bits")
     # The next document's fingerprint is made again from its text, which is here: cheaper than to move all fingerprints.
-    prints = met.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *(entries(F.col(t), F.col(k), F.col(f"{k}_hits")).alias(k) for k, t in texts.items()))
+    prints = met.select("doc_id", "copies", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *(entries(F.col(t), F.col(k), F.col(f"{k}_hits")).alias(k) for k, t in texts.items()))
     wide = prints.withColumns({f"{k}_subsets": subsets(F.col(k)) for k in texts})
     near = lambda other: likeness(F.col("a"), F.col(other), F.col("a_subsets"), F.col(f"{other}_subsets"))
-    return wide.select("doc_id", "n_chars", "edited_sha256", F.array_join("a", "").alias("fingerprint"), F.array_join("b", "").alias("edited_fingerprint"), near("b").alias("near_edited"), near("c").alias("near_next"))
+    out = wide.select("copies", "doc_id", "n_chars", "edited_sha256", F.array_join("a", "").alias("fingerprint"), F.array_join("b", "").alias("edited_fingerprint"), near("b").alias("near_edited"), near("c").alias("near_next"))
+    # Copies in runs, so that no row carries an array as long as there are copies.
+    runs = out.withColumn("start", F.explode(F.expr(f"sequence(1L, copies, {RUN}L)")))
+    return runs.withColumn("copy", F.explode(F.expr(f"sequence(start, least(start + {RUN - 1}L, copies))"))).drop("copies", "start", "copy")

@@ -264,6 +264,31 @@ def test_next_documents(spark, ids):
     assert seen == len(nameless) == sum(k is None for k in keys) and at == (known[0], text[known[0]])
 
 
+def test_next_documents_of_odd_ids(spark, monkeypatch):
+    """Dense ids beside outlying ones, one id in thousands of rows and thousands of equal rows: no bucket is larger than its bound, and the chain of neighbours is whole."""
+    monkeypatch.setattr(fingerprint, "BUCKET", 16)
+    keys = [*range(3000), 2**62, -(2**62), *range(10**15, 10**15 + 500)]
+    rows = [(k, f"text {k}") for k in keys] + [(7, f"other {n}") for n in range(2000)] + [(10**15 + 3, "same")] * 5000 + [(None, "none")] * 1500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, buckets = fingerprint.dealt(docs)
+    sizes = {tuple(r.bucket): r.n for r in dealt.distinct().groupBy("bucket").count().withColumnRenamed("count", "n").collect()}
+    assert max(sizes.values()) <= fingerprint.FULL * 16 and len(sizes) == buckets.count() > 3000 / 16
+    found = fingerprint.with_next(docs).collect()
+    assert len(found) < 6000 and sum(r.copies for r in found) == len(rows)
+    want = collections.Counter(rows)
+    have, follows = collections.Counter(), collections.Counter()
+    for r in found:
+        have[r.doc_id, r.text] += r.copies
+        follows[r.next_id, r.next_text] += r.copies
+    assert have == follows == want  # every row once, and once as a neighbour
+    order = sorted({k for k, _ in rows if k is not None}, reverse=True)
+    steps = {(r.doc_id, r.next_id) for r in found if r.doc_id != r.next_id}
+    assert steps == {*zip(order, order[1:]), (order[-1], None), (None, order[0])}
+    out = fingerprint.compared(docs)
+    assert collections.Counter(r.doc_id for r in out.select("doc_id").collect()) == collections.Counter(k for k, _ in rows)
+    assert {r.edited_sha256 for r in out.where("doc_id is null and near_next = 1").collect()} == {hashlib.sha256(b"nono").hexdigest()}
+
+
 def test_fingerprints_by_brute_force(spark, docs):
     """Fingerprints and likenesses recomputed in Python from the documents' frequencies: same groups of equal fingerprints, same likenesses."""
     import re
