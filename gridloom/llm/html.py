@@ -2,8 +2,10 @@
 
 A page becomes a flat list of blocks: the text between tags that break a line. Of each block the tree sees its
 number of words and its link density, those of the block before and after it, and what encloses it (an article, a
-menu or footer, a form, an element whose class or id tells an advert, notice, sidebar or comments). The tree is
-grown here, from the small labelled table below, by the usual splits on Gini impurity.
+menu or footer, a form, an element whose class or id tells an advert, notice, sidebar or comments). A class or id
+that only has such a word among others ("share-price") leaves the decision to words and link densities, as do pages
+without a main element. The tree is grown here, from the small labelled table below, by
+the usual splits on Gini impurity.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +37,17 @@ NOTICE = frozenset("cookie cookies consent gdpr notice alert popup modal overlay
 COMMENT = frozenset("comment comments reply replies respond disqus discussion reader reviews".split())
 OWN = frozenset("article post entry story".split())
 BODY = frozenset("body content text main".split())
+#: Words beside which the ones above still say all of an element ("ad-slot", "site-footer", "comment-list").
+GLUE = OWN | BODY | frozenset("posts articles stories area bar block blocks bottom box button buttons col column container fixed global group holder icon icons inline inner item items left link links list main media outer page panel primary right row secondary section site slot sticky title top unit wrap wrapper zone".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
 
+SAYING = ADVERT | AROUND | NOTICE | COMMENT | GLUE
+
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPACE = re.compile(r"\s+")
 #: One column each: words, link density, of this block, the one before and the one after; then what encloses it.
-COLUMNS = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "in_boiler", "in_form", "in_advert", "in_around", "in_notice", "in_comment", "in_header", "hidden", "heading", "has_main")
+COLUMNS = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "in_boiler", "in_form", "in_advert", "in_around", "in_notice", "in_comment", "in_header", "in_doubt", "hidden", "heading", "has_main")
 
 
 #: Marks of inline elements whose text is none of the block's.
@@ -84,7 +91,8 @@ def _marks(name: str, attributes: str) -> frozenset[str]:
                         out.add("in_main")
                 for mark, words in (("in_advert", ADVERT), ("in_around", AROUND), ("in_notice", NOTICE), ("in_comment", COMMENT)):
                     if tokens & words:
-                        out.add(mark)
+                        # Comments read like an article, so words and densities can't tell them: any word of theirs decides.
+                        out.add(mark if mark == "in_comment" or tokens - {""} <= SAYING else "in_doubt")
     return frozenset(out)
 
 
@@ -206,32 +214,36 @@ def features(found: list[Block]) -> np.ndarray:
 #: Marks of blocks that are no main text wherever they stand.
 APART = ["in_advert", "in_around", "in_notice", "in_comment", "in_form", "in_boiler", "hidden"]
 #: Marks that change nothing in a main element.
-NEUTRAL = ["", "heading", "in_header", "in_header heading"]
-#: Words and link density of a block, and of the one before and the one after.
-SIZES = [(1, 0.0), (2, 0.0), (2, 1.0), (4, 0.0), (4, 0.6), (7, 0.0), (12, 0.0), (12, 1.0), (18, 0.1), (30, 0.0), (30, 0.6), (60, 0.1), (120, 0.0), (300, 0.05), (300, 0.8)]
-NEAR = [((0, 0.0), (0, 0.0)), ((2, 1.0), (2, 1.0)), ((3, 0.0), (50, 0.0)), ((50, 0.0), (3, 0.0)), ((80, 0.1), (80, 0.0)), ((2, 1.0), (60, 0.0)), ((60, 0.0), (2, 1.0))]
+NEUTRAL = ["", "heading", "in_header"]
+#: Words and link density of a block, and of the one before or after it; (0, 0) where there is none. Every family of
+#: marks meets all of them, so that no size stands for a mark.
+SIZES = [(1, 0.0), (2, 1.0), (3, 0.6), (4, 0.0), (6, 1.0), (8, 0.0), (12, 0.0), (17, 0.1), (23, 0.0), (30, 0.6), (60, 0.1), (200, 0.0)]
+SIDES = [(0, 0.0), (1, 0.0), (2, 1.0), (3, 0.6), (5, 0.0), (12, 0.0), (12, 1.0), (40, 0.1), (150, 0.0)]
 
 
 def reads_like_text(words: int, links: float, before: tuple[int, float], after: tuple[int, float], heading: bool) -> bool:
-    """The label of a block on a page without main element: long enough or next to long text, and not mostly links."""
-    beside = max(n for n, share in (before, after) if share < 0.5) if min(before[1], after[1]) < 0.5 else 0
+    """The label of a block that no mark tells: long text, or short text between blocks of text, but neither links nor what a page begins and ends with."""
+    if links >= 0.34:
+        return False
     if heading:
-        return links < 0.34 and after[0] >= 15 and after[1] < 0.5
-    return links < 0.34 and (words >= 15 or words >= 3 and beside >= 40 or min(before[0], after[0]) >= 40)
+        return after[0] > 0 and after[1] < 0.34
+    if words >= 20:
+        return True
+    return min(before[0], after[0]) > 0 and max(before[1], after[1]) < 0.34
 
 
 def labelled() -> list[tuple]:
     """(words, links, words before, links before, words after, links after, marks, label: 1 for main text)"""
     rows = []
-    for words, links in SIZES:
-        for before, after in NEAR:
-            size = (words, links, *before, *after)
-            for extra in NEUTRAL:
-                rows.append((*size, f"has_main in_main {extra}", 1))
-                rows += [(*size, f"has_main in_main {extra} {mark}", 0) for mark in APART]
-                rows.append((*size, f"has_main {extra}", 0))
-            rows += [(*size, f"{mark} {extra}", 0) for mark in [*APART, "in_header"] for extra in ("", "heading")]
-            rows += [(*size, extra, int(reads_like_text(words, links, before, after, extra == "heading"))) for extra in ("", "heading")]
+    for (words, links), before, after, extra in product(SIZES, SIDES, SIDES, NEUTRAL):
+        size = (words, links, *before, *after)
+        text = reads_like_text(words, links, before, after, "heading" in extra)
+        rows.append((*size, f"has_main in_main {extra}", 1))
+        rows.append((*size, f"has_main in_main in_doubt {extra}", int(text or links < 0.34 and words >= 6)))
+        rows.append((*size, f"has_main {extra}", 0))
+        rows += [(*size, f"has_main in_main {extra} {mark}", 0) for mark in APART]
+        rows += [(*size, f"{extra} {mark}", 0) for mark in APART]
+        rows += [(*size, f"{doubt} {extra}", int(text and "in_header" not in extra)) for doubt in ("", "in_doubt")]
     return rows
 
 

@@ -111,6 +111,36 @@ def test_html_on_pages(spark):
         assert r.text == "\n".join(filter(None, blocks)) and r.n_chars == len(r.text)
 
 
+def test_html_by_sizes():
+    """Without article, menus, footers and classes, words and link densities of a block and its neighbours decide; without those sizes they can't."""
+    import re
+
+    right = blind = total = 0
+    for page in pq.read_table(f"{SF}/pages.parquet").to_pylist():
+        marked = html.blocks(page["html"])
+        plain = re.sub(r"<(/?)(?:nav|footer)>", r"<\1div>", re.sub(r"</?article>| class=\"[^\"]*\"", "", page["html"]))
+        bare = html.blocks(plain)
+        assert [b.text for b in bare] == [b.text for b in marked]
+        want = np.array(["in_main" in b.marks for b in marked])
+        x = html.features(bare)
+        right += (html.tree().predict(x) == want).sum()
+        x[:, :6] = np.median(x[:, :6], axis=0)
+        blind += (html.tree().predict(x) == want).sum()
+        total += len(want)
+    assert right >= 0.95 * total > 1.2 * blind
+
+
+def test_html_doubtful_classes():
+    """A class that has a listed word among others doesn't drop an article's text; one that says nothing else does."""
+    long = "Good long text with a good many ordinary words in it that an article may have"
+    page = "<article><h1>Title</h1><p>%s</p><div class=\"%s\">%s</div><p>%s</p></article>"
+    for name in ("tags-explained", "lead promo-free", "share-price", "story-text"):
+        assert html.main_texts([page % (long, name, long, long)]) == [f"Title\n{long}\n{long}\n{long}"]
+        assert html.main_texts([page % (long, name, "<a>one</a> <a>two</a>", long)]) == [f"Title\n{long}\n" + ("one two\n" if name == "story-text" else "") + long]
+    for name in ("ad", "ad-slot", "adBox1", "sidebar-left", "related-posts", "cookie-notice", "comment-text", "user-comments", "share-buttons", "newsletter"):
+        assert html.main_texts([page % (long, name, long, long)]) == [f"Title\n{long}\n{long}"], name
+
+
 def test_bpe(spark, docs):
     t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     for hot in (bpe.HOT, 50):
