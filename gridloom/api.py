@@ -188,6 +188,22 @@ def array(spark: SparkSession, data, dtype="float32") -> Matrix:
     return Matrix.from_cells(spark.createDataFrame(table), *found.shape, dtype)
 
 
+def ndarray(spark: SparkSession, data=None, filepath: str | None = None, shape: tuple[int, int] | None = None, dtype="float32") -> Matrix:
+    """From an array-like, from a raw or native file (a raw one needs its shape), or of zeros if only a shape is given."""
+    if filepath is not None:
+        from gridloom.sources import files
+
+        return files.load(spark, filepath, shape, dtype)
+    if data is not None:
+        found = array(spark, data, dtype)
+        if shape is not None and tuple(shape) != found.shape:
+            raise ValueError(f"the data have the shape {found.shape}, not {tuple(shape)}")
+        return found
+    if shape is None:
+        raise ValueError("give data, a file or a shape")
+    return zeros(spark, shape, dtype)
+
+
 def full(spark: SparkSession, shape: tuple[int, int], value: float, dtype="float32") -> Matrix:
     return _grid(spark, shape, F.lit(value), dtype)
 

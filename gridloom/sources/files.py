@@ -159,6 +159,8 @@ def load_hdf5(spark: SparkSession, path: str, dataset: str | None = None, dtype=
         raise ImportError("reading HDF5 needs the package h5py") from e
     with h5py.File(path) as f:
         key = dataset or next(iter(f.keys()))
+        if len(f[key].shape) != 2:
+            raise ValueError(f"a matrix has two dimensions; {key} has {len(f[key].shape)}")
         rows, cols = f[key].shape
     name = dtypes.dtype_name(dtype)
 

@@ -323,3 +323,50 @@ def test_sampled_check(spark, folder):
     for wrong in (loaded.cells.where(f"NOT (i = {i} AND j = {j})"), loaded.cells.selectExpr("i", "j", f"IF(i = {i} AND j = {j}, float('NaN'), v) AS v")):
         assert not files.sampled_valid(api.Matrix(Leaf(wrong, n, n, "float64")), 6, side, 3)
     assert files.sampled_valid(api.zeros(spark, (3, 2)), 4) and files.sampled_valid(api.Matrix(Leaf(loaded.cells.limit(0), 0, 0, "float64")), 4)
+
+
+STAND_IN = """
+import numpy
+class File(dict):
+    def __init__(self, path, mode="r"):
+        with open(path, "rb") as f:
+            super().__init__(numpy.load(f))
+    def __enter__(self):
+        return self
+    def __exit__(self, *_):
+        pass
+"""
+
+
+def test_hdf5_chunks(spark, folder, monkeypatch):
+    """Ranges of rows, the named or the first dataset, types and wrong dimensions, through a stand-in that has the few calls the reader makes (File, keys, shape, slices); the package itself is not installed here."""
+    import os
+    import sys
+
+    name = "h5py_stand_in"
+    with open(f"{folder}/{name}.py", "w") as f:
+        f.write(STAND_IN)
+    spark.sparkContext.addPyFile(f"{folder}/{name}.py")
+    monkeypatch.setitem(sys.modules, "h5py", __import__(name))
+    rows = files.ROWS_AT_ONCE * 2 + 3
+    big = np.arange(rows * 2, dtype="int32").reshape(rows, 2)
+    with open(f"{folder}/a.h5", "wb") as f:
+        np.savez(f, first=X, big=big, line=np.arange(3))
+    assert (files.load_hdf5(spark, f"{folder}/a.h5").to_numpy() == X).all()
+    found = files.load_hdf5(spark, f"{folder}/a.h5", "big", "int32")
+    assert found.shape == big.shape and (found.to_numpy() == big).all()
+    target, shape = files.convert(spark, f"{folder}/a.h5", f"{folder}/native", dataset="first", check=True)
+    assert shape == X.shape and (files.load(spark, target).to_numpy() == X).all() and os.path.exists(target)
+    with pytest.raises(ValueError):
+        files.load_hdf5(spark, f"{folder}/a.h5", "line")
+
+
+def test_constructor(spark, folder):
+    assert (api.ndarray(spark, X).to_numpy() == X).all() and api.ndarray(spark, X.astype("int32"), dtype="int32").dtype == np.int32
+    empty = api.ndarray(spark, shape=(3, 4))
+    assert empty.shape == (3, 4) and not empty.to_numpy().any()
+    X.tofile(f"{folder}/a.bin")
+    assert (api.ndarray(spark, filepath=f"{folder}/a.bin", shape=X.shape).to_numpy() == X).all()
+    for wrong in ({}, {"filepath": f"{folder}/a.bin", "shape": (X.shape[0] + 1, X.shape[1])}, {"data": X, "shape": (1, 2)}, {"data": [1, 2]}, {"shape": (-1, 2)}):
+        with pytest.raises(ValueError):
+            api.ndarray(spark, **wrong).to_numpy()
