@@ -137,6 +137,14 @@ def mat_gram(spark, sf_dir):
     return rounded((e.T @ e).cells, "v")
 
 
+@query(f"WITH {_L} SELECT a.j AS i, b.j AS j, CAST(6 * SUM(a.v * b.v) AS BIGINT) AS v FROM L a JOIN L b ON a.i = b.i GROUP BY 1, 2")
+def mat_function_forms(spark, sf_dir):
+    """dot, add and multiply as functions, computed into native files and read back."""
+    m = quantities(spark, sf_dir)
+    square = api.dot(m.T, m)
+    return api.multiply(api.add(square, api.dot(m.T, m)), 3).compute(shared_path(spark, "forms")).cells
+
+
 @query(f"WITH {_E}, {_G} SELECT E.i, G.j, ROUND(SUM(E.v * G.v), 5) + 0.0 AS v FROM E JOIN G ON E.j = G.i GROUP BY 1, 2")
 def mat_matmul_chain(spark, sf_dir):
     e = embeddings(spark, sf_dir)
