@@ -1,5 +1,7 @@
 """The array API against NumPy: contracts, types, fused and plain forms, cells and blocks."""
 
+import pathlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +98,18 @@ def test_eye_query_has_the_size_of_the_table(spark):
     assert n > 500 and tuple(found) == (n * n, n - 1, n - 1, n, n)
 
 
+def test_made_cells_come_in_bands(spark, folder, monkeypatch):
+    """A wide matrix is written small (about 40 MB row by row), and strips and bands of any size have each place once."""
+    api.zeros(spark, (200, 40_000)).cells.write.parquet(f"{folder}/wide")
+    assert sum(f.stat().st_size for f in pathlib.Path(f"{folder}/wide").glob("*.parquet")) < 4_000_000
+    assert tuple(spark.read.parquet(f"{folder}/wide").agg(F.count(F.lit(1)), F.countDistinct(F.col("i") * 40_000 + F.col("j")), F.max("i"), F.max("j")).first()) == (8_000_000, 8_000_000, 199, 39_999)
+    monkeypatch.setattr(api, "STRIP", 8)
+    monkeypatch.setattr(api, "BAND", 3)
+    for shape in ((19, 10), (16, 9), (1, 9), (9, 1), (0, 4), (4, 0)):
+        assert sorted((r.i, r.j) for r in api.ones(spark, shape).cells.collect()) == [(i, j) for i in range(shape[0]) for j in range(shape[1])]
+    assert api.eye(spark, 20).to_numpy().tolist() == np.eye(20).tolist()
+
+
 def test_tiles_and_reductions(spark):
     x, a = made(spark, 20, 9)
     np.testing.assert_allclose(a.tile(15, 4, 10, 10).to_numpy(), x[15:, 4:])
