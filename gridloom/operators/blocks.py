@@ -43,7 +43,9 @@ def _schema(kind: str) -> str:
 
 
 def to_cells(blocks: DataFrame, kind: str = "double", block: int = BLOCK) -> DataFrame:
-    flat = blocks.select("bi", "bj", "n_cols", F.posexplode("data").alias("p", "v"))
+    # The outer form, because for the inner one Spark infers a filter on the array's size, which repeats all that makes the
+    # array, down to the joins, and an array read by places within a lambda is then made once for each place.
+    flat = blocks.select("bi", "bj", "n_cols", F.posexplode_outer("data").alias("p", "v")).where("p IS NOT NULL")
     return flat.select((F.col("bi") * block + F.floor(F.col("p") / F.col("n_cols"))).alias("i"), (F.col("bj") * block + F.col("p") % F.col("n_cols")).cast("long").alias("j"), F.col("v").cast(kind).alias("v"))
 
 
@@ -55,6 +57,9 @@ def transpose(blocks: DataFrame) -> DataFrame:
 
 
 def add(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The sum of blocks that both sides have; a table plus itself is read once."""
+    if left is right:
+        return left.withColumn("data", F.transform("data", lambda x: x + x))
     b = right.select("bi", "bj", F.col("data").alias("other"))
     return left.join(b, ["bi", "bj"]).select("bi", "bj", "n_rows", "n_cols", F.zip_with("data", "other", lambda x, y: x + y).alias("data"))
 

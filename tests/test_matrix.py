@@ -98,8 +98,20 @@ def test_eye_query_has_the_size_of_the_table(spark):
     assert n > 500 and tuple(found) == (n * n, n - 1, n - 1, n, n)
 
 
+def test_block_algebra_makes_arrays_once(spark):
+    """Sum, scaling and turn of blocks, read as cells: no filter or join repeats the arrays that they make, and a table plus itself is made once."""
+    x, m = made(spark, 23, 10, "float64")
+    b = blocks.to_blocks(m.cells, *m.shape, 4)
+    other = blocks.to_blocks((m * 3.0).cells, *m.shape, 4)
+    for total, want, sides in ((blocks.add(b, b), x * 2, 1), (blocks.add(b, other), x * 4, 2)):
+        cells = blocks.to_cells(blocks.transpose(blocks.scale(total, 2.0)), block=4)
+        np.testing.assert_allclose(api.Matrix(Leaf(cells, 10, 23, "float64")).to_numpy(), want.T * 2)
+        plan = cells._jdf.queryExecution().optimizedPlan().toString()
+        assert "size(transform(" not in plan and plan.count("FlatMapGroupsInArrow") == sides
+
+
 def test_made_cells_come_in_bands(spark, folder, monkeypatch):
-    """A wide matrix is written small (about 40 MB row by row), and strips and bands of any size have each place once."""
+    """A wide matrix is written small (32 MB row by row), and strips and bands of any size have each place once."""
     api.zeros(spark, (200, 40_000)).cells.write.parquet(f"{folder}/wide")
     assert sum(f.stat().st_size for f in pathlib.Path(f"{folder}/wide").glob("*.parquet")) < 4_000_000
     assert tuple(spark.read.parquet(f"{folder}/wide").agg(F.count(F.lit(1)), F.countDistinct(F.col("i") * 40_000 + F.col("j")), F.max("i"), F.max("j")).first()) == (8_000_000, 8_000_000, 199, 39_999)
