@@ -57,6 +57,7 @@ COUNTED = 400_000  # distinct words that a task counts before it passes them on
 _LIMIT = np.where(np.tri(WINDOW, dtype=bool), np.float32(60), np.float32(-1e9))
 
 _encoders: dict[str, object] = {}
+_begins: dict[str, np.ndarray] = {}  # by piece: whether it carries a space
 
 
 def speller(path: str):
@@ -74,6 +75,20 @@ def speller(path: str):
     return (lambda word: encoding.encode_ordinary(" " + word.decode("utf-8", "replace"))), size
 
 
+def spelled(words: list[bytes], path: str) -> list[bytes]:
+    """Each word's ids as spell() gives them, 2 bytes each. Words of ASCII are encoded together: no piece crosses a space, and only a word's first one has it."""
+    spell, _ = speller(path)
+    if path not in _begins:
+        encoding = _encoders[path][0]
+        _begins[path] = np.array([encoding.decode_single_token_bytes(i)[:1] == b" " for i in range(_encoders[path][1])])
+    plain = [w for w in words if w.isascii()]
+    ids = np.array(_encoders[path][0].encode_ordinary(" " + b" ".join(plain).decode()) if plain else [], np.uint16)
+    edges = [*(2 * np.flatnonzero(_begins[path][ids])).tolist(), 2 * len(ids)]
+    raw = ids.tobytes()
+    together = iter([raw[a:b] for a, b in zip(edges, edges[1:])])
+    return [next(together) if w.isascii() else np.array(spell(w), np.uint16).tobytes() for w in words]
+
+
 # ---- Units and classes
 
 
@@ -296,12 +311,9 @@ class Model:
 
 def _summed(units: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The sum of the rows of each unit."""
-    order = np.argsort(units.astype(np.uint16), kind="stable")
-    ordered = units[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    out = np.zeros((UNITS, rows.shape[1]), rows.dtype)
-    out[ordered[first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+    width = rows.shape[1]
+    place = units.astype(np.intp)[:, None] * width + np.arange(width)
+    return np.bincount(place.ravel(), rows.ravel(), UNITS * width).reshape(UNITS, width).astype(rows.dtype)
 
 
 class Trainer:
@@ -418,12 +430,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def _spelled(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """(before, id, n): the pieces of words, n times each; before is the piece before it in the word, or -1."""
-    spell, size = speller(path)
+    _, size = speller(path)
     for batch in batches:
-        words = [spell(w) for w in batch.column(0).to_pylist()]
-        n = np.repeat(batch.column(1).to_numpy(), [len(w) for w in words])
-        ids = np.array([i for w in words for i in w], np.int64)
-        before = np.array([i for w in words for i in (-1, *w[:-1])], np.int64)
+        words = spelled(batch.column(0).to_pylist(), path)
+        lengths = np.array([len(w) // 2 for w in words], np.int64)
+        n, ids = np.repeat(batch.column(1).to_numpy(), lengths), np.frombuffer(b"".join(words), np.uint16).astype(np.int64)
+        before = np.concatenate([[-1], ids[:-1]])[: len(ids)]
+        before[(np.cumsum(lengths) - lengths)[lengths > 0]] = -1
         key, place = np.unique((before + 1) * size + ids, return_inverse=True)
         total = np.bincount(place, n, len(key))
         yield pa.RecordBatch.from_arrays([pa.array(key // size - 1, pa.int64()), pa.array(key % size, pa.int64()), pa.array(total, pa.float64())], ["before", "id", "n"])
@@ -459,25 +472,25 @@ class Encoder:
 
     def rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """doc_id, text, learn, where learn may be missing -> what ENCODED names."""
-        spell, size = speller(self.path)
+        _, size = speller(self.path)
         memory = _memory.setdefault(self.path, {})
         closing = np.array([size], np.uint16).tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 some, rows = batch.slice(lo, 256), []
                 for words in map(ascii_words, some.column(1).to_pylist()):
-                    spelled = list(map(memory.get, words))
-                    if None in spelled:
+                    found = list(map(memory.get, words))
+                    if None in found:
                         if len(memory) > CACHED:
                             memory.clear()
-                        for i, s in enumerate(spelled):
-                            if s is None:
-                                s = memory.get(words[i])
-                                spelled[i] = memory[words[i]] = s if s is not None else np.array(spell(words[i]), np.uint16).tobytes()
-                    spelled.append(closing)
+                        new = list(dict.fromkeys(w for w, s in zip(words, found) if s is None))
+                        own = dict(zip(new, spelled(new, self.path)))
+                        memory.update(own)
+                        found = [own[w] if s is None else s for w, s in zip(words, found)]
+                    found.append(closing)
                     terms = list(map(self.terms.get, words))
                     rare = [w for w, t in zip(words, terms) if t is None] if None in terms else []
-                    rows.append((len(words) + 1, b"".join(spelled), math.fsum(filter(None, terms)) + self.end, len(words) - len(rare) + (self.ends > 0), rare))
+                    rows.append((len(words) + 1, b"".join(found), math.fsum(filter(None, terms)) + self.end, len(words) - len(rare) + (self.ends > 0), rare))
                 n, pieces, base, known, rare = zip(*rows) if rows else ((),) * 5
                 cols = [pa.array(n, pa.int64()), pa.array(pieces, pa.binary()), pa.array(base, pa.float64()), pa.array(known, pa.int64()), pa.array(rare, pa.list_(pa.binary()))]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), *cols], ["doc_id", "learn", "n_tokens", "pieces", "base", "known", "rare"])

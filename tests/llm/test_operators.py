@@ -561,6 +561,22 @@ def test_lm_score_is_that_of_a_plain_loop():
         assert abs(_plainly(scorer, text) - score) < 1e-4 * max(1, abs(score))
 
 
+def test_lm_spells_words_together():
+    """Words encoded together get the ids that each gets alone; the rows of each unit are summed."""
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    spell, _ = lm.speller(path)
+    rng = random.Random(8)
+    words = [b"a", b"'s", b"don't", b"''", b"\x1c\x00", b"42nd", b"<|endoftext|>", "straße".encode(), b"\xff\xfe", "a\u00a0b".encode(), b"end", b"'"]
+    words += [bytes(rng.choice([*range(9), *range(14, 32), *range(33, 128)]) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    words += list({w for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist() for w in lm.ascii_words(r)})
+    assert lm.spelled(words, path) == [np.array(spell(w), np.uint16).tobytes() for w in words]
+    assert lm.spelled([], path) == []
+    units, rows = np.array([[3, 0], [3, lm.UNITS - 1]]).ravel(), np.arange(8.0).reshape(4, 2)
+    total = np.zeros((lm.UNITS, 2))
+    np.add.at(total, units, rows)
+    assert (lm._summed(units, rows) == total).all()
+
+
 def test_lm_context_matters(spark):
     """A trained model scores texts worse when the places beyond the last two units are shuffled between texts."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
