@@ -24,17 +24,18 @@ the others are joined with the table of all counts, one row for each text and oc
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ascii_words, materialise, threshold
+from gridloom.llm.common import ascii_words, materialise, threshold  # noqa: F401
 
 HOT = 131_072  # frequent words whose counts are broadcast, at most
 LONGEST = 64  # bytes of such a word, at most
@@ -47,11 +48,13 @@ WIDTH, KEY, HIDDEN = 16, 8, 32
 WARM = 24_000  # windows that the starting values are trained on, about
 WARM_STEPS = 600  # batches for the starting values, at least: small samples are gone through again
 WARM_BATCH, BATCH = 128, 512  # windows of a training step, for the starting values and after
-AT_ONCE = 64  # windows whose hidden states are computed together: what fits a core's cache
+AT_ONCE = 60  # windows whose hidden states are computed together: what fits a core's cache, in products that are small
+SMALL = 1_000_000  # multiplications of a product up to which BLAS does not first copy the matrices to packed ones
+STRETCH = 16_384  # parameters that a step changes together
 BLOCK = 4096  # windows whose outputs are computed together
 HELD = 8192  # windows that a task gathers before it trains on them
-CACHED = 200_000  # spelled words that a Python worker remembers
-COUNTED = 400_000  # distinct words that a task counts before it passes them on
+LOT = 8_000_000  # bytes of text whose words are handled together
+COUNTED = 32_000_000  # bytes of words that a task gathers before it counts them and passes the counts on
 
 #: The largest attention score: the mask of what comes later.
 _LIMIT = np.where(np.tri(WINDOW, dtype=bool), np.float32(60), np.float32(-1e9))
@@ -76,17 +79,60 @@ def speller(path: str):
 
 
 def spelled(words: list[bytes], path: str) -> list[bytes]:
-    """Each word's ids as spell() gives them, 2 bytes each. Words of ASCII are encoded together: no piece crosses a space, and only a word's first one has it."""
-    spell, _ = speller(path)
+    """Each word's ids as spell() gives them, 2 bytes each."""
+    return spelled_array(pa.array(words, pa.binary()), path).to_pylist()
+
+
+def spelled_array(words: pa.Array, path: str) -> pa.Array:
+    """The same for an array. Words are encoded together: no piece crosses a space, and only a word's first one has it. Those with white space of other kinds, or that are no UTF-8, are encoded alone."""
+    spell, size = speller(path)
     if path not in _begins:
-        encoding = _encoders[path][0]
-        _begins[path] = np.array([encoding.decode_single_token_bytes(i)[:1] == b" " for i in range(_encoders[path][1])])
-    plain = [w for w in words if w.isascii()]
-    ids = np.array(_encoders[path][0].encode_ordinary(" " + b" ".join(plain).decode()) if plain else [], np.uint16)
-    edges = [*(2 * np.flatnonzero(_begins[path][ids])).tolist(), 2 * len(ids)]
-    raw = ids.tobytes()
-    together = iter([raw[a:b] for a, b in zip(edges, edges[1:])])
-    return [next(together) if w.isascii() else np.array(spell(w), np.uint16).tobytes() for w in words]
+        _begins[path] = np.array([_encoders[path][0].decode_single_token_bytes(i)[:1] == b" " for i in range(size)])
+    try:
+        together = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+        text = " " + pc.binary_join(together, b" ")[0].as_py().decode() if len(words) else ""
+    except UnicodeDecodeError:
+        text = ""
+    if len(text.split()) != len(words):
+        plain = np.array([_plain(w) for w in words.to_pylist()])
+        if not plain.all():
+            odd = pa.array([np.array(spell(w), np.uint16).tobytes() for w in words.filter(pa.array(~plain)).to_pylist()], pa.binary())
+            together = spelled_array(words.filter(pa.array(plain)), path)
+            place = np.where(plain, np.cumsum(plain) - 1, len(together) + np.cumsum(~plain) - 1)
+            return pa.concat_arrays([together, odd]).take(pa.array(place))
+    ids = np.array(_encoders[path][0].encode_ordinary(text), np.uint16)
+    return _binary(np.append(np.flatnonzero(_begins[path][ids]), len(ids)), ids)
+
+
+def _plain(word: bytes) -> bool:
+    try:
+        return len(word.decode().split()) == 1
+    except UnicodeDecodeError:
+        return False
+
+
+def _binary(edges: np.ndarray, ids: np.ndarray) -> pa.Array:
+    """The ids between each edge and the next, 2 bytes each, as an array of bytes."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((2 * edges).astype(np.int32)), pa.py_buffer(ids)])
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """ascii_words of each text, one after the other, and how many each has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    words, count = lists.flatten(), pc.list_value_length(lists).to_numpy()
+    some = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    if not some.all():  # white space at the ends of a text
+        ends = np.cumsum(count)
+        before = np.concatenate([[0], np.cumsum(some)])
+        count, words = before[ends] - before[ends - count], words.filter(pa.array(some))
+    return words.cast(pa.binary()), count.astype(np.int64)
+
+
+def lots(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """First and last row of runs of rows of about so many bytes."""
+    lot = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64)) // size
+    edges = [0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), len(column)]
+    return ((lo, hi) for lo, hi in zip(edges, edges[1:]) if hi > lo)
 
 
 # ---- Units and classes
@@ -151,25 +197,30 @@ def vocabulary(counts: np.ndarray, near: np.ndarray) -> Vocabulary:
 
 
 def _softmax(h: np.ndarray, weight: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows of h: exp(logits), their sums, and the natural logs of the targets' shares. Shifted only where it would overflow."""
-    logits, rows = h @ weight, np.arange(len(h))
-    own, ones = logits[rows, target], np.ones(logits.shape[1], logits.dtype)
+    """For rows of h: exp(logits), their sums, and the natural logs of the targets' shares. Shifted only where it would overflow. Powers of 2 are what numpy computes faster."""
+    weight = weight * np.asarray(math.log2(math.e), weight.dtype)
+    logits = h @ weight
+    width = logits.shape[1]
+    place, ones = np.arange(0, logits.size, width) + target, np.ones(width, logits.dtype)
+    own = np.take(logits, place)
     with np.errstate(over="ignore"):
-        p = np.exp(logits, out=logits)
+        p = np.exp2(logits, out=logits)
         total = p @ ones
     if not (np.isfinite(total).all() and total.all()):
         logits = h @ weight
         logits -= logits.max(axis=1, keepdims=True)
-        own = logits[rows, target]
-        p = np.exp(logits, out=logits)
+        own = np.take(logits, place)
+        p = np.exp2(logits, out=logits)
         total = p @ ones
-    return p, total, own - np.log(total)
+    own *= np.asarray(math.log(2), own.dtype)
+    own -= np.log(total)
+    return p, total, own
 
 
-def _with_ones(h: np.ndarray) -> np.ndarray:
-    out = np.ones((len(h), WIDTH + 1), h.dtype)
-    out[:, :WIDTH] = h
-    return out
+def _parts(rows: int, width: int) -> Iterator[slice]:
+    """Slices of rows whose product with a matrix of so many columns and WIDTH + 1 rows is a small one."""
+    step = max(1, SMALL // ((WIDTH + 1) * width))
+    return (slice(lo, min(lo + step, rows)) for lo in range(0, rows, step))
 
 
 @dataclass
@@ -202,85 +253,110 @@ class Model:
             out[k], at = flat[at : at + n].reshape(s).astype(np.float32), at + n
         return Model(out, self.edges)
 
-    def hidden(self, now: np.ndarray, before: np.ndarray) -> tuple:
-        """States after the block, (windows * WINDOW, WIDTH), for units and those before them (windows, WINDOW); and what the way back needs."""
+    @cached_property
+    def classes(self) -> np.ndarray:
+        """By unit: its class."""
+        return np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges))
+
+    def _projection(self) -> np.ndarray:
+        """What makes queries (scaled), keys and values of a state, side by side."""
+        v = self.values
+        return np.concatenate([v["query"] * np.asarray(1 / math.sqrt(KEY), v["query"].dtype), v["key"], v["value"]], axis=1)
+
+    def hidden(self, now: np.ndarray, before: np.ndarray, only: np.ndarray | None = None) -> tuple:
+        """States after the block, (windows * WINDOW, WIDTH), for units and those before them (windows, WINDOW); and what the way back needs. only: the places whose states are asked for."""
         v = self.values
         n, t = now.shape
         h0 = np.take(v["now"], now.ravel(), axis=0)
         h0 += np.take(v["before"], before.ravel(), axis=0)
-        h0.reshape(n, t, WIDTH)[:] += v["place"][:t]
-        q = (h0 @ (v["query"] * np.asarray(1 / math.sqrt(KEY), h0.dtype))).reshape(n, t, KEY)
-        k = (h0 @ v["key"]).reshape(n, t, KEY)
-        val = (h0 @ v["value"]).reshape(n, t, WIDTH)
+        h0.reshape(n, t * WIDTH)[:] += v["place"][:t].ravel()
+        qkv = h0 @ self._projection()
+        q, k, val = (x.reshape(n, t, -1) for x in (qkv[:, :KEY], qkv[:, KEY : 2 * KEY], qkv[:, 2 * KEY :]))
         a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
         np.minimum(a, _LIMIT[:t, :t].astype(a.dtype, copy=False), out=a)  # the mask, and no overflow
         np.exp(a, out=a)
-        total = a @ np.ones((t, 1), a.dtype)
-        o = a @ val
+        total = (a @ np.ones((t, 1), a.dtype)).reshape(n * t, 1)
+        o = (a @ val).reshape(n * t, WIDTH)
         o /= total
-        h1 = h0 + o.reshape(n * t, WIDTH)
+        h1 = h0 + o
+        if only is not None:
+            h1 = np.compress(only.ravel(), h1, axis=0)
         up = h1 @ v["up"]
         np.maximum(up, 0, out=up)
         h = up @ v["down"]
         h += h1
         return h, (h0, q, k, val, a, total, o, h1, up)
 
-    def _by_class(self, cls: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """First and last unit of each class of several units, and the places whose target lies in it."""
+    def _by_class(self, cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+        """The places whose target is in a class of several units, class by class; and each class's first and last unit and its slice of these places."""
         several = np.diff(self.edges) > 1
         at = np.flatnonzero(several[cls])
         at = at[np.argsort(cls[at].astype(np.uint8), kind="stable")]
         cuts = np.searchsorted(cls[at], np.arange(len(self.edges)))
-        for c in np.flatnonzero(np.diff(cuts)):
-            yield int(self.edges[c]), int(self.edges[c + 1]), at[cuts[c] : cuts[c + 1]]
+        return at, [(int(self.edges[c]), int(self.edges[c + 1]), int(cuts[c]), int(cuts[c + 1])) for c in np.flatnonzero(np.diff(cuts))]
 
     def log_probability(self, now: np.ndarray, before: np.ndarray, target: np.ndarray, scored: np.ndarray) -> np.ndarray:
         """Natural logs of P(target unit) at the places that are scored, in order."""
         v, y = self.values, target[scored]
-        cls = np.searchsorted(self.edges, y, side="right") - 1
+        cls = np.take(self.classes, y)
         states = np.ones((len(y), WIDTH + 1), v["now"].dtype)
         out, done = np.empty(len(y), states.dtype), 0
         for lo in range(0, len(now), AT_ONCE):
-            h = self.hidden(now[lo : lo + AT_ONCE], before[lo : lo + AT_ONCE])[0][scored[lo : lo + AT_ONCE].ravel()]
-            some = slice(done, done + len(h))
-            states[some, :WIDTH], done = h, done + len(h)
-            out[some] = _softmax(states[some], v["class"], cls[some])[2]
-        for first, last, at in self._by_class(cls):
-            out[at] += _softmax(states[at], v["unit"][:, first:last], y[at] - first)[2]
+            h = self.hidden(now[lo : lo + AT_ONCE], before[lo : lo + AT_ONCE], scored[lo : lo + AT_ONCE])[0]
+            states[done : done + len(h), :WIDTH], done = h, done + len(h)
+        for s in _parts(len(y), CLASSES):
+            out[s] = _softmax(states[s], v["class"], cls[s])[2]
+        at, found = self._by_class(cls)
+        some, own, inside = np.take(states, at, axis=0), np.take(y, at).astype(np.intp), np.empty(len(at), states.dtype)
+        for first, last, lo, hi in found:
+            weight = v["unit"][:, first:last]
+            for s in _parts(hi - lo, last - first):
+                s = slice(lo + s.start, lo + s.stop)
+                inside[s] = _softmax(some[s], weight, own[s] - first)[2]
+        out[at] += inside
         return out
 
     def gradient(self, now: np.ndarray, before: np.ndarray, target: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over the scored places, and the gradient by hand."""
-        v = self.values
-        parts = [slice(lo, lo + AT_ONCE) for lo in range(0, len(now), AT_ONCE)]
-        kept = [self.hidden(now[s], before[s]) for s in parts]
-        hs, y = _with_ones(np.concatenate([h for h, _ in kept])), target.ravel()
-        use = scored.ravel()
+        v, t = self.values, now.shape[1]
+        g = {k: np.zeros_like(a) for k, a in v.items() if k not in ("now", "before")}
+        hs, y, use = np.ones((now.size, WIDTH + 1), v["now"].dtype), target.ravel().astype(np.intp), scored.ravel()
+        parts = [(lo, min(lo + AT_ONCE, len(now))) for lo in range(0, len(now), AT_ONCE)]
+        kept = []
+        for lo, hi in parts:
+            hs[lo * t : hi * t, :WIDTH], saved = self.hidden(now[lo:hi], before[lo:hi])
+            kept.append(saved)
         share = np.asarray(1 / max(np.count_nonzero(use), 1), hs.dtype)
-        cls = np.searchsorted(self.edges, y, side="right") - 1
+        cls = np.where(use, np.take(self.classes, y), 0)  # class 0 has one unit
         weights = use * share
-        g = {k: np.zeros_like(a) for k, a in v.items()}
         dh, loss = np.empty((len(hs), WIDTH), hs.dtype), 0.0
-        for lo in range(0, len(hs), AT_ONCE * WINDOW):
-            s = slice(lo, lo + AT_ONCE * WINDOW)
-            p, total, own = _softmax(hs[s], v["class"], cls[s])
+        back = np.ascontiguousarray(v["class"][:WIDTH].T)
+        # The rows of p are not divided by their sums: what they are multiplied with is.
+        for s in _parts(len(hs), CLASSES):
+            some = hs[s]
+            p, total, own = _softmax(some, v["class"], cls[s])
             loss -= float(own @ weights[s])
-            p *= (weights[s] / total)[:, None]
-            p[np.arange(len(p)), cls[s]] -= weights[s]
-            g["class"] += hs[s].T @ p
-            dh[s] = p @ v["class"][:WIDTH].T
-        for first, last, at in self._by_class(np.where(use, cls, 0)):  # class 0 has one unit
-            some, weight = hs[at], v["unit"][:, first:last]
-            p, total, own = _softmax(some, weight, y[at] - first)
+            p.reshape(-1)[np.arange(0, p.size, CLASSES) + cls[s]] -= total
+            scale = (weights[s] / total)[:, None]
+            g["class"] += (some * scale).T @ p
+            np.multiply(p @ back, scale, out=dh[s])
+        at, found = self._by_class(cls)
+        few, own_unit, scale, part = np.take(hs, at, axis=0), np.take(y, at), np.empty((len(at), 1), hs.dtype), np.empty((len(at), WIDTH), hs.dtype)
+        for first, last, lo, hi in found:
+            weight, some, mine = v["unit"][:, first:last], few[lo:hi], own_unit[lo:hi] - first
+            p, total, own = _softmax(some, weight, mine)
             loss -= float(own.sum() * share)
-            p *= (share / total)[:, None]
-            p[np.arange(len(at)), y[at] - first] -= share
-            g["unit"][:, first:last] = some.T @ p
-            dh[at] += p @ weight[:WIDTH].T
-        t = now.shape[1]
-        for s, (_, saved) in zip(parts, kept):
-            self._back(saved, dh[s.start * t : s.stop * t], t, g)
-        g["now"], g["before"] = _summed(now.ravel(), dh), _summed(before.ravel(), dh)
+            p.reshape(-1)[np.arange(0, p.size, last - first) + mine] -= total
+            scale[lo:hi, 0] = share / total
+            some *= scale[lo:hi]
+            np.matmul(some.T, p, out=g["unit"][:, first:last])
+            np.matmul(p, weight[:WIDTH].T, out=part[lo:hi])
+        part *= scale
+        dh[at] += part
+        for (lo, hi), saved in zip(parts, kept):
+            self._back(saved, dh[lo * t : hi * t], t, g)
+        columns = np.ascontiguousarray(dh.T, float).T
+        g["now"], g["before"] = (_summed(x.ravel(), columns).astype(dh.dtype) for x in (now, before))
         return loss, g
 
     def _back(self, saved: tuple, dh: np.ndarray, t: int, g: dict[str, np.ndarray]) -> None:
@@ -288,32 +364,38 @@ class Model:
         v, (h0, q, k, val, a, total, o, h1, up) = self.values, saved
         n = len(dh) // t
         g["down"] += up.T @ dh
-        dup = dh @ v["down"].T
+        dup = dh @ np.ascontiguousarray(v["down"].T)
         dup *= up > 0
         g["up"] += h1.T @ dup
-        dh += dup @ v["up"].T
-        do = dh.reshape(n, t, WIDTH)
-        a /= total
-        da = do @ np.ascontiguousarray(val.transpose(0, 2, 1))
-        da -= np.einsum("ntw,ntw->nt", do, o)[..., None]  # the sum of da * a over the keys
+        dh += dup @ np.ascontiguousarray(v["up"].T)
+        # a holds exponentials: what they meet is divided by their sums. The last column takes off the sum of da * a over the keys.
+        do = np.empty((n * t, WIDTH + 1), dh.dtype)
+        np.divide(dh, total, out=do[:, :WIDTH])
+        np.negative(np.einsum("nw,nw->n", do[:, :WIDTH], o), out=do[:, WIDTH])
+        do = do.reshape(n, t, WIDTH + 1)
+        values = np.ones((n, WIDTH + 1, t), dh.dtype)
+        values[:, :WIDTH] = val.transpose(0, 2, 1)
+        da = do @ values
         da *= a
-        dq = (da @ k).reshape(n * t, KEY) * np.asarray(1 / math.sqrt(KEY), dh.dtype)
-        dk = (np.ascontiguousarray(da.transpose(0, 2, 1)) @ q).reshape(n * t, KEY)
-        dval = (np.ascontiguousarray(a.transpose(0, 2, 1)) @ do).reshape(n * t, WIDTH)
-        g["query"] += h0.T @ dq
-        g["key"] += h0.T @ dk
-        g["value"] += h0.T @ dval
-        dh += dq @ v["query"].T
-        dh += dk @ v["key"].T
-        dh += dval @ v["value"].T
-        g["place"][:t] += dh.reshape(n, t, WIDTH).sum(axis=0)
+        back = np.empty((n, t, 2 * KEY + WIDTH), dh.dtype)
+        np.matmul(da, k, out=back[..., :KEY])
+        np.matmul(da.transpose(0, 2, 1), q, out=back[..., KEY : 2 * KEY])
+        np.matmul(a.transpose(0, 2, 1), do[..., :WIDTH], out=back[..., 2 * KEY :])
+        back = back.reshape(n * t, -1)
+        mine = h0.T @ back
+        g["query"] += mine[:, :KEY] * np.asarray(1 / math.sqrt(KEY), dh.dtype)
+        g["key"] += mine[:, KEY : 2 * KEY]
+        g["value"] += mine[:, 2 * KEY :]
+        dh += back @ np.ascontiguousarray(self._projection().T)
+        g["place"][:t] += dh.reshape(n, t * WIDTH).sum(axis=0).reshape(t, WIDTH)
 
 
 def _summed(units: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The sum of the rows of each unit."""
-    width = rows.shape[1]
-    place = units.astype(np.intp)[:, None] * width + np.arange(width)
-    return np.bincount(place.ravel(), rows.ravel(), UNITS * width).reshape(UNITS, width).astype(rows.dtype)
+    """The sum of the rows of each unit, column by column."""
+    place, out = units.astype(np.intp), np.empty((UNITS, rows.shape[1]), rows.dtype)
+    for i, column in enumerate(np.ascontiguousarray(rows.T, float)):
+        out[:, i] = np.bincount(place, column, UNITS)
+    return out
 
 
 class Trainer:
@@ -330,19 +412,27 @@ class Trainer:
             some, self.step = order[lo : lo + batch], self.step + 1
             _, g = self.model.gradient(*(w[some] for w in windows))
             now = self.rate * (1 - 0.95 * self.step / steps if steps else 1) / (1 - 0.9**self.step)
-            for k, d in g.items():
-                first, second, value = self.first[k], self.second[k], self.model.values[k]
-                first *= 0.9
+            for first, second, value, d in self._stretches(g):
+                first *= np.float32(0.9)
+                second *= np.float32(0.99)
                 first += d * np.float32(0.1)
-                second *= 0.99
                 d *= d
-                second += d * np.float32(0.01)
-                np.sqrt(second * np.float32(1 / (1 - 0.99**self.step)), out=d)
+                d *= np.float32(0.01)
+                second += d
+                np.multiply(second, np.float32(1 / (1 - 0.99**self.step)), out=d)
+                np.sqrt(d, out=d)
                 d += np.float32(1e-8)
                 np.divide(first, d, out=d)
                 d *= np.float32(now)
                 value -= d
 
+    def _stretches(self, g: dict[str, np.ndarray]) -> Iterator[list[np.ndarray]]:
+        """Moments, values and gradient, so many numbers at a time as stay in a core's cache."""
+        for k, d in g.items():
+            arrays = [x.reshape(-1) for x in (self.first[k], self.second[k], self.model.values[k], d)]
+            for lo in range(0, d.size, STRETCH):
+                yield [x[lo : lo + STRETCH] for x in arrays]
+
 
 # ---- Windows
 
@@ -408,18 +498,21 @@ class Scorer:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    held: list[pa.Array] = []
+    size = 0
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        found = pa.chunked_array(held, pa.binary()).value_counts()
+        return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(ascii_words(text))
-            if len(counts) > COUNTED:
+        for lo, hi in lots(batch.column(0), LOT):
+            held.append(words_of(batch.column(0).slice(lo, hi - lo))[0])
+            size += held[-1].nbytes
+            if size > COUNTED:
                 yield out()
-                counts.clear()
-    if counts:
+                held, size = [], 0
+    if size:
         yield out()
 
 
@@ -428,13 +521,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _ids(words: pa.Array) -> np.ndarray:
+    """The ids of an array of bytes, one after the other."""
+    if not len(words):
+        return np.zeros(0, np.uint16)
+    edges = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = words.buffers()[2]
+    return np.frombuffer(data, np.uint8)[edges[0] : edges[-1]].view(np.uint16) if data else np.zeros(0, np.uint16)
+
+
 def _spelled(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """(before, id, n): the pieces of words, n times each; before is the piece before it in the word, or -1."""
     _, size = speller(path)
     for batch in batches:
-        words = spelled(batch.column(0).to_pylist(), path)
-        lengths = np.array([len(w) // 2 for w in words], np.int64)
-        n, ids = np.repeat(batch.column(1).to_numpy(), lengths), np.frombuffer(b"".join(words), np.uint16).astype(np.int64)
+        words = spelled_array(batch.column(0), path)
+        lengths = pc.binary_length(words).to_numpy().astype(np.int64) // 2
+        n, ids = np.repeat(batch.column(1).to_numpy(), lengths), _ids(words).astype(np.int64)
         before = np.concatenate([[-1], ids[:-1]])[: len(ids)]
         before[(np.cumsum(lengths) - lengths)[lengths > 0]] = -1
         key, place = np.unique((before + 1) * size + ids, return_inverse=True)
@@ -466,49 +568,47 @@ class Encoder:
     """Spells texts and adds up the baseline over frequent words."""
 
     path: str
-    terms: dict[bytes, float]  # frequent word -> log10 of its smoothed share
+    words: pa.Array  # frequent words
+    terms: np.ndarray  # log10 of the smoothed share of each
     end: float  # the same for END
     ends: int
 
     def rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """doc_id, text, learn, where learn may be missing -> what ENCODED names."""
-        _, size = speller(self.path)
-        memory = _memory.setdefault(self.path, {})
-        closing = np.array([size], np.uint16).tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some, rows = batch.slice(lo, 256), []
-                for words in map(ascii_words, some.column(1).to_pylist()):
-                    found = list(map(memory.get, words))
-                    if None in found:
-                        if len(memory) > CACHED:
-                            memory.clear()
-                        new = list(dict.fromkeys(w for w, s in zip(words, found) if s is None))
-                        own = dict(zip(new, spelled(new, self.path)))
-                        memory.update(own)
-                        found = [own[w] if s is None else s for w, s in zip(words, found)]
-                    found.append(closing)
-                    terms = list(map(self.terms.get, words))
-                    rare = [w for w, t in zip(words, terms) if t is None] if None in terms else []
-                    rows.append((len(words) + 1, b"".join(found), math.fsum(filter(None, terms)) + self.end, len(words) - len(rare) + (self.ends > 0), rare))
-                n, pieces, base, known, rare = zip(*rows) if rows else ((),) * 5
-                cols = [pa.array(n, pa.int64()), pa.array(pieces, pa.binary()), pa.array(base, pa.float64()), pa.array(known, pa.int64()), pa.array(rare, pa.list_(pa.binary()))]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), *cols], ["doc_id", "learn", "n_tokens", "pieces", "base", "known", "rare"])
+            for lo, hi in lots(batch.column(1), LOT):
+                some = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), *self._of(some.column(1))], ["doc_id", "learn", "n_tokens", "pieces", "base", "known", "rare"])
+
+    def _of(self, texts: pa.Array) -> list[pa.Array]:
+        _, size = speller(self.path)
+        words, count = words_of(texts)
+        coded = words.dictionary_encode()
+        distinct, place = coded.dictionary, coded.indices.to_numpy()
+        found = pc.fill_null(pc.index_in(distinct, value_set=self.words), -1).to_numpy()
+        term = np.append(self.terms, 0.0)[found][place]
+        row = np.repeat(np.arange(len(texts)), count)
+        base = np.bincount(row, term, len(texts)) + self.end
+        rare = (found < 0)[place]
+        many = np.bincount(row, rare, len(texts)).astype(np.int64)
+        others = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), distinct.take(pa.array(place[rare])))
+        # END is one more word, behind each text.
+        spelling = pa.concat_arrays([spelled_array(distinct, self.path), pa.array([np.array([size], np.uint16).tobytes()], pa.binary())])
+        ends = np.cumsum(count)
+        taken = spelling.take(pa.array(np.insert(place, ends, len(distinct))))
+        edges = np.concatenate([[0], np.cumsum(pc.binary_length(taken).to_numpy().astype(np.int64) // 2)])
+        pieces = _binary(edges[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])], _ids(taken))
+        return [pa.array(count + 1), pieces, pa.array(base), pa.array(count - many + (self.ends > 0)), others]
 
 
 ENCODED = "doc_id long, learn boolean, n_tokens long, pieces binary, base double, known long, rare array<binary>"
-_memory: dict[str, dict[bytes, bytes]] = {}
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First and last row of some rows, their texts' pieces one after the other, and how many each has."""
-    lo, size = 0, 0
-    for hi in range(1, len(column) + 1):
-        size += len(column[hi - 1].as_buffer())
-        if size > 400_000 or hi == len(column):
-            texts = [np.frombuffer(x.as_buffer(), np.uint16) for x in column.slice(lo, hi - lo)]
-            yield lo, hi, np.concatenate(texts), np.array([len(t) for t in texts])
-            lo, size = hi, 0
+    for lo, hi in lots(column, 400_000):
+        some = column.slice(lo, hi - lo).cast(pa.binary())
+        yield lo, hi, _ids(some), pc.binary_length(some).to_numpy().astype(np.int64) // 2
 
 
 def _some_windows(batches: Iterator[pa.RecordBatch], words: Vocabulary, share: float) -> Iterator[pa.RecordBatch]:
@@ -608,9 +708,9 @@ def scores(docs: DataFrame, learn: Column, pieces: str, hot: int = HOT) -> DataF
     tokens, distinct = int(total) + ends, int(distinct) + (ends > 0)
     under = math.log10(tokens + 0.5 * (distinct + 1))
     top = counts.where((F.col("n") >= threshold(counts, hot)) & (F.length("word") <= LONGEST)).toArrow()
-    terms = dict(zip(top.column("word").to_pylist(), (np.log10(top.column("n").to_numpy() + 0.5) - under).tolist()))
-    encoder = spark.sparkContext.broadcast(Encoder(pieces, terms, math.log10(ends + 0.5) - under, ends))
-    del top, terms
+    words, terms = pa.array(top.column("word").to_pylist(), pa.binary()), np.log10(top.column("n").to_numpy() + 0.5) - under
+    encoder = spark.sparkContext.broadcast(Encoder(pieces, words, terms, math.log10(ends + 0.5) - under, ends))
+    del top, words, terms
     encoded = materialise(rows.mapInArrow(lambda b: encoder.value.rows(b), ENCODED), "pieces")
     encoder.destroy()
     shared = spark.sparkContext.broadcast(learned(encoded.where("learn").select("pieces"), counts, ends, pieces))

@@ -577,6 +577,47 @@ def test_lm_spells_words_together():
     assert (lm._summed(units, rows) == total).all()
 
 
+def test_lm_spells_all_scripts_in_one_go(monkeypatch):
+    """Distinct words of any script reach the tokenizer together, once for each lot; those with other white space get the ids they get alone."""
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    spell, size = lm.speller(path)
+    words = ["straße", "Ünder", "слово", "слова", "日本語", "a", "don't", "é's"]
+    alone, calls = [np.array(spell(w.encode()), np.uint16).tobytes() for w in words], []
+    encoding = lm._encoders[path][0]
+
+    class Counted:
+        decode_single_token_bytes = encoding.decode_single_token_bytes
+
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return encoding.encode_ordinary(text)
+
+    monkeypatch.setitem(lm._encoders, path, (Counted(), size))
+    assert lm.spelled([w.encode() for w in words], path) == alone and len(calls) == 1
+    odd = ["x", "a\u00a0", "\u3000b", "слово", "\u2003"]
+    assert lm.spelled([w.encode() for w in odd], path) == [np.array(spell(w.encode()), np.uint16).tobytes() for w in odd]
+
+
+def test_lm_encoder_is_that_of_a_plain_loop():
+    """Rows of the encoder, for texts with odd white space, no words or null, against loops over words."""
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    spell, size = lm.speller(path)
+    texts = ["The end", None, "", " \n\t", "  a A\x0bb\x0c ", "a\x1cb the THE", "ß \u3000 x\u00a0y end", "zzz " * 300]
+    terms = {b"the": -1.5, b"a": -2.25, b"end": -3.0}
+    encoder = lm.Encoder(path, pa.array(list(terms), pa.binary()), np.array(list(terms.values())), -0.5, 7)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20, 28)), pa.array(texts), pa.array([True, None] * 4)], ["doc_id", "text", "learn"])
+    for some in (batch, batch.slice(3, 4), batch.slice(0, 0)):
+        rows = [r for b in encoder.rows(iter([some])) for r in b.to_pylist()]
+        assert len(rows) == some.num_rows
+        for r, was in zip(rows, some.to_pylist()):
+            words = lm.ascii_words(was["text"])
+            rare = [w for w in words if w not in terms]
+            assert (r["doc_id"], r["learn"], r["n_tokens"], r["known"], r["rare"]) == (was["doc_id"], was["learn"], len(words) + 1, len(words) - len(rare) + 1, rare)
+            assert r["pieces"] == np.array([i for w in words for i in spell(w)] + [size], np.uint16).tobytes() and abs(r["base"] - sum(terms.get(w, 0) for w in words) + 0.5) < 1e-9
+    counts = [(w, n) for b in lm._counts(iter([batch.select(["text"])])) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert dict(counts) == collections.Counter(w for t in texts for w in lm.ascii_words(t)) and len(dict(counts)) == len(counts)
+
+
 def test_lm_context_matters(spark):
     """A trained model scores texts worse when the places beyond the last two units are shuffled between texts."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
