@@ -122,6 +122,21 @@ def test_made_cells_come_in_bands(spark, folder, monkeypatch):
     assert api.eye(spark, 20).to_numpy().tolist() == np.eye(20).tolist()
 
 
+def test_made_cells_come_in_bounded_tasks_without_costly_divisions(spark, folder):
+    """A large matrix is dealt to many tasks, an index takes divisions by literals only, is never null, and is written small where 512 does not divide the columns."""
+    from gridloom import queries
+
+    m = api.eye(spark, 360_000)
+    assert m.cells.rdd.getNumPartitions() >= 360_000**2 // (api.STRIP * api.BAND) and api.ones(spark, (100_000_000, 100_000_000)).cells.rdd.getNumPartitions() <= api.MAKERS + spark.sparkContext.defaultParallelism
+    assert not any(f.nullable for f in queries.mat_eye(spark, "/root/testdata/sf0.001").schema)
+    plan = m.cells._jdf.queryExecution().optimizedPlan().toString()
+    assert " div " in plan and all(part.lstrip()[0].isdigit() for part in plan.split(" div ")[1:]) and "least(" not in plan
+    made = api.zeros(spark, (9_000, 1_020)).cells
+    made.write.parquet(f"{folder}/odd")
+    assert sum(f.stat().st_size for f in pathlib.Path(f"{folder}/odd").glob("*.parquet")) < 2_500_000
+    assert tuple(spark.read.parquet(f"{folder}/odd").agg(F.count(F.lit(1)), F.countDistinct(F.col("i") * 1_020 + F.col("j")), F.max("i"), F.max("j"), F.min("j")).first()) == (9_180_000, 9_180_000, 8_999, 1_019, 0)
+
+
 def test_tiles_and_reductions(spark):
     x, a = made(spark, 20, 9)
     np.testing.assert_allclose(a.tile(15, 4, 10, 10).to_numpy(), x[15:, 4:])
